@@ -228,3 +228,19 @@ STATUS_LOG_SQL = """slog as (
               when 'click' then 'completed:not json' when 'view' then 'processing: q'
               when 'error' then 'failed:boom' else 'error: broker' end raw
   from events)"""
+
+# ---------------------------------------------------------------- judgements
+# F6 replies with the seating of F2e: the shape of one judge call.
+
+
+def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = battles(spark, sf_dir).select("battle_id", "model_a", "model_b")
+    r = judge_replies(spark, sf_dir)
+    # both are projections of the same events rows: join on the unique key
+    return b.join(r, "battle_id")
+
+
+JUDGEMENTS_SQL = f"""{BATTLES_SQL},
+{JUDGE_REPLIES_SQL},
+judgements as (select b.battle_id, b.model_a, b.model_b, r.raw
+               from battles b join replies r using (battle_id))"""

@@ -1 +1,134 @@
-"""Registered queries (filled in below)."""
+"""Registered arena queries: judgement parsing, pairwise tables, ratings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import judgements as J
+from ..operators import rating as R
+from . import fixtures as fx
+from .registry import register
+
+ASPECTS = [f"asp{k}" for k in range(12)]
+ANCHOR = "s3"
+
+
+@register("g7_judgement_battles", sql=f"""
+with {fx.JUDGEMENTS_SQL},
+p as (select battle_id, model_a, model_b,
+             trim(regexp_extract(raw, '(?s)```json(.*)```', 1), ' ' || chr(10) || chr(13) || chr(9) || '`')::JSON js
+      from judgements)
+select battle_id, model_a, model_b, c.key category, a.key aspect,
+       a.value ->> 'winner' winner_raw,
+       case when coalesce(a.value ->> 'winner', '') = '' then 'tie'
+            when lower(a.value ->> 'winner') = 'a' then 'model_a'
+            when lower(a.value ->> 'winner') = 'b' then 'model_b' else 'tie' end winner
+from p, json_each(p.js) c, json_each(c.value) a
+where list_contains(json_keys(a.value), 'winner')
+""")
+def g7_judgement_battles(spark, sf_dir):
+    """Parse judge replies (fenced JSON) and explode category -> aspect -> winner."""
+    parsed = J.parse_judgements(fx.judgements(spark, sf_dir))
+    return J.explode_battles(parsed)
+
+
+@register("p1_rejected_replies", sql=f"""
+with {fx.JUDGEMENTS_SQL}
+select count(*) rejected from judgements where raw not like '%```json%```%'
+""")
+def p1_rejected_replies(spark, sf_dir):
+    """Count of replies that do not parse (all fixture replies parse: 0)."""
+    parsed = J.parse_judgements(fx.judgements(spark, sf_dir))
+    return J.rejected(parsed).agg(F.count(F.lit(1)).alias("rejected"))
+
+
+_PAIRWISE_SQL = f"""
+with {fx.BULK_BATTLES_SQL},
+both_sides as (
+  select aspect arena, model_a i, model_b j,
+         case winner when 'model_a' then 2 when 'model_b' then 0 else 1 end w from battles
+  union all
+  select aspect, model_b, model_a,
+         case winner when 'model_b' then 2 when 'model_a' then 0 else 1 end from battles),
+pw as (
+  select coalesce(arena, '(all)') arena, i, j, cast(sum(w) as bigint) w, cast(count(*) as bigint) n
+  from both_sides group by grouping sets ((arena, i, j), (i, j)))
+"""
+
+
+@register("g9_pairwise_table", sql=_PAIRWISE_SQL + "select * from pw")
+def g9_pairwise_table(spark, sf_dir):
+    """W[i,j] = 2*wins + ties over both seatings, per aspect and overall."""
+    return J.pairwise_table(fx.bulk_battles(spark, sf_dir))
+
+
+@register("g10_bt_expected_wins", sql=_PAIRWISE_SQL + """
+select arena, i system, round(cast(sum(w) as double), 3) wins from pw group by arena, i
+""")
+def g10_bt_expected_wins(spark, sf_dir):
+    """Bradley-Terry MLE per arena; expected wins from the fit equal observed wins."""
+    pw = J.pairwise_table(fx.bulk_battles(spark, sf_dir)).cache()
+    fit = R.fit_ratings(pw)
+    return R.expected_wins(pw, fit)
+
+
+@register("g11_calibrated_ratings")
+def g11_calibrated_ratings(spark, sf_dir):
+    """Bradley-Terry ratings per arena, shifted so the anchor system has the anchor value."""
+    pw = J.pairwise_table(fx.bulk_battles(spark, sf_dir))
+    fit = R.calibrate(R.fit_ratings(pw), ANCHOR)
+    return fit.select("arena", "system", F.round("rating", 6).alias("rating"), "status")
+
+
+@register("g12_bootstrap_ratings")
+def g12_bootstrap_ratings(spark, sf_dir):
+    """100 multinomial bootstrap rounds per arena (overall + aspects), calibrated."""
+    boot = R.bootstrap_ratings(fx.bulk_battles(spark, sf_dir), rounds=R.BOOTSTRAP_ROUNDS, seed=7)
+    return R.calibrate(boot, ANCHOR)
+
+
+@register("g14_bootstrap_leaderboard")
+def g14_bootstrap_leaderboard(spark, sf_dir):
+    """System x aspect matrix of bootstrap-median ratings."""
+    boot = R.calibrate(R.bootstrap_ratings(fx.bulk_battles(spark, sf_dir), rounds=R.BOOTSTRAP_ROUNDS,
+                                           seed=7), ANCHOR)
+    med = R.median_scores(boot)
+    return R.leaderboard(med, ASPECTS)
+
+
+_ROUND_SCORES_SQL = f"""
+with {fx.BATTLES_SQL},
+sides as (
+  select aspect, battle_id % 10 rnd, model_a system,
+         case winner when 'model_a' then 1.0 when 'model_b' then 0.0 else 0.5 end pts from battles
+  union all
+  select aspect, battle_id % 10, model_b,
+         case winner when 'model_b' then 1.0 when 'model_a' then 0.0 else 0.5 end from battles),
+scores as (select aspect arena, rnd, system, avg(pts) score from sides group by all),
+med as (select arena, system, quantile_cont(score, 0.5) median from scores group by all)
+"""
+
+
+def _round_scores(spark, sf_dir):
+    b = fx.battles(spark, sf_dir)
+    pts_a = F.when(F.col("winner") == "model_a", 1.0).when(F.col("winner") == "model_b", 0.0).otherwise(0.5)
+    rnd = F.col("battle_id") % 10
+    sides = b.select(F.col("aspect").alias("arena"), rnd.alias("rnd"), F.col("model_a").alias("system"),
+                     pts_a.alias("pts")).unionByName(
+        b.select(F.col("aspect").alias("arena"), rnd.alias("rnd"), F.col("model_b").alias("system"),
+                 (F.lit(1.0) - pts_a).alias("pts")))
+    return sides.groupBy("arena", "rnd", "system").agg(F.avg("pts").alias("score"))
+
+
+@register("g13_median_scores", sql=_ROUND_SCORES_SQL + "select * from med")
+def g13_median_scores(spark, sf_dir):
+    """Median over rounds per (arena, system) of a per-round score table."""
+    return R.median_scores(_round_scores(spark, sf_dir), value="score")
+
+
+@register("g14_leaderboard", sql=_ROUND_SCORES_SQL + "select system, " + ", ".join(
+    f"max(case when arena = '{a}' then median end) \"{a}\"" for a in ASPECTS) + " from med group by system")
+def g14_leaderboard(spark, sf_dir):
+    """System x aspect pivot of the per-aspect medians (explicit aspect list)."""
+    med = R.median_scores(_round_scores(spark, sf_dir), value="score")
+    return R.leaderboard(med, ASPECTS)
