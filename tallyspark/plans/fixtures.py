@@ -244,3 +244,91 @@ JUDGEMENTS_SQL = f"""{BATTLES_SQL},
 {JUDGE_REPLIES_SQL},
 judgements as (select b.battle_id, b.model_a, b.model_b, r.raw
                from battles b join replies r using (battle_id))"""
+
+# ---------------------------------------------------------------- F4r candidate code, rich
+# Several lines per row that exercise every fixer rule (ASCII identifiers so
+# Java regex and the RE2 oracle agree). Built from one template for both engines.
+
+
+def _piece_spark(p):
+    i = F.col("doc_id")
+    if isinstance(p, str):
+        return F.lit(p)
+    kind, k = p
+    if kind == "mod":
+        return (i % k).cast("string")
+    if kind == "hex":
+        return F.lower(F.hex(i + k))
+    if kind == "hexmod":
+        return F.lower(F.hex(i % k))
+    raise ValueError(kind)
+
+
+def _piece_sql(p):
+    if isinstance(p, str):
+        return "'" + p.replace("'", "''") + "'"
+    kind, k = p
+    if kind == "mod":
+        return f"cast(doc_id % {k} as varchar)"
+    if kind == "hex":
+        return f"lower(hex(doc_id + {k}))"
+    if kind == "hexmod":
+        return f"lower(hex(doc_id % {k}))"
+    raise ValueError(kind)
+
+
+_COMMON_HEAD = [
+    ["#include <stdio.h>"],
+    ["int helper_", ("mod", 3), "(int a);"],
+    ["char *name_", ("mod", 4), "(int x, int y);"],
+    ["  extern int g_", ("mod", 5), ";"],
+]
+_IMPL = [
+    ["int sub_", ("hex", 4096), "(int a1@<eax>, unsigned int v2) {"],
+    ["  v3 = truncf(x", ("mod", 4), ", 2.0f) + out.", ("mod", 7), " + field_-", ("mod", 5), "; // 0x",
+     ("hexmod", 16), "0"],
+    ["  if (cond:", ("mod", 3), ") goto lab_0x", ("hexmod", 16), "0;"],
+    ["  if (v3) goto lab_0x", ("hexmod", 16), ";"],
+    ["  arr[0x1f] = zx.o(0) + 12f + ", ("mod", 9), "F + nullptr @ zmm0 + vals[", ("mod", 8), "];"],
+    ["  (*ptr", ("mod", 2), ") = buf[] + r.u0 + (int128_t)0 + (int512_t)1 + __pure + fn", ("hex", 160), "();"],
+    ["  void* fsbase; long in_FS_OFFSET; sub_", ("hex", 8192), "(v3);"],
+    ["lab_0x", ("hexmod", 4), "1:"],
+    ["  // 0x", ("hexmod", 16)],
+    ["}"],
+    ["int later_", ("mod", 3), "(int z);"],
+    ["static int sub_", ("hex", 99), "(int q) { return q; }"],
+]
+_NO_IMPL = [
+    ["  return sub_", ("hex", 12), "(0); // 0x", ("mod", 10)],
+    ["long in_FS_OFFSET;"],
+]
+
+
+def _template(rows):
+    out = []
+    for k, r in enumerate(rows):
+        if k:
+            out.append("\n")
+        out.extend(r)
+    return out
+
+
+_RICH_A = _template(_COMMON_HEAD + _IMPL)
+_RICH_B = _template(_COMMON_HEAD + _NO_IMPL)
+
+
+def candidate_code_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    a = F.concat(*[_piece_spark(p) for p in _RICH_A])
+    b = F.concat(*[_piece_spark(p) for p in _RICH_B])
+    return d.select(F.col("doc_id").alias("task_id"),
+                    F.concat(F.lit("fn_"), F.col("doc_id").cast("string")).alias("item"),
+                    F.when(F.col("doc_id") % 6 == 0, b).otherwise(a).alias("code"))
+
+
+CANDIDATE_CODE_RICH_SQL = ("rich as (select doc_id task_id, concat('fn_', doc_id) item, "
+                           "case when doc_id % 6 = 0 then concat("
+                           + ", ".join(_piece_sql(p) if p != "\n" else "chr(10)" for p in _RICH_B)
+                           + ") else concat("
+                           + ", ".join(_piece_sql(p) if p != "\n" else "chr(10)" for p in _RICH_A)
+                           + ") end code from documents)")
