@@ -332,3 +332,47 @@ CANDIDATE_CODE_RICH_SQL = ("rich as (select doc_id task_id, concat('fn_', doc_id
                            + ") else concat("
                            + ", ".join(_piece_sql(p) if p != "\n" else "chr(10)" for p in _RICH_A)
                            + ") end code from documents)")
+
+# ---------------------------------------------------------------- F6m multi-entry judge replies
+# Two categories, four aspect entries; every 4th reply has an entry without a
+# winner in the middle (skipped by the batch explode, cuts the online list).
+
+
+def _w(code: int):
+    return ["A", "a", "B", "Tie", "", "b", "tie"][code % 7]
+
+
+def judgements_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = battles(spark, sf_dir).select("battle_id", "model_a", "model_b")
+    e = F.col("battle_id")
+    wn = F.array(*[F.lit(_w(k)) for k in range(7)])
+
+    def asp(k):
+        return F.concat(F.lit('"asp'), ((e + k) % 12).cast("string"), F.lit('"'))
+
+    def win(k):
+        return F.concat(F.lit('{"winner": "'), F.element_at(wn, ((e + k) % 7 + 1).cast("int")), F.lit('"}'))
+
+    mid = F.when(e % 4 == 0, F.lit('{"A_score": 1}')).otherwise(win(1))
+    raw = F.concat(F.lit("```json\n{\"Readability\": {"), asp(0), F.lit(": "), win(0), F.lit(", "),
+                   asp(1), F.lit(": "), mid, F.lit(", "), asp(2), F.lit(": "), win(2),
+                   F.lit("}, \"Helpfulness\": {"), asp(3), F.lit(": "), win(3), F.lit("}}\n```"))
+    return b.select("battle_id", "model_a", "model_b", raw.alias("raw"))
+
+
+def _wsql(k):
+    arr = "[" + ", ".join(f"'{_w(j)}'" for j in range(7)) + "]"
+    return f"""concat('{{"winner": "', {arr}[(battle_id + {k}) % 7 + 1], '"}}')"""
+
+
+def _asql(k):
+    return f"""concat('"asp', (battle_id + {k}) % 12, '"')"""
+
+
+JUDGEMENTS_MULTI_SQL = f"""{BATTLES_SQL},
+jm as (select battle_id, model_a, model_b,
+  concat('```json', chr(10), '{{"Readability": {{', {_asql(0)}, ': ', {_wsql(0)}, ', ',
+         {_asql(1)}, ': ', case when battle_id % 4 = 0 then '{{"A_score": 1}}' else {_wsql(1)} end, ', ',
+         {_asql(2)}, ': ', {_wsql(2)}, '}}, "Helpfulness": {{', {_asql(3)}, ': ', {_wsql(3)}, '}}}}',
+         chr(10), '```') raw
+  from battles)"""
