@@ -37,11 +37,14 @@ def _strip_edges(c: Column) -> Column:
 
 def _parse(c: Column, lenient: bool) -> Column:
     body = _strip_edges(c)
-    p = F.from_json(body, JUDGEMENT_SCHEMA, JSON5_OPTIONS)
+    # only an object can give the nested map; skip the (exception-driven) parse
+    # attempt when the body cannot start one (JSON5 allows a leading comment)
+    may_be_object = body.startswith("{") | body.startswith("/")
+    p = F.when(may_be_object, F.from_json(body, JUDGEMENT_SCHEMA, JSON5_OPTIONS))
     if lenient:
         # trailing commas parse after a pre-clean; only tried when the plain parse fails
         cleaned = F.regexp_replace(body, r",(\s*[}\]])", "$1")
-        p = F.coalesce(p, F.from_json(cleaned, JUDGEMENT_SCHEMA, JSON5_OPTIONS))
+        p = F.coalesce(p, F.when(may_be_object, F.from_json(cleaned, JUDGEMENT_SCHEMA, JSON5_OPTIONS)))
     return p
 
 

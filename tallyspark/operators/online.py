@@ -98,6 +98,8 @@ def online_elo(battles: DataFrame, systems: Sequence[str], anchor: str, calibrat
     order = [f"_o{k}" for k in range(len(order_cols))]
     b = battles.select(F.col(chunk_col).cast("long").alias("chunk_seq"), "model_a", "model_b", "winner_raw",
                        *[F.col(c).alias(o) for c, o in zip(order_cols, order)])
+    # materialise the ordered input once in the shared checkpoint folder: every block reads it
+    b = b.repartitionByRange("chunk_seq").checkpoint(eager=True)
     last = b.agg(F.max("chunk_seq")).collect()[0][0]
     state = {s: INIT_RATING for s in systems}
     if last is None:

@@ -32,22 +32,26 @@ def matchups(items: DataFrame, systems: Sequence[str], ratings: Sequence[float],
     names = F.array(*[F.lit(s) for s in systems])
     rat = F.array(*[F.lit(float(r)) for r in ratings])
     k = F.col(key)
-    u1, u2, u3 = (hash_uniform(f"{seed}:a", k), hash_uniform(f"{seed}:b", k), hash_uniform(f"{seed}:s", k))
-    a = F.floor(u1 * m).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: j != a)
-    ra = F.get(rat, a)
-    gaps = F.transform(others, lambda j: F.abs(ra - F.get(rat, j)))
-    dmin = F.array_min(gaps) + F.lit(GAP_EPS)
-    w = F.transform(gaps, lambda d: F.lit(1.0) / (F.lit(1.0) + d / dmin))
-    cum = F.transform(w, lambda _x, i: F.aggregate(F.slice(w, 1, i + 1), F.lit(0.0), lambda acc, y: acc + y))
-    total = F.aggregate(w, F.lit(0.0), lambda acc, y: acc + y)
-    pos = F.size(F.filter(cum, lambda c: c <= u2 * total))
-    pos = F.least(pos, F.lit(m - 2))
-    b = F.get(others, pos)
-    swap = u3 < 0.5
-    ia = F.when(swap, b).otherwise(a)
-    ib = F.when(swap, a).otherwise(b)
-    return items.withColumn("model_a", F.get(names, ia)).withColumn("model_b", F.get(names, ib))
+    # each step is its own column so that no sub-expression is evaluated twice
+    d = (items.withColumn("_u1", hash_uniform(f"{seed}:a", k))
+         .withColumn("_u2", hash_uniform(f"{seed}:b", k))
+         .withColumn("_u3", hash_uniform(f"{seed}:s", k)))
+    d = d.withColumn("_a", F.floor(F.col("_u1") * m).cast("int"))
+    d = d.withColumn("_others", F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: j != F.col("_a")))
+    d = d.withColumn("_gaps", F.transform("_others", lambda j: F.abs(F.get(rat, F.col("_a")) - F.get(rat, j))))
+    d = d.withColumn("_dmin", F.array_min("_gaps") + F.lit(GAP_EPS))
+    d = d.withColumn("_w", F.transform("_gaps", lambda g: F.lit(1.0) / (F.lit(1.0) + g / F.col("_dmin"))))
+    # running sums left to right (same order as a cumulative sum)
+    d = d.withColumn("_cum", F.aggregate(
+        "_w", F.array().cast("array<double>"),
+        lambda acc, y: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + y))))
+    d = d.withColumn("_pos", F.least(F.size(F.filter("_cum", lambda c: c <= F.col("_u2") * F.element_at("_cum", -1))),
+                                     F.lit(m - 2)))
+    d = d.withColumn("_b", F.get(F.col("_others"), F.col("_pos")))
+    swap = F.col("_u3") < 0.5
+    d = (d.withColumn("model_a", F.get(names, F.when(swap, F.col("_b")).otherwise(F.col("_a"))))
+         .withColumn("model_b", F.get(names, F.when(swap, F.col("_a")).otherwise(F.col("_b")))))
+    return d.drop("_u1", "_u2", "_u3", "_a", "_others", "_gaps", "_dmin", "_w", "_cum", "_pos", "_b")
 
 
 def eligible_pair(out_a: Column, out_b: Column) -> Column:

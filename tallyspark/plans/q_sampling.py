@@ -86,7 +86,8 @@ def q2_chunk_order(spark, sf_dir):
 
 def _online_input(spark, sf_dir):
     parsed = J.parse_judgements(fx.judgements_multi(spark, sf_dir))
-    ob = O.online_battles(parsed)
+    # parse once: the chunk numbering and the fold both read this table
+    ob = O.online_battles(parsed).checkpoint(eager=True)
     return S.chunk_runs(ob.withColumn("task_id", F.col("battle_id")), key="task_id")
 
 
