@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, lines, replace_first, unlines
+from .text import col_, let, lines, replace_first, unlines
 
 Fixer = Callable[[Column, Column], Column]
 
@@ -143,20 +143,25 @@ def fix_retdec(code: Column, _fn: Column | None = None) -> Column:
 def _fix_llm(code: Column, fn: Column, declaration: str) -> Column:
     c = replace_first(_chain(code, HEXRAYS_RULES), SUB_NAME, FUNC0)
     c = F.regexp_replace(c, *INCLUDE_RULE)
-    arr = lines(c)
-    is_decl = lambda x: x.rlike(declaration)
-    is_impl = lambda x: x.rlike(LLM_IMPLEMENTATION)
-    # declarations are dropped only before the first implementation line
-    first_impl = F.array_min(F.filter(
-        F.transform(arr, lambda x, i: F.when(is_impl(x) & ~is_decl(x), i)), lambda v: v.isNotNull()))
-    fi = F.coalesce(first_impl, F.lit(2147483647))
-    kept = F.filter(arr, lambda x, i: (i >= fi) | ~is_decl(x))
-
-    def rename(x: Column) -> Column:
-        caught = F.regexp_extract(x, LLM_IMPLEMENTATION, 1)
-        return F.when(is_impl(x) & (caught != fn), F.replace(x, caught, fn)).otherwise(x)
-
-    return unlines(F.transform(kept, rename))
+    # tag every line once: declaration?, implemented name ('' when not an implementation)
+    tagged = F.transform(lines(c), lambda x: F.struct(
+        x.alias("l"), x.rlike(declaration).alias("d"),
+        F.regexp_extract(x, LLM_IMPLEMENTATION, 1).alias("n")))
+
+    def with_tags(tg: Column) -> Column:
+        # declarations are dropped only before the first implementation line
+        first_impl = F.array_position(F.transform(tg, lambda t: (t["n"] != "") & ~t["d"]), True)
+        fi = F.when(first_impl > 0, first_impl - 1).otherwise(F.lit(2147483647))
+
+        def with_first(f: Column) -> Column:
+            kept = F.filter(tg, lambda t, i: (i >= f) | ~t["d"])
+            renamed = F.transform(kept, lambda t: F.when((t["n"] != "") & (t["n"] != fn),
+                                                         F.replace(t["l"], t["n"], fn)).otherwise(t["l"]))
+            return unlines(renamed)
+
+        return let(fi, with_first)
+
+    return let(tagged, with_tags)
 
 
 def fix_llm(code: Column, fn: Column) -> Column:

@@ -31,8 +31,7 @@ WINNER_B = "b"
 
 
 def _strip_edges(c: Column) -> Column:
-    cls = "[ \\n\\r\\t`]"
-    return F.regexp_replace(c, f"^{cls}+|{cls}+$", "")
+    return F.btrim(c, F.lit(JSON_EDGE_CHARS))
 
 
 def _parse(c: Column, lenient: bool) -> Column:
@@ -55,8 +54,10 @@ def parse_judgement(raw: Column, lenient: bool = True) -> Column:
     Returns ``map<category, map<aspect, map<field, string>>>`` or null.
     """
     t = py_strip(raw)
-    f1 = F.when(t.rlike(FENCE_JSON), F.regexp_extract(t, FENCE_JSON, 1)).otherwise(t)
-    f2 = F.when(t.rlike(FENCE_ANY), F.regexp_extract(t, FENCE_ANY, 1)).otherwise(t)
+    # a missing fence falls back to the whole text, whose parse already failed;
+    # regexp_extract gives '' then, which fails the same way, so no rlike is needed
+    f1 = F.regexp_extract(t, FENCE_JSON, 1)
+    f2 = F.regexp_extract(t, FENCE_ANY, 1)
     return F.coalesce(_parse(t, lenient), _parse(f1, lenient), _parse(f2, lenient))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace set of Python's str.strip()/str.isspace() (fixed value).
-PY_WS_CLASS = ("[\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a"
-               "\\u2028\\u2029\\u202f\\u205f\\u3000]")
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_(c: Column | str) -> Column:
@@ -20,7 +20,7 @@ def col_(c: Column | str) -> Column:
 
 def py_strip(c: Column | str) -> Column:
     """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(col_(c), f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$", "")
+    return F.btrim(col_(c), F.lit(PY_WS_CHARS))
 
 
 def replace_first(c: Column | str, pattern: str, replacement: str) -> Column:
@@ -38,3 +38,12 @@ def lines(c: Column | str) -> Column:
 
 def unlines(arr: Column) -> Column:
     return F.array_join(arr, "\n")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Expressions referenced inside a higher-order function's lambda are
+    re-evaluated per element; binding them first keeps the work linear.
+    """
+    return F.get(F.transform(F.array(value), body), 0)

@@ -30,13 +30,15 @@ def explode_battles(parsed: DataFrame, keep: tuple[str, ...] = ("battle_id", "mo
 
     Output: ``*keep, category, aspect, winner_raw, winner``.
     """
-    cats = parsed.filter(F.col("parsed").isNotNull()).select(
-        *keep, F.explode("parsed").alias("category", "aspects"))
+    # explode_outer + a filter on its output: a plain explode makes the optimizer
+    # infer a not-null/size filter on ``parsed`` and push it below the
+    # projection, which would parse every reply twice
+    cats = (parsed.select(*keep, F.explode_outer("parsed").alias("category", "aspects"))
+            .filter(F.col("category").isNotNull()))
     ents = cats.select(*keep, "category", F.explode("aspects").alias("aspect", "entry"))
     ents = ents.filter(F.map_contains_key("entry", "winner"))
-    return ents.select(*keep, "category", "aspect",
-                       F.col("entry")["winner"].alias("winner_raw"),
-                       normalise_winner(F.col("entry")["winner"]).alias("winner"))
+    w = F.col("entry")["winner"]
+    return ents.select(*keep, "category", "aspect", w.alias("winner_raw"), normalise_winner(w).alias("winner"))
 
 
 def pairwise_table(battles: DataFrame, arena_col: str = "aspect", with_overall: bool = True,

@@ -48,7 +48,9 @@ def online_battles(parsed: DataFrame, keep: Sequence[str] = ("battle_id", "model
     has_w = F.transform(entries, lambda e: F.map_contains_key(e["entry"], "winner"))
     cut = F.array_position(has_w, False)
     kept = F.when(cut > 0, F.slice(entries, 1, (cut - 1).cast("int"))).otherwise(entries)
-    x = parsed.filter(F.col("parsed").isNotNull()).select(*keep, F.posexplode(kept).alias("entry_pos", "e"))
+    # outer + filter on the output: see explode_battles (avoids a second parse)
+    x = (parsed.select(*keep, F.posexplode_outer(kept).alias("entry_pos", "e"))
+         .filter(F.col("entry_pos").isNotNull()))
     return x.select(*keep, "entry_pos", F.col("e.category").alias("category"), F.col("e.aspect").alias("aspect"),
                     F.col("e.entry")["winner"].alias("winner_raw"))
 

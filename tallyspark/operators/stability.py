@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def _rest_from_first_nonempty(trials: Column) -> Column:
     first = F.array_position(F.transform(trials, lambda x: F.length(x) > 0), True)
@@ -45,10 +47,11 @@ def baseline_profile(df: DataFrame, keys: Sequence[str], trial_cols: Sequence[st
     t = t.filter(F.forall("rest", lambda x: F.length(x) == F.length(base)))
     t = t.withColumn("base", base).withColumn("base_len", F.length("base").cast("int"))
     t = t.withColumn("all_equal", F.forall("rest", lambda x: x == F.col("base")))
-    chars = F.transform("rest", lambda x: F.split(x, ""))
-    stable = F.array_join(F.transform(
-        F.split(F.col("base"), ""),
-        lambda c, i: F.when(F.forall(chars, lambda arr: F.get(arr, i) == c), "1").otherwise("0")), "")
+    # per-character work only for baselines whose trials differ; the char arrays
+    # are bound once (let) so the per-position test stays linear
+    stable = let(F.transform("rest", lambda x: F.split(x, "")), lambda chars: F.array_join(F.transform(
+        F.get(chars, 0),
+        lambda c, i: F.when(F.forall(chars, lambda arr: F.get(arr, i) == c), "1").otherwise("0")), ""))
     t = t.withColumn("stable", F.when(F.col("all_equal") | (F.col("base_len") == 0), F.lit(None))
                      .otherwise(stable))
     return t.select(*keys, "base", "base_len", "all_equal", "stable")
@@ -59,11 +62,8 @@ def target_passes(target: Column, base: Column, base_len: Column, all_equal: Col
     """G6 predicate for one target against a baseline profile."""
     tlen = F.length(target)
     fast = F.startswith(base, target)
-    tchars = F.split(target, "")
-    bchars = F.split(base, "")
-    mask = F.split(stable, "")
-    differs = F.filter(tchars, lambda c, i: (F.get(mask, i) == "1") & (F.get(bchars, i) != c))
-    slow = F.size(differs) == 0
+    slow = let(F.split(base, ""), lambda bchars: let(F.split(stable, ""), lambda mask: F.size(F.filter(
+        F.split(target, ""), lambda c, i: (F.get(mask, i) == "1") & (F.get(bchars, i) != c))) == 0))
     ok = (F.when(target.isNull(), F.lit(False))
           .when(tlen > base_len, F.lit(False))
           .when(tlen == 0, F.lit(True))

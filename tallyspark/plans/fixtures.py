@@ -234,10 +234,22 @@ STATUS_LOG_SQL = """slog as (
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = battles(spark, sf_dir).select("battle_id", "model_a", "model_b")
-    r = judge_replies(spark, sf_dir)
-    # both are projections of the same events rows: join on the unique key
-    return b.join(r, "battle_id")
+    # seating and reply are projections of the same events row: one select, no join
+    ev = read_table(spark, sf_dir, "events")
+    u = (F.col("user_id") % 12).cast("int")
+    e = F.col("event_id")
+    nl = F.lit("\n")
+    w = (F.when(F.col("event_type") == "purchase", "A").when(F.col("event_type") == "click", "a")
+         .when(F.col("event_type") == "view", "B").when(F.col("event_type") == "error", "Tie")
+         .otherwise(""))
+    return ev.select(
+        e.alias("battle_id"),
+        F.concat(F.lit("s"), u.cast("string")).alias("model_a"),
+        F.concat(F.lit("s"), ((u + 1 + e % 11) % 12).cast("int").cast("string")).alias("model_b"),
+        F.concat(F.lit("Reasoning."), nl, F.lit("```json"), nl,
+                 F.lit('{"Readability": {"asp'), (e % 12).cast("string"), F.lit('": {"A_score": '),
+                 (e % 3 - 1).cast("string"), F.lit(', "B_score": 0, "winner": "'), w,
+                 F.lit('"}}}'), nl, F.lit("```")).alias("raw"))
 
 
 JUDGEMENTS_SQL = f"""{BATTLES_SQL},
