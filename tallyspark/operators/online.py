@@ -17,9 +17,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import scratch_path
 from .rating import INIT_RATING
 
@@ -45,9 +46,12 @@ def online_battles(parsed: DataFrame, keep: Sequence[str] = ("battle_id", "model
         lambda c: F.transform(F.map_entries(c["value"]),
                               lambda a: F.struct(c["key"].alias("category"), a["key"].alias("aspect"),
                                                  a["value"].alias("entry")))))
-    has_w = F.transform(entries, lambda e: F.map_contains_key(e["entry"], "winner"))
-    cut = F.array_position(has_w, False)
-    kept = F.when(cut > 0, F.slice(entries, 1, (cut - 1).cast("int"))).otherwise(entries)
+
+    def cut_at_missing(ents: Column) -> Column:
+        cut = F.array_position(F.transform(ents, lambda e: F.map_contains_key(e["entry"], "winner")), False)
+        return let(cut, lambda c: F.when(c > 0, F.slice(ents, 1, (c - 1).cast("int"))).otherwise(ents))
+
+    kept = let(entries, cut_at_missing)
     # outer + filter on the output: see explode_battles (avoids a second parse)
     x = (parsed.select(*keep, F.posexplode_outer(kept).alias("entry_pos", "e"))
          .filter(F.col("entry_pos").isNotNull()))
@@ -60,9 +64,16 @@ def _fold(pdf: pd.DataFrame, state: dict, anchor: str, calibrate: str, order: li
     rating = dict(state)
     out = []
     ks, sc, base = K_FACTOR, ONLINE_SCALE, ONLINE_BASE
-    for chunk, g in pdf.groupby("chunk_seq", sort=True):
-        seen_a = []
-        for a, b, w in zip(g["model_a"].tolist(), g["model_b"].tolist(), g["winner_raw"].tolist()):
+    chunks = pdf["chunk_seq"].to_numpy()
+    mas, mbs, ws = pdf["model_a"].tolist(), pdf["model_b"].tolist(), pdf["winner_raw"].tolist()
+    n = len(chunks)
+    start = 0
+    while start < n:
+        end = start
+        while end < n and chunks[end] == chunks[start]:
+            end += 1
+        seen_a = set()
+        for a, b, w in zip(mas[start:end], mbs[start:end], ws[start:end]):
             ra = rating.setdefault(a, INIT_RATING)
             rb = rating.setdefault(b, INIT_RATING)
             ea = 1.0 / (1.0 + base ** ((rb - ra) / sc))
@@ -70,12 +81,13 @@ def _fold(pdf: pd.DataFrame, state: dict, anchor: str, calibrate: str, order: li
             sa = 1.0 if w in WIN_A else 0.0 if w in WIN_B else 0.5
             rating[a] += ks * (sa - ea)
             rating[b] += ks * (1.0 - sa - eb)
-            seen_a.append(a)
+            seen_a.add(a)
         delta = CHUNK_ANCHOR_VALUE - rating.setdefault(anchor, INIT_RATING)
-        targets = set(seen_a) if calibrate == "seen_as_a" else set(rating)
-        for m in targets:
+        for m in (seen_a if calibrate == "seen_as_a" else list(rating)):
             rating[m] += delta
-        out.extend((int(chunk), s, float(r)) for s, r in rating.items())
+        chunk = int(chunks[start])
+        out.extend((chunk, s, float(r)) for s, r in rating.items())
+        start = end
     return pd.DataFrame(out, columns=["chunk_seq", "system", "rating"])
 
 
@@ -100,19 +112,22 @@ def online_elo(battles: DataFrame, systems: Sequence[str], anchor: str, calibrat
     order = [f"_o{k}" for k in range(len(order_cols))]
     b = battles.select(F.col(chunk_col).cast("long").alias("chunk_seq"), "model_a", "model_b", "winner_raw",
                        *[F.col(c).alias(o) for c, o in zip(order_cols, order)])
-    # materialise the ordered input once in the shared checkpoint folder: every block reads it
-    b = b.repartitionByRange("chunk_seq").checkpoint(eager=True)
-    last = b.agg(F.max("chunk_seq")).collect()[0][0]
+    # materialise the input once in the shared folder, partitioned by block, so
+    # each block job reads only its own partition (pruned by the block filter)
+    src = scratch_path(spark, "online-elo-input")
+    (b.withColumn("_blk", F.floor(F.col("chunk_seq") / block_chunks).cast("long"))
+     .repartition("_blk").write.partitionBy("_blk").parquet(src))
+    stored = spark.read.parquet(src)
+    blocks = sorted(r[0] for r in stored.select("_blk").distinct().collect())
     state = {s: INIT_RATING for s in systems}
-    if last is None:
+    if not blocks:
         return spark.createDataFrame([], SNAPSHOT_SCHEMA)
-    n_blocks = int(last) // block_chunks + 1
-    for k in range(n_blocks):
-        lo, hi = k * block_chunks, (k + 1) * block_chunks
-        blk = b.filter((F.col("chunk_seq") >= lo) & (F.col("chunk_seq") < hi)).withColumn("_blk", F.lit(k))
+    for k in blocks:
+        blk = stored.filter(F.col("_blk") == k)
         snaps = blk.groupBy("_blk").applyInPandas(_folder(dict(state), anchor, calibrate, order), SNAPSHOT_SCHEMA)
         snaps.write.mode("append").parquet(path)
-        done = spark.read.parquet(path).filter((F.col("chunk_seq") >= lo) & (F.col("chunk_seq") < hi))
+        done = spark.read.parquet(path).filter((F.col("chunk_seq") >= k * block_chunks)
+                                               & (F.col("chunk_seq") < (k + 1) * block_chunks))
         top = done.agg(F.max("chunk_seq")).collect()[0][0]
         if top is not None:
             state = {r["system"]: r["rating"] for r in
