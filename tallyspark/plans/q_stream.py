@@ -1 +1,106 @@
-"""Registered queries (filled in below)."""
+"""Registered status and streaming queries: B17, S1 (batch + stream), A8, S2."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rating as R
+from ..operators import status as ST
+from ..session import scratch_path
+from ..streaming import ratings_stream as RS
+from ..streaming import status_stream as SS
+from . import fixtures as fx
+from .registry import register
+
+_DECODE_SQL = """
+dec as (
+  select task_id, seq, raw,
+    case when raw is null or raw = '' then 'completed'
+         when starts_with(raw, 'completed:') then 'completed'
+         when starts_with(raw, 'error:') then 'error'
+         when starts_with(raw, 'processing:') then 'processing'
+         when starts_with(raw, 'failed:') then 'error' end status,
+    case when raw is null or raw = '' then 'Task not found'
+         when starts_with(raw, 'completed:') then trim(substring(raw, 11))
+         when starts_with(raw, 'error:') then trim(substring(raw, 7))
+         when starts_with(raw, 'failed:') then substring(raw, 8) end result
+  from src)"""
+
+
+@register("b17_decode_status", sql=f"""
+with {fx.STATUS_LOG_SQL}, src as (select * from slog), {_DECODE_SQL}
+select task_id, seq, status, result from dec
+""")
+def b17_decode_status(spark, sf_dir):
+    """Decode every stored status value into (status, result)."""
+    log = fx.status_log(spark, sf_dir)
+    return log.select("task_id", "seq", ST.decode_status("raw").alias("s")).select("task_id", "seq", "s.*")
+
+
+_LATEST_SQL = f"""
+with {fx.STATUS_LOG_SQL},
+src as (select task_id, max(seq) seq, arg_max(raw, seq) raw from slog group by task_id),
+{_DECODE_SQL},
+v as (select task_id, status s0, result text,
+             case when status = 'completed' and json_valid(result) and json_type(result::JSON) = 'OBJECT'
+                  then true else false end ok
+      from dec)
+"""
+
+_VIEW_SELECT = """
+select task_id,
+       case when s0 = 'completed' and not ok then 'error' else s0 end status,
+       case when s0 = 'completed' and ok then (text::JSON ->> json_keys(text::JSON)[1]) end code,
+       case when (case when s0 = 'completed' and not ok then 'error' else s0 end) = 'error' then text end error
+from v"""
+
+
+@register("s1_latest_status", sql=_LATEST_SQL + _VIEW_SELECT)
+def s1_latest_status(spark, sf_dir):
+    """Client view after the latest poll of every task (completed with bad JSON -> error)."""
+    v = ST.latest_status(fx.status_log(spark, sf_dir))
+    return v.select("task_id", "status", "code", "error")
+
+
+@register("s1_latest_status_stream", sql=_LATEST_SQL + _VIEW_SELECT)
+def s1_latest_status_stream(spark, sf_dir):
+    """Same view maintained by a streaming aggregation over the log arriving in four files."""
+    log_dir = scratch_path(spark, "status-log")
+    fx.status_log(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(log_dir)
+    upd = SS.run_latest_status_stream(spark, log_dir)
+    return SS.current_view(spark, upd).select("task_id", "status", "code", "error")
+
+
+@register("a8_completed_results", sql=_LATEST_SQL + """
+select task_id, text::JSON ->> json_keys(text::JSON)[1] code from v
+where s0 = 'completed' and ok and len(json_keys(text::JSON)) > 0""")
+def a8_completed_results(spark, sf_dir):
+    """Completed tasks with a non-empty result map and the first value of that map."""
+    v = ST.latest_status(fx.status_log(spark, sf_dir))
+    return ST.completed_results(v).select("task_id", "code")
+
+
+@register("s2_incremental_ratings", sql=f"""
+with {fx.JUDGEMENTS_SQL},
+p as (select battle_id, model_a, model_b,
+             trim(regexp_extract(raw, '(?s)```json(.*)```', 1), ' ' || chr(10) || chr(13) || chr(9) || '`')::JSON js
+      from judgements),
+b as (select model_a, model_b, a.key aspect,
+             case when coalesce(a.value ->> 'winner', '') = '' then 'tie'
+                  when lower(a.value ->> 'winner') = 'a' then 'model_a'
+                  when lower(a.value ->> 'winner') = 'b' then 'model_b' else 'tie' end winner
+      from p, json_each(p.js) c, json_each(c.value) a
+      where list_contains(json_keys(a.value), 'winner') and model_a <> model_b),
+s as (select aspect arena, model_a i, case winner when 'model_a' then 2 when 'model_b' then 0 else 1 end w from b
+      union all
+      select aspect, model_b, case winner when 'model_b' then 2 when 'model_a' then 0 else 1 end from b),
+t as (select coalesce(arena, '(all)') arena, i, sum(w) w from s group by grouping sets ((arena, i), (i)))
+select arena, i system, round(cast(w as double), 3) wins from t
+""")
+def s2_incremental_ratings(spark, sf_dir):
+    """Ratings refitted per arriving judgement file; after the last file the fit's expected
+    wins equal the observed wins of all battles."""
+    jdir = scratch_path(spark, "judgements")
+    fx.judgements(spark, sf_dir).repartitionByRange(4, "battle_id").write.parquet(jdir)
+    out = RS.run_incremental_ratings(spark, jdir)
+    return R.expected_wins(RS.latest_cells(spark, out), RS.latest_ratings(spark, out))
