@@ -1 +1,607 @@
-"""Registered queries (filled in below)."""
+"""Registered ingest / text-utility queries: A1-A3, A7, A13, B1, B8-B16, B18-B22, G2, J2, J6, J7, P2-P4."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import code_text as CT
+from ..operators import listings as L
+from ..session import scratch_path
+from ..sources import ingest as I
+from ..sources.tables import read_table
+from . import fixtures as fx
+from .registry import register
+
+
+def _nl(*parts):
+    out = []
+    for k, p in enumerate(parts):
+        if k:
+            out.append(F.lit("\n"))
+        out.append(p)
+    return F.concat(*out)
+
+
+# ---------------------------------------------------------------- A1 manifests
+_LANGS = ["c", "c++", "python", None, "C", "rust"]
+
+
+def _manifests(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("source").distinct()
+    k = F.substring("source", 4, 3).cast("int") % len(_LANGS)
+    lang = F.element_at(F.array(*[F.lit(x) for x in _LANGS]), (k + 1).cast("int"))
+    return d.select(F.col("source").alias("suite"), lang.alias("language"))
+
+
+@register("a1_c_suites", sql="""
+with m as (select distinct source suite,
+             ['c', 'c++', 'python', null, 'C', 'rust'][cast(substring(source, 4, 3) as int) % 6 + 1] language
+           from documents)
+select suite, language from m where language in ('c', 'c++')""")
+def a1_c_suites(spark, sf_dir):
+    """Suites whose manifest language is c or c++ (missing language fails the gate)."""
+    return I.c_suites(_manifests(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- B1 / A2 coverage exports
+_B1_SQL = f"""{fx.COVERAGE_EXPORT_SQL},
+f as (select *, list_filter([f0, f1], lambda x: ends_with(x, '.c')) c from cx),
+k as (select suite, probe, name, c[1] path, id from f
+      where cnt >= 10 and len(c) > 0 and not contains(name, ':') and name <> 'LLVMFuzzerTestOneInput'
+        and len(list_filter(c, lambda x: contains(x, probe))) = 0
+        and len(list_filter(c, lambda x: contains(x, suite))) > 0),
+cov as (select suite, probe, name, arg_max(path, id) path from k group by all)"""
+
+
+@register("b1_covered_items", sql=f"with {_B1_SQL} select * from cov")
+def b1_covered_items(spark, sf_dir):
+    """Items each probe covers, with the first .c file (last entry per name wins)."""
+    cx = fx.coverage_export(spark, sf_dir)
+    fns = cx.select("suite", "probe", "name", F.array("f0", "f1").alias("filenames"),
+                    F.col("cnt").cast("bigint").alias("count"), F.col("id").alias("pos"))
+    return I.covered_items(fns)
+
+
+@register("a2_coverage_report_scan", sql=f"with {_B1_SQL} select * from cov")
+def a2_coverage_report_scan(spark, sf_dir):
+    """Coverage exports written as one nested JSON document per (suite, probe), scanned back, then B1."""
+    path = scratch_path(spark, "coverage")
+    cx = fx.coverage_export(spark, sf_dir)
+    doc = (cx.groupBy("suite", "probe")
+           .agg(F.array_sort(F.collect_list(F.struct("id", "name", F.array("f0", "f1").alias("filenames"),
+                                                       F.col("cnt").cast("bigint").alias("count")))).alias("fs")))
+    doc = doc.select("suite", "probe", F.to_json(F.struct(F.array(F.struct(F.transform(
+        "fs", lambda x: F.struct(x["name"].alias("name"), x["filenames"].alias("filenames"),
+                                 x["count"].alias("count"))).alias("functions"))).alias("data"))).alias("value"))
+    doc.write.partitionBy("suite", "probe").text(path)
+    scanned = I.read_coverage_reports(spark, path)
+    scanned = (scanned.withColumn("suite", F.regexp_extract("file_path", r"suite=([^/]+)", 1))
+               .withColumn("probe", F.regexp_extract("file_path", r"probe=([^/]+)", 1)))
+    return I.covered_items(scanned)
+
+
+@register("j6_extract_grid", sql=f"with {_B1_SQL} select suite, name, arg_min(path, probe) path, min(probe) probe "
+                                 "from cov group by suite, name")
+def j6_extract_grid(spark, sf_dir):
+    """One extraction per (suite, item name) over all probes; lowest probe's path chosen."""
+    return I.extract_grid(b1_covered_items(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- A3 / J2 compile commands
+_CMDS_SQL = """cmds as (
+  select concat('/src/suite', doc_id % 4, '/lib', doc_id % 3, '.c') file, concat('/work/', doc_id) directory,
+         ['clang', '-O' || (doc_id % 3), '-o', 'out_' || doc_id || '.o', '-I/src/' || source,
+          concat('/src/suite', doc_id % 4, '/lib', doc_id % 3, '.c')] arguments,
+         doc_id % 5 grp, doc_id pos
+  from documents)"""
+
+
+def _commands(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    file = F.concat(F.lit("/src/suite"), (i % 4).cast("string"), F.lit("/lib"), (i % 3).cast("string"), F.lit(".c"))
+    args = F.array(F.lit("clang"), F.concat(F.lit("-O"), (i % 3).cast("string")), F.lit("-o"),
+                   F.concat(F.lit("out_"), i.cast("string"), F.lit(".o")), F.concat(F.lit("-I/src/"), F.col("source")),
+                   file)
+    return d.select(file.alias("file"), F.concat(F.lit("/work/"), i.cast("string")).alias("directory"),
+                    args.alias("arguments"), (i % 5).alias("grp"), i.alias("pos"))
+
+
+@register("a3_compile_commands", sql=f"""
+with {_CMDS_SQL}
+select grp, file, arg_max(directory, pos) directory, arg_max(arguments, pos) arguments from cmds group by grp, file""")
+def a3_compile_commands(spark, sf_dir):
+    """Compile-command arrays (one JSON array per group file) scanned back; last entry per file wins."""
+    path = scratch_path(spark, "commands")
+    c = _commands(spark, sf_dir)
+    arr = (c.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "file", "directory", "arguments")))
+                                .alias("xs"))
+           .select("grp", F.to_json(F.transform("xs", lambda x: F.struct(x["file"].alias("file"),
+                                                                          x["directory"].alias("directory"),
+                                                                          x["arguments"].alias("arguments"))))
+                   .alias("value")))
+    arr.write.partitionBy("grp").text(path)
+    cmds = I.read_compile_commands(spark, path)
+    return cmds.select(F.regexp_extract("file_path", r"grp=(\d+)", 1).cast("bigint").alias("grp"),
+                       "file", "directory", "arguments")
+
+
+@register("j2_item_commands", sql=f"""
+with {_B1_SQL}, {_CMDS_SQL},
+last as (select file, arg_max(directory, pos) directory, arg_max(arguments, pos) arguments from cmds group by file)
+select cov.suite, cov.probe, cov.name, cov.path, last.directory,
+       list_filter(last.arguments[2:], lambda x: starts_with(x, '-')) flags
+from cov join last on last.file = cov.path""")
+def j2_item_commands(spark, sf_dir):
+    """Covered items joined to their file's last compile command; flags of the cleaned arguments."""
+    c = _commands(spark, sf_dir)
+    last = c.groupBy("file").agg(F.max_by("directory", "pos").alias("directory"),
+                                 F.max_by("arguments", "pos").alias("arguments"))
+    matched, _missing = I.attach_commands(b1_covered_items(spark, sf_dir), last)
+    return matched.select("suite", "probe", "name", "path", "directory",
+                          CT.flag_arguments(F.slice("arguments", 2, 1 << 30)).alias("flags"))
+
+
+@register("b11_clean_arguments", sql=f"""
+with {_CMDS_SQL},
+a as (select pos, case when pos % 4 = 0 then list_filter(arguments, lambda x: x <> '-o')
+                       when pos % 4 = 1 then arguments || ['-o'] else arguments end arguments from cmds),
+b as (select pos, arguments[2:] a from a),
+c as (select pos, a, list_position(a, '-o') i from b)
+select pos, case when i is not null and i > 0 then a[1:i - 1] || a[i + 2:] else a end cleaned,
+       list_filter(case when i is not null and i > 0 then a[1:i - 1] || a[i + 2:] else a end,
+                   lambda x: starts_with(x, '-')) flags
+from c""")
+def b11_clean_arguments(spark, sf_dir):
+    """Drop the compiler and the first -o with its operand; keep the flags."""
+    c = _commands(spark, sf_dir)
+    k = F.col("pos") % 4
+    args = (F.when(k == 0, F.filter("arguments", lambda x: x != "-o"))
+            .when(k == 1, F.concat("arguments", F.array(F.lit("-o")))).otherwise(F.col("arguments")))
+    cleaned = CT.clean_arguments(args)
+    return c.select("pos", cleaned.alias("cleaned"), CT.flag_arguments(cleaned).alias("flags"))
+
+
+# ---------------------------------------------------------------- A7 headered JSONL
+_JSONL_SQL = """r as (
+  select ['angr', 'ghidra', 'hexrays', 'retdec'][user_id % 4 + 1] system, event_id seq,
+         event_id % 3000 task_id, event_type, props from events),
+v as (select system, task_id, seq, props code from r where event_type not in ('error', 'signup'))"""
+
+
+@register("a7_headered_jsonl", sql=f"""
+with {_JSONL_SQL}
+select system, task_id, arg_max(code, seq) code from v group by all""")
+def a7_headered_jsonl(spark, sf_dir):
+    """Result files with a model header (one system without), bad lines and idx-less lines; last line wins."""
+    ev = read_table(spark, sf_dir, "events")
+    sysc = F.element_at(F.array(*[F.lit(s) for s in ["angr", "ghidra", "hexrays", "retdec"]]),
+                        (F.col("user_id") % 4 + 1).cast("int"))
+    r = ev.select(sysc.alias("system"), F.col("event_id").alias("seq"), (F.col("event_id") % 3000).alias("task_id"),
+                  "event_type", F.col("props").alias("code"))
+    line = (F.when(F.col("event_type") == "error", F.concat(F.lit('{"idx": '), F.col("task_id").cast("string"),
+                                                            F.lit(', "code": ')))
+            .when(F.col("event_type") == "signup", F.to_json(F.struct(F.col("code").alias("note"), "seq")))
+            .otherwise(F.to_json(F.struct(F.col("task_id").alias("idx"), "code", "seq"))))
+    body = r.select("system", line.alias("value"))
+    head = (r.select("system").distinct().filter(F.col("system") != "retdec")
+            .select("system", F.to_json(F.struct(F.col("system").alias("model"), F.lit(-1).alias("seq"))).alias("value")))
+    path = scratch_path(spark, "jsonl")
+    head.unionByName(body).write.partitionBy("system").text(path)
+    out = I.read_headered_jsonl(spark, path)
+    return out.select("system", "task_id", "code")
+
+
+# ---------------------------------------------------------------- A13 config dims
+@register("a13_selected_systems", sql=f"""
+with {fx.RUNS_SQL}
+select system, count(*) n from runs where system in (1, 3, 5) group by system""")
+def a13_selected_systems(spark, sf_dir):
+    """Configured systems intersected with a requested list (unknown names dropped); runs kept per system."""
+    sel = I.select_systems(spark, list(range(12)), [1, 3, 5, 42])
+    runs = fx.runs(spark, sf_dir)
+    return (runs.join(F.broadcast(sel.select(F.col("system").cast("int"))), "system", "left_semi")
+            .groupBy("system").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------- B8 / B9 / J7 symbols
+@register("b8_symbol_address", sql="""
+select p_partkey,
+       case when ends_with(line, ' ' || name) then ('0x' || split_part(line, ' ', 1))::BIGINT end addr
+from (select p_partkey, concat('fn_', p_partkey) name,
+             concat(lower(hex(p_partkey * 16 + 4096)), ' T ',
+                    case when p_size % 10 = 0 then concat('fn_x', p_partkey) else concat('fn_', p_partkey) end) line
+      from part)""")
+def b8_symbol_address(spark, sf_dir):
+    """Symbol lines '<hex> T name' parsed to an address when the name matches."""
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("fn_"), k.cast("string"))
+    line = F.concat(F.lower(F.hex(k * 16 + 4096)), F.lit(" T "),
+                    F.when(F.col("p_size") % 10 == 0, F.concat(F.lit("fn_x"), k.cast("string"))).otherwise(name))
+    return p.select("p_partkey", CT.symbol_address(line, name).alias("addr"))
+
+
+@register("b9_address_hex", sql="select l_orderkey, l_linenumber, '0x' || lower(hex(l_orderkey * 4096 + l_linenumber)) "
+                                "addr from lineitem")
+def b9_address_hex(spark, sf_dir):
+    """Addresses rendered as Python hex text."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber",
+                     CT.address_hex(F.col("l_orderkey") * 4096 + F.col("l_linenumber")).alias("addr"))
+
+
+@register("j7_relocation_map", sql="""
+with rel as (select o_custkey % 50 binary_id, o_orderkey * 8 so_offset,
+                    case when o_orderkey % 13 = 0 then '' else concat('f', o_orderkey % 300) end so_func from orders),
+sym as (select s_suppkey % 50 binary_id, t.ord table_ord, concat('f', (s_suppkey * 7 + t.ord) % 300) name,
+               case when s_suppkey % 9 = 0 then 0 else s_suppkey * 16 + t.ord end value
+        from supplier, range(3) t(ord)),
+s as (select binary_id, name, arg_max(value, table_ord) value from sym where name <> '' and value <> 0 group by all)
+select r.binary_id, '0x' || lower(hex(s.value)) binary_offset, '0x' || lower(hex(r.so_offset)) so_offset
+from rel r join s on s.binary_id = r.binary_id and s.name = r.so_func
+where r.so_func <> ''""")
+def j7_relocation_map(spark, sf_dir):
+    """Relocations matched to binary symbols (last symbol table wins, zero values ignored)."""
+    o = read_table(spark, sf_dir, "orders")
+    rel = o.select((F.col("o_custkey") % 50).alias("binary_id"), (F.col("o_orderkey") * 8).alias("so_offset"),
+                   F.when(F.col("o_orderkey") % 13 == 0, F.lit(""))
+                   .otherwise(F.concat(F.lit("f"), (F.col("o_orderkey") % 300).cast("string"))).alias("so_func"))
+    s = read_table(spark, sf_dir, "supplier")
+    t = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("table_ord")
+    sym = s.select((F.col("s_suppkey") % 50).alias("binary_id"), "s_suppkey", t)
+    sym = sym.select("binary_id", "table_ord",
+                     F.concat(F.lit("f"), ((F.col("s_suppkey") * 7 + F.col("table_ord")) % 300).cast("string")).alias("name"),
+                     F.when(F.col("s_suppkey") % 9 == 0, F.lit(0).cast("bigint"))
+                     .otherwise(F.col("s_suppkey") * 16 + F.col("table_ord")).alias("value"))
+    return I.relocation_map(rel, sym, key="binary_id")
+
+
+# ---------------------------------------------------------------- B10 preprocessed text
+def _pre_text(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    t = _nl(F.concat(F.lit("# "), i, F.lit(' "file.c"')), F.col("text"),
+            F.lit('__attribute__((visibility("hidden"))) int x;'), F.lit("#  2 kept"), F.lit("# 12x kept"),
+            F.concat(F.lit("# 7 "), i), F.lit('int y __visibility__("hidden");'))
+    return d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(t, F.lit("\n"))).otherwise(t).alias("t"))
+
+
+@register("b10_clean_preprocessed", sql="""
+with d as (select doc_id, concat_ws(chr(10), '# ' || doc_id || ' "file.c"', text,
+                  '__attribute__((visibility("hidden"))) int x;', '#  2 kept', '# 12x kept', '# 7 ' || doc_id,
+                  'int y __visibility__("hidden");') t from documents),
+e as (select doc_id, case when doc_id % 3 = 0 then t || chr(10) else t end t from d),
+l as (select doc_id, regexp_split_to_array(t, '\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}\\x{1d}\\x{1e}\\x{85}\\x{2028}\\x{2029}]') ls,
+             regexp_matches(t, '(?:\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}\\x{1d}\\x{1e}\\x{85}\\x{2028}\\x{2029}])$') eb from e),
+m as (select doc_id, case when eb then ls[1:len(ls) - 1] else ls end ls from l)
+select doc_id, replace(replace(array_to_string(list_filter(ls, lambda x: not regexp_matches(x, '^# \\d+ ')), chr(10)),
+       '__attribute__((visibility("hidden")))', '__attribute__((visibility("default")))'),
+       '__visibility__("hidden")', '__visibility__("default")') t
+from m""")
+def b10_clean_preprocessed(spark, sf_dir):
+    """Line markers dropped and hidden visibility made default over whole documents."""
+    d = _pre_text(spark, sf_dir)
+    return d.select("doc_id", CT.default_visibility(CT.clean_preprocessed("t")).alias("t"))
+
+
+# ---------------------------------------------------------------- B12 / B13 source spans
+_SRC_SQL = """src as (
+  select p_partkey k, concat_ws(chr(10), p_name, p_type, p_brand, 'int f_' || p_partkey || '(int);',
+                                'int f_' || p_partkey || '(int a) { return a + ' || p_size || '; }',
+                                '#undef X', 'int tail_' || p_partkey || ';') content,
+         1 + p_partkey % 7 sl, 1 + p_partkey % 5 sc,
+         case when p_partkey % 3 = 0 then 1 + p_partkey % 7 else least(7, 1 + p_partkey % 7 + p_partkey % 4) end el,
+         case when p_partkey % 11 = 0 then 1 + p_partkey % 5 else 1 + p_partkey % 5 + p_partkey % 9 end ec
+  from part)"""
+
+
+def _src(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    content = F.concat_ws("\n", "p_name", "p_type", "p_brand",
+                          F.concat(F.lit("int f_"), k.cast("string"), F.lit("(int);")),
+                          F.concat(F.lit("int f_"), k.cast("string"), F.lit("(int a) { return a + "),
+                                   F.col("p_size").cast("string"), F.lit("; }")),
+                          F.lit("#undef X"), F.concat(F.lit("int tail_"), k.cast("string"), F.lit(";")))
+    sl = 1 + k % 7
+    sc = 1 + k % 5
+    el = F.when(k % 3 == 0, sl).otherwise(F.least(F.lit(7), sl + k % 4))
+    ec = F.when(k % 11 == 0, sc).otherwise(sc + k % 9)
+    return p.select(k.alias("k"), content.alias("content"), sl.alias("sl"), sc.alias("sc"), el.alias("el"),
+                    ec.alias("ec"))
+
+
+@register("b12_span_text", sql=f"""
+with {_SRC_SQL},
+l as (select k, string_split(content, chr(10)) ls, sl, sc, el, ec from src)
+select k, case when sl = el and sc = ec then null
+               when sl = el then substring(ls[sl], sc, ec - sc + 1)
+               else array_to_string(ls[sl:el], chr(10)) || chr(10) end body
+from l""")
+def b12_span_text(spark, sf_dir):
+    """Text of a line/column span of each source file (single-line slice or whole lines)."""
+    s = _src(spark, sf_dir)
+    return s.select("k", CT.span_text("content", "sl", "sc", "el", "ec").alias("body"))
+
+
+@register("b13_split_prelude", sql=f"""
+with {_SRC_SQL},
+d as (select k, content, 'int f_' || k || '(int);' decl,
+             (string_split(content, chr(10)))[5] body from src),
+r as (select k, body, case when instr(content, decl) > 0
+                          then substring(content, 1, instr(content, decl) - 1) || substring(content, instr(content, decl) + length(decl))
+                          else content end c from d)
+select k, case when instr(c, body) > 0 then substring(c, 1, instr(c, body) - 1)
+               || regexp_replace(substring(c, instr(c, body) + length(body)), '#undef\\s.*', '', 'g') end prelude
+from r""")
+def b13_split_prelude(spark, sf_dir):
+    """Prelude of each file: declarations removed once, the body cut out, #undef blanked after it."""
+    s = _src(spark, sf_dir)
+    decl = F.array(F.concat(F.lit("int f_"), F.col("k").cast("string"), F.lit("(int);")))
+    body = F.get(F.split("content", "\n"), 4)
+    return s.select("k", CT.split_prelude(F.col("content"), decl, body).alias("prelude"))
+
+
+# ---------------------------------------------------------------- B14 refine outputs
+@register("b14_refined_code", sql="""
+with o as (select doc_id, case when doc_id % 3 = 0 then concat('Sure.', chr(10), '```refined', chr(10), '  int f', doc_id,
+                                  '(void);  ', chr(10), '```', chr(10), 'more ```refined', chr(10), 'x', chr(10), '```')
+                              when doc_id % 3 = 1 then concat('  plain ', doc_id, ' ', source, chr(10))
+                              else concat('```refined', chr(10), chr(10), '```') end out from documents)
+select doc_id, case when regexp_matches(out, '(?s)```refined\\n(.*?)\\n```')
+                    then trim(regexp_extract(out, '(?s)```refined\\n(.*?)\\n```', 1), ' ' || chr(9) || chr(10) || chr(13))
+                    else trim(out, ' ' || chr(9) || chr(10) || chr(13)) end code
+from o""")
+def b14_refined_code(spark, sf_dir):
+    """Code inside the first ```refined fence (stripped), else the whole reply."""
+    d = read_table(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    nl = F.lit("\n")
+    out = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sure."), nl, F.lit("```refined"), nl, F.lit("  int f"), i,
+                                                     F.lit("(void);  "), nl, F.lit("```"), nl, F.lit("more ```refined"),
+                                                     nl, F.lit("x"), nl, F.lit("```")))
+           .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  plain "), i, F.lit(" "), F.col("source"), nl))
+           .otherwise(F.concat(F.lit("```refined"), nl, nl, F.lit("```"))))
+    return d.select("doc_id", CT.refined_code(out).alias("code"))
+
+
+# ---------------------------------------------------------------- B15 / B16 prompts
+COMPLETION_TEMPLATE = "# Pseudo code:\n{code}\n# Source:\n"
+SYSTEM_PROMPT = "Rewrite the decompiled function as readable C."
+JUDGE_TEMPLATE = "Source Code:\n{source_code}\n\nCode A:\n{decompile_code_a}\n\nCode B:\n{decompile_code_b}\n"
+_MODELS = ["mlm-7b", "LLM4Decompile-Ref", "gpt-4o"]
+
+
+@register("b15_refine_prompts", sql=f"""
+with d as (select doc_id, ['mlm-7b', 'LLM4Decompile-Ref', 'gpt-4o'][doc_id % 3 + 1] model, text from documents)
+select doc_id,
+       case when contains(lower(model), 'mlm') then 'error' when contains(lower(model), 'llm4decompile') then 'completion'
+            else 'chat' end kind,
+       case when not contains(lower(model), 'mlm') and not contains(lower(model), 'llm4decompile')
+            then '{SYSTEM_PROMPT}' end system,
+       case when contains(lower(model), 'mlm') then null
+            when contains(lower(model), 'llm4decompile')
+            then concat('# Pseudo code:', chr(10), trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)),
+                        chr(10), '# Source:', chr(10))
+            else concat('Decompiled code:', chr(10), text) end prompt
+from d""")
+def b15_refine_prompts(spark, sf_dir):
+    """Requests per model family over whole documents: completion, chat, or the failing mlm branch."""
+    d = read_table(spark, sf_dir, "documents")
+    model = F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    p = CT.render_refine_prompt(model, F.col("text"), COMPLETION_TEMPLATE, SYSTEM_PROMPT)
+    return d.select("doc_id", p.alias("p")).select("doc_id", "p.kind", "p.system", "p.prompt")
+
+
+@register("b16_judge_prompts", sql=f"""
+with {fx.CANDIDATE_CODE_RICH_SQL}
+select r.task_id, concat('Source Code:', chr(10), d.text, chr(10), chr(10), 'Code A:', chr(10), r.code, chr(10), chr(10),
+                         'Code B:', chr(10), '{{x}} ' || r.item, chr(10)) prompt
+from rich r join documents d on d.doc_id = r.task_id""")
+def b16_judge_prompts(spark, sf_dir):
+    """Judge prompt rendered from source, output A and output B (braces in values kept literally)."""
+    r = fx.candidate_code_rich(spark, sf_dir)
+    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), "text")
+    j = r.join(d, "task_id")
+    prompt = CT.render_template(JUDGE_TEMPLATE, {"source_code": F.col("text"), "decompile_code_a": F.col("code"),
+                                                 "decompile_code_b": F.concat(F.lit("{x} "), F.col("item"))})
+    return j.select("task_id", prompt.alias("prompt"))
+
+
+# ---------------------------------------------------------------- B18-B21 build inputs and logs
+@register("b18_strip_extern", sql="""
+with s as (select doc_id, concat_ws(chr(10), 'extern int x_' || doc_id || '; /* extern */', '  extern int y;',
+                                    'externalize(1);', 'extern' || chr(9) || 'void z(void);', source) src from documents)
+select doc_id, array_to_string(list_transform(string_split(src, chr(10)),
+       lambda x: case when regexp_matches(x, '^extern\\s+') then replace(x, 'extern', '') else x end), chr(10)) src
+from s""")
+def b18_strip_extern(spark, sf_dir):
+    """Every 'extern' removed on lines that start with 'extern '."""
+    d = read_table(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    src = F.concat_ws("\n", F.concat(F.lit("extern int x_"), i, F.lit("; /* extern */")), F.lit("  extern int y;"),
+                      F.lit("externalize(1);"), F.lit("extern\tvoid z(void);"), F.col("source"))
+    return d.select("doc_id", CT.strip_extern(src).alias("src"))
+
+
+_STDERR_SQL = """logs as (
+  select doc_id, doc_id % 4 a1, doc_id % 8 = 1 a2_ok,
+         case when doc_id % 4 = 1 then concat('a.c:1: warning: unused [-Wunused-variable]', chr(10),
+                                              'b.c:2: error: x [-Wint-conversion] y [-Wformat]', chr(10), 'done')
+              when doc_id % 4 = 2 then 'a.c:3: error: no warnings here' else '' end stderr
+  from documents)"""
+
+
+def _logs(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 4
+    stderr = (F.when(k == 1, F.lit("a.c:1: warning: unused [-Wunused-variable]\n"
+                                   "b.c:2: error: x [-Wint-conversion] y [-Wformat]\ndone"))
+              .when(k == 2, F.lit("a.c:3: error: no warnings here")).otherwise(F.lit("")))
+    return d.select("doc_id", k.alias("a1"), (F.col("doc_id") % 8 == 1).alias("a2_ok"), stderr.alias("stderr"))
+
+
+@register("b19_warnings", sql=f"""
+with {_STDERR_SQL}
+select doc_id, regexp_extract_all(stderr, '\\[-W(.*)\\]', 1) warnings from logs""")
+def b19_warnings(spark, sf_dir):
+    """Warning names from compiler stderr (greedy within a line)."""
+    return _logs(spark, sf_dir).select("doc_id", CT.warnings("stderr").alias("warnings"))
+
+
+@register("b20_attempt_triage", sql=f"""
+with {_STDERR_SQL},
+w as (select doc_id, a1, a2_ok, regexp_extract_all(stderr, '\\[-W(.*)\\]', 1) ws from logs)
+select doc_id,
+       case when a1 = 0 then 1 when a1 = 1 and len(ws) > 0 then cast(a2_ok as int) else 0 end flag,
+       case when a1 = 1 and len(ws) > 0 then list_transform(ws, lambda x: '-Wno-' || x) end retry_flags
+from w""")
+def b20_attempt_triage(spark, sf_dir):
+    """Final compile flag: first attempt, or a retry with -Wno-<w> when it failed with warnings;
+    a1 codes: 0 ok, 1 failed with log, 2 failed, 3 timed out (no warnings seen)."""
+    lg = _logs(spark, sf_dir).withColumn("ws", CT.warnings("stderr"))
+    retry = (F.col("a1") == 1) & (F.size("ws") > 0)
+    flag = (F.when(F.col("a1") == 0, F.lit(1)).when(retry, F.col("a2_ok").cast("int")).otherwise(F.lit(0)))
+    return lg.select("doc_id", flag.alias("flag"), F.when(retry, CT.suppress_flags("ws")).alias("retry_flags"))
+
+
+HEADER = "\n        #include <defs.h>\n        "
+TRAILER = "\n/* entry */\nvoid *entry_{function} = (void *){function};\n"
+
+
+@register("b21_compile_unit", sql=f"""
+with {_SRC_SQL}, {fx.CANDIDATE_CODE_RICH_SQL}
+select r.task_id, concat(chr(10), '        #include <defs.h>', chr(10), '        ', s.content, chr(10), r.code,
+                         chr(10), '/* entry */', chr(10), 'void *entry_', r.item, ' = (void *)', r.item, ';', chr(10)) unit
+from rich r join src s on s.k = r.task_id""")
+def b21_compile_unit(spark, sf_dir):
+    """Compile unit: header + prelude + code + trailer naming the function."""
+    r = fx.candidate_code_rich(spark, sf_dir)
+    s = _src(spark, sf_dir).select(F.col("k").alias("task_id"), "content")
+    return r.join(s, "task_id").select("task_id", CT.compile_unit("content", "code", "item", HEADER, TRAILER).alias("unit"))
+
+
+@register("b22_base64_payload", sql="""
+select page_id, to_base64(encode(html)) payload, true roundtrip from pages""")
+def b22_base64_payload(spark, sf_dir):
+    """Page bytes as base64 text, and the decode round trip."""
+    p = read_table(spark, sf_dir, "pages")
+    enc = CT.encode_payload(F.encode("html", "UTF-8"))
+    return p.select("page_id", enc.alias("payload"),
+                    (CT.decode_payload(enc) == F.encode("html", "UTF-8")).alias("roundtrip"))
+
+
+# ---------------------------------------------------------------- G2 outcomes map
+_SYS_DASH = ["gpt-4o-mini", "gpt-4o", "angr", "llm4decompile", "claude", "qwen"]
+
+
+@register("g2_flatten_outcomes", sql=f"""
+with {fx.RUNS_SQL},
+r as (select probe, item_id, concat({_SYS_DASH}[system % 6 + 1], '-', ['O0','O1','O2','O3','Os'][variant + 1]) key,
+             bool_and(ok) ok from runs group by all)
+select probe, item_id, regexp_extract(key, '^(.*)-([^-]*)$', 1) system,
+       regexp_extract(key, '^(.*)-([^-]*)$', 2) variant, ok from r""")
+def g2_flatten_outcomes(spark, sf_dir):
+    """Per-(probe, item) outcome maps keyed 'system-variant' flattened; split at the last '-'."""
+    runs = fx.runs(spark, sf_dir)
+    key = F.concat(F.element_at(F.array(*[F.lit(s) for s in _SYS_DASH]), (F.col("system") % 6 + 1).cast("int")),
+                   F.lit("-"), F.element_at(F.array(*[F.lit(v) for v in fx.VARIANTS]), (F.col("variant") + 1).cast("int")))
+    cells = runs.groupBy("probe", "item_id", key.alias("key")).agg(F.bool_and("ok").alias("ok"))
+    raw = cells.groupBy("probe", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "ok"))).alias("outcomes"))
+    return I.flatten_outcomes(raw).select("probe", "item_id", "system", "variant", "ok")
+
+
+# ---------------------------------------------------------------- P2-P4 decompiler outputs
+def _listings(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    h = lambda k: F.lower(F.hex(i * 64 + k))
+    code = F.concat(F.lit("// "), h(0), F.lit(": f0\nint f0(void)\n{\n  if (x) { y(); }\n  return 0;\n}\n"),
+                    F.lit("// "), h(1), F.lit(": f1\nint f1(void) { return 1; }\n"),
+                    F.lit("// "), h(2), F.lit(": open\nvoid g(void)\n{\n  "), F.regexp_replace("source", "[{}]", ""))
+    addrs = F.array(F.concat(F.lit("0x"), h(0)), F.concat(F.lit("0x"), h(2)),
+                    F.when(i % 2 == 0, F.concat(F.lit("0x"), h(1))).otherwise(F.lit("0x0")))
+    return d.select(i.alias("listing_id"), code.alias("code"), addrs.alias("addresses"))
+
+
+@register("p2_listing_bodies")
+def p2_listing_bodies(spark, sf_dir):
+    """Function bodies cut from address-commented listings (checked against a brute-force test)."""
+    return L.listing_bodies(_listings(spark, sf_dir))
+
+
+_TOKENS_SQL = """tok as (
+  select doc_id listing_id, w.pos, case when w.pos % 40 = 1 then 'cmnt' else 'text' end kind,
+         case when w.pos % 40 = 1 then concat('// Address range: 0x', lower(hex(doc_id * 1000 + w.pos)), ' - 0xff')
+              when w.pos % 40 = 3 then '{' when w.pos % 40 = 9 then '{' when w.pos % 40 = 12 then '}'
+              when w.pos % 40 = 25 then '}' when w.pos % 40 = 30 then null else w.word end val
+  from (select doc_id, unnest(string_split(text, ' ')) word, generate_subscripts(string_split(text, ' '), 1) pos
+        from documents) w),
+req as (select listing_id, substring(val, 19, position(' - ' in val) - 19) address from tok
+        where kind = 'cmnt' and (listing_id + pos) % 3 <> 0)"""
+
+
+def _tokens(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    w = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).withColumn("pos", F.col("p") + 1)
+    m = F.col("pos") % 40
+    val = (F.when(m == 1, F.concat(F.lit("// Address range: 0x"), F.lower(F.hex(F.col("doc_id") * 1000 + F.col("pos"))),
+                                   F.lit(" - 0xff")))
+           .when(m == 3, F.lit("{")).when(m == 9, F.lit("{")).when(m == 12, F.lit("}")).when(m == 25, F.lit("}"))
+           .when(m == 30, F.lit(None).cast("string")).otherwise(F.col("word")))
+    tok = w.select(F.col("doc_id").alias("listing_id"), "pos",
+                   F.when(m == 1, F.lit("cmnt")).otherwise(F.lit("text")).alias("kind"), val.alias("val"))
+    req = (tok.filter((F.col("kind") == "cmnt") & ((F.col("listing_id") + F.col("pos")) % 3 != 0))
+           .select("listing_id", F.regexp_extract("val", r"(0x\w+)", 1).alias("address")))
+    return tok, req
+
+
+@register("p3_token_bodies", sql=f"""
+with {_TOKENS_SQL},
+m as (select t.*, r.address is not null st, r.address from tok t left join req r
+        on r.listing_id = t.listing_id and t.kind = 'cmnt'
+       and r.address = regexp_extract(t.val, '0x\\w+', 0) and contains(t.val, '// Address range:')),
+s as (select *, sum(cast(st as int)) over (partition by listing_id order by pos) seg,
+             last(address ignore nulls) over (partition by listing_id order by pos) seg_addr from m),
+b as (select * from s where seg > 0 and not st),
+d as (select *, sum(case when val = '{{' then 1 when val = '}}' then -1 else 0 end)
+                  over (partition by listing_id, seg order by pos) depth,
+             max(case when val = '{{' then 1 else 0 end) over (partition by listing_id, seg order by pos) opened from b),
+c as (select *, min(case when depth = 0 and opened = 1 then pos end) over (partition by listing_id, seg) close from d),
+g as (select listing_id, seg, seg_addr, string_agg(val, '' order by pos) body from c
+      where close is not null and pos <= close and val is not null group by all)
+select listing_id, seg_addr address, arg_max(trim(body, ' ' || chr(9) || chr(10) || chr(13)), seg) body
+from g group by all""")
+def p3_token_bodies(spark, sf_dir):
+    """Function bodies from token streams: tokens between a requested address comment and the
+    balancing brace."""
+    tok, req = _tokens(spark, sf_dir)
+    return L.token_bodies(tok, req)
+
+
+@register("p4_outcome_reasons", sql="""
+with r as (select ['angr', 'ghidra', 'hexrays', 'reko', 'retdec'][user_id % 5 + 1] system, event_type = 'error' timed_out,
+                  case when event_type in ('click', 'view') then 0 else 1 end returncode,
+                  case when event_type = 'view' then '' when event_type = 'click' then props
+                       when event_type = 'purchase' then 'Failed to decompile the function.' else '' end stdout
+           from events),
+c as (select system, case when timed_out then 'time_limit'
+                          when returncode = 0 and coalesce(length(stdout), 0) = 0 then 'empty_result'
+                          when returncode <> 0 then 'error'
+                          when stdout in ('Failed to find the function at the given address.', 'Failed to decompile the function.')
+                          then 'runner_failure' else 'ok' end reason from r)
+select system, reason, count(*) runs from c group by all""")
+def p4_outcome_reasons(spark, sf_dir):
+    """Runs per (system, outcome reason): time limit, empty result, error, runner failure, ok."""
+    ev = read_table(spark, sf_dir, "events")
+    et = F.col("event_type")
+    runs = ev.select(
+        F.element_at(F.array(*[F.lit(s) for s in ["angr", "ghidra", "hexrays", "reko", "retdec"]]),
+                     (F.col("user_id") % 5 + 1).cast("int")).alias("system"),
+        (et == "error").alias("timed_out"),
+        F.when(et.isin("click", "view"), F.lit(0)).otherwise(F.lit(1)).alias("returncode"),
+        F.when(et == "view", F.lit("")).when(et == "click", F.col("props"))
+        .when(et == "purchase", F.lit("Failed to decompile the function.")).otherwise(F.lit("")).alias("stdout"),
+        F.lit("").alias("stderr"))
+    return L.reason_counts(L.classify_runs(runs))
