@@ -213,10 +213,10 @@ def j9_pending_chunks(spark, sf_dir):
 
 @register("b5_range_slice", sql=f"""
 with {_GRID_SQL}
-select task_id, path from grid where task_id >= 3 * 700 and task_id < least(3 * 700 + 700, (select count(*) from grid))
+select task_id, path from grid where task_id >= 1 * 700 and task_id < least(1 * 700 + 700, (select count(*) from grid))
 """)
 def b5_range_slice(spark, sf_dir):
-    """Slice 3 of size 700 of the dense task ids (the slice is the feature)."""
+    """Slice 1 of size 700 of the dense task ids (the slice is the feature)."""
     g = _grid(spark, sf_dir)
     n = g.count()
-    return G.range_slice(g, 3, 700, n).select("task_id", "path")
+    return G.range_slice(g, 1, 700, n).select("task_id", "path")
