@@ -129,7 +129,8 @@ def read_headered_jsonl(spark: SparkSession, path: str, stem_pattern: str = r"([
     or an ``idx`` outside ``[0, n_tasks)`` fails the job, as in the reference.
     Output: ``source, system, task_id, code``.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    raw = (spark.read.option("recursiveFileLookup", True).text(path)
+           .select(F.col("_metadata.file_path").alias("source"), "value"))
     rec = raw.select("source", F.from_json("value", "map<string,string>").alias("m"))
     rec = rec.filter(F.col("m").isNotNull())
     header = (rec.filter(F.map_contains_key("m", "model"))
