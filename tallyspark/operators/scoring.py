@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 
 def dims_grid(spark: SparkSession, systems: Sequence, variants: Sequence,
               system_col: str = "system", variant_col: str = "variant") -> DataFrame:
-    """system x variant grid from the run config (config-sized: broadcast is safe)."""
-    s = spark.createDataFrame([(x,) for x in systems], [system_col])
-    v = spark.createDataFrame([(x,) for x in variants], [variant_col])
-    return s.crossJoin(F.broadcast(v))
+    """system x variant grid from the run config (config-sized, built on the driver)."""
+    return spark.createDataFrame([(s, v) for s in systems for v in variants], [system_col, variant_col])
+
+
+def expand_by(df: DataFrame, values: Sequence, col: str) -> DataFrame:
+    """Each row once per configured value (a generator over a literal list; no join)."""
+    return df.withColumn(col, F.explode(F.array(*[F.lit(v) for v in values])))
 
 
 def recompile_rate(flags: DataFrame, flag_col: str = "flag",
@@ -59,7 +62,8 @@ def cer_rate(runs: DataFrame, grid: DataFrame, items: DataFrame | None = None,
     src = items if items is not None else per_item
     n_items = (src.select(*item_keys).dropna().distinct()
                .agg(F.count(F.lit(1)).alias("items")))
-    # one-row scalar: broadcast has a proven size bound
+    # ``passes`` has at most |grid| rows and ``n_items`` exactly one: both
+    # broadcasts have a proven size bound independent of the data
     out = (grid.join(F.broadcast(passes), list(cell_keys), "left")
            .crossJoin(F.broadcast(n_items))
            .select(*cell_keys, F.coalesce("passes", F.lit(0)).cast("bigint").alias("passes"),

@@ -605,3 +605,70 @@ def p4_outcome_reasons(spark, sf_dir):
         .when(et == "purchase", F.lit("Failed to decompile the function.")).otherwise(F.lit("")).alias("stdout"),
         F.lit("").alias("stderr"))
     return L.reason_counts(L.classify_runs(runs))
+
+
+# ---------------------------------------------------------------- A6 / A10-A12 sinks, U2 inference
+from ..sources import sinks as SK  # noqa: E402
+
+
+@register("a6_candidates_roundtrip", sql=f"""
+with {fx.CANDIDATE_CODE_SQL}
+select task_id, ['angr', 'ghidra', 'hexrays'][task_id % 3 + 1] system, code from cand
+where ['angr', 'ghidra', 'hexrays'][task_id % 3 + 1] in ('angr', 'hexrays')""")
+def a6_candidates_roundtrip(spark, sf_dir):
+    """Long candidates written partitioned by system and read back for two systems (partition pruning)."""
+    c = fx.candidate_code(spark, sf_dir)
+    sysc = F.element_at(F.array(*[F.lit(s) for s in ["angr", "ghidra", "hexrays"]]), (F.col("task_id") % 3 + 1).cast("int"))
+    path = scratch_path(spark, "candidates")
+    SK.write_candidates(c.withColumn("system", sysc), path)
+    return SK.read_candidates(spark, path, ["angr", "hexrays"]).select("task_id", "system", "code")
+
+
+@register("a10_cer_results_nested")
+def a10_cer_results_nested(spark, sf_dir):
+    """CER outcomes stored long (partitioned by suite) and rendered as nested JSON per item on demand."""
+    runs = fx.runs(spark, sf_dir)
+    path = scratch_path(spark, "cer")
+    SK.write_cer_results(runs.withColumnRenamed("item_id", "item"), path)
+    return I.nested_results_json(spark.read.parquet(path))
+
+
+@register("a11_scores_csv_roundtrip", sql=None)
+def a11_scores_csv_roundtrip(spark, sf_dir):
+    """Bootstrap-median scores written as CSV per aspect and read back with a schema."""
+    from ..operators import rating as R
+    boot = R.calibrate(R.bootstrap_ratings(fx.bulk_battles(spark, sf_dir), rounds=20, seed=11), "s3")
+    med = R.median_scores(boot)
+    path = scratch_path(spark, "scores")
+    SK.write_scores_csv(med, path)
+    return SK.read_scores_csv(spark, path, "system string, median double, arena string")
+
+
+@register("a12_battle_chunks_pending", sql=f"""
+with {fx.BATTLES_SQL},
+ev as (select event_id battle_id, event_type from events),
+chunks as (select distinct battle_id // 5 chunk_id from battles),
+stored as (select distinct b.battle_id // 5 chunk_id from battles b join ev using (battle_id)
+           where ev.event_type in ('purchase', 'click'))
+select chunk_id from chunks where chunk_id not in (select chunk_id from stored)""")
+def a12_battle_chunks_pending(spark, sf_dir):
+    """Battles of completed judge calls stored per chunk; chunks with no stored battle are pending."""
+    ev = read_table(spark, sf_dir, "events")
+    b = fx.battles(spark, sf_dir).withColumn("chunk_id", F.floor(F.col("battle_id") / 5).cast("bigint"))
+    done = b.join(ev.select(F.col("event_id").alias("battle_id"), "event_type"), "battle_id") \
+        .filter(F.col("event_type").isin("purchase", "click")).drop("event_type")
+    path = scratch_path(spark, "battle-chunks")
+    SK.write_battle_chunks(done, path)
+    from ..operators import grids as G
+    return G.pending_chunks(b.select("chunk_id").distinct(), SK.stored_chunks(spark, path))
+
+
+def _text_length(s):
+    return s.str.len().astype(str)
+
+
+@register("u2_infer", sql="select doc_id, cast(length(text) as varchar) output, cast(null as varchar) error from documents")
+def u2_infer(spark, sf_dir):
+    """Batch inference surface: a caller function applied to whole documents in Arrow batches."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return L.infer(d, _text_length).select("doc_id", "output", "error")

@@ -75,7 +75,6 @@ def j12_missing_outcome(spark, sf_dir):
     runs = fx.runs(spark, sf_dir)
     tested = (runs.filter(F.col("probe") == 0)
               .groupBy("system", "variant", "suite", "item_id").agg(F.bool_and("ok").alias("ok")))
-    dims = scoring.dims_grid(spark, fx.RUN_SYSTEMS, fx.RUN_VARIANTS).select(
-        F.col("system").cast("int"), F.col("variant").cast("int"))
-    grid = runs.select("suite", "item_id").distinct().crossJoin(F.broadcast(dims))
+    items = runs.select("suite", "item_id").distinct()
+    grid = scoring.expand_by(scoring.expand_by(items, fx.RUN_SYSTEMS, "system"), fx.RUN_VARIANTS, "variant")
     return scoring.fill_missing_outcomes(grid, tested, ["suite", "item_id", "system", "variant"])
