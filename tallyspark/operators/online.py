@@ -126,6 +126,8 @@ def online_elo(battles: DataFrame, systems: Sequence[str], anchor: str, calibrat
         blk = stored.filter(F.col("_blk") == k)
         snaps = blk.groupBy("_blk").applyInPandas(_folder(dict(state), anchor, calibrate, order), SNAPSHOT_SCHEMA)
         snaps.write.mode("append").parquet(path)
+        if k == blocks[-1]:
+            break
         done = spark.read.parquet(path).filter((F.col("chunk_seq") >= k * block_chunks)
                                                & (F.col("chunk_seq") < (k + 1) * block_chunks))
         top = done.agg(F.max("chunk_seq")).collect()[0][0]

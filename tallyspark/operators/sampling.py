@@ -93,13 +93,18 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "seq", partition
     return ranged.mapInPandas(number, schema)
 
 
-def chunk_runs(df: DataFrame, key: str = "task_id", size: int = 100, seed: str = "chunks") -> DataFrame:
-    """Q2: consecutive ``size``-row chunks of a dense key, run in a seeded shuffled order.
+def chunk_order(df: DataFrame, key: str = "task_id", size: int = 100, seed: str = "chunks") -> DataFrame:
+    """Q2: ``(chunk_id, chunk_seq)`` for consecutive ``size``-row chunks of a dense key,
+    numbered in a seeded shuffled run order (``md5(seed|chunk_id)``).
 
-    Adds ``chunk_id = floor(key / size)``, ``run_key = md5(seed|chunk_id)`` and
-    ``chunk_seq`` (0-based position in the shuffled run order).
+    One row per chunk (N / size rows), numbered without a single-partition window.
     """
+    ch = df.select(F.floor(F.col(key) / size).cast("bigint").alias("chunk_id")).distinct()
+    ch = ch.withColumn("run_key", F.md5(F.concat(F.lit(f"{seed}|"), F.col("chunk_id").cast("string"))))
+    return dense_index(ch, ["run_key", "chunk_id"], "chunk_seq").select("chunk_id", "chunk_seq")
+
+
+def chunk_runs(df: DataFrame, key: str = "task_id", size: int = 100, seed: str = "chunks") -> DataFrame:
+    """Q2: every row with its ``chunk_id`` and ``chunk_seq`` (see :func:`chunk_order`)."""
     d = df.withColumn("chunk_id", F.floor(F.col(key) / size).cast("bigint"))
-    d = d.withColumn("run_key", F.md5(F.concat(F.lit(f"{seed}|"), F.col("chunk_id").cast("string"))))
-    order = dense_index(d.select("chunk_id", "run_key").distinct(), ["run_key", "chunk_id"], "chunk_seq")
-    return d.join(order.select("chunk_id", "chunk_seq"), "chunk_id")
+    return d.join(chunk_order(df, key, size, seed), "chunk_id")

@@ -81,14 +81,16 @@ select chunk_id, row_number() over (order by md5(concat('chunks|', chunk_id)), c
 def q2_chunk_order(spark, sf_dir):
     """100-task chunks in a seeded shuffled run order (distributed dense numbering)."""
     g = G.task_grid(fx.items(spark, sf_dir), fx.VARIANTS)
-    return S.chunk_runs(g.select("task_id")).select("chunk_id", F.col("chunk_seq").cast("bigint")).distinct()
+    return S.chunk_order(g.select("task_id")).select("chunk_id", F.col("chunk_seq").cast("bigint"))
 
 
 def _online_input(spark, sf_dir):
-    parsed = J.parse_judgements(fx.judgements_multi(spark, sf_dir))
-    # parse once: the chunk numbering and the fold both read this table
-    ob = O.online_battles(parsed).checkpoint(eager=True)
-    return S.chunk_runs(ob.withColumn("task_id", F.col("battle_id")), key="task_id")
+    j = fx.judgements_multi(spark, sf_dir)
+    # the run order needs only the judgement ids: no parse for it
+    order = S.chunk_order(j.select(F.col("battle_id").alias("task_id")))
+    ob = O.online_battles(J.parse_judgements(j))
+    ob = ob.withColumn("chunk_id", F.floor(F.col("battle_id") / 100).cast("bigint"))
+    return ob.join(order, "chunk_id")
 
 
 @register("q5_online_battles", sql=f"""
