@@ -196,7 +196,7 @@ p as (select item_id, target, base, base_len,
 
 
 @register("g5_baseline_stability", sql=_BASELINE_SQL + """
-select item_id, base_len, all_equal, cast(len(list_filter(stab, lambda s: s)) as int) n_stable from p""")
+select item_id, cast(base_len as int) base_len, all_equal, cast(len(list_filter(stab, lambda s: s)) as int) n_stable from p""")
 def g5_baseline_stability(spark, sf_dir):
     """Valid baselines with their length, equality of trials and number of stable positions."""
     prof = ST.baseline_profile(fx.coverage_texts(spark, sf_dir), ["item_id"], ["t1", "t2", "t3"])
