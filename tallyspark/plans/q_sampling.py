@@ -180,3 +180,21 @@ def q3_online_elo(spark, sf_dir):
     """Ordered Elo fold over online battles in chunk run order; per-chunk anchor shift; snapshots."""
     snaps = O.online_elo(_online_input(spark, sf_dir), SYSTEMS12, ANCHOR)
     return snaps.select("chunk_seq", "system", F.round("rating", 6).alias("rating"))
+
+
+@register("q3_online_elo_stream", sql=_ONLINE_SQL + """
+select f.chunk_seq, concat('s', u.k - 1) system, round(u.x, 6) rating
+from fold f join steps st on st.rn = f.rn and st.last_in_chunk,
+     unnest(list_transform(f.r, lambda x, k: struct_pack(k := k, x := x))) t(u)
+""")
+def q3_online_elo_stream(spark, sf_dir):
+    """The online fold as keyed streaming state: battle files arrive in run order, snapshots per chunk."""
+    from ..session import scratch_path
+    from ..streaming import online_stream as OS
+    b = _online_input(spark, sf_dir).select(F.lit("online").alias("arena"), "chunk_seq", "battle_id", "entry_pos",
+                                            "model_a", "model_b", "winner_raw")
+    path = scratch_path(spark, "online-battles")
+    OS.write_in_run_order(b, path, chunks_per_file=25)
+    out = OS.run_online_elo_stream(spark, path, SYSTEMS12, ANCHOR)
+    snaps = spark.read.parquet(out)
+    return snaps.select("chunk_seq", "system", F.round("rating", 6).alias("rating"))
