@@ -85,8 +85,11 @@ def token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listing_id"
     found = F.regexp_extract("val", RANGE_ADDRESS, 0)
     t = tokens.withColumn("_addr", F.when((F.col("kind") == "cmnt") & F.col("val").contains(RANGE_MARKER)
                                           & (found != ""), found))
-    req = requests.select(key, F.col("address").alias("_addr"), F.lit(True).alias("_start"))
-    t = t.join(req, [key, "_addr"], "left").withColumn("_start", F.coalesce("_start", F.lit(False)))
+    # requested addresses as one array per listing: the join is many-to-one on
+    # the listing key, so the windows below reuse its partitioning (one shuffle)
+    wanted = requests.groupBy(key).agg(F.collect_set("address").alias("_wanted"))
+    t = t.join(wanted, key, "left")
+    t = t.withColumn("_start", F.coalesce(F.array_contains("_wanted", F.col("_addr")), F.lit(False))).drop("_wanted")
     w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = (t.withColumn("_seg", F.sum(F.col("_start").cast("int")).over(w))
          .withColumn("_seg_addr", F.last(F.when(F.col("_start"), F.col("_addr")), ignorenulls=True).over(w)))

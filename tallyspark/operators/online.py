@@ -125,13 +125,13 @@ def online_elo(battles: DataFrame, systems: Sequence[str], anchor: str, calibrat
     for k in blocks:
         blk = stored.filter(F.col("_blk") == k)
         snaps = blk.groupBy("_blk").applyInPandas(_folder(dict(state), anchor, calibrate, order), SNAPSHOT_SCHEMA)
-        snaps.write.mode("append").parquet(path)
+        # one folder per block, overwritten on a rerun: a retried block never duplicates rows
+        snaps.write.mode("overwrite").parquet(f"{path}/blk={k}")
         if k == blocks[-1]:
             break
-        done = spark.read.parquet(path).filter((F.col("chunk_seq") >= k * block_chunks)
-                                               & (F.col("chunk_seq") < (k + 1) * block_chunks))
+        done = spark.read.parquet(f"{path}/blk={k}")
         top = done.agg(F.max("chunk_seq")).collect()[0][0]
         if top is not None:
             state = {r["system"]: r["rating"] for r in
                      done.filter(F.col("chunk_seq") == top).select("system", "rating").collect()}
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("blk")
