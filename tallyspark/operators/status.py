@@ -77,3 +77,25 @@ def client_view(last: DataFrame, key: str = "task_id", reference_cut: bool = Fal
 def completed_results(view: DataFrame) -> DataFrame:
     """Completed tasks with a non-empty result; the first value of the result map."""
     return view.filter((F.col("status") == "completed") & (F.size("result") > 0))
+
+
+def triage_attempts(attempts: DataFrame, key: str = "task_id") -> DataFrame:
+    """Final compile flag per task from an attempt log.
+
+    ``attempts``: ``task_id, attempt (1|2), status ('ok'|'fail'|'timeout'), stderr``.
+    The first attempt decides unless it failed with warnings; then the second
+    attempt (run with ``-Wno-<w>`` per warning) decides. A timeout counts as 0
+    with no warnings. One small aggregation per task (at most two rows).
+    """
+    from ..functions.code_text import suppress_flags, warnings
+
+    first = F.max_by(F.struct("status", "stderr"), F.when(F.col("attempt") == 1, F.lit(1)).otherwise(F.lit(0)))
+    second = F.max(F.when(F.col("attempt") == 2, F.col("status")))
+    t = attempts.groupBy(key).agg(first.alias("a1"), second.alias("a2"))
+    ws = F.when(F.col("a1.status") == "timeout", F.array().cast("array<string>")).otherwise(warnings(F.col("a1.stderr")))
+    t = t.withColumn("ws", ws)
+    retry = (F.col("a1.status") == "fail") & (F.size("ws") > 0)
+    flag = (F.when(F.col("a1.status") == "ok", F.lit(1))
+            .when(retry, (F.coalesce(F.col("a2"), F.lit("fail")) == "ok").cast("int"))
+            .otherwise(F.lit(0)))
+    return t.select(key, flag.alias("flag"), F.when(retry, suppress_flags("ws")).alias("retry_flags"))

@@ -450,20 +450,32 @@ def b19_warnings(spark, sf_dir):
     return _logs(spark, sf_dir).select("doc_id", CT.warnings("stderr").alias("warnings"))
 
 
+_ATTEMPTS_SQL = f"""{_STDERR_SQL},
+attempts as (
+  select doc_id task_id, 1 attempt, ['ok', 'fail', 'fail', 'timeout'][a1 + 1] status, stderr from logs
+  union all
+  select doc_id, 2, case when a2_ok then 'ok' else 'fail' end, '' from logs where a1 = 1)"""
+
+
 @register("b20_attempt_triage", sql=f"""
-with {_STDERR_SQL},
-w as (select doc_id, a1, a2_ok, regexp_extract_all(stderr, '\\[-W(.*)\\]', 1) ws from logs)
-select doc_id,
-       case when a1 = 0 then 1 when a1 = 1 and len(ws) > 0 then cast(a2_ok as int) else 0 end flag,
-       case when a1 = 1 and len(ws) > 0 then list_transform(ws, lambda x: '-Wno-' || x) end retry_flags
+with {_ATTEMPTS_SQL},
+p as (select task_id, max(case when attempt = 1 then status end) s1, max(case when attempt = 1 then stderr end) e1,
+             max(case when attempt = 2 then status end) s2 from attempts group by task_id),
+w as (select *, case when s1 = 'timeout' then []::VARCHAR[] else regexp_extract_all(e1, '\\[-W(.*)\\]', 1) end ws from p)
+select task_id,
+       case when s1 = 'ok' then 1 when s1 = 'fail' and len(ws) > 0 then cast(coalesce(s2, 'fail') = 'ok' as int) else 0 end flag,
+       case when s1 = 'fail' and len(ws) > 0 then list_transform(ws, lambda x: '-Wno-' || x) end retry_flags
 from w""")
 def b20_attempt_triage(spark, sf_dir):
-    """Final compile flag: first attempt, or a retry with -Wno-<w> when it failed with warnings;
-    a1 codes: 0 ok, 1 failed with log, 2 failed, 3 timed out (no warnings seen)."""
-    lg = _logs(spark, sf_dir).withColumn("ws", CT.warnings("stderr"))
-    retry = (F.col("a1") == 1) & (F.size("ws") > 0)
-    flag = (F.when(F.col("a1") == 0, F.lit(1)).when(retry, F.col("a2_ok").cast("int")).otherwise(F.lit(0)))
-    return lg.select("doc_id", flag.alias("flag"), F.when(retry, CT.suppress_flags("ws")).alias("retry_flags"))
+    """Final compile flag per task from an attempt log (retry with -Wno-<w> after a failure with warnings)."""
+    from ..operators.status import triage_attempts
+    lg = _logs(spark, sf_dir)
+    st = F.element_at(F.array(*[F.lit(s) for s in ["ok", "fail", "fail", "timeout"]]), (F.col("a1") + 1).cast("int"))
+    a1 = lg.select(F.col("doc_id").alias("task_id"), F.lit(1).alias("attempt"), st.alias("status"), "stderr")
+    a2 = lg.filter(F.col("a1") == 1).select(F.col("doc_id").alias("task_id"), F.lit(2).alias("attempt"),
+                                            F.when(F.col("a2_ok"), "ok").otherwise("fail").alias("status"),
+                                            F.lit("").alias("stderr"))
+    return triage_attempts(a1.unionByName(a2))
 
 
 HEADER = "\n        #include <defs.h>\n        "
