@@ -162,6 +162,8 @@ def _seed_for(seed: int, arena: str, rnd: int) -> int:
 
 def _boot_group(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     arena, rnd = pdf["arena"].iloc[0], int(pdf["round"].iloc[0])
+    # a fixed cell order: the draw must not depend on how rows reached the group
+    pdf = pdf.sort_values(["model_a", "model_b", "winner"], kind="mergesort").reset_index(drop=True)
     systems = sorted(set(pdf["model_a"]).union(pdf["model_b"]))
     cnt = pdf["cnt"].to_numpy(np.int64)
     total = int(cnt.sum())
