@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,27 +28,30 @@ BODY_SCHEMA = "listing_id long, address string, body string"
 
 
 def _bodies_from_listing(code: str, wanted: set[int]) -> dict[str, str]:
+    """Body after each wanted ``// HEX:`` comment, found with brace prefix sums.
+
+    ``depth[i]`` is the brace balance after character i. A body opened after
+    position ``s`` closes at the first ``}`` whose balance equals the balance
+    just before ``s``; without one the body runs to the last character but one.
+    """
     out: dict[str, str] = {}
     if not code:
         return out
+    chars = np.frombuffer(code.encode("utf-32-le"), dtype=np.uint32)
+    closes = chars == ord("}")
+    depth = np.cumsum((chars == ord("{")).astype(np.int64) - closes)
+    newlines = np.flatnonzero(chars == ord("\n"))
     for m in ADDRESS_COMMENT.finditer(code):
         addr = int(m.group(1), 16)
         if addr not in wanted:
             continue
-        start = m.end()
-        real_start, started, depth, end = start, False, 0, -1
-        for i in range(start, len(code)):
-            ch = code[i]
-            if ch == "\n" and not started:
-                real_start, started = i + 1, True
-            if ch == "{":
-                depth += 1
-            elif ch == "}":
-                depth -= 1
-                if depth == 0:
-                    end = i + 1
-                    break
-        out[hex(addr)] = code[real_start:end].strip()
+        s = m.end()
+        before = depth[s - 1] if s > 0 else 0
+        hits = np.flatnonzero(closes[s:] & (depth[s:] == before))
+        end = s + int(hits[0]) + 1 if len(hits) else len(code) - 1
+        nl = newlines[np.searchsorted(newlines, s):]
+        begin = int(nl[0]) + 1 if len(nl) and (not len(hits) or nl[0] < end) else s
+        out[hex(addr)] = code[begin:end].strip()
     return out
 
 

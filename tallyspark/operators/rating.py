@@ -135,16 +135,19 @@ def fit_ratings(pairwise: DataFrame) -> DataFrame:
 
 def expected_wins(pairwise: DataFrame, ratings: DataFrame, scale: float = SCALE,
                   base: float = BASE) -> DataFrame:
-    """G10' check: ``sum_j N_ij * P_ij`` from fitted ratings (equals observed ``sum_j W_ij`` at the MLE)."""
-    ri = ratings.select("arena", F.col("system").alias("i"), F.col("rating").alias("ri"))
-    rj = ratings.select("arena", F.col("system").alias("j"), F.col("rating").alias("rj"))
-    pw = pairwise.select("arena", "i", "j", "w")
-    rev = pairwise.select("arena", F.col("i").alias("j"), F.col("j").alias("i"), F.col("w").alias("w_rev"))
-    t = (pw.join(rev, ["arena", "i", "j"], "full").na.fill(0, ["w", "w_rev"])
-         .join(ri, ["arena", "i"]).join(rj, ["arena", "j"]))
+    """G10' check: ``sum_j N_ij * P_ij`` from fitted ratings (equals observed ``sum_j W_ij`` at the MLE).
+
+    Every battle puts 2 points on the pair, so ``N_ij = W_ij + W_ji = 2 * n_ij``
+    and no self-join of the pairwise table is needed; the ratings (arenas x M
+    rows) are broadcast.
+    """
+    r = F.broadcast(ratings.select("arena", "system", "rating"))
+    ri = r.select("arena", F.col("system").alias("i"), F.col("rating").alias("ri"))
+    rj = r.select("arena", F.col("system").alias("j"), F.col("rating").alias("rj"))
+    t = pairwise.select("arena", "i", "j", "n").join(ri, ["arena", "i"]).join(rj, ["arena", "j"])
     p = 1.0 / (1.0 + F.pow(F.lit(base), -(F.col("ri") - F.col("rj")) / F.lit(scale)))
     return (t.groupBy("arena", F.col("i").alias("system"))
-            .agg(F.round(F.sum((F.col("w") + F.col("w_rev")) * p), 3).alias("wins")))
+            .agg(F.round(F.sum(F.lit(2.0) * F.col("n") * p), 3).alias("wins")))
 
 
 def calibrate(ratings: DataFrame, anchor: str, value: float = ANCHOR_VALUE,

@@ -61,8 +61,7 @@ def g15_distinct_suites(spark, sf_dir):
 
 @register("j12_missing_outcome", sql=f"""
 with {fx.RUNS_SQL},
-outc as (select system, variant, suite, item_id, bool_and(ok) ok
-         from runs where probe = 0 group by all),
+outc as (select system, variant, suite, item_id, bool_and(ok) ok from runs group by all),
 grid as (select i.suite, i.item_id, s.system, v.variant
          from (select distinct suite, item_id from runs) i, range(12) s(system), range(5) v(variant))
 select g.suite, g.item_id, cast(g.system as int) system, cast(g.variant as int) variant,
@@ -71,10 +70,9 @@ from grid g left join outc o
   on o.suite = g.suite and o.item_id = g.item_id and o.system = g.system and o.variant = g.variant
 """)
 def j12_missing_outcome(spark, sf_dir):
-    """Grid cell without an outcome for probe 0 is a failure; present cells keep their value."""
+    """Item x system x variant grid: a cell without any outcome is a failure; tested cells keep theirs."""
     runs = fx.runs(spark, sf_dir)
-    tested = (runs.filter(F.col("probe") == 0)
-              .groupBy("system", "variant", "suite", "item_id").agg(F.bool_and("ok").alias("ok")))
+    tested = runs.groupBy("system", "variant", "suite", "item_id").agg(F.bool_and("ok").alias("ok"))
     items = runs.select("suite", "item_id").distinct()
     grid = scoring.expand_by(scoring.expand_by(items, fx.RUN_SYSTEMS, "system"), fx.RUN_VARIANTS, "variant")
     return scoring.fill_missing_outcomes(grid, tested, ["suite", "item_id", "system", "variant"])

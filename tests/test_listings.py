@@ -77,3 +77,14 @@ def test_infer_isolates_row_failures(spark):
     out = {r.id: (r.output, r.error) for r in L.infer(df, fake, batch_rows=4).collect()}
     assert out[3][0] is None and "bad row" in out[3][1]
     assert out[2] == ("P2", None) and out[9] == ("P9", None)
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["// 1a:", "// 2b:", "{", "}", "\n", " x", "é", "// zz:"]), max_size=30))
+def test_prefix_sum_scan_equals_loop(parts):
+    code = "".join(parts)
+    wanted = {0x1a, 0x2b}
+    assert L._bodies_from_listing(code, wanted) == brute(code, wanted)
