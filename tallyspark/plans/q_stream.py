@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import rating as R
 from ..operators import status as ST
 from ..session import scratch_path

@@ -1,7 +1,6 @@
 """File scans on small files written by the test (own content)."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F

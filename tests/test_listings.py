@@ -3,7 +3,6 @@
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from tallyspark.operators import listings as L
 

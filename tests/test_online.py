@@ -1,6 +1,5 @@
 """Online Elo fold: equals a plain loop; block size does not change the result."""
 
-import pandas as pd
 
 from tallyspark.operators import online as O
 

@@ -1,7 +1,6 @@
 """Pairwise table, Bradley-Terry fit, calibration and bootstrap."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tallyspark.operators import judgements as J
 from tallyspark.operators import rating as R

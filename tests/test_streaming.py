@@ -1,6 +1,5 @@
 """Streaming forms equal their batch forms."""
 
-from pyspark.sql import functions as F
 
 from tallyspark.operators import judgements as J
 from tallyspark.operators import rating as R
