@@ -132,3 +132,13 @@ def g14_leaderboard(spark, sf_dir):
     """System x aspect pivot of the per-aspect medians (explicit aspect list)."""
     med = R.median_scores(_round_scores(spark, sf_dir), value="score")
     return R.leaderboard(med, ASPECTS)
+
+
+@register("g11_calibrate_scores", sql=_ROUND_SCORES_SQL + f"""
+select arena, system, median + coalesce(1141.86 - max(case when system = '{ANCHOR}' then median end)
+                                         over (partition by arena), 0.0) rating
+from med""")
+def g11_calibrate_scores(spark, sf_dir):
+    """Calibration shift on a per-arena score table: the anchor system gets the anchor value."""
+    med = R.median_scores(_round_scores(spark, sf_dir), value="score").withColumnRenamed("median", "rating")
+    return R.calibrate(med, ANCHOR, keys=("arena",)).select("arena", "system", "rating")
