@@ -52,23 +52,23 @@ def pairwise_table(battles: DataFrame, arena_col: str = "aspect", with_overall:
     """
     b = battles.filter(F.col("model_a") != F.col("model_b"))
     pts_a = F.when(F.col("winner") == "model_a", 2).when(F.col("winner") == "model_b", 0).otherwise(1)
-    side_a = b.select(F.col(arena_col).alias("arena"), F.col("model_a").alias("i"),
-                      F.col("model_b").alias("j"), pts_a.alias("w"))
-    side_b = b.select(F.col(arena_col).alias("arena"), F.col("model_b").alias("i"),
-                      F.col("model_a").alias("j"), (F.lit(2) - pts_a).alias("w"))
-    both = side_a.unionByName(side_b)
-    per = both.groupBy("arena", "i", "j").agg(F.sum("w").cast("bigint").alias("w"),
-                                              F.count(F.lit(1)).cast("bigint").alias("n"))
-    if aspects is not None:
-        per = per.filter(F.col("arena").isin(*aspects))
+    # both seatings from one scan: each battle becomes two (i, j, w) rows
+    seats = F.array(F.struct(F.col("model_a").alias("i"), F.col("model_b").alias("j"), pts_a.alias("w")),
+                    F.struct(F.col("model_b").alias("i"), F.col("model_a").alias("j"), (F.lit(2) - pts_a).alias("w")))
+    both = b.select(F.col(arena_col).alias("arena"), F.explode(seats).alias("s")).select("arena", "s.*")
+    aggs = [F.sum("w").cast("bigint").alias("w"), F.count(F.lit(1)).cast("bigint").alias("n")]
     if not with_overall:
-        return per
-    # overall = re-aggregation of the small per-arena table (no row expansion);
-    # battles whose aspect is not listed still count overall
-    src = both.groupBy("arena", "i", "j").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
-    overall = src.groupBy("i", "j").agg(F.sum("w").cast("bigint").alias("w"),
-                                        F.sum("n").cast("bigint").alias("n"))
-    return per.unionByName(overall.select(F.lit(OVERALL).alias("arena"), "i", "j", "w", "n"))
+        per = both.groupBy("arena", "i", "j").agg(*aggs)
+        return per if aspects is None else per.filter(F.col("arena").isin(*aspects))
+    # per aspect and overall in one aggregation (grouping sets: each row feeds two
+    # groups before the map-side partial aggregate, so the shuffle stays small)
+    g = (both.groupingSets([["arena", "i", "j"], ["i", "j"]], "arena", "i", "j")
+         .agg(*aggs, F.grouping_id().alias("_g")))
+    out = g.select(F.when(F.col("_g") == 0, F.col("arena")).otherwise(F.lit(OVERALL)).alias("arena"),
+                   "i", "j", "w", "n")
+    if aspects is not None:
+        out = out.filter(F.col("arena").isin(OVERALL, *aspects))
+    return out
 
 
 def cells(battles: DataFrame, arena_col: str = "aspect", with_overall: bool = True) -> DataFrame:
@@ -77,11 +77,13 @@ def cells(battles: DataFrame, arena_col: str = "aspect", with_overall: bool = Tr
     The rating fit depends on battles only through these counts, so they are
     the only thing any Python step ever sees (<= 3 * M * (M - 1) rows per arena).
     """
-    b = battles.filter(F.col("model_a") != F.col("model_b"))
-    per = (b.groupBy(F.col(arena_col).alias("arena"), "model_a", "model_b", "winner")
-           .agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+    b = battles.filter(F.col("model_a") != F.col("model_b")).select(
+        F.col(arena_col).alias("arena"), "model_a", "model_b", "winner")
+    cnt = F.count(F.lit(1)).cast("bigint").alias("cnt")
     if not with_overall:
-        return per
-    overall = per.groupBy("model_a", "model_b", "winner").agg(F.sum("cnt").cast("bigint").alias("cnt"))
-    return per.unionByName(overall.select(F.lit(OVERALL).alias("arena"), "model_a", "model_b",
-                                          "winner", "cnt"))
+        return b.groupBy("arena", "model_a", "model_b", "winner").agg(cnt)
+    g = (b.groupingSets([["arena", "model_a", "model_b", "winner"], ["model_a", "model_b", "winner"]],
+                        "arena", "model_a", "model_b", "winner")
+         .agg(cnt, F.grouping_id().alias("_g")))
+    return g.select(F.when(F.col("_g") == 0, F.col("arena")).otherwise(F.lit(OVERALL)).alias("arena"),
+                    "model_a", "model_b", "winner", "cnt")
