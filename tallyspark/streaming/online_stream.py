@@ -46,7 +46,10 @@ def run_online_elo_stream(spark: SparkSession, battle_dir: str, systems: Sequenc
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         ratings = json.loads(state.get[0]) if state.exists else dict(init)
-        pdf = pd.concat(list(pdfs), ignore_index=True)
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
         snaps = _fold(pdf, ratings, anchor, calibrate, ["battle_id", "entry_pos"])
         last = int(snaps["chunk_seq"].max())
         state.update((json.dumps({r.system: r.rating for r in snaps[snaps.chunk_seq == last].itertuples()}),))
