@@ -684,3 +684,57 @@ def u2_infer(spark, sf_dir):
     """Batch inference surface: a caller function applied to whole documents in Arrow batches."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
     return L.infer(d, _text_length).select("doc_id", "output", "error")
+
+
+# ---------------------------------------------------------------- A4 + B12 + B13: items from sources and spans
+_SPANS_SQL = f"""{_SRC_SQL},
+files as (select concat('/src/suite', k % 4, '/f_', k, '.c') path, content, k from src),
+spans as (
+  select path, 'f_' || k name, false is_definition, 4 sl, 1 sc, 4 el,
+         case when k % 5 = 0 then 1 else length(string_split(content, chr(10))[4]) end ec, 1 ord from files
+  union all
+  select path, 'f_' || k, true, 5, 1, 5, length(string_split(content, chr(10))[5]), 2 from files
+  union all
+  select path, 'tail_' || k, true, 7, 1, 7, 10, 3 from files)"""
+
+
+def _files_spans(spark, sf_dir):
+    s = _src(spark, sf_dir)
+    files = s.select(F.concat(F.lit("/src/suite"), (F.col("k") % 4).cast("string"), F.lit("/f_"),
+                              F.col("k").cast("string"), F.lit(".c")).alias("path"), "content", "k")
+    line = lambda n: F.length(F.get(F.split("content", "\n"), n - 1))
+    name = F.concat(F.lit("f_"), F.col("k").cast("string"))
+    d = files.select("path", name.alias("name"), F.lit(False).alias("is_definition"), F.lit(4).alias("sl"),
+                     F.lit(1).alias("sc"), F.lit(4).alias("el"),
+                     F.when(F.col("k") % 5 == 0, F.lit(1)).otherwise(line(4)).alias("ec"), F.lit(1).alias("ord"))
+    f = files.select("path", name.alias("name"), F.lit(True).alias("is_definition"), F.lit(5).alias("sl"),
+                     F.lit(1).alias("sc"), F.lit(5).alias("el"), line(5).alias("ec"), F.lit(2).alias("ord"))
+    o = files.select("path", F.concat(F.lit("tail_"), F.col("k").cast("string")).alias("name"),
+                     F.lit(True).alias("is_definition"), F.lit(7).alias("sl"), F.lit(1).alias("sc"),
+                     F.lit(7).alias("el"), F.lit(10).alias("ec"), F.lit(3).alias("ord"))
+    spans = d.unionByName(f).unionByName(o).withColumn("ord", F.col("ord").cast("bigint"))
+    return files.select("path", "content"), spans
+
+
+@register("a4_extract_items", sql=f"""
+with {_SPANS_SQL},
+j as (select s.*, f.content from spans s join files f using (path)
+      where s.name = regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1)),
+b as (select *, case when sl = el and sc = ec then null
+                     when sl = el then substring(string_split(content, chr(10))[sl], sc, ec - sc + 1)
+                     else array_to_string(string_split(content, chr(10))[sl:el], chr(10)) || chr(10) end body from j),
+v as (select * from b where body is not null and body <> ''),
+d as (select path, body decl from v where not is_definition),
+r as (select v.path, v.name, v.body, v.content,
+             case when d.decl is not null and instr(v.content, d.decl) > 0
+                  then substring(v.content, 1, instr(v.content, d.decl) - 1) || substring(v.content, instr(v.content, d.decl) + length(d.decl))
+                  else v.content end c
+      from v left join d using (path) where v.is_definition)
+select path, name item, body func,
+       case when instr(c, body) > 0 then substring(c, 1, instr(c, body) - 1)
+            || regexp_replace(substring(c, instr(c, body) + length(body)), '#undef\\s.*', '', 'g') end include
+from r""")
+def a4_extract_items(spark, sf_dir):
+    """Items from source files + function spans: body, and prelude with declarations removed."""
+    files, spans = _files_spans(spark, sf_dir)
+    return I.extract_items(files, spans)

@@ -237,3 +237,30 @@ def nested_results_json(long: DataFrame) -> DataFrame:
     lvl2 = lvl3.groupBy("suite", "item", "system").agg(F.map_from_entries(F.collect_list(F.struct("variant", "runs"))).alias("v"))
     lvl1 = lvl2.groupBy("suite", "item").agg(F.map_from_entries(F.collect_list(F.struct("system", "v"))).alias("s"))
     return lvl1.select("suite", "item", F.to_json("s").alias("json"))
+
+
+# A4 + B12 + B13 ----------------------------------------------------------------
+def extract_items(files: DataFrame, spans: DataFrame) -> DataFrame:
+    """Items from source files and their function spans (spans come from an
+    external parser; this package does not parse C).
+
+    ``files``: ``path, content``; ``spans``: ``path, name, is_definition, sl, sc,
+    el, ec, ord`` (``ord`` = parser walk order). Only functions named like the
+    file stem count. Each definition's prelude is the file with the earlier
+    declarations' text removed once (in walk order), the body cut out and
+    ``#undef`` lines blanked after it. Output: ``path, item, func, include``.
+    The join is on the file path; per-file declaration lists are small.
+    """
+    from ..functions.code_text import span_text, split_prelude
+
+    s = (spans.join(files, "path")
+         .filter(F.col("name") == _file_stem(F.col("path")))
+         .withColumn("body", span_text("content", "sl", "sc", "el", "ec"))
+         .filter(F.col("body").isNotNull() & (F.col("body") != "")))
+    decls = (s.filter(~F.col("is_definition")).groupBy("path")
+             .agg(F.array_sort(F.collect_list(F.struct("ord", "body"))).alias("decls")))
+    defs = s.filter(F.col("is_definition")).join(decls, "path", "left")
+    earlier = F.transform(F.filter(F.coalesce("decls", F.array().cast("array<struct<ord:bigint,body:string>>")),
+                                   lambda d: d["ord"] < F.col("ord")), lambda d: d["body"])
+    return defs.select("path", F.col("name").alias("item"), F.col("body").alias("func"),
+                       split_prelude(F.col("content"), earlier, F.col("body")).alias("include"))
