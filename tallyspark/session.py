@@ -19,6 +19,22 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (the caller owns that session; these are advice,
+# applied only through ``local_session(extra=...)`` or the caller's own builder):
+# AQE sizes shuffle partitions from measured output and splits skewed join
+# partitions; 256 MB input splits keep task counts sane at 100 TB; the shuffle
+# partition ceiling is high and AQE coalesces down from it.
+RECOMMENDED_CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "tallyspark", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the benchmark.
