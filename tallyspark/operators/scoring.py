@@ -81,3 +81,22 @@ def fill_missing_outcomes(grid: DataFrame, outcomes: DataFrame, keys: Sequence[s
     """A grid cell without an artifact/outcome is a failure; present cells keep theirs."""
     return (grid.join(outcomes, list(keys), "left")
             .withColumn(ok_col, F.coalesce(F.col(ok_col), F.lit(False))))
+
+
+def complete_outcomes(runs: DataFrame, item_keys: Sequence[str], systems: Sequence, variants: Sequence,
+                      ok_col: str = "ok") -> DataFrame:
+    """J12 over a configured grid in one aggregation: every item x system x variant cell,
+    ``ok`` = all reported outcomes passed, ``false`` when the cell has none.
+
+    One conditional ``bool_and`` per configured cell (config-sized), grouped by
+    item: a single shuffle of partially aggregated rows instead of a join of
+    the expanded grid with the outcomes.
+    """
+    cells = [(s, v) for s in systems for v in variants]
+    aggs = [F.bool_and(F.when((F.col("system") == s) & (F.col("variant") == v), F.col(ok_col))).alias(f"_c{k}")
+            for k, (s, v) in enumerate(cells)]
+    per_item = runs.groupBy(*item_keys).agg(*aggs)
+    grid = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(v).alias("variant"),
+                              F.coalesce(F.col(f"_c{k}"), F.lit(False)).alias(ok_col))
+                     for k, (s, v) in enumerate(cells)])
+    return per_item.select(*item_keys, F.explode(grid).alias("_g")).select(*item_keys, "_g.*")

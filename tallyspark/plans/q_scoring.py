@@ -71,8 +71,4 @@ from grid g left join outc o
 """)
 def j12_missing_outcome(spark, sf_dir):
     """Item x system x variant grid: a cell without any outcome is a failure; tested cells keep theirs."""
-    runs = fx.runs(spark, sf_dir)
-    tested = runs.groupBy("system", "variant", "suite", "item_id").agg(F.bool_and("ok").alias("ok"))
-    items = runs.select("suite", "item_id").distinct()
-    grid = scoring.expand_by(scoring.expand_by(items, fx.RUN_SYSTEMS, "system"), fx.RUN_VARIANTS, "variant")
-    return scoring.fill_missing_outcomes(grid, tested, ["suite", "item_id", "system", "variant"])
+    return scoring.complete_outcomes(fx.runs(spark, sf_dir), ["suite", "item_id"], fx.RUN_SYSTEMS, fx.RUN_VARIANTS)
