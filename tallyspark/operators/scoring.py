@@ -62,12 +62,11 @@ def cer_rate(runs: DataFrame, grid: DataFrame, items: DataFrame | None = None,
     src = items if items is not None else per_item
     n_items = (src.select(*item_keys).dropna().distinct()
                .agg(F.count(F.lit(1)).alias("items")))
-    # ``passes`` has at most |grid| rows and ``n_items`` exactly one: both
-    # broadcasts have a proven size bound independent of the data
+    # ``passes`` has one row per configured cell (a proven size bound) and the
+    # item count is a one-row scalar subquery
     out = (grid.join(F.broadcast(passes), list(cell_keys), "left")
-           .crossJoin(F.broadcast(n_items))
            .select(*cell_keys, F.coalesce("passes", F.lit(0)).cast("bigint").alias("passes"),
-                   F.col("items").cast("bigint").alias("items")))
+                   n_items.scalar().cast("bigint").alias("items")))
     return out.withColumn("rate", F.col("passes").cast("double") / F.col("items"))
 
 

@@ -64,19 +64,22 @@ def b1_covered_items(spark, sf_dir):
 
 @register("a2_coverage_report_scan", sql=f"with {_B1_SQL} select * from cov")
 def a2_coverage_report_scan(spark, sf_dir):
-    """Coverage exports written as one nested JSON document per (suite, probe), scanned back, then B1."""
+    """Coverage exports written as nested JSON documents (one per suite, probe and block of 100
+    functions, so no document grows with the data), scanned back, then B1."""
     path = scratch_path(spark, "coverage")
-    cx = fx.coverage_export(spark, sf_dir)
-    doc = (cx.groupBy("suite", "probe")
+    cx = fx.coverage_export(spark, sf_dir).withColumn("chunk", F.floor(F.col("id") / 100).cast("bigint"))
+    doc = (cx.groupBy("suite", "probe", "chunk")
            .agg(F.array_sort(F.collect_list(F.struct("id", "name", F.array("f0", "f1").alias("filenames"),
                                                        F.col("cnt").cast("bigint").alias("count")))).alias("fs")))
-    doc = doc.select("suite", "probe", F.to_json(F.struct(F.array(F.struct(F.transform(
+    doc = doc.select("suite", "probe", "chunk", F.to_json(F.struct(F.array(F.struct(F.transform(
         "fs", lambda x: F.struct(x["name"].alias("name"), x["filenames"].alias("filenames"),
                                  x["count"].alias("count"))).alias("functions"))).alias("data"))).alias("value"))
-    doc.write.partitionBy("suite", "probe").text(path)
+    doc.write.partitionBy("suite", "probe", "chunk").text(path)
     scanned = I.read_coverage_reports(spark, path)
+    chunk = F.regexp_extract("file_path", r"chunk=(\d+)", 1).cast("bigint")
     scanned = (scanned.withColumn("suite", F.regexp_extract("file_path", r"suite=([^/]+)", 1))
-               .withColumn("probe", F.regexp_extract("file_path", r"probe=([^/]+)", 1)))
+               .withColumn("probe", F.regexp_extract("file_path", r"probe=([^/]+)", 1))
+               .withColumn("pos", F.struct(chunk.alias("chunk"), F.col("pos").alias("pos"))))
     return I.covered_items(scanned)
 
 
@@ -92,7 +95,7 @@ _CMDS_SQL = """cmds as (
   select concat('/src/suite', doc_id % 4, '/lib', doc_id % 3, '.c') file, concat('/work/', doc_id) directory,
          ['clang', '-O' || (doc_id % 3), '-o', 'out_' || doc_id || '.o', '-I/src/' || source,
           concat('/src/suite', doc_id % 4, '/lib', doc_id % 3, '.c')] arguments,
-         doc_id % 5 grp, doc_id pos
+         doc_id // 50 grp, doc_id pos
   from documents)"""
 
 
@@ -104,14 +107,15 @@ def _commands(spark, sf_dir):
                    F.concat(F.lit("out_"), i.cast("string"), F.lit(".o")), F.concat(F.lit("-I/src/"), F.col("source")),
                    file)
     return d.select(file.alias("file"), F.concat(F.lit("/work/"), i.cast("string")).alias("directory"),
-                    args.alias("arguments"), (i % 5).alias("grp"), i.alias("pos"))
+                    args.alias("arguments"), F.floor(i / 50).cast("bigint").alias("grp"), i.alias("pos"))
 
 
 @register("a3_compile_commands", sql=f"""
 with {_CMDS_SQL}
 select grp, file, arg_max(directory, pos) directory, arg_max(arguments, pos) arguments from cmds group by grp, file""")
 def a3_compile_commands(spark, sf_dir):
-    """Compile-command arrays (one JSON array per group file) scanned back; last entry per file wins."""
+    """Compile-command arrays (one JSON array per file of at most 50 entries) scanned back;
+    the last entry for a source file wins within its array."""
     path = scratch_path(spark, "commands")
     c = _commands(spark, sf_dir)
     arr = (c.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("pos", "file", "directory", "arguments")))
