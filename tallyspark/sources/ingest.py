@@ -225,7 +225,7 @@ def flatten_outcomes(raw: DataFrame, outcomes: str = "outcomes") -> DataFrame:
     Empty outcome maps give no rows.
     """
     e = raw.select(*[c for c in raw.columns if c != outcomes], F.explode(outcomes).alias("key", "ok"))
-    return (e.withColumn("system", F.regexp_extract("key", r"^(.*)-([^-]*)$", 1))
+XX
             .withColumn("variant", F.regexp_extract("key", r"^(.*)-([^-]*)$", 2))
             .filter(F.col("key").contains("-")).drop("key"))
 
