@@ -225,8 +225,9 @@ def flatten_outcomes(raw: DataFrame, outcomes: str = "outcomes") -> DataFrame:
     Empty outcome maps give no rows.
     """
     e = raw.select(*[c for c in raw.columns if c != outcomes], F.explode(outcomes).alias("key", "ok"))
-XX
-            .withColumn("variant", F.regexp_extract("key", r"^(.*)-([^-]*)$", 2))
+    last_dash = r"(?s)^(.*)-([^-]*)$"
+    return (e.withColumn("system", F.regexp_extract("key", last_dash, 1))
+            .withColumn("variant", F.regexp_extract("key", last_dash, 2))
             .filter(F.col("key").contains("-")).drop("key"))
 
 
