@@ -541,7 +541,38 @@ def _listings(spark, sf_dir):
     return d.select(i.alias("listing_id"), code.alias("code"), addrs.alias("addresses"))
 
 
-@register("p2_listing_bodies")
+_LISTINGS_SQL = """lst as (
+  select doc_id listing_id,
+         concat('// ', lower(hex(doc_id * 64)), ': f0', chr(10), 'int f0(void)', chr(10), '{', chr(10),
+                '  if (x) { y(); }', chr(10), '  return 0;', chr(10), '}', chr(10),
+                '// ', lower(hex(doc_id * 64 + 1)), ': f1', chr(10), 'int f1(void) { return 1; }', chr(10),
+                '// ', lower(hex(doc_id * 64 + 2)), ': open', chr(10), 'void g(void)', chr(10), '{', chr(10), '  ',
+                regexp_replace(source, '[{}]', '', 'g')) code,
+         ['0x' || lower(hex(doc_id * 64)), '0x' || lower(hex(doc_id * 64 + 2)),
+          case when doc_id % 2 = 0 then '0x' || lower(hex(doc_id * 64 + 1)) else '0x0' end] addresses
+  from documents)"""
+
+
+@register("p2_listing_bodies", sql=f"""
+with {_LISTINGS_SQL},
+c as (select listing_id, code, addresses, unnest(generate_series(1, length(code))) i from lst),
+ch as (select *, substring(code, i, 1) ch from c),
+d as (select *, sum(case when ch = '{{' then 1 when ch = '}}' then -1 else 0 end)
+                  over (partition by listing_id order by i) depth from ch),
+m as (select listing_id, i s, depth ds, code, addresses,
+             regexp_extract(substring(code, 1, i), '// ([0-9A-Fa-f]+):$', 1) addr
+      from d where ch = ':' and regexp_matches(substring(code, 1, i), '// ([0-9A-Fa-f]+):$')),
+w as (select * from m where list_contains(list_transform(addresses, lambda a: a::BIGINT), ('0x' || addr)::BIGINT)),
+e as (select w.listing_id, w.s, w.code, w.addr,
+             (select min(d.i) from d where d.listing_id = w.listing_id and d.i > w.s and d.ch = '}}' and d.depth = w.ds) close
+      from w),
+b as (select e.*, (select min(d.i) from d where d.listing_id = e.listing_id and d.i > e.s and d.ch = chr(10)
+                   and (e.close is null or d.i < e.close)) nl from e)
+select listing_id, '0x' || lower(hex(('0x' || addr)::BIGINT)) address,
+       arg_max(trim(substring(code, coalesce(nl + 1, s + 1),
+                              coalesce(close, length(code) - 1) - coalesce(nl + 1, s + 1) + 1),
+                    ' ' || chr(9) || chr(10) || chr(13)), s) body
+from b group by all""")
 def p2_listing_bodies(spark, sf_dir):
     """Function bodies cut from address-commented listings (checked against a brute-force test)."""
     return L.listing_bodies(_listings(spark, sf_dir))
