@@ -671,7 +671,17 @@ def a6_candidates_roundtrip(spark, sf_dir):
     return SK.read_candidates(spark, path, ["angr", "hexrays"]).select("task_id", "system", "code")
 
 
-@register("a10_cer_results_nested")
+@register("a10_cer_results_nested", sql=f"""
+with {fx.RUNS_SQL},
+l3 as (select suite, item_id item, system, variant, list(struct_pack(probe := probe, ok := ok) order by probe, ok) runs
+       from runs group by all),
+l2 as (select suite, item, system,
+              map_from_entries(list(struct_pack(k := cast(variant as varchar), v := runs) order by cast(variant as varchar))) v
+       from l3 group by all),
+l1 as (select suite, item,
+              map_from_entries(list(struct_pack(k := cast(system as varchar), v := v) order by cast(system as varchar))) s
+       from l2 group by all)
+select suite, item, cast(to_json(s) as varchar) json from l1""")
 def a10_cer_results_nested(spark, sf_dir):
     """CER outcomes stored long (partitioned by suite) and rendered as nested JSON per item on demand."""
     runs = fx.runs(spark, sf_dir)

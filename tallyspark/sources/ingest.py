@@ -232,11 +232,20 @@ def flatten_outcomes(raw: DataFrame, outcomes: str = "outcomes") -> DataFrame:
 
 
 def nested_results_json(long: DataFrame) -> DataFrame:
-    """A10: nested item -> system -> variant -> [[probe, ok]] JSON per suite, built on demand."""
+    """A10: nested ``system -> variant -> [{probe, ok}]`` JSON per (suite, item), built on demand.
+
+    Entries are sorted (keys as text, runs by probe) so the text is deterministic.
+    Each level collects at most systems x variants x probes entries of one item.
+    """
+    def by_key(arr):
+        return F.array_sort(arr, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+
     lvl3 = (long.groupBy("suite", "item", "system", "variant")
             .agg(F.sort_array(F.collect_list(F.struct("probe", "ok"))).alias("runs")))
-    lvl2 = lvl3.groupBy("suite", "item", "system").agg(F.map_from_entries(F.collect_list(F.struct("variant", "runs"))).alias("v"))
-    lvl1 = lvl2.groupBy("suite", "item").agg(F.map_from_entries(F.collect_list(F.struct("system", "v"))).alias("s"))
+    lvl2 = lvl3.groupBy("suite", "item", "system").agg(F.map_from_entries(by_key(F.collect_list(
+        F.struct(F.col("variant").cast("string").alias("k"), F.col("runs").alias("v"))))).alias("v"))
+    lvl1 = lvl2.groupBy("suite", "item").agg(F.map_from_entries(by_key(F.collect_list(
+        F.struct(F.col("system").cast("string").alias("k"), F.col("v").alias("v"))))).alias("s"))
     return lvl1.select("suite", "item", F.to_json("s").alias("json"))
 
 
