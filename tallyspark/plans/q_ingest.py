@@ -764,7 +764,7 @@ def _files_spans(spark, sf_dir):
 @register("a4_extract_items", sql=f"""
 with {_SPANS_SQL},
 j as (select s.*, f.content from spans s join files f using (path)
-      where s.name = regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1)),
+      where s.name = regexp_extract(path, '([^/]*?)(\\.[^./]*)?$', 1)),
 b as (select *, case when sl = el and sc = ec then null
                      when sl = el then substring(string_split(content, chr(10))[sl], sc, ec - sc + 1)
                      else array_to_string(string_split(content, chr(10))[sl:el], chr(10)) || chr(10) end body from j),
