@@ -591,7 +591,8 @@ req as (select listing_id, substring(val, 19, position(' - ' in val) - 19) addre
 
 def _tokens(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    w = d.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).withColumn("pos", F.col("p") + 1)
+    w = (d.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("p", "word"))
+         .filter(F.col("p").isNotNull()).withColumn("pos", F.col("p") + 1))
     m = F.col("pos") % 40
     val = (F.when(m == 1, F.concat(F.lit("// Address range: 0x"), F.lower(F.hex(F.col("doc_id") * 1000 + F.col("pos"))),
                                    F.lit(" - 0xff")))
