@@ -11,15 +11,18 @@ Rules kept from the reference:
   * a shorter target is compared on its prefix only (an empty target passes);
     a longer target fails; a null target fails.
 
-Cost: when all trials are equal (the common case) the test is a prefix check
-(``startswith``) with no arrays. Only unstable baselines build per-character
-arrays (``split(t, '')`` is code-point safe); each row is independent, so the
-work partitions with the data.
+Cost: the baseline checks are plain column expressions over the (few) trial
+columns. A target that is a prefix of its baseline passes by ``startswith``
+with no arrays; only a target that differs from an unstable baseline builds
+per-character arrays (``split(t, '')`` is code-point safe), and only the
+positions where it differs are tested. Whole texts are processed; each row is
+independent, so the work partitions with the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,49 +30,66 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 
 
-def _rest_from_first_nonempty(trials: Column) -> Column:
-    first = F.array_position(F.transform(trials, lambda x: F.length(x) > 0), True)
-    # 0 when all are empty -> keep the whole (all-empty) array
-    return F.when(first > 0, F.slice(trials, first.cast("int"), F.size(trials))).otherwise(trials)
-
-
 def baseline_profile(df: DataFrame, keys: Sequence[str], trial_cols: Sequence[str]) -> DataFrame:
-    """One row per valid baseline: ``keys, base, base_len, all_equal, stable``.
+    """One row per valid baseline: ``keys, base, base_len, all_equal, rest``.
 
-    ``stable`` is a string of '1'/'0' per position (null when ``all_equal``).
-    Invalid baselines (error in a trial, length change) are dropped.
+    The trial columns are few (3 runs), so the checks are unrolled over them
+    as plain column expressions (codegen, no arrays). ``rest`` holds the
+    trials from the first non-empty one on, only when they differ (null when
+    ``all_equal``): per-position work is deferred to the few targets that need
+    it. Invalid baselines (error in a trial, length change) are dropped.
     """
-    trials = F.array(*[F.col(c) for c in trial_cols])
-    t = df.select(*keys, trials.alias("trials"))
-    t = t.filter(F.forall("trials", lambda x: x.isNotNull()))
-    t = t.withColumn("rest", _rest_from_first_nonempty(F.col("trials")))
-    base = F.col("rest")[0]
-    t = t.filter(F.forall("rest", lambda x: F.length(x) == F.length(base)))
-    t = t.withColumn("base", base).withColumn("base_len", F.length("base").cast("int"))
-    t = t.withColumn("all_equal", F.forall("rest", lambda x: x == F.col("base")))
-    # per-character work only for baselines whose trials differ; the char arrays
-    # are bound once (let) so the per-position test stays linear
-    stable = let(F.transform("rest", lambda x: F.split(x, "")), lambda chars: F.array_join(F.transform(
-        F.get(chars, 0),
-        lambda c, i: F.when(F.forall(chars, lambda arr: F.get(arr, i) == c), "1").otherwise("0")), ""))
-    t = t.withColumn("stable", F.when(F.col("all_equal") | (F.col("base_len") == 0), F.lit(None))
-                     .otherwise(stable))
-    return t.select(*keys, "base", "base_len", "all_equal", "stable")
+    ts = [F.col(c) for c in trial_cols]
+    lens = [F.length(t) for t in ts]
+    first = F.lit(0)
+    base = F.lit("")
+    for k in reversed(range(len(ts))):          # first non-empty trial (1-based), 0 if none
+        first = F.when(lens[k] > 0, F.lit(k + 1)).otherwise(first)
+        base = F.when(lens[k] > 0, ts[k]).otherwise(base)
+    t = df.select(*keys, *[t.alias(f"_t{k}") for k, t in enumerate(ts)], first.alias("_first"),
+                  base.alias("base"))
+    t = t.withColumn("base_len", F.length("base").cast("int"))
+    tc = [F.col(f"_t{k}") for k in range(len(ts))]
+    considered = [F.col("_first") <= k + 1 for k in range(len(ts))]   # trials from the first non-empty on
+    no_error = reduce(lambda a, b: a & b, [c.isNotNull() for c in tc])
+    same_len = reduce(lambda a, b: a & b, [~c | (F.length(x) == F.col("base_len")) for c, x in zip(considered, tc)])
+    t = t.filter(no_error & same_len)
+    equal = reduce(lambda a, b: a & b, [~c | (x == F.col("base")) for c, x in zip(considered, tc)])
+    t = t.withColumn("all_equal", equal)
+    rest = F.filter(F.array(*tc), lambda x, i: i + 1 >= F.greatest(F.col("_first"), F.lit(1)))
+    return t.select(*keys, "base", "base_len", "all_equal", F.when(~F.col("all_equal"), rest).alias("rest"))
+
+
+def stable_count(base: Column, base_len: Column, all_equal: Column, rest: Column) -> Column:
+    """Number of stable positions (all trials agree) of a baseline profile."""
+    counted = let(F.split(base, ""), lambda b: let(F.transform(rest, lambda x: F.split(x, "")), lambda cs: F.size(
+        F.filter(b, lambda c, i: F.forall(cs, lambda a: F.get(a, i) == c)))))
+    return F.when(all_equal | (base_len == 0), base_len).otherwise(counted)
 
 
 def target_passes(target: Column, base: Column, base_len: Column, all_equal: Column,
-                  stable: Column) -> Column:
-    """G6 predicate for one target against a baseline profile."""
+                  rest: Column) -> Column:
+    """G6 predicate for one target against a baseline profile.
+
+    Cheap tests first: null, too long, empty, and ``startswith`` (a target that
+    is a prefix of the baseline differs nowhere). Only a target that differs
+    from an unstable baseline looks at characters, and only at the positions
+    where it differs.
+    """
     tlen = F.length(target)
-    fast = F.startswith(base, target)
-    slow = let(F.split(base, ""), lambda bchars: let(F.split(stable, ""), lambda mask: F.size(F.filter(
-        F.split(target, ""), lambda c, i: (F.get(mask, i) == "1") & (F.get(bchars, i) != c))) == 0))
-    ok = (F.when(target.isNull(), F.lit(False))
-          .when(tlen > base_len, F.lit(False))
-          .when(tlen == 0, F.lit(True))
-          .when(all_equal, fast)
-          .otherwise(slow))
-    return ok
+
+    def slow(b: Column) -> Column:
+        diffs = F.filter(F.transform(F.split(target, ""), lambda c, i: F.when(c != F.get(b, i), i)),
+                         lambda i: i.isNotNull())
+        return let(F.transform(rest, lambda x: F.split(x, "")), lambda cs: ~F.exists(
+            diffs, lambda i: F.forall(cs, lambda a: F.get(a, i) == F.get(b, i))))
+
+    return (F.when(target.isNull(), F.lit(False))
+            .when(tlen > base_len, F.lit(False))
+            .when(tlen == 0, F.lit(True))
+            .when(F.startswith(base, target), F.lit(True))
+            .when(all_equal, F.lit(False))
+            .otherwise(let(F.split(base, ""), slow)))
 
 
 def diff_targets(profile: DataFrame, targets: DataFrame, keys: Sequence[str],
@@ -82,4 +102,4 @@ def diff_targets(profile: DataFrame, targets: DataFrame, keys: Sequence[str],
     """
     j = targets.join(profile, list(keys), "inner")
     return j.withColumn("passed", target_passes(F.col(target_col), F.col("base"), F.col("base_len"),
-                                                F.col("all_equal"), F.col("stable")))
+                                                F.col("all_equal"), F.col("rest")))

@@ -7,7 +7,7 @@ projections (no shuffle); their size grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
@@ -124,33 +124,39 @@ CANDIDATE_CODE_SQL = """cand as (
   from documents)"""
 
 # ---------------------------------------------------------------- F5 coverage texts
+# Whole documents as coverage texts: three baseline trials (the third one
+# unstable at position 11 for every 5th item, one character too long for every
+# 11th) and a target that is changed at a stable or later position, one
+# character short, one character long, empty, or equal.
 
 
 def coverage_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents")
     i, t = F.col("doc_id"), F.col("text")
-    s120 = F.substring(t, 1, 120)
+    n = F.length(t)
+
+    def put(pos: int, ch: str) -> Column:
+        return F.concat(F.substring(t, 1, pos - 1), F.lit(ch), F.substring(t, pos + 1, 1 << 30))
+
     return d.select(
-        i.alias("item_id"), s120.alias("t1"), s120.alias("t2"),
-        F.when(i % 5 == 0, F.concat(F.substring(t, 1, 10), F.lit("#"), F.substring(t, 12, 109)))
-         .when(i % 11 == 0, F.concat(s120, F.lit("x"))).otherwise(s120).alias("t3"),
-        F.when(i % 7 == 0, F.concat(F.substring(t, 1, 10), F.lit("@"), F.substring(t, 12, 109)))
-         .when(i % 7 == 1, F.substring(t, 1, 50))
-         .when(i % 7 == 2, F.concat(s120, F.lit("z")))
-         .when(i % 7 == 3, F.concat(F.substring(t, 1, 60), F.lit("@"), F.substring(t, 62, 59)))
-         .when(i % 7 == 4, F.lit("")).otherwise(s120).alias("target"))
+        i.alias("item_id"), t.alias("t1"), t.alias("t2"),
+        F.when(i % 5 == 0, put(11, "#")).when(i % 11 == 0, F.concat(t, F.lit("x"))).otherwise(t).alias("t3"),
+        F.when(i % 7 == 0, put(11, "@"))
+         .when(i % 7 == 1, F.substring(t, 1, n - 1))
+         .when(i % 7 == 2, F.concat(t, F.lit("z")))
+         .when(i % 7 == 3, put(61, "@"))
+         .when(i % 7 == 4, F.lit("")).otherwise(t).alias("target"))
 
 
 COVERAGE_TEXTS_SQL = """cov as (
-  select doc_id item_id, substring(text,1,120) t1, substring(text,1,120) t2,
-         case when doc_id % 5 = 0 then concat(substring(text,1,10),'#',substring(text,12,109))
-              when doc_id % 11 = 0 then concat(substring(text,1,120),'x')
-              else substring(text,1,120) end t3,
-         case when doc_id % 7 = 0 then concat(substring(text,1,10),'@',substring(text,12,109))
-              when doc_id % 7 = 1 then substring(text,1,50)
-              when doc_id % 7 = 2 then concat(substring(text,1,120),'z')
-              when doc_id % 7 = 3 then concat(substring(text,1,60),'@',substring(text,62,59))
-              when doc_id % 7 = 4 then '' else substring(text,1,120) end target
+  select doc_id item_id, text t1, text t2,
+         case when doc_id % 5 = 0 then concat(substring(text, 1, 10), '#', substring(text, 12))
+              when doc_id % 11 = 0 then concat(text, 'x') else text end t3,
+         case when doc_id % 7 = 0 then concat(substring(text, 1, 10), '@', substring(text, 12))
+              when doc_id % 7 = 1 then substring(text, 1, length(text) - 1)
+              when doc_id % 7 = 2 then concat(text, 'z')
+              when doc_id % 7 = 3 then concat(substring(text, 1, 60), '@', substring(text, 62))
+              when doc_id % 7 = 4 then '' else text end target
   from documents)"""
 
 # ---------------------------------------------------------------- F6 judge replies

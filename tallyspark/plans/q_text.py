@@ -178,40 +178,40 @@ def b2_compilable(spark, sf_dir):
 
 _BASELINE_SQL = f"""
 with {fx.COVERAGE_TEXTS_SQL},
-t as (select item_id, [t1, t2, t3] trials, target from cov
+t as (select item_id, t1, t2, t3, [t1, t2, t3] trials, target from cov
       where t1 is not null and t2 is not null and t3 is not null),
-r as (select item_id, target,
-             case when list_position(list_transform(trials, lambda x: length(x) > 0), true) > 0
-                  then trials[list_position(list_transform(trials, lambda x: length(x) > 0), true):]
-                  else trials end rest
-      from t),
-v as (select item_id, target, rest, rest[1] base, length(rest[1]) base_len from r
-      where len(list_filter(rest, lambda x: length(x) <> length(rest[1]))) = 0),
-p as (select item_id, target, base, base_len,
-             len(list_filter(rest, lambda x: x <> base)) = 0 all_equal,
-             list_transform(range(1, base_len + 1),
-                            lambda i: len(list_filter(rest, lambda x: substring(x, i, 1) <> substring(base, i, 1))) = 0) stab
-      from v)
+r as (select *, list_position(list_transform(trials, lambda x: length(x) > 0), true) k from t),
+v as (select *, case when k > 0 then trials[k] else '' end base from r),
+ok as (select * from v
+       where len(list_filter(case when k > 0 then trials[k:] else trials end,
+                             lambda x: length(x) <> length(base))) = 0),
+p as (select item_id, target, base, length(base) base_len,
+             len(list_filter(case when k > 0 then trials[k:] else trials end, lambda x: x <> base)) = 0 all_equal,
+             length(t1) l1, length(t2) l2, length(t3) l3,
+             string_split(t1, '') c1, string_split(t2, '') c2, string_split(t3, '') c3,
+             string_split(base, '') cb, string_split(target, '') ct
+      from ok)
 """
 
+_STABLE = "((l1 = 0 or c1[i] = cb[i]) and (l2 = 0 or c2[i] = cb[i]) and (l3 = 0 or c3[i] = cb[i]))"
 
-@register("g5_baseline_stability", sql=_BASELINE_SQL + """
-select item_id, cast(base_len as int) base_len, all_equal, cast(len(list_filter(stab, lambda s: s)) as int) n_stable from p""")
+
+@register("g5_baseline_stability", sql=_BASELINE_SQL + f"""
+select item_id, cast(base_len as int) base_len, all_equal,
+       cast(len(list_filter(range(1, base_len + 1), lambda i: {_STABLE})) as int) n_stable from p""")
 def g5_baseline_stability(spark, sf_dir):
     """Valid baselines with their length, equality of trials and number of stable positions."""
     prof = ST.baseline_profile(fx.coverage_texts(spark, sf_dir), ["item_id"], ["t1", "t2", "t3"])
-    n_stable = F.when(F.col("all_equal"), F.col("base_len")).otherwise(
-        F.length(F.regexp_replace(F.coalesce("stable", F.lit("")), "0", "")))
+    n_stable = ST.stable_count(F.col("base"), F.col("base_len"), F.col("all_equal"), F.col("rest"))
     return prof.select("item_id", "base_len", "all_equal", n_stable.cast("int").alias("n_stable"))
 
 
-@register("g6_target_diff", sql=_BASELINE_SQL + """
+@register("g6_target_diff", sql=_BASELINE_SQL + f"""
 select item_id,
        case when target is null then false
             when length(target) > base_len then false
             when length(target) = 0 then true
-            else len(list_filter(range(1, length(target) + 1),
-                     lambda i: stab[i] and substring(target, i, 1) <> substring(base, i, 1))) = 0 end passed
+            else len(list_filter(range(1, length(target) + 1), lambda i: {_STABLE} and ct[i] <> cb[i])) = 0 end passed
 from p""")
 def g6_target_diff(spark, sf_dir):
     """Target passes iff no stable baseline position differs (prefix compare; longer fails)."""
