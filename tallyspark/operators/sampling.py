@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.uniform import hash_uniform
 
@@ -66,31 +65,23 @@ def dense_index(df: DataFrame, order: Sequence[str], out: str = "seq", partition
 
     Range-partition + sort, materialise once (reliable checkpoint in the shared
     folder so both passes see the same partitions), count rows per partition
-    (one row per partition reaches the driver), then number rows inside each
-    partition from its offset.
+    (one row per partition reaches the driver), then number each row as its
+    partition's offset plus its position inside the partition - read from
+    ``monotonically_increasing_id`` (partition index << 33 | row), all in the JVM.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = ranged.checkpoint(eager=True)
-    counts = sorted(ranged.groupBy(F.spark_partition_id().alias("p")).count().collect())
-    offsets, acc = {}, 0
-    for p, c in counts:
-        offsets[p] = acc
-        acc += c
-    schema = T.StructType(list(ranged.schema.fields) + [T.StructField(out, T.LongType(), False)])
-    out_name = out
-
-    def number(batches):
-        from pyspark import TaskContext
-        base = offsets.get(TaskContext.get().partitionId(), 0)
-        i = 0
-        for pdf in batches:
-            pdf[out_name] = range(base + i, base + i + len(pdf))
-            i += len(pdf)
-            yield pdf
-
-    return ranged.mapInPandas(number, schema)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    counts = dict(ranged.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    n_parts = ranged.rdd.getNumPartitions()
+    offsets, acc = [], 0
+    for p in range(n_parts):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    pid = F.spark_partition_id()
+    within = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), pid + 1)
+    return ranged.withColumn(out, offset + within)
 
 
 def chunk_order(df: DataFrame, key: str = "task_id", size: int = 100, seed: str = "chunks") -> DataFrame:
