@@ -86,8 +86,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting names shared storage and is read, never replaced.
     Only when it is unset (local tests) a fresh folder is made under /tmp.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines cannot see a driver-local folder
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="tally-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
