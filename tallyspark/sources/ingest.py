@@ -264,8 +264,9 @@ def extract_items(files: DataFrame, spans: DataFrame) -> DataFrame:
     """
     from ..functions.code_text import span_text, split_prelude
 
-    s = (spans.join(files, "path")
-         .filter(F.col("name") == _file_stem(F.col("path")))
+    # keep only the stem's spans before the join, so a file's text travels
+    # with its one or two relevant spans, not with every function in the file
+    s = (spans.filter(F.col("name") == _file_stem(F.col("path"))).join(files, "path")
          .withColumn("body", span_text("content", "sl", "sc", "el", "ec"))
          .filter(F.col("body").isNotNull() & (F.col("body") != "")))
     decls = (s.filter(~F.col("is_definition")).groupBy("path")
