@@ -178,16 +178,14 @@ def _boot_group(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     a = pdf["model_a"].map(idx).to_numpy()
     b = pdf["model_b"].map(idx).to_numpy()
     wnr = pdf["winner"].to_numpy()
-    for k in range(len(pdf)):
-        if draw[k] == 0:
-            continue
-        if wnr[k] == "model_a":
-            win[a[k], b[k]] += 2 * draw[k]
-        elif wnr[k] == "model_b":
-            win[b[k], a[k]] += 2 * draw[k]
-        else:
-            win[a[k], b[k]] += draw[k]
-            win[b[k], a[k]] += draw[k]
+    d = draw.astype(float)
+    wa, wb = wnr == "model_a", wnr == "model_b"
+    tie = ~(wa | wb)
+    # 2 points to the winner, 1 to each side of a tie (vectorised scatter-add)
+    np.add.at(win, (a[wa], b[wa]), 2 * d[wa])
+    np.add.at(win, (b[wb], a[wb]), 2 * d[wb])
+    np.add.at(win, (a[tie], b[tie]), d[tie])
+    np.add.at(win, (b[tie], a[tie]), d[tie])
     present = (win.sum(axis=0) + win.sum(axis=1)) > 0
     keep = [s for s, p in zip(systems, present) if p]
     kidx = np.nonzero(present)[0]
