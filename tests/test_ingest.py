@@ -91,3 +91,21 @@ def test_splitlines_and_template(spark):
     one = spark.createDataFrame([("{code}",)], "v string")
     out = one.select(CT.render_template("<{a}> {{literal}} [{a}]", {"a": F.col("v")})).first()[0]
     assert out == "<{code}> {literal} [{code}]"
+
+
+def test_jsonl_sink_roundtrip(spark, tmp_path):
+    rows = [("angr", 0, "a0", 1), ("angr", 0, "a0-new", 5), ("angr", 1, "ERROR", 2), ("ghidra", 3, "g3", 1)]
+    df = spark.createDataFrame(rows, "system string, task_id long, code string, seq long")
+    path = str(tmp_path / "sink")
+    I.write_headered_jsonl(df, path)
+    back = sorted((r.system, r.task_id, r.code) for r in I.read_headered_jsonl(spark, path).collect())
+    assert back == [("angr", 0, "a0-new"), ("angr", 1, "ERROR"), ("ghidra", 3, "g3")]
+
+
+def test_range_slice_arguments(spark):
+    from tallyspark.operators import grids as G
+    df = spark.range(10).withColumnRenamed("id", "task_id")
+    assert [r.task_id for r in G.range_slice(df, 2, 4, 10).collect()] == [8, 9]
+    for args in [(-1, 4, 10), (0, 0, 10), (3, 4, 10)]:
+        with pytest.raises(ValueError):
+            G.range_slice(df, *args)
