@@ -66,3 +66,16 @@ def test_arguments(spark):
     df = spark.createDataFrame([(["cc", "-O2", "-o", "a.o", "x.c", "-o", "b"],), (["cc", "x.c", "-o"],)], "a array<string>")
     got = [r[0] for r in df.select(CT.clean_arguments("a")).collect()]
     assert got == [["-O2", "x.c", "-o", "b"], ["x.c"]]
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+BREAKS = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "a", "b c", "é", ""]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(BREAKS), max_size=12).map("".join), min_size=40, max_size=40))
+def test_splitlines_matches_python(spark, texts):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.s for r in df.select("k", CT.py_splitlines("t").alias("s")).collect()}
+    assert got == {k: t.splitlines() for k, t in enumerate(texts)}
