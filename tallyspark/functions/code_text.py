@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, let, py_strip
+from .text import col_, let, py_regex, py_strip
 
 # ---------------------------------------------------------------------------
 # Fixed values (patterns and literals that must equal the reference's)
@@ -21,8 +21,8 @@ VISIBILITY_HIDDEN = '__attribute__((visibility("hidden")))'
 VISIBILITY_DEFAULT = '__attribute__((visibility("default")))'
 VISIBILITY_HIDDEN_SHORT = '__visibility__("hidden")'
 VISIBILITY_DEFAULT_SHORT = '__visibility__("default")'
-UNDEF_LINE = r"(?U)(?d)#undef\s.*"
-EXTERN_LINE = r"(?U)^extern\s+"
+UNDEF_LINE = "(?U)(?d)" + py_regex(r"#undef\s.*")
+EXTERN_LINE = "(?U)" + py_regex(r"^extern\s+")
 EXTERN_WORD = "extern"
 WARNING_FLAG = r"(?d)\[-W(.*)\]"
 NO_WARNING_PREFIX = "-Wno-"

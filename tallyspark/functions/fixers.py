@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, let, lines, replace_first, unlines
+from .text import col_, let, lines, py_regex, replace_first, unlines
 
 Fixer = Callable[[Column, Column], Column]
 
@@ -40,8 +40,8 @@ BINJA_RULES = [
     (r"@ zmm0", ""),
     (r"@ zmm1", ""),
     (r"__pure", ""),
-    (U + r"truncf\(([^,]+),\s*[^)]+\)", "truncf($1)"),
-    (U + r"\[\s*0x[0-9a-fA-F]+\s*\]", ""),
+    (U + py_regex(r"truncf\(([^,]+),\s*[^)]+\)"), "truncf($1)"),
+    (U + py_regex(r"\[\s*0x[0-9a-fA-F]+\s*\]"), ""),
     (U + r"(\d+)f", "$1"),
     (r"nullptr", "NULL"),
     (r"cond:[^ \n]+", "cond"),
@@ -69,7 +69,7 @@ HEXRAYS_RULES = [
 
 REKO_RULES = [
     (U + r"(\d+)F\b", "$1"),
-    (U + r"\(\*\s*(\w+)\)", "* $1"),
+    (U + py_regex(r"\(\*\s*(\w+)\)"), "* $1"),
     (U + r"(\w+)\[\]", "$1"),
     (r"\.u0", ""),
 ]
@@ -78,11 +78,11 @@ RETDEC_GOTO = r"goto lab_0x([0-9a-f]+);"
 RETDEC_LABEL = r"lab_0x([0-9a-f]+):"
 RETDEC_COMMENT = r"// 0x([0-9a-f]+)"
 
-INCLUDE_RULE = (U + r"#include\s*<[^>]+>", "")
-LLM_DECLARATION = U + r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[a-zA-Z_]\w*\s*\([^;]*\);\s*$"
-LLM_DECLARATION_STAR = U + r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[\*]*[a-zA-Z_]\w*\s*\([^;]*\);\s*$"
-LLM_IMPLEMENTATION = (U + "(?d)" + r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+(?<name>[a-zA-Z_]\w*)"
-                      r"\s*\([^;]*\)\s*(?!.*;).*\{")
+INCLUDE_RULE = (U + py_regex(r"#include\s*<[^>]+>"), "")
+LLM_DECLARATION = U + py_regex(r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[a-zA-Z_]\w*\s*\([^;]*\);\s*$")
+LLM_DECLARATION_STAR = U + py_regex(r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[\*]*[a-zA-Z_]\w*\s*\([^;]*\);\s*$")
+LLM_IMPLEMENTATION = U + "(?d)" + py_regex(r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+(?<name>[a-zA-Z_]\w*)"
+                                          r"\s*\([^;]*\)\s*(?!.*;).*\{")
 
 # ---------------------------------------------------------------------------
 

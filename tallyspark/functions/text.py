@@ -47,3 +47,29 @@ def let(value: Column, body) -> Column:
     re-evaluated per element; binding them first keeps the work linear.
     """
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def py_regex(pattern: str) -> str:
+    """Python ``re`` whitespace in a Java pattern: ``\\s`` also matches U+001C-U+001F.
+
+    Python's ``\\s`` (str patterns) is ``str.isspace()``, which includes the
+    four separator controls that Java's Unicode ``\\s`` leaves out. Other
+    escapes are kept; the caller adds ``(?U)`` for Unicode ``\\w \\b \\d``.
+    """
+    out, in_class, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
+            if pattern[i + 1] == "s":
+                out.append("\\s\\x1c-\\x1f" if in_class else "[\\s\\x1c-\\x1f]")
+            else:
+                out.append(pattern[i:i + 2])
+            i += 2
+            continue
+        if c == "[" and not in_class:
+            in_class = True
+        elif c == "]" and in_class:
+            in_class = False
+        out.append(c)
+        i += 1
+    return "".join(out)

@@ -19,7 +19,8 @@ def q(s: str) -> str:
 def re2(p: str) -> str:
     """Java pattern of this package -> RE2 (ASCII fixtures, so (?U) is not needed)."""
     p = p.replace("(?U)", "").replace("(?d)", "").replace("(?<name>", "(?P<name>")
-    return p.replace(r"\s*(?!.*;).*\{", r"\s*[^;]*\{[^;]*$")
+    # the lookahead is not RE2; on one line it equals "no ';' in the rest and a '{'"
+    return p.replace(r"(?!.*;).*\{", r"[^;]*\{[^;]*$")
 
 
 def rep(r: str) -> str:

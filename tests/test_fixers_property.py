@@ -17,7 +17,8 @@ TOKENS = ["sub_1a", "sub_FF", "fn0a", "fnZ", "out.7", "out.12x", "field_-ab;", "
           "a[]", "r.u0", "nullptr", "cond:x1", "@ zmm0", "@ zmm1", "__pure", "truncf(a, 2)", "x@<rax>",
           "éb@<eax>", "#include <a.h>", "#include<b>", "void* fsbase;", "long in_FS_OFFSET;", "é", "ß", "٣",
           " ", "  ", "\t", "\n", "\r", ";", "{", "}", "(", ")", "*", "int ", "char *", "static ", "f", "g1",
-          "goto lab_0x1f;", "lab_0x1f:", "// 0x1f", "// 0x1", "goto lab_0x2;", "// 0x2"]
+          "goto lab_0x1f;", "lab_0x1f:", "// 0x1f", "// 0x1", "goto lab_0x2;", "// 0x2", "\x1c", "\u3000",
+          "#include\x1f<c>", "int\x1dh(int);", "(*\x1eq)"]
 
 code_strategy = st.lists(st.sampled_from(TOKENS), max_size=40).map("".join)
 
