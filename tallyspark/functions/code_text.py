@@ -12,21 +12,21 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, let, py_regex, py_strip
+from .text import col_, java_regex, let, py_strip, py_sub
 
 # ---------------------------------------------------------------------------
 # Fixed values (patterns and literals that must equal the reference's)
-LINE_DIRECTIVE = r"(?U)^# \d+ "
+LINE_DIRECTIVE = r"^# \d+ "
 VISIBILITY_HIDDEN = '__attribute__((visibility("hidden")))'
 VISIBILITY_DEFAULT = '__attribute__((visibility("default")))'
 VISIBILITY_HIDDEN_SHORT = '__visibility__("hidden")'
 VISIBILITY_DEFAULT_SHORT = '__visibility__("default")'
-UNDEF_LINE = "(?U)(?d)" + py_regex(r"#undef\s.*")
-EXTERN_LINE = "(?U)" + py_regex(r"^extern\s+")
+UNDEF_LINE = r"#undef\s.*"
+EXTERN_LINE = r"^extern\s+"
 EXTERN_WORD = "extern"
-WARNING_FLAG = r"(?d)\[-W(.*)\]"
+WARNING_FLAG = r"\[-W(.*)\]"
 NO_WARNING_PREFIX = "-Wno-"
-REFINED_FENCE = r"(?s)```refined\n(.*?)\n```"
+REFINED_FENCE = r"```refined\n(.*?)\n```"          # searched with DOTALL
 OUTPUT_FLAG = "-o"
 # Python str.splitlines() boundaries
 PY_LINE_BREAKS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
@@ -59,7 +59,8 @@ def address_hex(addr: Column | str) -> Column:
 # B10 -----------------------------------------------------------------------
 def clean_preprocessed(text: Column | str) -> Column:
     """Drop ``# <n> `` line markers, then make hidden visibility default."""
-    kept = F.filter(py_splitlines(text), lambda x: ~x.rlike(LINE_DIRECTIVE))
+    directive = java_regex(LINE_DIRECTIVE)
+    kept = F.filter(py_splitlines(text), lambda x: ~x.rlike(directive))
     joined = F.array_join(kept, "\n")
     return F.replace(joined, F.lit(VISIBILITY_HIDDEN), F.lit(VISIBILITY_DEFAULT))
 
@@ -132,7 +133,7 @@ def split_prelude(content: Column | str, declarations: Column | str, body: Colum
         pos = F.instr(txt, col_(body))
         head = F.substring(txt, 1, pos - 1)
         tail = F.substring(txt, pos + F.length(col_(body)), 1 << 30)
-        return F.when(pos > 0, F.concat(head, F.regexp_replace(tail, UNDEF_LINE, "")))
+        return F.when(pos > 0, F.concat(head, py_sub(tail, UNDEF_LINE, "")))
 
     return let(c, split)
 
@@ -141,8 +142,9 @@ def split_prelude(content: Column | str, declarations: Column | str, body: Colum
 def refined_code(output: Column | str) -> Column:
     """First ```refined block (lazy, DOTALL) stripped, else the whole output; stripped."""
     o = col_(output)
-    inner = F.regexp_extract(o, REFINED_FENCE, 1)
-    return py_strip(F.when(o.rlike(REFINED_FENCE), py_strip(inner)).otherwise(o))
+    fence = java_regex(REFINED_FENCE, dotall=True)
+    inner = F.regexp_extract(o, fence, 1)
+    return py_strip(F.when(o.rlike(fence), py_strip(inner)).otherwise(o))
 
 
 # B15 / B16 -------------------------------------------------------------------
@@ -189,15 +191,16 @@ def render_refine_prompt(model: Column | str, code: Column | str, completion_tem
 # B18 -----------------------------------------------------------------------
 def strip_extern(source: Column | str) -> Column:
     """On lines starting with ``extern<space>``, remove every ``extern``."""
+    ext = java_regex(EXTERN_LINE)
     return F.array_join(F.transform(F.split(col_(source), "\n", -1),
-                                    lambda x: F.when(x.rlike(EXTERN_LINE), F.replace(x, F.lit(EXTERN_WORD), F.lit("")))
+                                    lambda x: F.when(x.rlike(ext), F.replace(x, F.lit(EXTERN_WORD), F.lit("")))
                                     .otherwise(x)), "\n")
 
 
 # B19 / B20 -------------------------------------------------------------------
 def warnings(stderr: Column | str) -> Column:
     """Every ``[-W...]`` (greedy within a line, as the reference)."""
-    return F.regexp_extract_all(col_(stderr), F.lit(WARNING_FLAG), 1)
+    return F.regexp_extract_all(col_(stderr), F.lit(java_regex(WARNING_FLAG)), 1)
 
 
 def suppress_flags(warns: Column | str) -> Column:

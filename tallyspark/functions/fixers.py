@@ -6,8 +6,9 @@ higher-order array functions, so it runs inside whole-stage codegen with no
 Python UDF. :func:`apply_fixers` dispatches over a long ``(system, code)``
 table with one ``CASE`` expression; :func:`register_fixer` adds a system.
 
-Regex dialect: patterns are written for Java. ``(?U)`` gives Unicode ``\\w \\b
-\\s \\d`` (Python semantics) and ``(?d)`` makes ``.`` stop only at ``\\n``.
+Regex dialect: the rules are stated in Python ``re`` syntax and run through
+``functions.text.java_regex``, which keeps Python's meaning of ``\\w \\s \\d \\b``
+and ``.`` on Java regex.
 """
 
 from __future__ import annotations
@@ -17,35 +18,33 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_, let, lines, py_regex, replace_first, unlines
+from .text import col_, java_regex, let, lines, py_sub, py_sub_first, unlines
 
 Fixer = Callable[[Column, Column], Column]
 
 # ---------------------------------------------------------------------------
 # Fixed values (rewrite rules and literals that must equal the reference's
-# normalisation; order matters within each list).
+# normalisation, in Python ``re`` syntax; order matters within each list).
 
-U = "(?U)"
-
-SUB_NAME = "sub_[0-9a-fA-F]+"          # first one becomes FUNC0
-REKO_NAME = "fn[0-9a-fA-F]+"           # first one becomes FUNC0
+SUB_NAME = r"sub_[0-9a-fA-F]+"          # first one becomes FUNC0
+REKO_NAME = r"fn[0-9a-fA-F]+"           # first one becomes FUNC0
 FUNC0 = "func0"
 
 ANGR_RULES = [
-    (U + r"\bout\.(\d+)\b", "out_$1"),
-    (U + r"field_-(\w+);", "field____$1"),
+    (r"\bout\.(\d+)\b", r"out_\1"),
+    (r"field_-(\w+);", r"field____\1"),
 ]
 
 BINJA_RULES = [
     (r"@ zmm0", ""),
     (r"@ zmm1", ""),
     (r"__pure", ""),
-    (U + py_regex(r"truncf\(([^,]+),\s*[^)]+\)"), "truncf($1)"),
-    (U + py_regex(r"\[\s*0x[0-9a-fA-F]+\s*\]"), ""),
-    (U + r"(\d+)f", "$1"),
+    (r"truncf\(([^,]+),\s*[^)]+\)", r"truncf(\1)"),
+    (r"\[\s*0x[0-9a-fA-F]+\s*\]", ""),
+    (r"(\d+)f", r"\1"),
     (r"nullptr", "NULL"),
     (r"cond:[^ \n]+", "cond"),
-    (U + r"out\.(\d+)", "out_$1"),
+    (r"out\.(\d+)", r"out_\1"),
     (r"int128_t", "float"),
     (r"int512_t", "float"),
 ]
@@ -53,24 +52,25 @@ BINJA_PRELUDE = "\nuint64_t fsbase_content[0x100];\n"
 BINJA_LITERAL = ("void* fsbase;", "uint64_t* fsbase = fsbase_content;")
 
 DEWOLF_RULES = [
-    (U + r"\[\d+\]", ""),
+    (r"\[\d+\]", ""),
     (r"zx\.o\(0\)", "0"),
-    (U + r"\bunsigned int\b", "int"),
-    (U + r"\bint128_t\b", "float"),
-    (U + r"\bint512_t\b", "float"),
+    (r"\bunsigned int\b", "int"),
+    (r"\bint128_t\b", "float"),
+    (r"\bint512_t\b", "float"),
 ]
 
 GHIDRA_PRELUDE = "int __global_in_FS_OFFSET[0x100];\n"
 GHIDRA_LITERAL = ("long in_FS_OFFSET;", "long in_FS_OFFSET = (long)__global_in_FS_OFFSET;")
 
+# register-annotated names keep the part before '@' (the name is captured)
 HEXRAYS_RULES = [
-    (U + r"\b(\w+)@<[^>]+>", "$1"),
+    (r"\b(\w+)@<[^>]+>", r"\1"),
 ]
 
 REKO_RULES = [
-    (U + r"(\d+)F\b", "$1"),
-    (U + py_regex(r"\(\*\s*(\w+)\)"), "* $1"),
-    (U + r"(\w+)\[\]", "$1"),
+    (r"(\d+)F\b", r"\1"),
+    (r"\(\*\s*(\w+)\)", r"* \1"),
+    (r"(\w+)\[\]", r"\1"),
     (r"\.u0", ""),
 ]
 
@@ -78,36 +78,36 @@ RETDEC_GOTO = r"goto lab_0x([0-9a-f]+);"
 RETDEC_LABEL = r"lab_0x([0-9a-f]+):"
 RETDEC_COMMENT = r"// 0x([0-9a-f]+)"
 
-INCLUDE_RULE = (U + py_regex(r"#include\s*<[^>]+>"), "")
-LLM_DECLARATION = U + py_regex(r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[a-zA-Z_]\w*\s*\([^;]*\);\s*$")
-LLM_DECLARATION_STAR = U + py_regex(r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[\*]*[a-zA-Z_]\w*\s*\([^;]*\);\s*$")
-LLM_IMPLEMENTATION = U + "(?d)" + py_regex(r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+(?<name>[a-zA-Z_]\w*)"
-                                          r"\s*\([^;]*\)\s*(?!.*;).*\{")
+INCLUDE_RULE = (r"#include\s*<[^>]+>", "")
+LLM_DECLARATION = r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[a-zA-Z_]\w*\s*\([^;]*\);\s*$"
+LLM_DECLARATION_STAR = r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+[\*]*[a-zA-Z_]\w*\s*\([^;]*\);\s*$"
+LLM_IMPLEMENTATION = (r"^[ \t]*(?:[a-zA-Z_][\w\s\*\(\)]*)\s+(?P<function_name>[a-zA-Z_]\w*)"
+                      r"\s*\([^;]*\)\s*(?!.*;).*{")
 
 # ---------------------------------------------------------------------------
 
 
 def _chain(c: Column, rules) -> Column:
     for pat, rep in rules:
-        c = F.regexp_replace(c, pat, rep)
+        c = py_sub(c, pat, rep)
     return c
 
 
 def fix_angr(code: Column, _fn: Column | None = None) -> Column:
     """``out.N`` -> ``out_N``; ``field_-X;`` -> ``field____X`` (the ``;`` goes); first sub_ -> func0."""
-    return replace_first(_chain(code, ANGR_RULES), SUB_NAME, FUNC0)
+    return py_sub_first(_chain(code, ANGR_RULES), SUB_NAME, FUNC0)
 
 
 def fix_binja(code: Column, _fn: Column | None = None) -> Column:
     """Ordered rule list, prepend the fsbase array, literal fsbase rewrite, first sub_ -> func0."""
     c = F.concat(F.lit(BINJA_PRELUDE), _chain(code, BINJA_RULES))
     c = F.replace(c, F.lit(BINJA_LITERAL[0]), F.lit(BINJA_LITERAL[1]))
-    return replace_first(c, SUB_NAME, FUNC0)
+    return py_sub_first(c, SUB_NAME, FUNC0)
 
 
 def fix_dewolf(code: Column, _fn: Column | None = None) -> Column:
     """Drop ``[N]``, ``zx.o(0)`` -> 0, type rewrites, first sub_ -> func0."""
-    return replace_first(_chain(code, DEWOLF_RULES), SUB_NAME, FUNC0)
+    return py_sub_first(_chain(code, DEWOLF_RULES), SUB_NAME, FUNC0)
 
 
 def fix_ghidra(code: Column, _fn: Column | None = None) -> Column:
@@ -118,12 +118,12 @@ def fix_ghidra(code: Column, _fn: Column | None = None) -> Column:
 
 def fix_hexrays(code: Column, _fn: Column | None = None) -> Column:
     """``name@<reg>`` -> ``name``; first sub_ -> func0."""
-    return replace_first(_chain(code, HEXRAYS_RULES), SUB_NAME, FUNC0)
+    return py_sub_first(_chain(code, HEXRAYS_RULES), SUB_NAME, FUNC0)
 
 
 def fix_reko(code: Column, _fn: Column | None = None) -> Column:
     """Float suffix, ``(*p)``, ``a[]``, ``.u0``; first fnHEX -> func0."""
-    return replace_first(_chain(code, REKO_RULES), REKO_NAME, FUNC0)
+    return py_sub_first(_chain(code, REKO_RULES), REKO_NAME, FUNC0)
 
 
 def fix_retdec(code: Column, _fn: Column | None = None) -> Column:
@@ -132,21 +132,21 @@ def fix_retdec(code: Column, _fn: Column | None = None) -> Column:
     The rewrite is a literal replace, so ``// 0x12`` also hits ``// 0x12f8``.
     Labels are applied in ascending text order (the reference's order is arbitrary).
     """
-    needed = F.regexp_extract_all(code, F.lit(RETDEC_GOTO), 1)
-    defined = F.regexp_extract_all(code, F.lit(RETDEC_LABEL), 1)
-    comments = F.regexp_extract_all(code, F.lit(RETDEC_COMMENT), 1)
+    needed = F.regexp_extract_all(code, F.lit(java_regex(RETDEC_GOTO)), 1)
+    defined = F.regexp_extract_all(code, F.lit(java_regex(RETDEC_LABEL)), 1)
+    comments = F.regexp_extract_all(code, F.lit(java_regex(RETDEC_COMMENT)), 1)
     todo = F.array_sort(F.array_intersect(F.array_except(needed, defined), comments))
     return F.aggregate(todo, code, lambda acc, x: F.replace(
         acc, F.concat(F.lit("// 0x"), x), F.concat(F.lit("lab_0x"), x, F.lit(":// 0x"), x)))
 
 
 def _fix_llm(code: Column, fn: Column, declaration: str) -> Column:
-    c = replace_first(_chain(code, HEXRAYS_RULES), SUB_NAME, FUNC0)
-    c = F.regexp_replace(c, *INCLUDE_RULE)
+    c = py_sub_first(_chain(code, HEXRAYS_RULES), SUB_NAME, FUNC0)
+    c = py_sub(c, *INCLUDE_RULE)
+    decl, impl = java_regex(declaration), java_regex(LLM_IMPLEMENTATION)
     # tag every line once: declaration?, implemented name ('' when not an implementation)
     tagged = F.transform(lines(c), lambda x: F.struct(
-        x.alias("l"), x.rlike(declaration).alias("d"),
-        F.regexp_extract(x, LLM_IMPLEMENTATION, 1).alias("n")))
+        x.alias("l"), x.rlike(decl).alias("d"), F.regexp_extract(x, impl, 1).alias("n")))
 
     def with_tags(tg: Column) -> Column:
         # declarations are dropped only before the first implementation line

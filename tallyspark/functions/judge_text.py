@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import py_strip
+from .text import java_regex, py_strip
 
 # entry fields are kept as strings so a missing key can be told from a null value
 JUDGEMENT_SCHEMA = "map<string, map<string, map<string, string>>>"
@@ -23,8 +23,8 @@ JSON5_OPTIONS = {
 # Fixed values that must match the judge-output conventions:
 # fenced block markers tried in order, the characters stripped around a JSON
 # body before it is parsed, and the winner spellings.
-FENCE_JSON = r"(?s)```json(.*)```"
-FENCE_ANY = r"(?s)```(.*)```"
+FENCE_JSON = r"```json(.*)```"        # searched with DOTALL
+FENCE_ANY = r"```(.*)```"
 JSON_EDGE_CHARS = " \n\r\t`"
 WINNER_A = "a"
 WINNER_B = "b"
@@ -56,8 +56,8 @@ def parse_judgement(raw: Column, lenient: bool = True) -> Column:
     t = py_strip(raw)
     # a missing fence falls back to the whole text, whose parse already failed;
     # regexp_extract gives '' then, which fails the same way, so no rlike is needed
-    f1 = F.regexp_extract(t, FENCE_JSON, 1)
-    f2 = F.regexp_extract(t, FENCE_ANY, 1)
+    f1 = F.regexp_extract(t, java_regex(FENCE_JSON, dotall=True), 1)
+    f2 = F.regexp_extract(t, java_regex(FENCE_ANY, dotall=True), 1)
     return F.coalesce(_parse(t, lenient), _parse(f1, lenient), _parse(f2, lenient))
 
 

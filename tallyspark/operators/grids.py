@@ -12,12 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import col_
+from ..functions.text import col_, java_regex
 
 # Fixed value: artifact path layout and its parse pattern (suite, item, variant).
 PATH_PREFIX = "task-"
 PATH_SUFFIX = ".so"
-PATH_PATTERN = r"(?U)(?d)^task-([^_]+)_(.*)-(O\w).so"
+PATH_PATTERN = r"task-([^_]+)_(.*)-(O\w).so"      # matched at the start only
 STRIP_SUFFIX = ".strip"
 
 
@@ -34,13 +34,14 @@ def parse_artifact_path(path: Column | str) -> Column:
     a ``.strip`` file appends ``.strip`` to the variant. A suite containing
     ``_`` splits wrongly, as in the reference - prefer the real columns.
     """
+    pat = "(?d)^" + java_regex(PATH_PATTERN)[len("(?d)"):]
     base = F.regexp_extract(col_(path), r"([^/]*)$", 1)
-    ok = base.rlike(PATH_PATTERN)
-    var = F.regexp_extract(base, PATH_PATTERN, 3)
+    ok = base.rlike(pat)
+    var = F.regexp_extract(base, pat, 3)
     var = F.when(base.endswith(STRIP_SUFFIX), F.concat(var, F.lit(STRIP_SUFFIX))).otherwise(var)
     return F.struct(
-        F.when(ok, F.regexp_extract(base, PATH_PATTERN, 1)).alias("suite"),
-        F.when(ok, F.regexp_extract(base, PATH_PATTERN, 2)).alias("item"),
+        F.when(ok, F.regexp_extract(base, pat, 1)).alias("suite"),
+        F.when(ok, F.regexp_extract(base, pat, 2)).alias("item"),
         F.when(ok, var).alias("variant"),
         ok.alias("matched"))
 

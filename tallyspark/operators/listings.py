@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import py_strip
+from ..functions.text import java_regex, py_strip
 
 # Listing markers and runner messages.
 ADDRESS_COMMENT = re.compile(r"// ([0-9A-Fa-f]+):")
 RANGE_MARKER = "// Address range:"
-RANGE_ADDRESS = r"(?U)0x\w+"
+RANGE_ADDRESS = r"0x\w+"
 TIME_LIMIT = "Exceeded time limit"
 EMPTY_RESULT = "Empty decompile result"
 NO_DETAILS = "No details provided"
@@ -86,7 +86,7 @@ def token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listing_id"
     later bodies repeat earlier ones). A later body for the same address wins.
     Running sums over windows per listing (one binary's output).
     """
-    found = F.regexp_extract("val", RANGE_ADDRESS, 0)
+    found = F.regexp_extract("val", java_regex(RANGE_ADDRESS), 0)
     t = tokens.withColumn("_addr", F.when((F.col("kind") == "cmnt") & F.col("val").contains(RANGE_MARKER)
                                           & (found != ""), found))
     # requested addresses as one array per listing: the join is many-to-one on

@@ -18,13 +18,13 @@ TOKENS = ["sub_1a", "sub_FF", "fn0a", "fnZ", "out.7", "out.12x", "field_-ab;", "
           "éb@<eax>", "#include <a.h>", "#include<b>", "void* fsbase;", "long in_FS_OFFSET;", "é", "ß", "٣",
           " ", "  ", "\t", "\n", "\r", ";", "{", "}", "(", ")", "*", "int ", "char *", "static ", "f", "g1",
           "goto lab_0x1f;", "lab_0x1f:", "// 0x1f", "// 0x1", "goto lab_0x2;", "// 0x2", "\x1c", "\u3000",
-          "#include\x1f<c>", "int\x1dh(int);", "(*\x1eq)"]
+          "#include\x1f<c>", "int\x1dh(int);", "(*\x1eq)", "²", "x\u0301", "a\u203fb", "Ⅻ"]
 
 code_strategy = st.lists(st.sampled_from(TOKENS), max_size=40).map("".join)
 
 
 def py(rules):
-    return [(p.replace("(?U)", "").replace("(?d)", ""), r.replace("$1", r"\1")) for p, r in rules]
+    return rules                 # the rules are stated in Python syntax
 
 
 def py_angr(c, fn):
@@ -68,13 +68,12 @@ def py_retdec(c, fn):
 
 
 def py_llm(decl_pat):
-    decl = re.compile(decl_pat.replace("(?U)", ""))
-    impl = re.compile(FX.LLM_IMPLEMENTATION.replace("(?U)", "").replace("(?d)", "")
-                      .replace("(?<name>", "(?P<name>"))
+    decl = re.compile(decl_pat)
+    impl = re.compile(FX.LLM_IMPLEMENTATION)
 
     def f(c, fn):
         c = py_hexrays(c, fn)
-        c = re.sub(FX.INCLUDE_RULE[0].replace("(?U)", ""), "", c)
+        c = re.sub(FX.INCLUDE_RULE[0], "", c)
         out, started = [], False
         for line in c.split("\n"):
             if not started and decl.match(line):
@@ -82,8 +81,8 @@ def py_llm(decl_pat):
             m = impl.match(line)
             if m:
                 started = True
-                if m.group("name") != fn:
-                    line = line.replace(m.group("name"), fn)
+                if m.group("function_name") != fn:
+                    line = line.replace(m.group("function_name"), fn)
             out.append(line)
         return "\n".join(out)
     return f

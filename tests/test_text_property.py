@@ -11,7 +11,7 @@ from tallyspark.operators import grids as G
 
 ATOMS = [" ", "\t", "\n", "\r", "\u2028", "\u3000", "\xa0", "\x1c", "a", "é", "x1", "extern", "extern ",
          "extern\t", "```refined\n", "\n```", "```", "[-W", "]", "unused", "task-", "_", "-O2", "-Os", ".so",
-         ".strip", "/", "suite", "fn", "ß", "\u0663"]
+         ".strip", "/", "suite", "fn", "ß", "\u0663", "²", "x\u0301", "a\u203fb", "Ⅻ", "O²"]
 texts = st.lists(st.sampled_from(ATOMS), max_size=25).map("".join)
 
 
