@@ -119,8 +119,7 @@ def classify_runs(runs: DataFrame) -> DataFrame:
     exit, message = stdout + newline + stderr, stripped, or a default);
     ``runner_failure`` (output is a runner's failure message); else ``ok``.
     """
-    msg = F.regexp_replace(F.concat_ws("\n", F.coalesce("stdout", F.lit("")), F.coalesce("stderr", F.lit(""))),
-                           r"^\s+|\s+$", "")
+    msg = py_strip(F.concat_ws("\n", F.coalesce("stdout", F.lit("")), F.coalesce("stderr", F.lit(""))))
     reason = (F.when(F.col("timed_out"), F.lit("time_limit"))
               .when((F.col("returncode") == 0) & (F.coalesce(F.length("stdout"), F.lit(0)) == 0), F.lit("empty_result"))
               .when(F.col("returncode") != 0, F.lit("error"))
