@@ -29,13 +29,18 @@ STATE_SCHEMA = "ratings string"
 
 
 def write_in_run_order(battles: DataFrame, path: str, chunks_per_file: int) -> None:
-    """Write battles as one file per block of chunks, blocks in run order (arrival order)."""
-    top = battles.agg(F.max("chunk_seq")).collect()[0][0]
-    if top is None:
-        return
-    for lo in range(0, int(top) + 1, chunks_per_file):
-        blk = battles.filter((F.col("chunk_seq") >= lo) & (F.col("chunk_seq") < lo + chunks_per_file))
-        blk.coalesce(1).write.mode("append").parquet(path)
+    """Write battles as one file per block of chunks, blocks in run order (arrival order).
+
+    The input is computed once into a staging table partitioned by block;
+    each arrival file then copies one pruned partition.
+    """
+    spark = battles.sparkSession
+    stage = scratch_path(spark, "online-stage")
+    (battles.withColumn("_blk", F.floor(F.col("chunk_seq") / chunks_per_file).cast("long"))
+     .repartition("_blk").write.partitionBy("_blk").parquet(stage))
+    staged = spark.read.parquet(stage)
+    for k in sorted(r[0] for r in staged.select("_blk").distinct().collect()):
+        staged.filter(F.col("_blk") == k).drop("_blk").coalesce(1).write.mode("append").parquet(path)
 
 
 def run_online_elo_stream(spark: SparkSession, battle_dir: str, systems: Sequence[str], anchor: str,
