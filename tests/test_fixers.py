@@ -99,3 +99,19 @@ def test_register_fixer(spark):
 def test_compilable(spark, code, ok):
     df = spark.createDataFrame([(code,)], "code string")
     assert df.select(FX.compilable("code")).first()[0] is ok
+
+
+def test_register_pandas_udf_fixer(spark):
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def reverse(code: pd.Series, item: pd.Series) -> pd.Series:
+        return code.str[::-1]
+
+    FX.register_fixer("rev", lambda c, fn: reverse(c, fn))
+    try:
+        df = spark.createDataFrame([("rev", "abc", "f"), ("angr", "sub_1", "f")], "system string, code string, item string")
+        got = {r.system: r.o for r in df.select("system", FX.apply_fixers("system", "code", "item").alias("o")).collect()}
+        assert got == {"rev": "cba", "angr": "func0"}
+    finally:
+        del FX.FIXERS["rev"]
