@@ -62,7 +62,10 @@ def ship_package(spark: SparkSession) -> None:
     Pandas-UDF bodies refer to this package's functions; the driver zips the
     package once per application and Spark distributes it to the executors.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session ships code through its own artifacts
+        return
     app = sc.applicationId
     if app in _SHIPPED:
         return
