@@ -21,3 +21,17 @@ def test_shuffle_partition_invariance(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_grid_completion_equals_join_form(spark):
+    from pyspark.sql import functions as F
+    from tallyspark.operators import scoring
+    from tallyspark.plans import fixtures as fx
+    runs = fx.runs(spark, SF)
+    a = scoring.complete_outcomes(runs, ["suite", "item_id"], fx.RUN_SYSTEMS, fx.RUN_VARIANTS)
+    tested = runs.groupBy("suite", "item_id", "system", "variant").agg(F.bool_and("ok").alias("ok"))
+    grid = scoring.expand_by(scoring.expand_by(runs.select("suite", "item_id").distinct(), fx.RUN_SYSTEMS, "system"),
+                             fx.RUN_VARIANTS, "variant")
+    b = scoring.fill_missing_outcomes(grid, tested, ["suite", "item_id", "system", "variant"])
+    cols = ["suite", "item_id", "system", "variant", "ok"]
+    assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())

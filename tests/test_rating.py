@@ -77,3 +77,10 @@ def test_leaderboard_pivot(spark):
                                 "arena string, system string, median double")
     got = {r.system: (r.x, r.y) for r in R.leaderboard(med, ["x", "y"]).collect()}
     assert got == {"a": (1.0, 2.0), "b": (3.0, None)}
+
+
+def test_unlisted_aspects_count_only_overall(spark):
+    rows = [("a", "b", "x", "model_a"), ("a", "b", "typo", "model_b"), ("b", "a", "x", "tie")]
+    pw = {(r.arena, r.i, r.j): r.w for r in J.pairwise_table(battles_df(spark, rows), aspects=["x"]).collect()}
+    assert ("typo", "a", "b") not in pw
+    assert pw[("x", "a", "b")] == 2 + 1 and pw[(J.OVERALL, "a", "b")] == 2 + 0 + 1
