@@ -153,28 +153,30 @@ seq as (select row_number() over (order by cs.chunk_seq, ob.battle_id, ob.entry_
                cast(substr(model_a, 2) as int) + 1 ia, cast(substr(model_b, 2) as int) + 1 ib, w,
                lead(cs.chunk_seq) over (order by cs.chunk_seq, ob.battle_id, ob.entry_pos) is distinct from cs.chunk_seq last_in_chunk
         from ob join cs on cs.chunk_id = ob.battle_id // 100),
-seen as (select chunk_seq, list(distinct ia) sa from seq group by chunk_seq),
-steps as (select s.*, seen.sa from seq s join seen using (chunk_seq)),
-fold(rn, chunk_seq, r) as (
+chunk_list as (select chunk_seq, list(struct_pack(ia := ia, ib := ib,
+                    sa := case when w in ('a', 'A') then 1.0 when w in ('b', 'B') then 0.0 else 0.5 end) order by rn) bs,
+                    list(distinct ia) seen
+               from seq group by chunk_seq),
+numbered as (select row_number() over (order by chunk_seq) cn, * from chunk_list),
+fold(cn, chunk_seq, r) as (
   select 0::BIGINT, -1::BIGINT, list_transform(range(12), lambda k: 1000.0::DOUBLE)
   union all
-  select st.rn, st.chunk_seq,
-         list_transform(upd, lambda x, k: case when st.last_in_chunk and list_contains(st.sa, k)
-                                               then x + (800.0 - upd[{int(ANCHOR[1:]) + 1}]) else x end)
-  from fold f join steps st on st.rn = f.rn + 1,
-       lateral (select list_transform(f.r, lambda x, k:
-           case when k = st.ia then x + 4.0 * (sa - 1.0 / (1.0 + pow(10.0, (f.r[st.ib] - f.r[st.ia]) / 400.0)))
-                when k = st.ib then x + 4.0 * (1.0 - sa - 1.0 / (1.0 + pow(10.0, (f.r[st.ia] - f.r[st.ib]) / 400.0)))
-                else x end) upd
-                from (select case when st.w in ('a', 'A') then 1.0 when st.w in ('b', 'B') then 0.0 else 0.5 end sa))
+  select n.cn, n.chunk_seq,
+         list_transform(u.upd, lambda x, k: case when list_contains(n.seen, k)
+                                                 then x + (800.0 - u.upd[{int(ANCHOR[1:]) + 1}]) else x end)
+  from fold f join numbered n on n.cn = f.cn + 1,
+       lateral (select list_reduce(n.bs, lambda acc, b: list_transform(acc, lambda x, k:
+           case when k = b.ia then x + 4.0 * (b.sa - 1.0 / (1.0 + pow(10.0, (acc[b.ib] - acc[b.ia]) / 400.0)))
+                when k = b.ib then x + 4.0 * (1.0 - b.sa - 1.0 / (1.0 + pow(10.0, (acc[b.ia] - acc[b.ib]) / 400.0)))
+                else x end), f.r) upd) u
 )
 """
 
 
 @register("q3_online_elo", sql=_ONLINE_SQL + """
 select f.chunk_seq, concat('s', u.k - 1) system, round(u.x, 6) rating
-from fold f join steps st on st.rn = f.rn and st.last_in_chunk,
-     unnest(list_transform(f.r, lambda x, k: struct_pack(k := k, x := x))) t(u)
+from fold f, unnest(list_transform(f.r, lambda x, k: struct_pack(k := k, x := x))) t(u)
+where f.cn > 0
 """)
 def q3_online_elo(spark, sf_dir):
     """Ordered Elo fold over online battles in chunk run order; per-chunk anchor shift; snapshots."""
@@ -184,8 +186,8 @@ def q3_online_elo(spark, sf_dir):
 
 @register("q3_online_elo_stream", sql=_ONLINE_SQL + """
 select f.chunk_seq, concat('s', u.k - 1) system, round(u.x, 6) rating
-from fold f join steps st on st.rn = f.rn and st.last_in_chunk,
-     unnest(list_transform(f.r, lambda x, k: struct_pack(k := k, x := x))) t(u)
+from fold f, unnest(list_transform(f.r, lambda x, k: struct_pack(k := k, x := x))) t(u)
+where f.cn > 0
 """)
 def q3_online_elo_stream(spark, sf_dir):
     """The online fold as keyed streaming state: battle files arrive in run order, snapshots per chunk."""
