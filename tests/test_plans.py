@@ -35,3 +35,14 @@ def test_scans_are_pruned(plans):
             if re.search(r"lineitem\.parquet\]\n(?:.*\n)*?ReadSchema: struct<([^>]*)>", p)
             and any(m.count(":") >= 11 for m in re.findall(r"ReadSchema: struct<([^\n]*)>", p))]
     assert wide == []
+
+
+def test_python_only_where_designed(plans):
+    # Python runs only in bounded groups or per-batch helpers: rating fits, the
+    # bootstrap, the online fold, listing scans and the inference surface
+    allowed = {"g10_bt_expected_wins", "g11_calibrated_ratings", "g12_bootstrap_ratings",
+               "g14_bootstrap_leaderboard", "a11_scores_csv_roundtrip", "p2_listing_bodies", "u2_infer",
+               "s2_incremental_ratings"}
+    python_nodes = ("FlatMapGroupsInPandas", "MapInPandas", "ArrowEvalPython", "FlatMapGroupsInPandasWithState")
+    used = {n for n, p in plans.items() if any(x in p for x in python_nodes)}
+    assert used <= allowed, used - allowed
