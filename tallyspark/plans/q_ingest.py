@@ -784,3 +784,28 @@ def a4_extract_items(spark, sf_dir):
     """Items from source files + function spans: body, and prelude with declarations removed."""
     files, spans = _files_spans(spark, sf_dir)
     return I.extract_items(files, spans)
+
+
+# ---------------------------------------------------------------- A5 probe discovery
+_PROBES_SQL = """pr as (
+  select case when p_partkey % 40 = 0 then 'llvm-symbolizer'
+              when p_partkey % 40 = 1 then 'fuzz_1_patched'
+              else concat('fuzz_', p_partkey % 40) end probe,
+         (p_partkey % 40) % 3 <> 0 elf
+  from part)"""
+
+
+@register("a5_discover_probes", sql=f"""
+with {_PROBES_SQL}
+select distinct probe from pr where elf and probe <> 'llvm-symbolizer' and not ends_with(probe, '_patched')""")
+def a5_discover_probes(spark, sf_dir):
+    """Probe files written per probe folder (ELF header or a script), scanned as binary files."""
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey") % 40
+    probe = (F.when(k == 0, F.lit("llvm-symbolizer")).when(k == 1, F.lit("fuzz_1_patched"))
+             .otherwise(F.concat(F.lit("fuzz_"), k.cast("string"))))
+    content = F.when(k % 3 != 0, F.concat(F.lit("\x7fELF\x02\x01"), F.col("p_name"))) \
+        .otherwise(F.concat(F.lit("#!/bin/sh "), F.col("p_name")))
+    path = scratch_path(spark, "probes")
+    p.select(probe.alias("probe"), content.alias("value")).write.partitionBy("probe").text(path)
+    return I.discover_probes(spark, path, name_from="folder").select("probe").distinct()

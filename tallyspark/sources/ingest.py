@@ -106,16 +106,24 @@ def read_function_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 # A5 --------------------------------------------------------------------------
-def discover_probes(spark: SparkSession, root: str) -> DataFrame:
-    """A5: executables (ELF magic) in ``root``; the symbolizer and patched copies excluded."""
-    files = spark.read.format("binaryFile").load(root)
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
+def discover_probes(spark: SparkSession, root: str, name_from: str = "file") -> DataFrame:
+    """A5: executables (ELF magic) in ``root``; the symbolizer and patched copies excluded.
+
+    ``name_from='file'`` names a probe by its file (the build output layout);
+    ``'folder'`` by its ``key=value`` folder (a layout Spark writers produce).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if name_from == "folder":
+        name = F.regexp_extract("path", r"=([^/=]*)/[^/]*$", 1)
+    else:
+        name = F.regexp_extract("path", r"([^/]*)$", 1)
     magic = F.substring("content", 1, 4) == F.lit(ELF_MAGIC)
     return (files.select(name.alias("probe"), "path", magic.alias("is_elf"))
             .filter(F.col("is_elf") & (F.col("probe") != SYMBOLIZER) & ~F.col("probe").endswith(PATCHED_SUFFIX))
             .select("probe", "path"))
 
 
+
 # A7 --------------------------------------------------------------------------
 JSONL_SCHEMA = "model string, idx bigint, code string, seq bigint"
 
