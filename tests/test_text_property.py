@@ -46,3 +46,31 @@ def test_text_utilities_match_python(spark, xs):
         assert r["extern"] == py_extern(s)
         assert r["warn"] == re.findall(r"\[-W(.*)\]", s)
         assert tuple(r["path"]) == py_path(s), s
+
+
+def py_decode(raw):
+    """The service's status decode, with the prefix-length cut for error: (documented choice)."""
+    if not raw:
+        return ("completed", "Task not found")
+    if raw.startswith("completed:"):
+        return ("completed", raw[len("completed:"):].strip())
+    if raw.startswith("error:"):
+        return ("error", raw[len("error:"):].strip())
+    if raw.startswith("processing:"):
+        return ("processing", None)
+    if raw.startswith("failed:"):
+        return ("error", raw[len("failed:"):])
+    return (None, None)
+
+
+STATUS_ATOMS = ["completed:", "error:", "processing:", "failed:", " ", "　", "x", "{}", ":", "é"]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from(STATUS_ATOMS), max_size=6).map("".join)),
+                min_size=40, max_size=40))
+def test_status_decode_matches_python(spark, raws):
+    from tallyspark.operators.status import decode_status
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string")
+    got = {r.k: tuple(r.s) for r in df.select("k", decode_status("raw").alias("s")).collect()}
+    assert got == {k: py_decode(r) for k, r in enumerate(raws)}
