@@ -54,3 +54,12 @@ def test_matchups_follow_weights(spark):
 def test_eligible_pair(spark):
     df = spark.createDataFrame([("x", "y"), ("", "y"), ("none", "y"), (None, "y")], "a string, b string")
     assert [r[0] for r in df.select(S.eligible_pair(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+
+
+def test_hash_uniform_equals_python_md5(spark):
+    import hashlib
+    from tallyspark.functions.uniform import hash_uniform
+    df = spark.range(0, 500).withColumnRenamed("id", "k")
+    got = {r.k: r.u for r in df.select("k", hash_uniform("seed", F.col("k")).alias("u")).collect()}
+    want = {k: int(hashlib.md5(f"seed|{k}".encode()).hexdigest()[:8], 16) / 2 ** 32 for k in range(500)}
+    assert got == want
