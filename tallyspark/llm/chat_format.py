@@ -27,7 +27,6 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 CONTROL = ["<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "[ROLE]", "[AS]", "[/ROLE]"]
@@ -127,30 +126,31 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
                .repartition("conv").sortWithinPartitions("conv", "turn", "role", "text"))
 
     def fmt(batches):
-        open_id, turns, any_row = None, [], False
+        import pyarrow as pa
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([o[0] for o in out], ids), pa.array([o[1] for o in out], pa.string()),
+                 pa.array([[{"start": a, "end": z} for a, z in o[2]] for o in out],
+                          pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                names=[conv, "formatted", "loss_mask"])
+
+        open_id, turns = None, None
         for b in batches:
-            out = []
-            for c, r, t in zip(b["conv"].astype(object).where(b["conv"].notna(), None), b["role"], b["text"]):
-                if any_row and c != open_id:
+            out, ids = [], b.schema.field("conv").type
+            for c, r, t in zip(*(b.column(n).to_pylist() for n in ("conv", "role", "text"))):
+                if turns is not None and c != open_id:
                     out.append((open_id, *format_turns(turns)))
-                    turns = []
-                open_id, any_row = c, True
+                    turns = None
+                if turns is None:
+                    open_id, turns = c, []
                 turns.append((r, t))
             if out:
-                yield _frame(out, ids, kind)
-        if any_row:
-            yield _frame([(open_id, *format_turns(turns))], ids, kind)
-
-    ids = conv
-    return ordered.mapInPandas(fmt, f"`{conv}` {kind}, formatted string, "
-                                    "loss_mask array<struct<start: long, end: long>>")
-
+                yield batch(out)
+        if turns is not None:
+            yield batch([(open_id, *format_turns(turns))])
 
-def _frame(out, name, kind):
-    ids = [o[0] for o in out]
-    return pd.DataFrame({name: pd.array(ids, dtype="Int64") if kind in ("bigint", "int") else pd.Series(ids, dtype=object),
-                         "formatted": [o[1] for o in out],
-                         "loss_mask": [[{"start": a, "end": z} for a, z in o[2]] for o in out]})
+    return ordered.mapInArrow(fmt, f"`{conv}` {kind}, formatted string, loss_mask array<struct<start: long, end: long>>")
 
 
 def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -158,19 +158,22 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
     kind = formatted.schema[conv].dataType.simpleString()
 
     def read(batches):
+        import pyarrow as pa
         for b in batches:
             out = []
-            for s, mask in zip(b["formatted"], b["loss_mask"]):
+            for s, mask in zip(b.column("formatted").to_pylist(), b.column("loss_mask").to_pylist()):
                 h = hashlib.sha256()
                 turns = parse(s)
                 for r, t in turns:
                     h.update(f"{r}\n{t}\n".encode())
                 loss = "".join(unescape(s[m["start"]:m["end"]]) for m in mask)
                 out.append((len(turns), h.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(s)))
-            f = pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            f.insert(0, conv, b[conv].reset_index(drop=True))
-            yield f
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [b.column(conv)] + [pa.array(c, t) for c, t in zip(columns, (
+                    pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))],
+                names=[conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select(conv, "formatted", "loss_mask").mapInPandas(
+    return formatted.select(conv, "formatted", "loss_mask").mapInArrow(
         read, f"`{conv}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
               "formatted_chars long")

@@ -59,3 +59,8 @@ def tokenizer_path(name_or_path: str) -> str:
         return name_or_path
     import public_tokenizers
     return public_tokenizers.path(name_or_path)
+
+
+def schema_of(df: DataFrame, columns: list[str] | None = None) -> list[str]:
+    """``name type`` of columns, for the schema of a ``mapInArrow``."""
+    return [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (df.columns if columns is None else columns)]

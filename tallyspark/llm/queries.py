@@ -42,3 +42,25 @@ def op9(spark, sf_dir):
                                  "conv_id long, turn int, role string, text string")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
     return read_back(format_conversations(rows))
+
+
+@register("op8_warc")
+def op8(spark, sf_dir):
+    """Every page written to Zstandard WARC archives and read back from them."""
+    from .warc import read_archives, write_archives
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    back = read_archives(write_archives(pages))
+    return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("long"))
+
+
+@register("op7_decontaminate")
+def op7(spark, sf_dir):
+    """Every document scanned for 10-word windows of every benchmark item."""
+    from .decontaminate import find_contamination
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    found = find_contamination(docs, read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["word_end"] - x["word_start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
