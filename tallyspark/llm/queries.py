@@ -64,3 +64,11 @@ def op7(spark, sf_dir):
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.size("spans") > 0).alias("contaminated"))
+
+
+@register("op2_packing")
+def op2(spark, sf_dir):
+    """Every document packed into sequences of at most 2048 tokens."""
+    from .packing import pack
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return pack(docs, "byte_bpe_50k.json", keep=["doc_id"], derive={"ids_crc32": F.crc32("ids")})
