@@ -72,3 +72,12 @@ def op2(spark, sf_dir):
     from .packing import pack
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return pack(docs, "byte_bpe_50k.json", keep=["doc_id"], derive={"ids_crc32": F.crc32("ids")})
+
+
+@register("op10_quality")
+def op10(spark, sf_dir):
+    """Base rules on every document, and robust outliers per language and source among those that pass."""
+    from .quality import quality
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return quality(docs, keep=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
