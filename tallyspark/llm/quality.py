@@ -24,6 +24,7 @@ a value of its own; ties and repeated rows count as often as they occur.
 from __future__ import annotations
 
 import math
+from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,7 +34,8 @@ from .common import fresh, materialize, schema_of
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_same_as_last", "n_capitals"]
+_CAPITALS = bytes(range(65, 91))
 
 
 #: sizes of the halves, up to a window of 8 words, and an odd multiplier for each
@@ -67,7 +69,8 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     """The counts of COUNTS for one text."""
     if not text:
         return (0,) * len(COUNTS)
-    words = text.encode().split()
+    raw = text.encode()
+    words = raw.split()
     seen, lines, dup = set(), 0, 0
     for line in text.split("\n"):
         if line.strip(SPACES):
@@ -77,7 +80,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
             else:
                 seen.add(line)
     return (len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), lines, dup,
-            repeated_words(words))
+            repeated_words(words), sum(map(eq, words, words[1:])), len(raw) - len(raw.translate(None, _CAPITALS)))
 
 
 def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -103,7 +106,7 @@ def base_failed(names: dict[str, str]) -> Column:
 
 def features(names: dict[str, str]) -> dict[str, tuple[Column, float]]:
     """The transformed statistics and the floors under their standard deviations."""
-    n, chars, sym, lines, dup, rep = (F.col(names[c]).cast("double") for c in COUNTS)
+    n, chars, sym, lines, dup, rep, same, caps = (F.col(names[c]).cast("double") for c in COUNTS)
     one = F.lit(1.0)
     share = lambda a, b: F.asin(F.sqrt(F.least(a / F.greatest(b, one), one)))  # noqa: E731  variance-stabilised
     return {
@@ -111,6 +114,8 @@ def features(names: dict[str, str]) -> dict[str, tuple[Column, float]]:
         "symbols": (F.log1p(100 * sym / F.greatest(chars, one)), 0.15),
         "dup_lines": (share(dup, lines), 0.2),
         "repeats": (share(rep, n), 0.2),
+        "same_as_last": (share(same, n), 0.1),
+        "capitals": (share(caps, chars), 0.1),
     }
 
 
