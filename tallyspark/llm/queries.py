@@ -81,3 +81,16 @@ def op10(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return quality(docs, keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op6_toxicity")
+def op6(spark, sf_dir):
+    """Every document scored by compression with dictionaries learnt from the labelled rows that are not held out."""
+    from .toxicity import score, train
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train(docs.filter(third != 1).join(labels.filter(third != 1), "doc_id"))
+    return score(docs, model, keep=["doc_id"]).select(
+        "doc_id", (F.coalesce(third, F.lit(-1)) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
