@@ -64,3 +64,23 @@ def tokenizer_path(name_or_path: str) -> str:
 def schema_of(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     """``name type`` of columns, for the schema of a ``mapInArrow``."""
     return [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (df.columns if columns is None else columns)]
+
+
+class Bounded(dict):
+    """Values made on demand. The first ``limit`` keys stay (frequent ones come early), later ones for a while."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.late = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.late.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(self) < self.limit:
+                self[key] = value
+            else:
+                if len(self.late) * 4 >= self.limit:
+                    self.late.clear()
+                self.late[key] = value
+        return value

@@ -27,7 +27,7 @@ from collections import namedtuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import fresh, materialize, schema_of, tokenizer_path
+from .common import Bounded, fresh, materialize, schema_of, tokenizer_path
 
 # -- tokenising ---------------------------------------------------------------------------------------------------
 
@@ -42,10 +42,18 @@ _PART = re.compile(f" ?[{_LETTER}]+(?=[{_SPACE}{_ASCII_MARK}]|\\Z)| ?[.,]+(?=[{_
                    f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of every byte in a byte-level vocabulary: itself if it is visible in Latin-1, else the next from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
+
+
 class ByteLevelEncoder:
     """ids of texts by a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    Each distinct part is encoded once while it is in a cache of bounded size.
+    Texts are cut where the pre-tokeniser always cuts, and each distinct part
+    is encoded by the library once while it is in a cache of bounded size.
     Texts with a special token's string go to the library whole; so do all
     texts of a file that is not a plain byte-level BPE.
     """
@@ -62,26 +70,30 @@ class ByteLevelEncoder:
                  and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.whole = re.compile("|".join(map(re.escape, special)) if plain and special else "" if not plain else r"(?!)")
-        self.cache: dict[str, bytes] = {}
-        self.cache_parts = cache_parts
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [k for k, t in enumerate(texts) if self.whole.search(t)]
-        if whole and len(whole) == len(texts):
-            return self._library(texts)
-        parts = [_PART.findall(t) for t in texts]
-        if len(self.cache) > self.cache_parts:
-            self.cache.clear()
-        new = list(set().union(*parts) - self.cache.keys())
-        self.cache.update(zip(new, self._library(new)))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        for k, ids in zip(whole, self._library([texts[k] for k in whole])):
-            out[k] = ids
-        return out
+        model, letters = self.tokenizer.model, str.maketrans(_byte_letters())
+        word = re.compile(f" ?[{_LETTER}]+")
+
+        def part(p: str) -> bytes:  # a run of letters is one pre-token, so the model can take it at once
+            if word.fullmatch(p):
+                ids = [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]
+            else:
+                ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        self.parts = Bounded(part, cache_parts)
+        #: what stands between two spaces, with the first of them
+        self.chunks = Bounded(lambda c: self._join(" " + c), cache_parts)
+
+    def _join(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PART.findall(text)))
+
+    def __call__(self, text: str) -> bytes:
+        if self.whole.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks = text.split(" ")
+        if "" in chunks:  # spaces in a row, at the begin or the end
+            return self._join(text)
+        return self._join(chunks[0]) + b"".join(map(self.chunks.__getitem__, chunks[1:]))
 
 
 _ENCODERS: dict[str, ByteLevelEncoder] = {}
@@ -111,8 +123,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacit
             texts = [t or "" for t in b.column(text).to_pylist()]
             for lo, hi in _runs(texts):
                 rows, owner = [], []
-                for k, data in zip(range(lo, hi), encoder(texts[lo:hi])):
-                    data += end
+                for k in range(lo, hi):
+                    data = encoder(texts[k]) + end
                     n = len(data) // 4
                     first = n % capacity or capacity
                     for j, a in enumerate([0, *range(first, n, capacity)]):

@@ -94,3 +94,11 @@ def op6(spark, sf_dir):
     return score(docs, model, keep=["doc_id"]).select(
         "doc_id", (F.coalesce(third, F.lit(-1)) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op5_jaccard_join")
+def op5(spark, sf_dir):
+    """Every document with the component of documents whose 3-word shingle sets have a Jaccard similarity of 0.9."""
+    from .jaccard_join import similar_groups
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return similar_groups(docs, keep=["doc_id"])
