@@ -107,7 +107,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
 
 
 def train_on(tox: list[str], plain: list[str], shared_bytes: int = 1 << 19, own_bytes: int = 1 << 16,
-             max_windows: int = 100_000, ordinary_weight: float = 2.0, seed: int = 0) -> Model:
+             max_windows: int = 100_000, ordinary_weight: float = 1.25, seed: int = 0) -> Model:
     """A model from toxic and ordinary texts; a third of them is set aside for the calibration.
 
     ``ordinary_weight``: of an ordinary text in the calibration; the sample holds more toxic texts than a corpus.
