@@ -102,3 +102,14 @@ def op5(spark, sf_dir):
     from .jaccard_join import similar_groups
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return similar_groups(docs, keep=["doc_id"])
+
+
+@register("op3_repeats")
+def op3(spark, sf_dir):
+    """Every document without the bytes of 400-byte strings that occur elsewhere too."""
+    from .repeats import repeated_spans
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    found = repeated_spans(docs, keep=["doc_id"])
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        "kept_sha256")
