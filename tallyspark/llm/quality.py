@@ -168,6 +168,14 @@ def _inverse(sums: DataFrame, keys: list[str], p: int, floors: list[float], fact
     return sums.mapInArrow(invert, ", ".join([*schema_of(sums, keys), "n long, mean array<double>, inv array<double>"]))
 
 
+def _attach(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with its group's parameters; without keys, those of the one group as constants."""
+    if keys:
+        return rows.join(params, keys)
+    one = params.first()
+    return rows.withColumns({c: F.lit(one[c]) for c in params.columns})
+
+
 def _sums(rows: DataFrame, keys: list[str], xs: list[str]) -> DataFrame:
     p = len(xs)
     return rows.groupBy(*keys).agg(
@@ -187,7 +195,7 @@ def mcd(rows: DataFrame, keys: list[str], xs: list[str], floors: list[float], pa
     p = len(xs)
     centre = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(x, 0.5, 2000).alias(x) for x in xs])
     centre = materialize(centre.select(*keys, F.array(*xs).alias("mean")), "mcd-centre")
-    dev = rows.join(centre, keys).groupBy(*keys).agg(
+    dev = _attach(rows, centre, keys).groupBy(*keys).agg(
         F.count("*").alias("n"), F.first("mean").alias("mean"),
         *[F.percentile_approx(F.abs(F.col(x) - F.col("mean")[i]), 0.5, 2000).alias(f"_d{i}") for i, x in enumerate(xs)])
     diag = [1 / (F.pow(1.4826 * F.col(f"_d{i}"), 2) + floors[i] ** 2) if i == j else F.lit(0.0)
@@ -196,16 +204,16 @@ def mcd(rows: DataFrame, keys: list[str], xs: list[str], floors: list[float], pa
     q = chi2_quantile(part, p)
     factor = part / chi2_cdf(q, p + 2)
     for k in range(steps):
-        near = rows.join(now.drop("n"), keys).withColumn("_d", _distance(xs))
+        near = _attach(rows, now.drop("n"), keys).withColumn("_d", _distance(xs))
         cut = materialize(near.groupBy(*keys).agg(F.percentile_approx("_d", part, 2000).alias("_cut")), "mcd-cut")
-        inner = near.join(cut, keys).filter("_d <= _cut")
+        inner = _attach(near, cut, keys).filter("_d <= _cut")
         now = materialize(_inverse(_sums(inner, keys, xs), keys, p, floors, factor), "mcd-step")
     return now
 
 
 def robust_outliers(rows: DataFrame, group: list[str], xs: dict[str, float], damp: str | None = None,
                     min_rows: int = 200, tail: float = 1e-6, part: float = 0.75) -> DataFrame:
-    """``rows`` plus ``distance2`` (squared, from the group's estimate) and ``outlier``.
+    """``rows`` (not empty) plus ``distance2`` (squared, from the group's estimate) and ``outlier``.
 
     ``group``: columns from the finest to the coarsest grouping's prefix, as
     ``[language, source]``; ``xs``: columns and the floors of their standard
@@ -215,17 +223,12 @@ def robust_outliers(rows: DataFrame, group: list[str], xs: dict[str, float], dam
     """
     names, floors = list(xs), list(xs.values())
     p = len(names)
-    estimate = None
     levels = [group[:k] for k in range(len(group), -1, -1)]  # finest first, then all rows
     out = rows
     for k, keys in enumerate(levels):
-        by = keys or ["_all"]
-        source = rows if keys else rows.withColumn("_all", F.lit(0))
-        e = mcd(source, by, names, floors, part).select(*by, F.col("n").alias(f"_n{k}"), F.col("mean").alias(f"_m{k}"),
+        e = mcd(rows, keys, names, floors, part).select(*keys, F.col("n").alias(f"_n{k}"), F.col("mean").alias(f"_m{k}"),
                                                         F.col("inv").alias(f"_i{k}"))
-        if k < len(levels) - 1:
-            e = e.filter(F.col(f"_n{k}") >= part * min_rows)
-        out = out.join(e, keys, "left") if keys else out.withColumn("_all", F.lit(0)).join(e, "_all", "left").drop("_all")
+        out = out.join(e.filter(F.col(f"_n{k}") >= part * min_rows), keys, "left") if keys else _attach(out, e, keys)
     out = (out.withColumn("_mean", F.coalesce(*[f"_m{k}" for k in range(len(levels))]))
            .withColumn("_inv", F.coalesce(*[f"_i{k}" for k in range(len(levels))])))
     d2 = _distance(names, "_mean", "_inv") * (F.pow(F.col(damp), 2) if damp else 1)

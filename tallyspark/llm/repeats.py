@@ -37,8 +37,8 @@ ANCHOR = 128
 SPANS = "array<struct<start: long, end: long>>"
 
 
-def window_anchors(data: bytes, length: int, salt: int = 0) -> np.ndarray:
-    """The anchor's hash for the window from every position on."""
+def window_anchors(data: bytes, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the strings that may be anchors, and the least one in the window from every position on."""
     h = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,)) * (_A + np.uint64(2 * salt))
     h ^= h >> np.uint64(29)
     size, anchor = 8, min(ANCHOR, 1 << ((length // 2).bit_length() - 1))
@@ -58,17 +58,24 @@ def window_anchors(data: bytes, length: int, salt: int = 0) -> np.ndarray:
     p = p.reshape(blocks, width)
     ahead = np.minimum.accumulate(p, axis=1).ravel()
     behind = np.minimum.accumulate(p[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
+    return h, np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
 
 
 def anchor_runs(data: bytes, length: int, salt: int = 0):
-    """Runs of windows with one anchor: the hashes, and where segments (all bytes of the run's windows) start and end."""
+    """Runs of windows with one anchor: the hashes, where segments (all bytes of the run's windows) start and end, and
+    whether the anchor stands in several places of the segment, so that its windows may equal one another."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    m = window_anchors(data, length, salt)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+    h, m = window_anchors(data, length, salt)
     change = np.flatnonzero(m[1:] != m[:-1]) + 1
-    start, end = np.concatenate(([0], change)), np.concatenate((change, [len(m)])) + length - 1
-    return m[start].view(np.int64), start.astype(np.int32), end.astype(np.int32)
+    start, last = np.concatenate(([0], change)), np.concatenate((change, [len(m)])) - 1
+    view = np.lib.stride_tricks.sliding_window_view(h, len(h) - len(m) + 1)
+    several = np.zeros(len(start), bool)
+    for k in range(0, len(start), 1024):  # first place in the first window, last place in the last one
+        first = start[k:k + 1024] + view[start[k:k + 1024]].argmin(axis=1)
+        final = last[k:k + 1024] + view.shape[1] - 1 - view[last[k:k + 1024], ::-1].argmin(axis=1)
+        several[k:k + 1024] = first != final
+    return m[start].view(np.int64), start.astype(np.int32), (last + length).astype(np.int32), several
 
 
 def marked_parts(segments: list[bytes], places: list[int], length: int) -> list[list[tuple[int, int]]]:
@@ -130,20 +137,22 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, keep:
                     pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary()),
                     pa.array([len(r) for r in raw], pa.int64()),
                     pa.array([r[0] for r in runs], pa.list_(pa.int64())), pa.array([r[1] for r in runs], pa.list_(pa.int32())),
-                    pa.array([r[2] for r in runs], pa.list_(pa.int32()))],
-                names=[*kept, digest, n_bytes, "_anchor", "_start", "_end"])
+                    pa.array([r[2] for r in runs], pa.list_(pa.int32())), pa.array([r[3] for r in runs], pa.list_(pa.bool_()))],
+                names=[*kept, digest, n_bytes, "_anchor", "_start", "_end", "_several"])
 
     rows = docs.select(*dict.fromkeys([*kept, text])).mapInArrow(
-        cut, ", ".join([*schema_of(docs, kept), added, "_anchor array<long>, _start array<int>, _end array<int>"]))
+        cut, ", ".join([*schema_of(docs, kept), added, "_anchor array<long>, _start array<int>, _end array<int>, "
+                                                        "_several array<boolean>"]))
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "anchors")
     texts = materialize(rows.filter(F.col(n_bytes) >= length).groupBy(digest).agg(
         F.count("*").alias("copies"), F.min("_row").alias("_row")), "distinct-texts")
     runs = (rows.join(texts.select("_row", "copies"), "_row")
             .select(F.col(digest).alias("digest"), "copies",
-                    F.explode(F.arrays_zip("_anchor", "_start", "_end")).alias("r"))
+                    F.explode(F.arrays_zip("_anchor", "_start", "_end", "_several")).alias("r"))
             .select("digest", "copies", F.col("r._anchor").alias("anchor"), F.col("r._start").alias("start"),
-                    F.col("r._end").alias("end")))
-    shared = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+                    F.col("r._end").alias("end"), F.col("r._several").alias("several")))
+    shared = (runs.groupBy("anchor").agg(F.count("*").alias("n"), F.max("several").alias("several"))
+              .filter("n > 1 or several").select("anchor"))
     wanted = runs.join(shared, "anchor").groupBy("digest").agg(
         F.first("copies").alias("copies"), F.collect_list(F.struct("anchor", "start", "end")).alias("runs"))
     content = F.coalesce(F.col(text), F.lit(""))
@@ -229,7 +238,7 @@ def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int
                 out = []
                 for a, s, n in zip(*(b.column(c).to_pylist() for c in ("anchor", "bytes", "places"))):
                     name = xxhash.xxh3_128_digest(s)
-                    for k, x, z in zip(*(v.tolist() for v in anchor_runs(s, length, salt))):
+                    for k, x, z in zip(*(v.tolist() for v in anchor_runs(s, length, salt)[:3])):
                         out.append((a, name, x, (a * 0x9E3779B9 ^ k) + salt & 0x7FFFFFFFFFFFFFFF, n, s[x:z]))
                 columns = list(zip(*out)) or [()] * 6
                 yield pa.RecordBatch.from_arrays(
