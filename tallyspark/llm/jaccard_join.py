@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Bounded, fresh, materialize, schema_of, words
 from .components import connected_components
@@ -61,6 +61,10 @@ def shingles(text: str | None, n: int, word_hash) -> np.ndarray:
     return np.unique(h)
 
 
+def set_name(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 class Classes:
     """Size classes: class c holds sizes from ``start[c]`` to before ``start[c + 1]``, three steps of the threshold wide."""
 
@@ -170,56 +174,86 @@ def _grouped(batches, key: list[str]):
         yield rest
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100,
-                   block: int = 4096, forests: int = 4, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all by default) plus ``n_shingles`` and ``component_id``.
+def _groups(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, block: int, forests: int, keep: list[str]):
+    """Rows (``keep``, ``row``, ``n_shingles``, ``_node``) and the ``_label`` of nodes that have links.
 
-    ``component_id``: the least non-null ``key`` of the rows that links reach from a row, its own for rows without links.
+    A node is a distinct set, named by a 64-bit hash of its elements.
     """
-    kept = docs.columns if keep is None else keep
     classes = Classes(num, den)
-    row, size, comp = (fresh(x, docs.columns) for x in ("row", "n_shingles", "component_id"))
+    row, size = (fresh(x, docs.columns) for x in ("row", "n_shingles"))
+    columns = list(dict.fromkeys([*keep, key]))
+    keyed = docs.select(*dict.fromkeys([*columns, text])).withColumn("_text", F.xxhash64(F.col(text)))
+    columns = [*columns, "_text"]
 
     def sets(batches):
         import pyarrow as pa
-        word_hash = Bounded(xxhash.xxh3_64_intdigest, 500_000).__getitem__
+        word_hash = Bounded(xxhash.xxh3_64_intdigest, 300_000).__getitem__
         for b in batches:
             out = [shingles(t, n, word_hash) for t in b.column(text).to_pylist()]
-            sigs = [classes.signatures(s).view(np.int64) for s in out]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in columns] + [
-                    pa.array([len(s) for s in out], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in out], pa.binary()),
-                    pa.array(sigs, pa.list_(pa.int64())), pa.array([sketch(s) for s in out], pa.binary())],
-                names=[*columns, size, "_set", "_sigs", "_sketch"])
+                    pa.array([len(s) for s in out], pa.int64()), pa.array([set_name(s) for s in out], pa.int64()),
+                    pa.array([sketch(s) for s in out], pa.binary())], names=[*columns, size, "_node", "_sketch"])
 
-    columns = list(dict.fromkeys([*kept, key]))
-    keyed = docs.select(*dict.fromkeys([*columns, text])).withColumn("_text", F.xxhash64(F.col(text)))
-    columns = [*columns, "_text"]
-    rows = keyed.mapInArrow(sets, ", ".join([*schema_of(keyed, columns), f"{size} long, _set binary, _sigs array<long>, "
-                                                                        "_sketch binary"]))
+    def signatures(batches):
+        import pyarrow as pa
+        word_hash = Bounded(xxhash.xxh3_64_intdigest, 300_000).__getitem__
+        for b in batches:
+            out = [shingles(t, n, word_hash) for t in b.column(text).to_pylist()]
+            sigs = [classes.signatures(s).view(np.int64) for s in out]
+            names = [np.full(len(g), set_name(s), np.int64) for s, g in zip(out, sigs)]
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(names))],
+                                                 names=["sig", "node"])
+
+    rows = keyed.mapInArrow(sets, ", ".join([*schema_of(keyed, columns), f"{size} long, _node long, _sketch binary"]))
     rows = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "shingle-sets")
-    # one node per distinct set
-    nodes = materialize(rows.filter(F.col(size) > 0).groupBy("_set").agg(F.min(row).alias("node"), F.min(key).alias("least")),
-                        "distinct-sets")
-    reps = rows.join(nodes.select(F.col("node").alias(row)), row, "left_semi")
-    sigs = reps.select(F.col(row).alias("node"), F.explode("_sigs").alias("sig"))
-    hubs = sigs.groupBy("sig").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = sigs.join(hubs, "sig").filter("node <> hub").select("node", "hub").distinct()
+    sigs = docs.select(text).mapInArrow(signatures, "sig long, node long")
+    stars = (sigs.withColumn("hub", F.min("node").over(Window.partitionBy("sig"))).filter("node <> hub")
+             .select("node", "hub").distinct())
+    stars = materialize(stars, "stars", release=True)
     clusters = connected_components(stars, "node", "hub").withColumnRenamed("component", "cluster")
-    members = (clusters.join(reps.select(F.col(row).alias("node"), F.col(size).alias("n"), "_text", "_set", "_sketch"), "node")
-               .join(clusters.groupBy("cluster").agg(F.count("*").alias("many")), "cluster")
+    one = rows.groupBy(F.col("_node").alias("node")).agg(F.min(row).alias(row))
+    nodes = (clusters.join(one, "node").select("node", "cluster", row)
+             .join(rows.select(row, F.col(size).alias("n"), "_text", "_sketch"), row))
+    members = (nodes.join(clusters.groupBy("cluster").agg(F.count("*").alias("many")), "cluster")
                .withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
-               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("many"))
-    members = materialize(members, "cluster-members")
-    slices = _slices(docs, members, text, n)
-    labels = _links(members, slices, num, den, forests)
+               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("many", row))
+    members = materialize(members, "cluster-members", release=True)
+    labels = _links(members, _slices(docs, members, text, n), num, den, forests)
+    return rows, row, size, labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100,
+                   block: int = 4096, forests: int = 4, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all by default) plus ``n_shingles`` and ``component_id``.
+
+    ``component_id``: the least non-null ``key`` of the rows that links reach from a row, its own for rows without links.
+    """
+    kept = docs.columns if keep is None else keep
+    comp = fresh("component_id", docs.columns)
+    rows, _, size, labels = _groups(docs, key, text, n, num, den, block, forests, kept)
+    final = _least(rows, size, labels, F.min(key).alias("_low")).select("_node", "_low")
+    return rows.join(final, "_node", "left").select(*kept, size, F.coalesce("_low", F.col(key)).alias(comp))
+
+
+def _least(rows: DataFrame, size: str, labels: DataFrame, aggregate) -> DataFrame:
+    """``aggregate`` over the rows of every component, for each of its nodes."""
+    sets = rows.filter(F.col(size) > 0)
+    own = sets.select("_node").distinct().join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
+    own = materialize(own, "components")
+    return own.join(sets.join(own, "_node").groupBy("_label").agg(aggregate), "_label")
+
 
-    named = nodes.join(labels, "node", "left").select("_set", "node", "least", F.coalesce("label", "node").alias("label"))
-    low = named.groupBy("label").agg(F.min("least").alias("low"))
-    final = named.join(low, "label").select("_set", F.col("low").alias(comp))
-    return rows.join(final, "_set", "left").select(
-        *kept, size, F.coalesce(F.col(comp), F.col(key)).alias(comp))
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100,
+                block: int = 4096, forests: int = 4) -> DataFrame:
+    """The rows of ``docs`` without the near-duplicates of rows that stay: of each component, the row with the least
+    non-null ``key`` (of several such rows, any one). Rows without words stay."""
+    rows, row, size, labels = _groups(docs, key, text, n, num, den, block, forests, docs.columns)
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    first = _least(rows, size, labels, F.min(order).alias("first")).select(F.col("first.row").alias(row)).distinct()
+    empty = rows.filter(F.col(size) == 0).select(row)
+    return rows.join(first.unionByName(empty), row, "left_semi").select(*docs.columns)
 
 
 def _slices(docs: DataFrame, members: DataFrame, text: str, n: int) -> DataFrame:
@@ -227,26 +261,27 @@ def _slices(docs: DataFrame, members: DataFrame, text: str, n: int) -> DataFrame
 
     def cut(batches):
         import pyarrow as pa
-        word_hash = Bounded(xxhash.xxh3_64_intdigest, 500_000).__getitem__
+        word_hash = Bounded(xxhash.xxh3_64_intdigest, 300_000).__getitem__
         for b in batches:
             owner, part, elements = [], [], []
             for t in b.column(text).to_pylist():
                 s = shingles(t, n, word_hash)
+                name = set_name(s)
                 at = np.searchsorted(s >> np.uint64(61), np.arange(SLICES + 1, dtype=np.uint64))
                 for k in range(SLICES):
                     if at[k + 1] > at[k]:
-                        owner.append(xxhash.xxh3_128_digest(s.tobytes()))
+                        owner.append(name)
                         part.append(k)
                         elements.append(s[at[k]:at[k + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.binary()), pa.array(part, pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(part, pa.int32()),
                                               pa.array(elements, pa.list_(pa.int64()))],
-                                             names=["_set", "slice", "elements"])
+                                             names=["node", "slice", "elements"])
 
-    texts = (docs.select(text, F.xxhash64(F.col(text)).alias("_text"))
-             .join(members.select("_text").distinct(), "_text", "left_semi")
-             .dropDuplicates(["_text", text]).select(text))
-    parts = texts.mapInArrow(cut, "_set binary, slice int, elements array<long>").dropDuplicates(["_set", "slice"])
-    return materialize(parts.join(members.select("_set", "node"), "_set").select("node", "slice", "elements"), "slices")
+    # the texts whose hash a member has; other texts of the same hash give slices that no pair asks for
+    texts = docs.select(F.xxhash64(F.col(text)).alias("_text"), text).dropDuplicates(["_text", text])
+    texts = texts.join(members.select("_text").distinct(), "_text", "left_semi").select(text)
+    return materialize(texts.mapInArrow(cut, "node long, slice int, elements array<long>").dropDuplicates(["node", "slice"]),
+                       "slices", release=True)
 
 
 def _links(members: DataFrame, slices: DataFrame, num: int, den: int, forests: int) -> DataFrame:

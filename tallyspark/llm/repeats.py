@@ -116,16 +116,10 @@ def without(data: bytes, spans) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, keep: list[str] | None = None,
-                   shard_bytes: int = 3 << 19, anchor_bytes: int = 1 << 21) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (all by default) plus ``n_bytes``, ``spans`` (byte ranges to remove) and
-    ``kept_sha256`` of the bytes that remain."""
+def _text_spans(docs: DataFrame, text: str, length: int, keep: list[str], shard_bytes: int, anchor_bytes: int):
+    """Rows (``keep``, ``_digest``, ``_bytes``), and by digest the texts to mark as a whole and the spans of others."""
     if length < 32:
         raise ValueError("length must be at least 32 bytes")
-    spark = docs.sparkSession
-    kept = docs.columns if keep is None else keep
-    n_bytes, spans, sha, digest = (fresh(x, docs.columns) for x in ("n_bytes", "spans", "kept_sha256", "text_digest"))
-    added = f"{digest} binary, {n_bytes} long"
 
     def cut(batches):
         import pyarrow as pa
@@ -133,21 +127,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, keep:
             raw = [(t or "").encode() for t in b.column(text).to_pylist()]
             runs = [anchor_runs(r, length) for r in raw]
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in kept] + [
+                [b.column(c) for c in keep] + [
                     pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary()),
                     pa.array([len(r) for r in raw], pa.int64()),
                     pa.array([r[0] for r in runs], pa.list_(pa.int64())), pa.array([r[1] for r in runs], pa.list_(pa.int32())),
                     pa.array([r[2] for r in runs], pa.list_(pa.int32())), pa.array([r[3] for r in runs], pa.list_(pa.bool_()))],
-                names=[*kept, digest, n_bytes, "_anchor", "_start", "_end", "_several"])
+                names=[*keep, "_digest", "_bytes", "_anchor", "_start", "_end", "_several"])
 
-    rows = docs.select(*dict.fromkeys([*kept, text])).mapInArrow(
-        cut, ", ".join([*schema_of(docs, kept), added, "_anchor array<long>, _start array<int>, _end array<int>, "
-                                                        "_several array<boolean>"]))
+    rows = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(
+        cut, ", ".join([*schema_of(docs, keep), "_digest binary, _bytes long, _anchor array<long>, _start array<int>, "
+                                                "_end array<int>, _several array<boolean>"]))
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "anchors")
-    texts = materialize(rows.filter(F.col(n_bytes) >= length).groupBy(digest).agg(
+    texts = materialize(rows.filter(F.col("_bytes") >= length).groupBy("_digest").agg(
         F.count("*").alias("copies"), F.min("_row").alias("_row")), "distinct-texts")
     runs = (rows.join(texts.select("_row", "copies"), "_row")
-            .select(F.col(digest).alias("digest"), "copies",
+            .select(F.col("_digest").alias("digest"), "copies",
                     F.explode(F.arrays_zip("_anchor", "_start", "_end", "_several")).alias("r"))
             .select("digest", "copies", F.col("r._anchor").alias("anchor"), F.col("r._start").alias("start"),
                     F.col("r._end").alias("end"), F.col("r._several").alias("several")))
@@ -158,14 +152,24 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, keep:
     content = F.coalesce(F.col(text), F.lit(""))
     bodies = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("body")).dropDuplicates(["digest"])
     bodies = materialize(bodies.join(wanted, "digest"), "texts-with-shared-anchors")
-
     segments = materialize(bodies.select("digest", "copies", "body", "runs").mapInArrow(
         _segments, "anchor long, segment binary, digest binary, start int, end int, copies long, bytes binary"), "segments")
     marks = _marks(segments, length, shard_bytes, anchor_bytes)
-    found = (segments.select("anchor", "segment", "digest", "start").join(marks, ["anchor", "segment"])
+    found = (segments.filter("copies = 1").select("anchor", "segment", "digest", "start").join(marks, ["anchor", "segment"])
              .select("digest", (F.col("start") + F.col("low")).cast("long").alias("low"),
                      (F.col("start") + F.col("high")).cast("long").alias("high"))
              .groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("found")))
+    whole = texts.filter("copies > 1").select("_digest", F.lit(True).alias("_whole"))
+    return rows, whole, bodies, found
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, keep: list[str] | None = None,
+                   shard_bytes: int = 3 << 19, anchor_bytes: int = 1 << 21) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all by default) plus ``n_bytes``, ``spans`` (byte ranges to remove) and
+    ``kept_sha256`` of the bytes that remain."""
+    kept = docs.columns if keep is None else keep
+    n_bytes, spans, sha = (fresh(x, docs.columns) for x in ("n_bytes", "spans", "kept_sha256"))
+    rows, whole, bodies, found = _text_spans(docs, text, length, kept, shard_bytes, anchor_bytes)
 
     def finish(batches):
         import pyarrow as pa
@@ -177,18 +181,43 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, keep:
                             hashlib.sha256(without(body.encode(), s)).hexdigest()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("digest"), pa.array([o[0] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array([o[1] for o in out], pa.string())], names=[digest, "_spans", "_sha"])
-
-    partly = bodies.filter("copies = 1").select("digest", "body").join(found, "digest").mapInArrow(
-        finish, f"{digest} binary, _spans {SPANS}, _sha string")
-    whole = texts.filter("copies > 1").select(digest, F.lit(True).alias("_whole"))
-    none = F.array().cast(SPANS)
-    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col(n_bytes).alias("end")))
-    return (rows.select(*kept, digest, n_bytes).join(whole, digest, "left").join(partly, digest, "left")
-            .select(*kept, n_bytes,
-                    F.when(F.col("_whole"), all_).otherwise(F.coalesce("_spans", none)).alias(spans),
+                 pa.array([o[1] for o in out], pa.string())], names=["_digest", "_spans", "_sha"])
+
+    partly = bodies.select("digest", "body").join(found, "digest").mapInArrow(
+        finish, f"_digest binary, _spans {SPANS}, _sha string")
+    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_bytes").alias("end")))
+    return (rows.select(*kept, "_digest", "_bytes").join(whole, "_digest", "left").join(partly, "_digest", "left")
+            .select(*kept, F.col("_bytes").alias(n_bytes),
+                    F.when(F.col("_whole"), all_).otherwise(F.coalesce("_spans", F.array().cast(SPANS))).alias(spans),
                     F.when(F.col("_whole"), F.sha2(F.lit(""), 256)).otherwise(
-                        F.coalesce("_sha", F.lower(F.hex(digest)))).alias(sha)))
+                        F.coalesce("_sha", F.lower(F.hex("_digest")))).alias(sha)))
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, shard_bytes: int = 3 << 19,
+                   anchor_bytes: int = 1 << 21) -> DataFrame:
+    """``docs`` with the marked bytes cut from ``text``; a character that is cut in part goes as a whole.
+
+    Rows stay, also those of which nothing remains; null texts stay null.
+    """
+    _, whole, _, found = _text_spans(docs, text, length, [], shard_bytes, anchor_bytes)
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    joined = docs.withColumn("_digest", digest).join(whole, "_digest", "left").join(
+        found.withColumnRenamed("digest", "_digest"), "_digest", "left")
+
+    def cut(batches):
+        import pyarrow as pa
+        for b in batches:
+            out = []
+            for t, all_, ranges in zip(*(b.column(c).to_pylist() for c in (text, "_whole", "found"))):
+                if t and all_:
+                    t = ""
+                elif t and ranges:
+                    t = without(t.encode(), join_spans([(r["low"], r["high"]) for r in ranges])).decode(errors="ignore")
+                out.append(t)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in docs.columns],
+                                             names=docs.columns)
+
+    return joined.select(*docs.columns, "_whole", "found").mapInArrow(cut, ", ".join(schema_of(docs)))
 
 
 def _segments(batches):
