@@ -113,3 +113,13 @@ def op3(spark, sf_dir):
     n = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return found.select("doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         "kept_sha256")
+
+
+@register("op1_suffix_lm")
+def op1(spark, sf_dir):
+    """Every document scored by a suffix tree learnt from the nine tenths that are not held out."""
+    from .suffix_lm import score
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    tenth = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10))
+    return score(docs, tenth != 0).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+                                          "train_tokens", "base_score", "score")
