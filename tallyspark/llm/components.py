@@ -2,39 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction: every node links its larger (or not larger) neighbours to the least of its neighbourhood."""
-    both = edges if not large else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = both.join(least, "u")
+    """One contraction: every node links its larger neighbours (or all its smaller ones and itself) to the least of
+    its neighbourhood. Links are (u, v) with u > v; one shuffle by node."""
     if large:
-        out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+        edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = F.least("u", F.min("v").over(Window.partitionBy("u")))
+    seen = edges.withColumn("m", least)
+    if large:
+        return seen.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    ends = F.explode(F.array("v", "u"))
+    return seen.select(ends.alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def connected_components(edges: DataFrame, u: str, v: str, most: int = 60) -> DataFrame:
     """``node``, ``component`` (the least node) for every node with a link to another one.
 
     Every pass writes its links to the shared folder; passes go on until the
-    links are stars. Links of a node are aggregated, never gathered.
+    links no longer change, when they are stars.
     """
-    e = (edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct())
-    e = materialize(e, "links")
+    e = materialize(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "links")
     last = None
     for _ in range(most):
-        e = materialize(_star(_star(e, True), False), "links")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
+        if now == last or not now[0]:
             break
         last = now
+        # few links are written as few files
+        e = materialize(_star(_star(e, True), False).distinct().coalesce(max(8, now[0] // 50_000)), "links")
     else:
         raise RuntimeError("the components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -225,7 +225,7 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, bl
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100,
-                   block: int = 4096, forests: int = 4, keep: list[str] | None = None) -> DataFrame:
+                   block: int = 4096, forests: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) plus ``n_shingles`` and ``component_id``.
 
     ``component_id``: the least non-null ``key`` of the rows that links reach from a row, its own for rows without links.
@@ -246,7 +246,7 @@ def _least(rows: DataFrame, size: str, labels: DataFrame, aggregate) -> DataFram
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100,
-                block: int = 4096, forests: int = 4) -> DataFrame:
+                block: int = 4096, forests: int = 2) -> DataFrame:
     """The rows of ``docs`` without the near-duplicates of rows that stay: of each component, the row with the least
     non-null ``key`` (of several such rows, any one). Rows without words stay."""
     rows, row, size, labels = _groups(docs, key, text, n, num, den, block, forests, docs.columns)
