@@ -201,6 +201,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, shard
     """
     _, whole, _, found = _text_spans(docs, text, length, [], shard_bytes, anchor_bytes)
     digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    columns = docs.columns
     joined = docs.withColumn("_digest", digest).join(whole, "_digest", "left").join(
         found.withColumnRenamed("digest", "_digest"), "_digest", "left")
 
@@ -214,8 +215,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, shard
                 elif t and ranges:
                     t = without(t.encode(), join_spans([(r["low"], r["high"]) for r in ranges])).decode(errors="ignore")
                 out.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in docs.columns],
-                                             names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in columns],
+                                             names=columns)
 
     return joined.select(*docs.columns, "_whole", "found").mapInArrow(cut, ", ".join(schema_of(docs)))
 
