@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import java_regex, py_strip
+from .text import java_regex, let, py_strip
 
-# entry fields are kept as strings so a missing key can be told from a null value
-JUDGEMENT_SCHEMA = "map<string, map<string, map<string, string>>>"
+#: categories of a reply in its order: whether it is an object, and its entries in order. An entry's ``state`` is
+#: 'ok', 'skip' (an object without a winner) or 'end' (no object, or a winner that is neither text nor empty).
+PARSED_TYPE = ("array<struct<category: string, is_object: boolean, entries: array<struct<aspect: string, state: string, "
+               "is_object: boolean, winner: string>>>>")
 
 JSON5_OPTIONS = {
     "allowComments": "true",
@@ -34,24 +36,64 @@ def _strip_edges(c: Column) -> Column:
     return F.btrim(c, F.lit(JSON_EDGE_CHARS))
 
 
-def _parse(c: Column, lenient: bool) -> Column:
-    body = _strip_edges(c)
-    # only an object can give the nested map; skip the (exception-driven) parse
-    # attempt when the body cannot start one (JSON5 allows a leading comment)
-    may_be_object = body.startswith("{") | body.startswith("/")
-    p = F.when(may_be_object, F.from_json(body, JUDGEMENT_SCHEMA, JSON5_OPTIONS))
+def _object(v: Column) -> Column:
+    """The fields of a variant object, null for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _entries(text: Column, fields: Column) -> Column:
+    """Entries of one category, in the order of its text; ``fields`` has the values with their JSON types."""
+    def entry(key):
+        return let(_object(fields[key]), lambda e: let(e["winner"], lambda w: F.struct(
+            key.alias("aspect"), _state(e, w).alias("state"), e.isNotNull().alias("is_object"),
+            F.try_variant_get(w, "$", "string").alias("winner"))))
+
+    return F.transform(_keys(F.from_json(text, "map<string,string>", JSON5_OPTIONS)), entry)
+
+
+def _keys(m: Column) -> Column:
+    """Keys in the order of the text; a repeated key stands where it was first (its last value counts)."""
+    return F.array_distinct(F.map_keys(m))
+
+
+def _last_text(m: Column, key: Column) -> Column:
+    return F.element_at(F.map_values(F.map_filter(m, lambda k, _: k == key)), -1)
+
+
+def _state(e: Column, winner: Column) -> Column:
+    kind = F.schema_of_variant(winner)
+    text = F.to_json(winner)
+    empty = kind.isin("VOID", "STRING") | text.isin("0", "0.0", "-0", "-0.0", "false", "[]", "{}")
+    return (F.when(e.isNull(), "end").when(~F.map_contains_key(e, "winner"), "skip")
+            .when(empty, "ok").otherwise("end"))
+
+
+def _parse(body: Column, lenient: bool) -> Column:
+    """The categories of a JSON object; an empty list for any other JSON value; null for what does not parse."""
+    def read(text):
+        # the values' types come from the variant, the order of the keys from the map
+        return let(F.from_json(text, "variant", JSON5_OPTIONS), lambda v: F.when(v.isNotNull(), let(
+            _object(v), lambda fields: F.when(fields.isNull(), F.array().cast(PARSED_TYPE)).otherwise(let(
+                F.from_json(text, "map<string,string>", JSON5_OPTIONS), lambda m: F.transform(
+                    _keys(m), lambda key: let(_object(fields[key]), lambda inner: F.struct(
+                        key.alias("category"), inner.isNotNull().alias("is_object"),
+                        F.when(inner.isNotNull(), _entries(_last_text(m, key), inner)).alias("entries")))))))))
+
+    body = _strip_edges(body)
+    p = read(body)
     if lenient:
-        # trailing commas parse after a pre-clean; only tried when the plain parse fails
-        cleaned = F.regexp_replace(body, r",(\s*[}\]])", "$1")
-        p = F.coalesce(p, F.when(may_be_object, F.from_json(cleaned, JUDGEMENT_SCHEMA, JSON5_OPTIONS)))
+        # trailing commas and plus signs parse after a pre-clean, tried only when the plain parse fails
+        cleaned = F.regexp_replace(F.regexp_replace(body, r",(\s*[}\]])", "$1"), r"([:\[,]\s*)\+(?=[0-9.])", "$1")
+        p = F.coalesce(p, read(cleaned))
     return p
 
 
 def parse_judgement(raw: Column, lenient: bool = True) -> Column:
     """Whole text as JSON, else the greedy ```json fence, else the greedy ``` fence.
 
-    A fence that is absent means the text itself is tried again.
-    Returns ``map<category, map<aspect, map<field, string>>>`` or null.
+    Returns the categories and entries of :data:`PARSED_TYPE`; an empty list
+    when the reply is JSON but no object, null when nothing parses. One odd
+    value never loses the rest of a reply.
     """
     t = py_strip(raw)
     # a missing fence falls back to the whole text, whose parse already failed;

@@ -25,8 +25,7 @@ from .judgements import cells as battle_cells
 
 # Fixed values of the rating model (must equal the reference's):
 # logistic scale 800 with base 10 around an initial rating of 1000, solver
-# tolerance 1e-6; online Elo uses K 4, scale 400, base 10, chunk anchor 800;
-# the calibrated anchor value is 1141.86; 100 bootstrap rounds.
+# tolerance 1e-6; the calibrated anchor value is 1141.86; 100 bootstrap rounds.
 SCALE = 800.0
 BASE = 10.0
 INIT_RATING = 1000.0
@@ -58,14 +57,16 @@ def _strongly_connected(m: int, win: np.ndarray) -> bool:
 
 
 def fit_bradley_terry(systems: Sequence[str], win: np.ndarray, scale: float = SCALE,
-                      base: float = BASE, init: float = INIT_RATING, tol: float = TOL):
+                      base: float = BASE, init: float = INIT_RATING, tol: float = TOL, max_steps: int = 200):
     """MLE of ``P(i > j) = 1 / (1 + base ** -(c_i - c_j))`` for a weight matrix.
 
     ``win[i, j]`` is the weight of i beating j (2 per win, 1 per tie). Returns
     (ratings = scale * c + init with mean(c) = 0, status). The mean-zero
     normalisation is where an unpenalised logistic fit without intercept
     started at zero converges. Non-identifiable data (win graph not strongly
-    connected) gives all-null ratings and ``status='not_identifiable'``.
+    connected) gives all-null ratings and ``status='not_identifiable'``; a fit
+    that has not settled after ``max_steps`` steps gives null ratings and
+    ``status='not_converged'``.
     """
     m = len(systems)
     if m == 0:
@@ -77,7 +78,7 @@ def fit_bradley_terry(systems: Sequence[str], win: np.ndarray, scale: float = SC
     n = win + win.T
     lb = math.log(base)
     theta = np.zeros(m)  # theta = ln(base) * c
-    for _ in range(200):
+    for _ in range(max_steps):
         d = theta[:, None] - theta[None, :]
         p = 1.0 / (1.0 + np.exp(-d))
         grad = (win - n * p).sum(axis=1)
@@ -89,16 +90,18 @@ def fit_bradley_terry(systems: Sequence[str], win: np.ndarray, scale: float = SC
         # damped Newton: halve until the log-likelihood does not drop
         ll0 = float((win * np.log(p + 1e-300)).sum())
         t = 1.0
-        for _h in range(60):
+        while True:
             cand = theta + t * step
             dc = cand[:, None] - cand[None, :]
             pc = 1.0 / (1.0 + np.exp(-dc))
-            if float((win * np.log(pc + 1e-300)).sum()) >= ll0 - 1e-12:
+            if float((win * np.log(pc + 1e-300)).sum()) >= ll0 - 1e-12 or t * np.max(np.abs(step)) < tol * 1e-4:
                 break
             t /= 2
         theta = theta + t * step
         if np.max(np.abs(t * step)) < tol * 1e-4:
             break
+    else:
+        return np.full(m, np.nan), "not_converged"
     c = theta / lb
     c = c - c.mean()
     return scale * c + init, "ok"
@@ -138,10 +141,10 @@ def expected_wins(pairwise: DataFrame, ratings: DataFrame, scale: float = SCALE,
     """G10' check: ``sum_j N_ij * P_ij`` from fitted ratings (equals observed ``sum_j W_ij`` at the MLE).
 
     Every battle puts 2 points on the pair, so ``N_ij = W_ij + W_ji = 2 * n_ij``
-    and no self-join of the pairwise table is needed; the ratings (arenas x M
-    rows) are broadcast.
+    and no self-join of the pairwise table is needed. The ratings have a row
+    per arena and system; whether to broadcast them is left to their size.
     """
-    r = F.broadcast(ratings.select("arena", "system", "rating"))
+    r = ratings.select("arena", "system", "rating")
     ri = r.select("arena", F.col("system").alias("i"), F.col("rating").alias("ri"))
     rj = r.select("arena", F.col("system").alias("j"), F.col("rating").alias("rj"))
     t = pairwise.select("arena", "i", "j", "n").join(ri, ["arena", "i"]).join(rj, ["arena", "j"])
@@ -190,7 +193,15 @@ def _boot_group(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     keep = [s for s, p in zip(systems, present) if p]
     kidx = np.nonzero(present)[0]
     ratings, status = fit_bradley_terry(keep, win[np.ix_(kidx, kidx)])
-    return pd.DataFrame({"arena": arena, "round": rnd, "system": keep, "rating": ratings, "status": status})
+    points = win[kidx].sum(axis=1)
+    return pd.DataFrame({"arena": arena, "round": rnd, "system": keep, "rating": ratings, "status": status,
+                         "points": points, "expected": _expected_points(ratings, win[np.ix_(kidx, kidx)]),
+                         "battles": int(draw.sum())})
+
+
+def _expected_points(ratings: np.ndarray, win: np.ndarray) -> np.ndarray:
+    d = (ratings[:, None] - ratings[None, :]) / SCALE
+    return ((win + win.T) / (1.0 + BASE ** -d)).sum(axis=1)
 
 
 def bootstrap_ratings(battles: DataFrame, rounds: int = BOOTSTRAP_ROUNDS, seed: int = 0,
@@ -198,27 +209,27 @@ def bootstrap_ratings(battles: DataFrame, rounds: int = BOOTSTRAP_ROUNDS, seed:
                       aspects: list[str] | None = None) -> DataFrame:
     """``rounds`` resamples (with replacement, same size) of each arena's battles.
 
+    Output: the fit, the ``points`` (2 per win, 1 per tie) that the system drew,
+    those that the fit expects, and the number of ``battles`` drawn.
+
     Exact in distribution: resampling N battles = Multinomial(N, cell / N) over
     (model_a, model_b, winner) cells. Rounds are fanned out by ``explode``
     (no join) and fitted in parallel, one bounded group per (arena, round).
     """
-    c = battle_cells(battles, arena_col, with_overall)
-    if aspects is not None:
-        from .judgements import OVERALL
-        c = c.filter(F.col("arena").isin(OVERALL, *aspects))
+    c = battle_cells(battles, arena_col, with_overall, aspects)
     fan = c.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    return fan.groupBy("arena", "round").applyInPandas(lambda p: _boot_group(p, seed), FIT_SCHEMA)
+    return fan.groupBy("arena", "round").applyInPandas(
+        lambda p: _boot_group(p, seed), FIT_SCHEMA + ", points double, expected double, battles long")
 
 
 def median_scores(ratings: DataFrame, keys: Sequence[str] = ("arena", "system"),
                   value: str = "rating") -> DataFrame:
-    """Median over rounds (interpolated, nulls skipped), highest first."""
-    return (ratings.groupBy(*keys).agg(F.median(value).alias("median"))
-            .orderBy(*keys[:-1], F.desc("median")))
+    """Median over rounds (interpolated, nulls skipped). Order it where it is shown."""
+    return ratings.groupBy(*keys).agg(F.median(value).alias("median"))
 
 
 def leaderboard(medians: DataFrame, aspects: Sequence[str], arena_col: str = "arena",
                 value: str = "median") -> DataFrame:
     """System x aspect matrix of medians; the aspect list is explicit (no extra pass)."""
     return (medians.filter(F.col(arena_col).isin(*aspects))
-            .groupBy("system").pivot(arena_col, list(aspects)).agg(F.first(value)))
+            .groupBy("system").pivot(arena_col, list(aspects)).agg(F.max(value)))

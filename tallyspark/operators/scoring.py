@@ -38,9 +38,9 @@ def recompile_rate(flags: DataFrame, flag_col: str = "flag",
 
 def all_pass(runs: DataFrame, item_keys: Sequence[str] = ("suite", "item_id"),
              cell_keys: Sequence[str] = ("system", "variant"), ok_col: str = "ok") -> DataFrame:
-    """An item passes a (system, variant) iff every probe that reported passed."""
+    """An item passes a (system, variant) iff every probe that reported passed (a null outcome is a failure)."""
     return (runs.groupBy(*item_keys, *cell_keys)
-            .agg(F.bool_and(F.col(ok_col)).alias("passed")))
+            .agg(F.bool_and(F.coalesce(F.col(ok_col), F.lit(False))).alias("passed")))
 
 
 def cer_rate(runs: DataFrame, grid: DataFrame, items: DataFrame | None = None,
@@ -56,20 +56,30 @@ def cer_rate(runs: DataFrame, grid: DataFrame, items: DataFrame | None = None,
     valid = runs
     for k in item_keys:
         valid = valid.filter(F.col(k).isNotNull())
-    per_item = all_pass(valid, item_keys, cell_keys, ok_col)
-    passes = (per_item.groupBy(*cell_keys)
-              .agg(F.sum(F.col("passed").cast("bigint")).alias("passes")))
-    src = items if items is not None else per_item
-    n_items = (src.select(*item_keys).dropna().distinct()
-               .agg(F.count(F.lit(1)).alias("items")))
-    # ``passes`` has one row per configured cell (a proven size bound) and the
-    # item count is a one-row scalar subquery
-    out = (grid.join(F.broadcast(passes), list(cell_keys), "left")
-           .select(*cell_keys, F.coalesce("passes", F.lit(0)).cast("bigint").alias("passes"),
-                   n_items.scalar().cast("bigint").alias("items")))
+    cells = [tuple(r) for r in grid.select(*cell_keys).distinct().collect()]  # the configured grid
+    # one pass: a conditional fold per cell for every item, then one row of sums
+    folds = [F.bool_and(F.when(_is_cell(cell_keys, c), F.coalesce(F.col(ok_col), F.lit(False)))).alias(f"_c{k}")
+             for k, c in enumerate(cells)]
+    totals = valid.groupBy(*item_keys).agg(*folds).agg(
+        F.count(F.lit(1)).alias("items"), *[F.count_if(F.col(f"_c{k}")).alias(f"_c{k}") for k in range(len(cells))])
+    n_items = F.col("items")
+    if items is not None:
+        n_items = items.select(*item_keys).dropna().distinct().agg(F.count(F.lit(1))).scalar()
+    types = {f.name: f.dataType for f in grid.schema}
+    rows = F.array(*[F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(cell_keys, c)],
+                              F.col(f"_c{k}").cast("bigint").alias("passes")) for k, c in enumerate(cells)])
+    out = totals.select(F.explode(rows).alias("_g"), n_items.cast("bigint").alias("items")).select(
+        *[F.col(f"_g.{n}").alias(n) for n in cell_keys], F.col("_g.passes").alias("passes"), "items")
     return out.withColumn("rate", F.col("passes").cast("double") / F.col("items"))
 
 
+def _is_cell(keys: Sequence[str], values: Sequence):
+    cond = F.lit(True)
+    for k, v in zip(keys, values):
+        cond = cond & F.col(k).eqNullSafe(F.lit(v))
+    return cond
+
+
 def distinct_suites(df: DataFrame, suite_col: str = "suite") -> DataFrame:
     """Distinct suites (null dropped)."""
     return df.select(suite_col).where(F.col(suite_col).isNotNull()).distinct()
@@ -92,7 +102,7 @@ def complete_outcomes(runs: DataFrame, item_keys: Sequence[str], systems: Sequen
     the expanded grid with the outcomes.
     """
     cells = [(s, v) for s in systems for v in variants]
-    aggs = [F.bool_and(F.when((F.col("system") == s) & (F.col("variant") == v), F.col(ok_col))).alias(f"_c{k}")
+    aggs = [F.bool_and(F.when((F.col("system") == s) & (F.col("variant") == v), F.coalesce(F.col(ok_col), F.lit(False)))).alias(f"_c{k}")
             for k, (s, v) in enumerate(cells)]
     per_item = runs.groupBy(*item_keys).agg(*aggs)
     grid = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(v).alias("variant"),

@@ -113,14 +113,14 @@ def candidate_code(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (i % 7).cast("string"), F.lit(")"), nl, F.lit("{"), nl,
                  F.lit("  v["), (i % 9).cast("string"), F.lit("] = field_-"), (i % 5).cast("string"),
                  F.lit(";"), nl, F.lit("  sub_"), F.lower(F.hex(i + 8192)), F.lit("();"), nl,
-                 F.lit("}"), nl).alias("code"))
+                 F.lit("}"), nl, F.col("text")).alias("code"))
 
 
 CANDIDATE_CODE_SQL = """cand as (
   select doc_id task_id,
          concat('int sub_', lower(hex(doc_id + 4096)), '(int a1@<eax>, int out.', doc_id % 7, ')', chr(10),
                 '{', chr(10), '  v[', doc_id % 9, '] = field_-', doc_id % 5, ';', chr(10),
-                '  sub_', lower(hex(doc_id + 8192)), '();', chr(10), '}', chr(10)) code
+                '  sub_', lower(hex(doc_id + 8192)), '();', chr(10), '}', chr(10), text) code
   from documents)"""
 
 # ---------------------------------------------------------------- F5 coverage texts
@@ -341,7 +341,8 @@ def candidate_code_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.concat(*[_piece_spark(p) for p in _RICH_B])
     return d.select(F.col("doc_id").alias("task_id"),
                     F.concat(F.lit("fn_"), F.col("doc_id").cast("string")).alias("item"),
-                    F.when(F.col("doc_id") % 6 == 0, b).otherwise(a).alias("code"))
+                    F.concat(F.when(F.col("doc_id") % 6 == 0, b).otherwise(a), F.lit("\n"), F.col("text")).alias("code"),
+                    "text")
 
 
 CANDIDATE_CODE_RICH_SQL = ("rich as (select doc_id task_id, concat('fn_', doc_id) item, "
@@ -349,7 +350,7 @@ CANDIDATE_CODE_RICH_SQL = ("rich as (select doc_id task_id, concat('fn_', doc_id
                            + ", ".join(_piece_sql(p) if p != "\n" else "chr(10)" for p in _RICH_B)
                            + ") else concat("
                            + ", ".join(_piece_sql(p) if p != "\n" else "chr(10)" for p in _RICH_A)
-                           + ") end code from documents)")
+                           + ") end || chr(10) || text code, text from documents)")
 
 # ---------------------------------------------------------------- F6m multi-entry judge replies
 # Two categories, four aspect entries; every 4th reply has an entry without a
@@ -394,3 +395,50 @@ jm as (select battle_id, model_a, model_b,
          {_asql(2)}, ': ', {_wsql(2)}, '}}, "Helpfulness": {{', {_asql(3)}, ': ', {_wsql(3)}, '}}}}',
          chr(10), '```') raw
   from battles)"""
+
+# ---------------------------------------------------------------- F6o odd judge replies
+# Shapes of replies that judges really give; ``{a}`` is an aspect. For each: the parse state, the batch battles
+# (category, offset of the aspect or its name, winner) and the online ones.
+ODD_REPLIES = [
+    ('{"R": {"{a}": {"winner": "A"}}, "H": {"x": {"winner": "b"}}}', "parsed",
+     [("R", "{a}", "A"), ("H", "x", "b")], [("R", "{a}", "A"), ("H", "x", "b")]),
+    ('{"R": {"{a}": {"winner": "A"}}, "summary": "A is better", "H": {"x": {"winner": "B"}}}', "parsed",
+     [("R", "{a}", "A"), ("H", "x", "B")], [("R", "{a}", "A")]),
+    ('{"R": {"{a}": {"winner": "A"}, "t": "oops", "u": {"winner": "B"}}, "H": {"x": {"winner": "Tie"}}}', "parsed",
+     [("R", "{a}", "A"), ("H", "x", "Tie")], [("R", "{a}", "A")]),
+    ('{"overall": {"winner": "A"}, "H": {"{a}": {"winner": "a"}}}', "parsed", [("H", "{a}", "a")], []),
+    ('{"R": {"{a}": {"winner": 3}, "t": {"winner": "B"}}, "H": {"x": {"winner": "B"}}}', "parsed",
+     [("H", "x", "B")], [("R", "{a}", "3"), ("R", "t", "B"), ("H", "x", "B")]),
+    ('{"R": {"{a}": {"winner": null}, "t": {"score": 1}, "u": {"winner": "A"}}}', "parsed",
+     [("R", "{a}", None), ("R", "u", "A")], [("R", "{a}", None)]),
+    ('text first ```json\n{"R": {"{a}": {"A_score": +1, "winner": "A",},},} // note\n``` text after', "parsed",
+     [("R", "{a}", "A")], [("R", "{a}", "A")]),
+    ("```\n{R: {'{a}': {winner: 'B'}}}\n```", "parsed", [("R", "{a}", "B")], [("R", "{a}", "B")]),
+    ('```json\n{"R": {"{a}": {"winner": "A"}', "rejected", [], []),
+    ('[{"R": {"{a}": {"winner": "A"}}}]', "no_object", [], []),
+    ("I cannot judge {a}.", "rejected", [], []),
+    ('{"R": {"{a}": {"winner": true}}, "H": {}, "Z": {"y": {"winner": ""}}}', "parsed",
+     [("Z", "y", "")], [("R", "{a}", "true"), ("Z", "y", "")]),
+]
+
+
+def judgements_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = battles(spark, sf_dir).select("battle_id", "model_a", "model_b")
+    k = F.col("battle_id") % len(ODD_REPLIES)
+    raw = F.element_at(F.array(*[F.lit(r[0]) for r in ODD_REPLIES]), (k + 1).cast("int"))
+    aspect = F.concat(F.lit("asp"), (F.col("battle_id") % 7).cast("string"))
+    return b.withColumn("raw", F.replace(raw, F.lit("{a}"), aspect))
+
+
+def _odd_rows(which: int) -> str:
+    quote = lambda v: "null" if v is None else "'" + v.replace("'", "''") + "'"
+    rows = [(k, p, *e) for k, r in enumerate(ODD_REPLIES) for p, e in enumerate(r[which])]
+    return "(values " + ", ".join(f"({k}, {p}, {quote(c)}, {quote(a)}, {quote(w)})" for k, p, c, a, w in rows) + ")"
+
+
+ODD_STATES_SQL = "(values " + ", ".join(f"({k}, '{r[1]}')" for k, r in enumerate(ODD_REPLIES)) + ") s(k, parse_state)"
+ODD_BATTLES_SQL = (f"""odd as (select battle_id, model_a, model_b, e.p entry_pos, e.c category,
+  replace(e.a, '{{a}}', 'asp' || (battle_id % 7)) aspect, e.w winner_raw
+  from battles join ROWS e(k, p, c, a, w) on e.k = battle_id % {len(ODD_REPLIES)})""")
+ODD_BATCH_SQL = f"{BATTLES_SQL}, {ODD_BATTLES_SQL.replace('ROWS', _odd_rows(2))}"
+ODD_ONLINE_SQL = f"{BATTLES_SQL}, {ODD_BATTLES_SQL.replace('ROWS', _odd_rows(3))}"

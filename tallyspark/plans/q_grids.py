@@ -158,14 +158,15 @@ def j1_merge_candidates(spark, sf_dir):
 
 
 _DONE_SQL = """done as (
-  select event_id % 5000 task_id, case when event_type = 'error' then null else props end code from events
+  select event_id % (select count(*) * 5 from documents) task_id, case when event_type = 'error' then null else props end code from events
   where event_type in ('click', 'error', 'view'))"""
 
 
 def _done(spark, sf_dir):
+    n_tasks = max(1, read_table(spark, sf_dir, "documents").count() * len(fx.VARIANTS))  # the size of the grid
     ev = read_table(spark, sf_dir, "events")
     ev = ev.filter(F.col("event_type").isin("click", "error", "view"))
-    return ev.select((F.col("event_id") % 5000).alias("task_id"),
+    return ev.select((F.col("event_id") % n_tasks).alias("task_id"),
                      F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("props")).alias("code"))
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import code_text as CT
 from ..operators import listings as L
+from ..operators import status as STS
 from ..session import scratch_path
 from ..sources import ingest as I
 from ..sources.tables import read_table
-from . import fixtures as fx
+from . import fixtures as fx, q_arena
 from .registry import register
 
 
@@ -64,8 +65,8 @@ def b1_covered_items(spark, sf_dir):
 
 @register("a2_coverage_report_scan", sql=f"with {_B1_SQL} select * from cov")
 def a2_coverage_report_scan(spark, sf_dir):
-    """Coverage exports written as nested JSON documents (one per suite, probe and block of 100
-    functions, so no document grows with the data), scanned back, then B1."""
+    """Coverage exports written as nested JSON documents, one of at most 100 functions a line and many to a file, with
+    their place in the document; scanned back, then B1."""
     path = scratch_path(spark, "coverage")
     cx = fx.coverage_export(spark, sf_dir).withColumn("chunk", F.floor(F.col("id") / 100).cast("bigint"))
     doc = (cx.groupBy("suite", "probe", "chunk")
@@ -74,13 +75,9 @@ def a2_coverage_report_scan(spark, sf_dir):
     doc = doc.select("suite", "probe", "chunk", F.to_json(F.struct(F.array(F.struct(F.transform(
         "fs", lambda x: F.struct(x["name"].alias("name"), x["filenames"].alias("filenames"),
                                  x["count"].alias("count"))).alias("functions"))).alias("data"))).alias("value"))
-    doc.write.partitionBy("suite", "probe", "chunk").text(path)
-    scanned = I.read_coverage_reports(spark, path)
-    chunk = F.regexp_extract("file_path", r"chunk=(\d+)", 1).cast("bigint")
-    scanned = (scanned.withColumn("suite", F.regexp_extract("file_path", r"suite=([^/]+)", 1))
-               .withColumn("probe", F.regexp_extract("file_path", r"probe=([^/]+)", 1))
-               .withColumn("pos", F.struct(chunk.alias("chunk"), F.col("pos").alias("pos"))))
-    return I.covered_items(scanned)
+    doc.write.parquet(path)
+    scanned = I.parse_coverage_reports(spark.read.parquet(path), ["suite", "probe", "chunk"])
+    return I.covered_items(scanned.withColumn("pos", F.struct("chunk", "pos")))
 
 
 @register("j6_extract_grid", sql=f"with {_B1_SQL} select suite, name, arg_min(path, probe) path, min(probe) probe "
@@ -114,7 +111,7 @@ def _commands(spark, sf_dir):
 with {_CMDS_SQL}
 select grp, file, arg_max(directory, pos) directory, arg_max(arguments, pos) arguments from cmds group by grp, file""")
 def a3_compile_commands(spark, sf_dir):
-    """Compile-command arrays (one JSON array per file of at most 50 entries) scanned back;
+    """Compile-command arrays of at most 50 entries, many to a file, scanned back;
     the last entry for a source file wins within its array."""
     path = scratch_path(spark, "commands")
     c = _commands(spark, sf_dir)
@@ -124,10 +121,8 @@ def a3_compile_commands(spark, sf_dir):
                                                                           x["directory"].alias("directory"),
                                                                           x["arguments"].alias("arguments"))))
                    .alias("value")))
-    arr.write.partitionBy("grp").text(path)
-    cmds = I.read_compile_commands(spark, path)
-    return cmds.select(F.regexp_extract("file_path", r"grp=(\d+)", 1).cast("bigint").alias("grp"),
-                       "file", "directory", "arguments")
+    arr.write.parquet(path)  # many arrays to a file
+    return I.last_commands(I.parse_compile_commands(spark.read.parquet(path), ["grp"]), ["grp"])
 
 
 @register("j2_item_commands", sql=f"""
@@ -146,6 +141,16 @@ def j2_item_commands(spark, sf_dir):
                           CT.flag_arguments(F.slice("arguments", 2, 1 << 30)).alias("flags"))
 
 
+@register("j2_items_without_command", sql=f"""
+with {_B1_SQL}, {_CMDS_SQL}
+select suite, probe, name, path from cov where path not in (select file from cmds)""")
+def j2_items_without_command(spark, sf_dir):
+    """Report of covered items whose file has no compile command."""
+    c = _commands(spark, sf_dir)
+    last = c.groupBy("file").agg(F.max_by("directory", "pos").alias("directory"), F.max_by("arguments", "pos").alias("arguments"))
+    return I.attach_commands(b1_covered_items(spark, sf_dir), last)[1].select("suite", "probe", "name", "path")
+
+
 @register("b11_clean_arguments", sql=f"""
 with {_CMDS_SQL},
 a as (select pos, case when pos % 4 = 0 then list_filter(arguments, lambda x: x <> '-o')
@@ -167,33 +172,59 @@ def b11_clean_arguments(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- A7 headered JSONL
+# task ids from the grid: as many tasks as documents x variants
 _JSONL_SQL = """r as (
   select ['angr', 'ghidra', 'hexrays', 'retdec'][user_id % 4 + 1] system, event_id seq,
-         event_id % 3000 task_id, event_type, props from events),
+         event_id % (select count(*) * 5 from documents) task_id, event_type, props from events),
 v as (select system, task_id, seq, props code from r where event_type not in ('error', 'signup'))"""
 
 
+def _result_lines(spark, sf_dir):
+    n_tasks = max(1, read_table(spark, sf_dir, "documents").count() * 5)
+    sysc = F.element_at(F.array(*[F.lit(s) for s in ["angr", "ghidra", "hexrays", "retdec"]]),
+                        (F.col("user_id") % 4 + 1).cast("int"))
+    return read_table(spark, sf_dir, "events").select(
+        sysc.alias("system"), F.col("event_id").alias("seq"), (F.col("event_id") % n_tasks).alias("task_id"),
+        "event_type", F.col("props").alias("code"))
+
+
 @register("a7_headered_jsonl", sql=f"""
 with {_JSONL_SQL}
-select system, task_id, arg_max(code, seq) code from v group by all""")
+select case when system = 'retdec' then 'no header' else system end system, task_id, arg_max(code, seq) code
+from v group by all""")
 def a7_headered_jsonl(spark, sf_dir):
-    """Result files with a model header (one system without), bad lines and idx-less lines; last line wins."""
-    ev = read_table(spark, sf_dir, "events")
-    sysc = F.element_at(F.array(*[F.lit(s) for s in ["angr", "ghidra", "hexrays", "retdec"]]),
-                        (F.col("user_id") % 4 + 1).cast("int"))
-    r = ev.select(sysc.alias("system"), F.col("event_id").alias("seq"), (F.col("event_id") % 3000).alias("task_id"),
-                  "event_type", F.col("props").alias("code"))
+    """Files of {idx, code} lines in one folder, all but one system's with a header; broken lines and lines without
+    idx are skipped, the last line of a repeated idx wins by its place in the file."""
+    r = _result_lines(spark, sf_dir)
     line = (F.when(F.col("event_type") == "error", F.concat(F.lit('{"idx": '), F.col("task_id").cast("string"),
                                                             F.lit(', "code": ')))
-            .when(F.col("event_type") == "signup", F.to_json(F.struct(F.col("code").alias("note"), "seq")))
-            .otherwise(F.to_json(F.struct(F.col("task_id").alias("idx"), "code", "seq"))))
-    body = r.select("system", line.alias("value"))
-    head = (r.select("system").distinct().filter(F.col("system") != "retdec")
-            .select("system", F.to_json(F.struct(F.col("system").alias("model"), F.lit(-1).alias("seq"))).alias("value")))
+            .when(F.col("event_type") == "signup", F.to_json(F.struct(F.col("code").alias("note"))))
+            .otherwise(F.to_json(F.struct(F.col("task_id").alias("idx"), "code"))))
+    part = F.pmod(F.xxhash64("task_id"), F.lit(4)).alias("part")
+    body = r.select("system", part, F.lit(1).alias("body"), "seq", line.alias("value"))
     path = scratch_path(spark, "jsonl")
-    head.unionByName(body).write.partitionBy("system").text(path)
+    for system in ["angr", "ghidra", "hexrays", "retdec"]:  # files of several systems side by side in one folder
+        own = body.filter(F.col("system") == system)
+        if system != "retdec":
+            head = own.select("part").distinct().select(
+                F.lit(system).alias("system"), "part", F.lit(0).alias("body"), F.lit(0).cast("long").alias("seq"),
+                F.to_json(F.struct(F.lit(system).alias("model"))).alias("value"))
+            own = head.unionByName(own)
+        own.repartition("part").sortWithinPartitions("part", "body", "seq").select("value").write.mode("append").text(path)
     out = I.read_headered_jsonl(spark, path)
-    return out.select("system", "task_id", "code")
+    # a file without a header is named by its stem, which Spark's writer chooses
+    system = F.when(F.col("system").startswith("part-"), F.lit("no header")).otherwise(F.col("system"))
+    return out.select(system.alias("system"), "task_id", "code")
+
+
+@register("a9_result_sink", sql=f"""
+with {_JSONL_SQL}
+select system, task_id, arg_max(props, seq) code from r where event_type <> 'signup' group by all""")
+def a9_result_sink(spark, sf_dir):
+    """Results appended as {idx, code} lines under one header per file, read back by place in the file."""
+    path = scratch_path(spark, "results")
+    I.write_headered_jsonl(_result_lines(spark, sf_dir).filter("event_type <> 'signup'"), path)
+    return I.read_headered_jsonl(spark, path).select("system", "task_id", "code")
 
 
 # ---------------------------------------------------------------- A13 config dims
@@ -350,8 +381,8 @@ def b13_split_prelude(spark, sf_dir):
 # ---------------------------------------------------------------- B14 refine outputs
 @register("b14_refined_code", sql="""
 with o as (select doc_id, case when doc_id % 3 = 0 then concat('Sure.', chr(10), '```refined', chr(10), '  int f', doc_id,
-                                  '(void);  ', chr(10), '```', chr(10), 'more ```refined', chr(10), 'x', chr(10), '```')
-                              when doc_id % 3 = 1 then concat('  plain ', doc_id, ' ', source, chr(10))
+                                  '(void);  ', chr(10), text, chr(10), '```', chr(10), 'more ```refined', chr(10), 'x', chr(10), '```')
+                              when doc_id % 3 = 1 then concat('  plain ', doc_id, ' ', text, chr(10))
                               else concat('```refined', chr(10), chr(10), '```') end out from documents)
 select doc_id, case when regexp_matches(out, '(?s)```refined\\n(.*?)\\n```')
                     then trim(regexp_extract(out, '(?s)```refined\\n(.*?)\\n```', 1), ' ' || chr(9) || chr(10) || chr(13))
@@ -363,9 +394,9 @@ def b14_refined_code(spark, sf_dir):
     i = F.col("doc_id").cast("string")
     nl = F.lit("\n")
     out = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sure."), nl, F.lit("```refined"), nl, F.lit("  int f"), i,
-                                                     F.lit("(void);  "), nl, F.lit("```"), nl, F.lit("more ```refined"),
+                                                     F.lit("(void);  "), nl, F.col("text"), nl, F.lit("```"), nl, F.lit("more ```refined"),
                                                      nl, F.lit("x"), nl, F.lit("```")))
-           .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  plain "), i, F.lit(" "), F.col("source"), nl))
+           .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  plain "), i, F.lit(" "), F.col("text"), nl))
            .otherwise(F.concat(F.lit("```refined"), nl, nl, F.lit("```"))))
     return d.select("doc_id", CT.refined_code(out).alias("code"))
 
@@ -373,7 +404,7 @@ def b14_refined_code(spark, sf_dir):
 # ---------------------------------------------------------------- B15 / B16 prompts
 COMPLETION_TEMPLATE = "# Pseudo code:\n{code}\n# Source:\n"
 SYSTEM_PROMPT = "Rewrite the decompiled function as readable C."
-JUDGE_TEMPLATE = "Source Code:\n{source_code}\n\nCode A:\n{decompile_code_a}\n\nCode B:\n{decompile_code_b}\n"
+JUDGE_TEMPLATE = "Reference:\n{reference}\n---\n{first}\n---\n{second}\n"
 _MODELS = ["mlm-7b", "LLM4Decompile-Ref", "gpt-4o"]
 
 
@@ -400,23 +431,21 @@ def b15_refine_prompts(spark, sf_dir):
 
 @register("b16_judge_prompts", sql=f"""
 with {fx.CANDIDATE_CODE_RICH_SQL}
-select r.task_id, concat('Source Code:', chr(10), d.text, chr(10), chr(10), 'Code A:', chr(10), r.code, chr(10), chr(10),
-                         'Code B:', chr(10), '{{x}} ' || r.item, chr(10)) prompt
-from rich r join documents d on d.doc_id = r.task_id""")
+select r.task_id, concat('Reference:', chr(10), r.text, chr(10), '---', chr(10), r.code, chr(10), '---', chr(10),
+                         '{{x}} ' || r.item, chr(10)) prompt
+from rich r""")
 def b16_judge_prompts(spark, sf_dir):
     """Judge prompt rendered from source, output A and output B (braces in values kept literally)."""
     r = fx.candidate_code_rich(spark, sf_dir)
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("task_id"), "text")
-    j = r.join(d, "task_id")
-    prompt = CT.render_template(JUDGE_TEMPLATE, {"source_code": F.col("text"), "decompile_code_a": F.col("code"),
-                                                 "decompile_code_b": F.concat(F.lit("{x} "), F.col("item"))})
-    return j.select("task_id", prompt.alias("prompt"))
+    prompt = CT.render_template(JUDGE_TEMPLATE, {"reference": F.col("text"), "first": F.col("code"),
+                                                 "second": F.concat(F.lit("{x} "), F.col("item"))})
+    return r.select("task_id", prompt.alias("prompt"))
 
 
 # ---------------------------------------------------------------- B18-B21 build inputs and logs
 @register("b18_strip_extern", sql="""
 with s as (select doc_id, concat_ws(chr(10), 'extern int x_' || doc_id || '; /* extern */', '  extern int y;',
-                                    'externalize(1);', 'extern' || chr(9) || 'void z(void);', source) src from documents)
+                                    'externalize(1);', 'extern' || chr(9) || 'void z(void);', text) src from documents)
 select doc_id, array_to_string(list_transform(string_split(src, chr(10)),
        lambda x: case when regexp_matches(x, '^extern\\s+') then replace(x, 'extern', '') else x end), chr(10)) src
 from s""")
@@ -425,7 +454,7 @@ def b18_strip_extern(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     i = F.col("doc_id").cast("string")
     src = F.concat_ws("\n", F.concat(F.lit("extern int x_"), i, F.lit("; /* extern */")), F.lit("  extern int y;"),
-                      F.lit("externalize(1);"), F.lit("extern\tvoid z(void);"), F.col("source"))
+                      F.lit("externalize(1);"), F.lit("extern\tvoid z(void);"), F.col("text"))
     return d.select("doc_id", CT.strip_extern(src).alias("src"))
 
 
@@ -433,7 +462,7 @@ _STDERR_SQL = """logs as (
   select doc_id, doc_id % 4 a1, doc_id % 8 = 1 a2_ok,
          case when doc_id % 4 = 1 then concat('a.c:1: warning: unused [-Wunused-variable]', chr(10),
                                               'b.c:2: error: x [-Wint-conversion] y [-Wformat]', chr(10), 'done')
-              when doc_id % 4 = 2 then 'a.c:3: error: no warnings here' else '' end stderr
+              when doc_id % 4 = 2 then 'a.c:3: error: no warnings here' else '' end || chr(10) || text stderr
   from documents)"""
 
 
@@ -443,7 +472,8 @@ def _logs(spark, sf_dir):
     stderr = (F.when(k == 1, F.lit("a.c:1: warning: unused [-Wunused-variable]\n"
                                    "b.c:2: error: x [-Wint-conversion] y [-Wformat]\ndone"))
               .when(k == 2, F.lit("a.c:3: error: no warnings here")).otherwise(F.lit("")))
-    return d.select("doc_id", k.alias("a1"), (F.col("doc_id") % 8 == 1).alias("a2_ok"), stderr.alias("stderr"))
+    return d.select("doc_id", k.alias("a1"), (F.col("doc_id") % 8 == 1).alias("a2_ok"),
+                    F.concat(stderr, F.lit("\n"), F.col("text")).alias("stderr"))
 
 
 @register("b19_warnings", sql=f"""
@@ -472,23 +502,67 @@ select task_id,
 from w""")
 def b20_attempt_triage(spark, sf_dir):
     """Final compile flag per task from an attempt log (retry with -Wno-<w> after a failure with warnings)."""
-    from ..operators.status import triage_attempts
+    return STS.triage_attempts(_attempts(spark, sf_dir))
+
+
+def _attempts(spark, sf_dir):
     lg = _logs(spark, sf_dir)
     st = F.element_at(F.array(*[F.lit(s) for s in ["ok", "fail", "fail", "timeout"]]), (F.col("a1") + 1).cast("int"))
     a1 = lg.select(F.col("doc_id").alias("task_id"), F.lit(1).alias("attempt"), st.alias("status"), "stderr")
     a2 = lg.filter(F.col("a1") == 1).select(F.col("doc_id").alias("task_id"), F.lit(2).alias("attempt"),
                                             F.when(F.col("a2_ok"), "ok").otherwise("fail").alias("status"),
                                             F.lit("").alias("stderr"))
-    return triage_attempts(a1.unionByName(a2))
+    return a1.unionByName(a2)
 
 
-HEADER = "\n        #include <defs.h>\n        "
+HEADER = "#include <defs.h>\n"
 TRAILER = "\n/* entry */\nvoid *entry_{function} = (void *){function};\n"
 
 
+_RSR_SYSTEMS = ["angr", "ghidra", "hexrays", "retdec", "func"]
+_RSR_VARIANTS = ["O0", "O1", "O2"]
+
+
+@register("g1_end_to_end_rate", sql=f"""
+with {_ATTEMPTS_SQL}, {fx.CANDIDATE_CODE_SQL},
+k as (select task_id, {_RSR_SYSTEMS!r}[task_id % 5 + 1] system, {_RSR_VARIANTS!r}[task_id // 5 % 3 + 1] variant,
+             case when task_id % 7 = 0 then '' when task_id % 11 = 0 then code || 'Failed to decompile the function'
+                  else code end code from cand),
+e as (select *, code <> '' and not contains(code, 'Failed to decompile the function') eligible from k),
+p as (select task_id, max(case when attempt = 1 then status end) s1, max(case when attempt = 1 then stderr end) e1,
+             max(case when attempt = 2 then status end) s2 from attempts group by task_id),
+f as (select e.system, e.variant, eligible,
+             case when not eligible then 0 when s1 = 'ok' then 1
+                  when s1 = 'fail' and len(regexp_extract_all(e1, '\\[-W(.*)\\]', 1)) > 0
+                  then cast(coalesce(s2, 'fail') = 'ok' as int) else 0 end flag
+      from e left join p using (task_id))
+select system, variant, avg(flag::DOUBLE) rate, count(*) n, count(*) filter (where eligible) units from f group by all""")
+def g1_end_to_end_rate(spark, sf_dir):
+    """Eligibility, fixer, compile unit, attempts and rate in one plan: candidates that are not eligible get no unit and
+    no attempt, and count as failures."""
+    from ..functions import fixers as FX
+    from ..operators import scoring
+    i = F.col("task_id")
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k + 1).cast("int"))
+    cand = fx.candidate_code(spark, sf_dir)
+    code = (F.when(i % 7 == 0, F.lit("")).when(i % 11 == 0, F.concat("code", F.lit(FX.FAIL_MARKER))).otherwise(F.col("code")))
+    cand = cand.select("task_id", pick(_RSR_SYSTEMS, i % 5).alias("system"),
+                       pick(_RSR_VARIANTS, F.floor(i / 5) % 3).alias("variant"),
+                       F.concat(F.lit("fn_"), i.cast("string")).alias("item"), code.alias("code"))
+    units = (cand.filter(FX.compilable("code"))
+             .withColumn("code", FX.apply_fixers("system", "code", "item"))
+             .select("task_id", CT.compile_unit(F.lit("int prelude;"), "code", "item", HEADER, TRAILER).alias("unit")))
+    # a unit is attempted where there is one; the log of attempts is the compiler's
+    attempted = _attempts(spark, sf_dir).join(units.filter(F.length("unit") > 0).select("task_id"), "task_id", "left_semi")
+    flags = STS.triage_attempts(attempted)
+    rows = cand.select("task_id", "system", "variant", FX.compilable("code").alias("eligible")).join(flags, "task_id", "left")
+    rate = scoring.recompile_rate(rows)
+    return rate.join(rows.groupBy("system", "variant").agg(F.count_if("eligible").alias("units")), ["system", "variant"])
+
+
 @register("b21_compile_unit", sql=f"""
 with {_SRC_SQL}, {fx.CANDIDATE_CODE_RICH_SQL}
-select r.task_id, concat(chr(10), '        #include <defs.h>', chr(10), '        ', s.content, chr(10), r.code,
+select r.task_id, concat('#include <defs.h>', chr(10), s.content, chr(10), r.code,
                          chr(10), '/* entry */', chr(10), 'void *entry_', r.item, ' = (void *)', r.item, ';', chr(10)) unit
 from rich r join src s on s.k = r.task_id""")
 def b21_compile_unit(spark, sf_dir):
@@ -691,12 +765,11 @@ def a10_cer_results_nested(spark, sf_dir):
     return I.nested_results_json(spark.read.parquet(path))
 
 
-@register("a11_scores_csv_roundtrip", sql=None)
+@register("a11_scores_csv_roundtrip", sql=q_arena._ROUND_SCORES_SQL + "select system, median, arena from med")
 def a11_scores_csv_roundtrip(spark, sf_dir):
-    """Bootstrap-median scores written as CSV per aspect and read back with a schema."""
+    """Median scores written as CSV per aspect and read back with a schema."""
     from ..operators import rating as R
-    boot = R.calibrate(R.bootstrap_ratings(fx.bulk_battles(spark, sf_dir), rounds=20, seed=11), "s3")
-    med = R.median_scores(boot)
+    med = R.median_scores(q_arena._round_scores(spark, sf_dir), value="score")
     path = scratch_path(spark, "scores")
     SK.write_scores_csv(med, path)
     return SK.read_scores_csv(spark, path, "system string, median double, arena string")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.uniform import hash_uniform_sql
 from ..operators import grids as G
 from ..operators import judgements as J
-from ..operators import online as O
 from ..operators import sampling as S
 from . import fixtures as fx
 from .registry import register
@@ -84,15 +83,6 @@ def q2_chunk_order(spark, sf_dir):
     return S.chunk_order(g.select("task_id")).select("chunk_id", F.col("chunk_seq").cast("bigint"))
 
 
-def _online_input(spark, sf_dir):
-    j = fx.judgements_multi(spark, sf_dir)
-    # the run order needs only the judgement ids: no parse for it
-    order = S.chunk_order(j.select(F.col("battle_id").alias("task_id")))
-    ob = O.online_battles(J.parse_judgements(j))
-    ob = ob.withColumn("chunk_id", F.floor(F.col("battle_id") / 100).cast("bigint"))
-    return ob.join(order, "chunk_id")
-
-
 @register("q5_online_battles", sql=f"""
 with {fx.JUDGEMENTS_MULTI_SQL},
 p as (select battle_id, model_a, model_b,
@@ -113,7 +103,7 @@ from kept, unnest(list_transform(ents, lambda x, i: struct_pack(pos := i, x := x
 def q5_online_battles(spark, sf_dir):
     """Online battle list: entries in reply order; a missing winner drops the rest of that reply."""
     parsed = J.parse_judgements(fx.judgements_multi(spark, sf_dir))
-    return O.online_battles(parsed)
+    return J.online_battles(parsed)
 
 
 @register("g7_multi_entry_battles", sql=f"""
@@ -131,72 +121,3 @@ where list_contains(json_keys(a.value), 'winner')
 def g7_multi_entry_battles(spark, sf_dir):
     """Batch explode of multi-entry replies: only the entry without a winner is skipped."""
     return J.explode_battles(J.parse_judgements(fx.judgements_multi(spark, sf_dir)))
-
-
-_ONLINE_SQL = f"""
-with recursive {fx.JUDGEMENTS_MULTI_SQL},
-p as (select battle_id, model_a, model_b,
-             trim(regexp_extract(raw, '(?s)```json(.*)```', 1), ' ' || chr(10) || chr(13) || chr(9) || '`')::JSON js
-      from jm),
-e as (select battle_id, model_a, model_b,
-             flatten(list_transform(json_keys(js), lambda c: list_transform(json_keys(js -> c),
-                     lambda a: struct_pack(category := c, aspect := a, entry := (js -> c) -> a)))) ents
-      from p),
-k as (select *, list_position(list_transform(ents, lambda x: list_contains(json_keys(x.entry), 'winner')), false) cut
-      from e),
-ob as (select battle_id, model_a, model_b, u.pos entry_pos, u.x.entry ->> 'winner' w
-       from (select battle_id, model_a, model_b, case when cut > 0 then ents[1:cut - 1] else ents end ents from k),
-            unnest(list_transform(ents, lambda x, i: struct_pack(pos := i, x := x))) t(u)),
-ch as (select distinct battle_id // 100 chunk_id from ob),
-cs as (select chunk_id, row_number() over (order by md5(concat('chunks|', chunk_id)), chunk_id) - 1 chunk_seq from ch),
-seq as (select row_number() over (order by cs.chunk_seq, ob.battle_id, ob.entry_pos) rn, cs.chunk_seq,
-               cast(substr(model_a, 2) as int) + 1 ia, cast(substr(model_b, 2) as int) + 1 ib, w,
-               lead(cs.chunk_seq) over (order by cs.chunk_seq, ob.battle_id, ob.entry_pos) is distinct from cs.chunk_seq last_in_chunk
-        from ob join cs on cs.chunk_id = ob.battle_id // 100),
-chunk_list as (select chunk_seq, list(struct_pack(ia := ia, ib := ib,
-                    sa := case when w in ('a', 'A') then 1.0 when w in ('b', 'B') then 0.0 else 0.5 end) order by rn) bs,
-                    list(distinct ia) seen
-               from seq group by chunk_seq),
-numbered as (select row_number() over (order by chunk_seq) cn, * from chunk_list),
-fold(cn, chunk_seq, r) as (
-  select 0::BIGINT, -1::BIGINT, list_transform(range(12), lambda k: 1000.0::DOUBLE)
-  union all
-  select n.cn, n.chunk_seq,
-         list_transform(u.upd, lambda x, k: case when list_contains(n.seen, k)
-                                                 then x + (800.0 - u.upd[{int(ANCHOR[1:]) + 1}]) else x end)
-  from fold f join numbered n on n.cn = f.cn + 1,
-       lateral (select list_reduce(n.bs, lambda acc, b: list_transform(acc, lambda x, k:
-           case when k = b.ia then x + 4.0 * (b.sa - 1.0 / (1.0 + pow(10.0, (acc[b.ib] - acc[b.ia]) / 400.0)))
-                when k = b.ib then x + 4.0 * (1.0 - b.sa - 1.0 / (1.0 + pow(10.0, (acc[b.ia] - acc[b.ib]) / 400.0)))
-                else x end), f.r) upd) u
-)
-"""
-
-
-@register("q3_online_elo", sql=_ONLINE_SQL + """
-select f.chunk_seq, concat('s', u.k - 1) system, round(u.x, 6) rating
-from fold f, unnest(list_transform(f.r, lambda x, k: struct_pack(k := k, x := x))) t(u)
-where f.cn > 0
-""")
-def q3_online_elo(spark, sf_dir):
-    """Ordered Elo fold over online battles in chunk run order; per-chunk anchor shift; snapshots."""
-    snaps = O.online_elo(_online_input(spark, sf_dir), SYSTEMS12, ANCHOR)
-    return snaps.select("chunk_seq", "system", F.round("rating", 6).alias("rating"))
-
-
-@register("q3_online_elo_stream", sql=_ONLINE_SQL + """
-select f.chunk_seq, concat('s', u.k - 1) system, round(u.x, 6) rating
-from fold f, unnest(list_transform(f.r, lambda x, k: struct_pack(k := k, x := x))) t(u)
-where f.cn > 0
-""")
-def q3_online_elo_stream(spark, sf_dir):
-    """The online fold as keyed streaming state: battle files arrive in run order, snapshots per chunk."""
-    from ..session import scratch_path
-    from ..streaming import online_stream as OS
-    b = _online_input(spark, sf_dir).select(F.lit("online").alias("arena"), "chunk_seq", "battle_id", "entry_pos",
-                                            "model_a", "model_b", "winner_raw")
-    path = scratch_path(spark, "online-battles")
-    OS.write_in_run_order(b, path, chunks_per_file=25)
-    out = OS.run_online_elo_stream(spark, path, SYSTEMS12, ANCHOR)
-    snaps = spark.read.parquet(out)
-    return snaps.select("chunk_seq", "system", F.round("rating", 6).alias("rating"))

@@ -10,6 +10,8 @@ from ..streaming import status_stream as SS
 from . import fixtures as fx
 from .registry import register
 
+FILE_ROWS = 250_000  # rows of a file that a stream reads at once
+
 _DECODE_SQL = """
 dec as (
   select task_id, seq, raw,
@@ -62,9 +64,9 @@ def s1_latest_status(spark, sf_dir):
 
 @register("s1_latest_status_stream", sql=_LATEST_SQL + _VIEW_SELECT)
 def s1_latest_status_stream(spark, sf_dir):
-    """Same view maintained by a streaming aggregation over the log arriving in four files."""
+    """Same view maintained by a streaming aggregation over the log arriving in files."""
     log_dir = scratch_path(spark, "status-log")
-    fx.status_log(spark, sf_dir).repartitionByRange(4, "seq").write.parquet(log_dir)
+    fx.status_log(spark, sf_dir).repartitionByRange("seq").write.option("maxRecordsPerFile", FILE_ROWS).parquet(log_dir)
     upd = SS.run_latest_status_stream(spark, log_dir)
     return SS.current_view(spark, upd).select("task_id", "status", "code", "error")
 
@@ -99,6 +101,6 @@ def s2_incremental_ratings(spark, sf_dir):
     """Ratings refitted per arriving judgement file; after the last file the fit's expected
     wins equal the observed wins of all battles."""
     jdir = scratch_path(spark, "judgements")
-    fx.judgements(spark, sf_dir).repartitionByRange(4, "battle_id").write.parquet(jdir)
-    out = RS.run_incremental_ratings(spark, jdir)
+    fx.judgements(spark, sf_dir).repartitionByRange("battle_id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(jdir)
+    out = RS.run_incremental_ratings(spark, jdir, aspects=[f"asp{k}" for k in range(12)])
     return R.expected_wins(RS.latest_cells(spark, out), RS.latest_ratings(spark, out))

@@ -17,7 +17,18 @@ def q(s: str) -> str:
 
 
 def re2(p: str) -> str:
-    """Python-syntax pattern of this package -> RE2 (fixtures are ASCII, so classes agree)."""
+    """Python-syntax pattern of this package -> RE2, with Python's classes for letters, digits and white space."""
+    members = {"w": r"\p{L}\p{N}_", "d": r"\p{Nd}", "s": r" \t-\r\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{3000}"}
+    out, inside, i = [], False, 0
+    while i < len(p):
+        c = p[i:i + 2] if p[i] == "\\" else p[i]
+        if c[-1] in members and len(c) == 2:
+            out.append(members[c[1]] if inside else f"[{members[c[1]]}]")
+        else:
+            inside = (inside or c == "[") and c != "]"
+            out.append(c)
+        i += len(c)
+    p = "".join(out)
     # the lookahead is not RE2; on one line it equals "no ';' in the rest and a '{'"
     return p.replace(r"(?!.*;).*{", r"[^;]*\{[^;]*$")
 

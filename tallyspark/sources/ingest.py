@@ -52,11 +52,15 @@ def read_coverage_reports(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = (spark.read.option("wholetext", True).text(path)
            .select(F.col("_metadata.file_path").alias("file_path"), "value"))
-    doc = F.from_json("value", COVERAGE_SCHEMA)
-    fns = F.get(doc["data"], 0)["functions"]
-    return (raw.select("file_path", F.posexplode_outer(fns).alias("pos", "f"))
+    return parse_coverage_reports(raw, ["file_path"])
+
+
+def parse_coverage_reports(reports: DataFrame, keys: Sequence[str], text: str = "value") -> DataFrame:
+    """A2 on documents that are rows: ``keys`` plus ``pos, name, filenames, count``."""
+    fns = F.get(F.from_json(text, COVERAGE_SCHEMA)["data"], 0)["functions"]
+    return (reports.select(*keys, F.posexplode_outer(fns).alias("pos", "f"))
             .filter(F.col("pos").isNotNull())
-            .select("file_path", "pos", F.col("f.name").alias("name"), F.col("f.filenames").alias("filenames"),
+            .select(*keys, "pos", F.col("f.name").alias("name"), F.col("f.filenames").alias("filenames"),
                     F.col("f.count").alias("count")))
 
 
@@ -84,13 +88,22 @@ def read_compile_commands(spark: SparkSession, path: str) -> DataFrame:
     """A3: compile-command arrays; the last entry for a file wins (per suite folder)."""
     raw = (spark.read.option("wholetext", True).text(path)
            .select(F.col("_metadata.file_path").alias("file_path"), "value"))
+    return last_commands(parse_compile_commands(raw, ["file_path"]), ["file_path"])
+
+
+def parse_compile_commands(arrays: DataFrame, keys: Sequence[str], text: str = "value") -> DataFrame:
+    """A3 on arrays that are rows: ``keys`` plus ``pos`` and the entry ``c``."""
     # outer + filter on the output keeps the parse single (see judgements.explode_battles)
-    ents = (raw.select("file_path", F.posexplode_outer(F.from_json("value", COMMANDS_SCHEMA)).alias("pos", "c"))
+    return (arrays.select(*keys, F.posexplode_outer(F.from_json(text, COMMANDS_SCHEMA)).alias("pos", "c"))
             .filter(F.col("pos").isNotNull()))
-    return (ents.groupBy("file_path", F.col("c.file").alias("file"))
+
+
+def last_commands(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last entry of every source file, per ``keys``."""
+    return (entries.groupBy(*keys, F.col("c.file").alias("file"))
             .agg(F.max_by(F.struct(F.col("c.directory").alias("directory"),
                                    F.col("c.arguments").alias("arguments")), "pos").alias("cmd"))
-            .select("file_path", "file", "cmd.directory", "cmd.arguments"))
+            .select(*keys, "file", "cmd.directory", "cmd.arguments"))
 
 
 # A4 --------------------------------------------------------------------------
@@ -125,49 +138,58 @@ def discover_probes(spark: SparkSession, root: str, name_from: str = "file") ->
 
 
 # A7 --------------------------------------------------------------------------
-JSONL_SCHEMA = "model string, idx bigint, code string, seq bigint"
-
-
-def read_headered_jsonl(spark: SparkSession, path: str, stem_pattern: str = r"([^/=]+)/[^/]*$",
-                        n_tasks: int | None = None) -> DataFrame:
-    """JSON-lines results with a ``{"model": ...}`` header record.
-
-    Read with the JSON source (each line parsed once, columns pruned). Lines
-    that do not parse are skipped (the reference warns); records without
-    ``idx`` are skipped; a repeated header must agree (the job fails
-    otherwise); a duplicate ``idx`` keeps the last line (by ``seq``); without a
-    header the folder/file stem names the system. An ``idx`` outside
-    ``[0, n_tasks)`` fails the job, as in the reference; a missing ``code``
-    is stored as null. Output: ``source, system, task_id, code``.
+def read_headered_jsonl(spark: SparkSession, path: str, n_tasks: int | None = None,
+                        order: str | None = None) -> DataFrame:
+    """JSON-lines result files, each with an optional ``{"model": ...}`` header line.
+
+    A file is one system: the header's model, or the file's stem without one;
+    headers of one file must agree (the job fails otherwise). Lines that do not
+    parse and lines without ``idx`` are skipped. A repeated ``idx`` keeps the
+    last line of the file: lines are ordered by the start of their split and by
+    their place in it, so a file may be split among tasks. ``order`` names a
+    column of the lines to order by instead. An ``idx`` outside ``[0,
+    n_tasks)`` fails the job; a missing ``code`` is null. Output: ``source``
+    (the file), ``system, task_id, code``.
     """
-    rec = (spark.read.schema("model string, idx long, code string, seq long, _corrupt_record string")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").option("recursiveFileLookup", True)
-           .json(path)
-           .select(_parent_name(F.col("_metadata.file_path")).alias("folder"), "model", "idx", "code", "seq",
+    fields = "model string, idx long, code string, _corrupt_record string" + (f", `{order}` long" if order else "")
+    place = F.col(order) if order else F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rec = (spark.read.schema(fields).option("columnNameOfCorruptRecord", "_corrupt_record")
+           .option("recursiveFileLookup", True).json(path)
+           .select(F.col("_metadata.file_path").alias("source"), place.alias("place"), "model", "idx", "code",
                    "_corrupt_record"))
     rec = rec.filter(F.col("_corrupt_record").isNull())
-    header = (rec.filter(F.col("model").isNotNull()).groupBy("folder")
-              .agg(F.count_distinct("model").alias("n_models"), F.max("model").alias("model")))
-    header = header.select("folder", F.when(F.col("n_models") > 1, F.raise_error(F.lit("Multiple model names found")))
+    header = (rec.filter(F.col("model").isNotNull()).groupBy("source")
+              .agg(F.min("model").alias("model"), F.max("model").alias("other")))
+    header = header.select("source", F.when(F.col("model") != F.col("other"),
+                                            F.raise_error(F.lit("Multiple model names found")))
                            .otherwise(F.col("model")).alias("model"))
-    body = rec.filter(F.col("model").isNull() & F.col("idx").isNotNull())
     idx = F.col("idx")
     if n_tasks is not None:
         idx = F.when((idx < 0) | (idx >= n_tasks), F.raise_error(F.lit("idx out of range"))).otherwise(idx)
-    body = body.select("folder", idx.alias("task_id"), "code", "seq")
-    last = body.groupBy("folder", "task_id").agg(F.max_by("code", "seq").alias("code"))
-    stem = F.regexp_extract(F.concat(F.col("folder"), F.lit("/x")), stem_pattern, 1)
-    # one header row per result folder (one per system): a proven small broadcast
-    return (last.join(F.broadcast(header), "folder", "left")
-            .select(F.col("folder").alias("source"), F.coalesce("model", stem).alias("system"), "task_id", "code"))
+    body = rec.filter(F.col("model").isNull() & F.col("idx").isNotNull())
+    last = (body.select("source", idx.alias("task_id"), "code", "place")
+            .groupBy("source", "task_id").agg(F.max_by("code", "place").alias("code")))
+    return (last.join(header, "source", "left")
+            .select("source", F.coalesce("model", _file_stem(F.col("source"))).alias("system"), "task_id", "code"))
+
 
+def write_headered_jsonl(results: DataFrame, path: str, system: str = "system", order: str = "seq",
+                         files_per_system: int = 8) -> None:
+    """A9 sink: ``{idx, code}`` lines in ``order``, each file led by its system's header line.
 
-def write_headered_jsonl(results: DataFrame, path: str, system: str = "system") -> None:
-    """A9 sink: one folder per system; header line + ``{idx, code, seq}`` lines."""
-    body = results.select(system, F.to_json(F.struct(F.col("task_id").alias("idx"), "code", "seq")).alias("value"))
-    head = results.select(system).distinct().select(
-        system, F.to_json(F.struct(F.col(system).alias("model"), F.lit(-1).alias("seq"))).alias("value"))
-    head.unionByName(body).write.partitionBy(system).text(path)
+    A system's tasks are dealt into ``files_per_system`` files by a hash of the
+    task, so one large system does not land in one task and a repeated task
+    stays in one file, in order.
+    """
+    part = F.pmod(F.xxhash64("task_id"), F.lit(files_per_system)).cast("int").alias("part")
+    body = results.select(system, part, F.lit(1).alias("body"), F.col(order).cast("long").alias("place"),
+                          F.to_json(F.struct(F.col("task_id").alias("idx"), "code"),
+                                    {"ignoreNullFields": "false"}).alias("value"))
+    head = body.select(system, "part").distinct().select(
+        system, "part", F.lit(0).alias("body"), F.lit(0).cast("long").alias("place"),
+        F.to_json(F.struct(F.col(system).alias("model"))).alias("value"))
+    (head.unionByName(body).repartition(system, "part").sortWithinPartitions(system, "part", "body", "place")
+     .drop("body", "place").write.partitionBy(system, "part").text(path))
 
 
 # A8 --------------------------------------------------------------------------
@@ -190,11 +212,9 @@ def queue_results(queue: DataFrame, systems: Sequence[str]) -> DataFrame:
 # A13 -------------------------------------------------------------------------
 def select_systems(spark: SparkSession, configured: Sequence[str], requested: Sequence[str] | None) -> DataFrame:
     """Configured systems, intersected with a requested list when given (unknown names drop)."""
-    conf = spark.createDataFrame([(s,) for s in configured], ["system"])
-    if not requested:
-        return conf
-    req = spark.createDataFrame([(s,) for s in requested], ["system"])
-    return conf.join(req, "system", "left_semi")
+    wanted = [s for s in configured if not requested or s in requested]
+    kind = "string" if any(isinstance(s, str) for s in configured) else "long"
+    return spark.createDataFrame([(s,) for s in wanted], f"system {kind}")
 
 
 # J2 / J6 ---------------------------------------------------------------------
@@ -245,11 +265,12 @@ def nested_results_json(long: DataFrame) -> DataFrame:
 
     Entries are sorted (keys as text, runs by probe) so the text is deterministic.
     Each level collects at most systems x variants x probes entries of one item.
+    One shuffle by item serves all three levels.
     """
     def by_key(arr):
         return F.array_sort(arr, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
 
-    lvl3 = (long.groupBy("suite", "item", "system", "variant")
+    lvl3 = (long.repartition("suite", "item").groupBy("suite", "item", "system", "variant")
             .agg(F.sort_array(F.collect_list(F.struct("probe", "ok"))).alias("runs")))
     lvl2 = lvl3.groupBy("suite", "item", "system").agg(F.map_from_entries(by_key(F.collect_list(
         F.struct(F.col("variant").cast("string").alias("k"), F.col("runs").alias("v"))))).alias("v"))

@@ -12,9 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_candidates(long: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Long candidates ``task_id, system, code`` partitioned by system."""
-    long.repartition("system").write.mode(mode).partitionBy("system").parquet(path)
+def write_candidates(long: DataFrame, path: str, mode: str = "overwrite", files_per_system: int = 64) -> None:
+    """Long candidates ``task_id, system, code`` partitioned by system.
+
+    A system's rows are dealt by a hash of the task, so a system that holds most
+    rows is written by up to ``files_per_system`` tasks; the adaptive planner
+    joins small ones.
+    """
+    part = F.pmod(F.xxhash64("task_id"), F.lit(files_per_system))
+    long.repartition("system", part).write.mode(mode).partitionBy("system").parquet(path)
 
 
 def read_candidates(spark: SparkSession, path: str, systems: list[str] | None = None) -> DataFrame:

@@ -20,9 +20,9 @@ JUDGEMENT_SCHEMA = "battle_id bigint, model_a string, model_b string, raw string
 
 
 def run_incremental_ratings(spark: SparkSession, judgement_dir: str, files_per_trigger: int = 1,
-                            out_dir: str | None = None) -> str:
+                            out_dir: str | None = None, aspects: list[str] | None = None, keep: int = 2) -> str:
     """Run over the files now in ``judgement_dir``; returns the folder holding
-    ``cells/v=<batch>`` and ``ratings/v=<batch>`` versions."""
+    ``cells/v=<batch>`` and ``ratings/v=<batch>`` versions, of which the last ``keep`` stay."""
     out = out_dir or scratch_path(spark, "incremental-ratings")
     ckpt = scratch_path(spark, "ratings-stream-ckpt")
     src = (spark.readStream.schema(JUDGEMENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
@@ -30,7 +30,7 @@ def run_incremental_ratings(spark: SparkSession, judgement_dir: str, files_per_t
 
     def step(batch: DataFrame, batch_id: int) -> None:
         battles = J.explode_battles(J.parse_judgements(batch))
-        cells = J.pairwise_table(battles)
+        cells = J.pairwise_table(battles, aspects=aspects)
         prev = _latest_version(spark, f"{out}/cells", before=batch_id)
         if prev is not None:
             cells = (cells.unionByName(spark.read.parquet(prev))
@@ -39,6 +39,8 @@ def run_incremental_ratings(spark: SparkSession, judgement_dir: str, files_per_t
         cells.write.mode("overwrite").parquet(f"{out}/cells/v={batch_id}")
         cum = spark.read.parquet(f"{out}/cells/v={batch_id}")
         R.fit_ratings(cum).write.mode("overwrite").parquet(f"{out}/ratings/v={batch_id}")
+        for kind in ("cells", "ratings"):
+            _drop_versions(spark, f"{out}/{kind}", batch_id - keep)
 
     q = (src.writeStream.foreachBatch(step).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
@@ -61,6 +63,15 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(out)
 
 
+def _drop_versions(spark: SparkSession, path: str, last: int) -> None:
+    """Delete versions up to ``last``: a retried batch only needs the one before it."""
+    conf = spark._jsc.hadoopConfiguration()
+    for v in _versions(spark, path):
+        if v <= last:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+            p.getFileSystem(conf).delete(p, True)
+
+
 def _latest_version(spark: SparkSession, path: str, before: int | None = None) -> str | None:
     vs = [v for v in _versions(spark, path) if before is None or v < before]
     return f"{path}/v={vs[-1]}" if vs else None

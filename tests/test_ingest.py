@@ -30,32 +30,67 @@ def test_function_files_and_probe_discovery(spark, tmp_path):
     assert probes == ["fuzz_a"]
 
 
-def test_headered_jsonl_rules(spark, tmp_path):
+def lines(*rows):
+    return "\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows)
+
+
+def test_headered_jsonl_by_place_in_the_file(spark, tmp_path):
     d = tmp_path / "res"
-    (d / "m1").mkdir(parents=True)
-    (d / "noheader").mkdir(parents=True)
-    (d / "m1" / "part.jsonl").write_text("\n".join([
-        json.dumps({"model": "alpha", "seq": -1}),
-        json.dumps({"idx": 1, "code": "old", "seq": 1}),
-        "{broken",
-        json.dumps({"note": "no idx", "seq": 2}),
-        json.dumps({"idx": 1, "code": "new", "seq": 3}),
-        json.dumps({"idx": 2, "code": "ERROR", "seq": 4})]))
-    (d / "noheader" / "part.jsonl").write_text(json.dumps({"idx": 0, "code": "c", "seq": 0}))
+    d.mkdir()
+    (d / "m1.jsonl").write_text(lines({"model": "alpha"}, {"idx": 1, "code": "old"}, "{broken", {"note": "no idx"}, "3",
+                                      {"idx": 1, "code": "new"}, {"idx": 2, "code": "ERROR"}, {"idx": 3}))
+    (d / "m2.jsonl").write_text(lines({"model": "beta"}, {"idx": 0, "code": "x"}, {"idx": 0, "code": "y"}, {"model": "beta"},
+                                      {"idx": 1, "code": "z"}))
+    (d / "angr.jsonl").write_text(lines({"idx": 0, "code": "c"}))
     got = sorted((r.system, r.task_id, r.code) for r in I.read_headered_jsonl(spark, str(d), n_tasks=5).collect())
-    assert got == [("alpha", 1, "new"), ("alpha", 2, "ERROR"), ("noheader", 0, "c")]
-
-    (d / "m1" / "part2.jsonl").write_text(json.dumps({"model": "beta", "seq": -1}))
+    assert got == [("alpha", 1, "new"), ("alpha", 2, "ERROR"), ("alpha", 3, None), ("angr", 0, "c"), ("beta", 0, "y"),
+                   ("beta", 1, "z")]
+
+
+def test_headered_jsonl_in_splits(spark, tmp_path):
+    d = tmp_path / "big"
+    d.mkdir()
+    rows = [{"idx": k % 500, "code": f"c{k}" + "x" * 50} for k in range(20_000)]
+    (d / "m.jsonl").write_text(lines({"model": "alpha"}, *rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = I.read_headered_jsonl(spark, str(d))
+        got = {r.task_id: r.code for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: f"c{19_500 + k}" + "x" * 50 for k in range(500)}
+
+
+def test_headered_jsonl_headers_of_a_file_must_agree(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text(lines({"model": "alpha"}, {"idx": 0, "code": "a"}, {"model": "beta"}))
     with pytest.raises(Exception, match="Multiple model names"):
-        I.read_headered_jsonl(spark, str(d)).collect()
+        I.read_headered_jsonl(spark, str(tmp_path)).collect()
+
+
+def test_headered_jsonl_explicit_order(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text(lines({"idx": 0, "code": "late", "seq": 9}, {"idx": 0, "code": "early", "seq": 1}))
+    assert [r.code for r in I.read_headered_jsonl(spark, str(tmp_path), order="seq").collect()] == ["late"]
+    assert [r.code for r in I.read_headered_jsonl(spark, str(tmp_path)).collect()] == ["early"]
 
 
 def test_headered_jsonl_out_of_range_fails(spark, tmp_path):
-    d = tmp_path / "r2" / "m"
-    d.mkdir(parents=True)
-    (d / "p.jsonl").write_text(json.dumps({"idx": 9, "code": "x", "seq": 0}))
+    (tmp_path / "p.jsonl").write_text(lines({"idx": 9, "code": "x"}))
     with pytest.raises(Exception, match="out of range"):
-        I.read_headered_jsonl(spark, str(tmp_path / "r2"), n_tasks=3).collect()
+        I.read_headered_jsonl(spark, str(tmp_path), n_tasks=3).collect()
+
+
+def test_result_sink_spreads_one_large_system(spark, tmp_path):
+    rows = [(k, "big" if k % 5 else "small", k % 700, f"c{k}") for k in range(5000)]
+    df = spark.createDataFrame(rows, "seq long, system string, task_id long, code string")
+    I.write_headered_jsonl(df, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("system=big/part=*/*.txt"))
+    assert len(files) == 8 and all(json.loads(f.open().readline()) == {"model": "big"} for f in files)
+    got = {(r.system, r.task_id): r.code for r in I.read_headered_jsonl(spark, str(tmp_path / "out")).collect()}
+    exp = {}
+    for _, s, t, c in rows:
+        exp[s, t] = c
+    assert got == exp
 
 
 def test_task_queue_results(spark, tmp_path):
