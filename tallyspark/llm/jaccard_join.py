@@ -182,7 +182,7 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, bl
     classes = Classes(num, den)
     row, size = (fresh(x, docs.columns) for x in ("row", "n_shingles"))
     columns = list(dict.fromkeys([*keep, key]))
-    keyed = docs.select(*dict.fromkeys([*columns, text])).withColumn("_text", F.xxhash64(F.col(text)))
+    keyed = docs.select(*dict.fromkeys([*columns, text])).withColumn("_text", F.md5(F.col(text)))
     columns = [*columns, "_text"]
 
     def sets(batches):
@@ -277,8 +277,8 @@ def _slices(docs: DataFrame, members: DataFrame, text: str, n: int) -> DataFrame
                                               pa.array(elements, pa.list_(pa.int64()))],
                                              names=["node", "slice", "elements"])
 
-    # the texts whose hash a member has; other texts of the same hash give slices that no pair asks for
-    texts = docs.select(F.xxhash64(F.col(text)).alias("_text"), text).dropDuplicates(["_text", text])
+    # copies collapse before the one shuffle of texts, which serves the join too
+    texts = docs.select(F.md5(F.col(text)).alias("_text"), text).dropDuplicates(["_text"])
     texts = texts.join(members.select("_text").distinct(), "_text", "left_semi").select(text)
     return materialize(texts.mapInArrow(cut, "node long, slice int, elements array<long>").dropDuplicates(["node", "slice"]),
                        "slices", release=True)
