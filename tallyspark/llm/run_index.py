@@ -85,6 +85,8 @@ class RunIndex:
         sizes = np.array([len(s) for s in strings], np.int64)
         self.start = np.concatenate(([0], np.cumsum(sizes)))
         self.size = n = len(data)
+        if not n:
+            return
         left = np.repeat(self.start[1:], sizes) - np.arange(n)
         words = _words(data)
         order = suffix_order(words, left)
