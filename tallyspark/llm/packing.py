@@ -210,10 +210,17 @@ def learn_prices(demand: np.ndarray, capacity: int, rounds: int) -> tuple[np.nda
 
     A length's price grows by a factor while the answers to the prices cover
     less than its demand and shrinks while they cover more; the factors and the
-    softness of the answers go down with the rounds.
+    softness of the answers go down with the rounds. The first prices are the
+    best of some that fit large pieces: the length itself, but all of a sequence
+    for what leaves no room for a piece of k, and nothing for less than k.
     """
-    price = np.arange(capacity + 1) / capacity
-    top, bound = price, 0.0
+    length = np.arange(capacity + 1)
+    starts = [np.where(length > capacity - k, 1.0, np.where(length >= k, length / capacity, 0.0))
+              for k in [0, *(capacity * j // 32 for j in range(1, 17))]]
+    starts.append(np.where(2 * length > capacity, 1.0, np.where(2 * length == capacity, 0.5, 0.0)))
+    proofs = [_answers(s, demand, capacity, 20)[1] if (s * demand).any() else 0.0 for s in starts]
+    price = starts[int(np.argmax(proofs))] + 1e-6 * length / capacity
+    top, bound = price.copy(), 0.0
     for r in range(rounds):
         found, proved = _answers(price, demand, capacity, 20 * 1.25 ** r)
         if proved > bound:
@@ -228,14 +235,15 @@ def learn_prices(demand: np.ndarray, capacity: int, rounds: int) -> tuple[np.nda
     return top, bound
 
 
-def plan_bins(demand: np.ndarray, capacity: int, rounds: int = 40, share: float = 0.15, rest: float = 0.5):
+def plan_bins(demand: np.ndarray, capacity: int, rounds: int = 40, share: float = 0.08):
     """Whole sequences for ``demand[l]`` pieces of each length: ``[(configuration, how many)]`` and the lower bound.
 
     At the learnt prices, each round takes ``share`` of what is left: the LP's
-    amounts of near-optimal configurations, rounded down; weights on the
-    lengths that lag behind decide between configurations of equal worth. The
-    part ``rest`` that the rounding leaves is packed by best fit. Work depends on the capacity,
-    not on the number of pieces.
+    amounts of near-optimal configurations, rounded; weights on the lengths
+    that lag behind decide between configurations of equal worth. What the
+    rounding leaves is packed by best fit, and the round after which the two
+    together need the fewest sequences is where the rounding stops. Work
+    depends on the capacity, not on the number of pieces.
     """
     left = demand.astype(np.int64).copy()
     bins: list[tuple[dict[int, int], int]] = []
@@ -246,9 +254,10 @@ def plan_bins(demand: np.ndarray, capacity: int, rounds: int = 40, share: float
         return bins, int(demand[capacity])
     need = np.maximum(left, 1).astype(float)
     price, bound = learn_prices(left.astype(float), capacity, rounds)
+    count, best = int(demand[capacity]), None
     for _ in range(rounds):
         lag = left / need
-        mean = left.sum() / need[left > 0].sum() if left.any() else 0
+        mean = left.sum() / need[left > 0].sum()
         now = price * (1 + np.tanh(8 * (lag - mean)) / (4 * capacity))
         found, worth = _answers(now, left, capacity, 8.0 * capacity)
         amount = share * worth / sum(w for _, w in found)
@@ -260,9 +269,14 @@ def plan_bins(demand: np.ndarray, capacity: int, rounds: int = 40, share: float
                     left[k] -= n * times
                 bins.append((config, times))
                 placed += times
-        if not placed or left.sum() < rest * need.sum():
+        count += placed
+        rest = best_fit(left, capacity)
+        total = count + sum(t for _, t in rest)
+        if best is None or total < best[0]:
+            best = total, len(bins), rest
+        if not placed or not left.any() or total > best[0] * 1.02:
             break
-    return bins + best_fit(left, capacity), int(demand[capacity] + np.ceil(bound - 1e-6))
+    return bins[:best[1]] + best[2], int(demand[capacity] + np.ceil(bound - 1e-6))
 
 
 def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -252,9 +252,12 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     rows = materialize(counted.withColumn(fails, base_failed(names)).withColumns({
         l: F.coalesce(F.col(lang).cast("string"), F.lit("\0")), s: F.coalesce(F.col(source).cast("string"), F.lit("\0")),
         damp: F.sqrt(n / (n + 100.0)), **{k: c for k, (c, _) in xs.items()}}), "quality-counts")
-    judged = robust_outliers(rows.filter(~F.col(fails)), [l, s], {k: f for k, (_, f) in xs.items()}, damp, tail=tail)
-    passed = judged.select(*kept, *names.values(), F.lit(False).alias(fails), F.col("distance2").alias(d2),
-                           (~F.col("outlier")).alias(verdict))
     failed = rows.filter(fails).select(*kept, *names.values(), F.lit(True).alias(fails),
                                        F.lit(None).cast("double").alias(d2), F.lit(False).alias(verdict))
+    good = rows.filter(~F.col(fails))
+    if good.isEmpty():
+        return failed
+    judged = robust_outliers(good, [l, s], {k: f for k, (_, f) in xs.items()}, damp, tail=tail)
+    passed = judged.select(*kept, *names.values(), F.lit(False).alias(fails), F.col("distance2").alias(d2),
+                           (~F.col("outlier")).alias(verdict))
     return passed.unionByName(failed)

@@ -46,9 +46,9 @@ def _open(uri: str, mode: str):
     else:
         system, path = fs.LocalFileSystem(), uri
     if mode == "r":
-        return system.open_input_stream(path)
+        return system.open_input_stream(path, compression=None)  # the archive's own frames, not those of a name's ending
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def _header(value: str) -> str:
