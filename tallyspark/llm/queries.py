@@ -28,13 +28,28 @@ def register(name: str, sql: str | None = None):
 def op4(spark, sf_dir):
     """Tokens of every document by the 32k piece model, through the digest cache."""
     from .token_counts import count_tokens
-    docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    counted = count_tokens(docs, "piece_bpe_32k.model")
-    return counted.select("doc_id", F.octet_length(common.text_or_empty()).cast("long").alias("n_bytes"), "n_tokens",
-                          (F.col("n_tokens") > 4096).alias("over_limit"))
-
-
-@register("op9_chat_format")
+    # the length is taken before the join, so that texts stay where they are and only their digests meet the counts
+    docs = common.documents(spark, sf_dir).select(
+        "doc_id", "text", F.octet_length(common.text_or_empty()).cast("long").alias("n_bytes"))
+    return count_tokens(docs, "piece_bpe_32k.model").select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+_CONTROL = r"<s>|</s>|<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|\[ROLE\]|\[AS\]|\[/ROLE\]"
+_CHAT_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+           union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, len(regexp_extract_all(text, '{_CONTROL}')) controls,
+             length(text) - length(replace(text, chr(92), '')) slashes, regexp_matches(text, '(?s)\\\\.') pairs from c)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::BIGINT loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) loss_sha256,
+       (3 + sum(case role when 'assistant' then 5 else 15 end + length(text)
+                + case when controls > 0 or pairs then controls + slashes else 0 end))::BIGINT formatted_chars
+from e group by conv_id"""
+
+
+@register("op9_chat_format", sql=_CHAT_SQL)
 def op9(spark, sf_dir):
     """Every conversation, formatted and read back, with one whose texts hold control strings."""
     from .chat_format import format_conversations, read_back
@@ -44,7 +59,16 @@ def op9(spark, sf_dir):
     return read_back(format_conversations(rows))
 
 
-@register("op8_warc")
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') payload, strlen(coalesce(html, '')) n from pages),
+k as (select *, max(page_id) over (partition by payload) keeper from p)
+select page_id, n payload_bytes, sha1(payload) payload_digest,
+       case when n >= 1000 and page_id <> keeper then 'revisit' else 'response' end record_type,
+       case when n >= 1000 and page_id <> keeper then keeper end refers_to
+from k"""
+
+
+@register("op8_warc", sql=_WARC_SQL)
 def op8(spark, sf_dir):
     """Every page written to Zstandard WARC archives and read back from them."""
     from .warc import read_archives, write_archives
@@ -54,7 +78,25 @@ def op8(spark, sf_dir):
                        F.col("refers_to").cast("long"))
 
 
-@register("op7_decontaminate")
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LEAKS_SQL = f"""
+with d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents),
+i as (select item_id::VARCHAR item, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from benchmark),
+iw as (select distinct item, least(len(w), 10) k, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') win
+       from i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(p) where len(w) > 0),
+sizes as (select distinct k from iw),
+dw as (select doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') win
+       from d, sizes, unnest(range(1, len(w) - k + 2)) t(p) where len(w) >= k),
+h as (select dw.doc_id, dw.p, dw.k, iw.item from dw join iw using (k, win)),
+n as (select doc_id, count(distinct q) n_hit from h, unnest(range(p, p + k)) t(q) group by doc_id),
+m as (select doc_id, count(distinct item) n_items, string_agg(distinct item, ',' order by item) items from h group by doc_id)
+select d.doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+       sha256(coalesce(items, '')) items_sha256, n_hit is not null contaminated
+from d left join n using (doc_id) left join m using (doc_id)"""
+
+
+@register("op7_decontaminate", sql=_LEAKS_SQL)
 def op7(spark, sf_dir):
     """Every document scanned for 10-word windows of every benchmark item."""
     from .decontaminate import find_contamination
