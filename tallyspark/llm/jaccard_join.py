@@ -38,7 +38,6 @@ from .common import Bounded, fresh, materialize, schema_of, words
 from .components import connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-SPARE = 3  # fragments beyond those that a difference can touch: so many must agree
 SLICES = 8  # fragments of the order in which overlaps are counted
 
 
@@ -66,13 +65,19 @@ def set_name(s: np.ndarray) -> int:
 
 
 class Classes:
-    """Size classes: class c holds sizes from ``start[c]`` to before ``start[c + 1]``, three steps of the threshold wide."""
+    """Size classes: class c holds sizes from ``start[c]`` to before ``start[c + 1]``.
+
+    Small sizes are classes of their own; the others are as wide as whole
+    steps of the threshold come to about 1.37, since the fragments of a class
+    are cut for its largest sets.
+    """
 
     def __init__(self, num: int, den: int, largest: int = 1 << 40):
         self.num, self.den = num, den
+        wide = (den / num) ** max(1, round(np.log(1.37) / np.log(den / num)))
         start = [1]
         while start[-1] <= largest:
-            start.append(max(start[-1] + 1, int(start[-1] * (den / num) ** 3) + 1))
+            start.append(max(start[-1] + 1, int(start[-1] * wide) + 1 if start[-1] >= 48 else 0))
         self.start = np.array(start)
 
     def differ(self, size: int) -> int:
@@ -92,12 +97,13 @@ class Classes:
             d = self.differ(int(self.start[c + 1]) - 1)
             if not d:
                 continue
-            f = d + SPARE
+            spare = 3 + d // 12  # so many fragments must agree; more than a set usually has empty ones
+            f = d + spare
             at = np.searchsorted(((s >> np.uint64(32)) * np.uint64(f)) >> np.uint64(32), np.arange(f + 1, dtype=np.uint64))
             at[-1] = len(s)
             keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix((np.arange(f, dtype=np.uint64) + np.uint64(c << 40)) * _A + _B))
             filled = at[1:] > at[:-1]
-            out.append(keys[filled] if f - int(filled.sum()) < SPARE else keys)
+            out.append(keys[filled] if f - int(filled.sum()) < spare else keys)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -280,8 +286,7 @@ def _slices(docs: DataFrame, members: DataFrame, text: str, n: int) -> DataFrame
     # copies collapse before the one shuffle of texts, which serves the join too
     texts = docs.select(F.md5(F.col(text)).alias("_text"), text).dropDuplicates(["_text"])
     texts = texts.join(members.select("_text").distinct(), "_text", "left_semi").select(text)
-    return materialize(texts.mapInArrow(cut, "node long, slice int, elements array<long>").dropDuplicates(["node", "slice"]),
-                       "slices", release=True)
+    return materialize(texts.mapInArrow(cut, "node long, slice int, elements array<long>"), "slices", release=True)
 
 
 def _links(members: DataFrame, slices: DataFrame, num: int, den: int, forests: int) -> DataFrame:
