@@ -121,7 +121,7 @@ def test_toxicity_separates_held_out_documents(spark, docs):
     d = docs(rows)
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     lab = spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = T.train(d.filter(~held).join(lab.filter(~held), "doc_id"))
+    model = T.train(d.filter(~held), lab.filter(~held))
     out = T.score(d.filter(held).withColumn("score", F.lit("mine")), model).join(lab, "doc_id").collect()
     assert {r.score for r in out} == {"mine"}
     got = [(r._score, r.toxic) for r in out]
@@ -133,7 +133,7 @@ def test_toxicity_odd_rows(spark, docs):
     model = T.train_on(["bad words here"] * 5, ["good words there", "more good words"] * 5)
     out = T.score(docs([(k, t) for k, (_, t) in enumerate(ODD)]), model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
-    empty = T.train(docs([]).withColumn("toxic", F.lit(1)))
+    empty = T.train(docs([]), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
     assert all(0 <= r.score <= 1 for r in T.score(docs([(1, "x"), (2, None)]), empty).collect())
     assert T.score(docs([]), model).count() == 0
 
