@@ -144,3 +144,26 @@ def test_range_slice_arguments(spark):
     for args in [(-1, 4, 10), (0, 0, 10), (3, 4, 10)]:
         with pytest.raises(ValueError):
             G.range_slice(df, *args)
+
+
+def test_candidates_of_one_large_system_are_written_by_many_tasks(spark, tmp_path):
+    from tallyspark.sources import sinks as SK
+    df = spark.range(4000).select(F.col("id").alias("task_id"), F.when(F.col("id") % 5 > 0, "big").otherwise("small").alias("system"),
+                                  F.md5(F.col("id").cast("string")).alias("code"))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        SK.write_candidates(df, str(tmp_path / "c"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(list((tmp_path / "c" / "system=big").glob("*.parquet"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert SK.read_candidates(spark, str(tmp_path / "c")).count() == 4000
+
+
+def test_null_outcomes_fail(spark):
+    from tallyspark.operators import scoring as S
+    df = spark.createDataFrame([("s", 1, "p", "O0", True), ("s", 1, "p", "O0", None), ("s", 2, "p", "O0", True)],
+                               "suite string, item_id long, system string, variant string, ok boolean")
+    assert sorted((r.item_id, r.passed) for r in S.all_pass(df).collect()) == [(1, False), (2, True)]
+    grid = S.dims_grid(spark, ["p", "q"], ["O0"])
+    assert sorted((r.system, r.passes, r["items"]) for r in S.cer_rate(df, grid).collect()) == [("p", 1, 2), ("q", 0, 2)]

@@ -84,3 +84,23 @@ def test_unlisted_aspects_count_only_overall(spark):
     pw = {(r.arena, r.i, r.j): r.w for r in J.pairwise_table(battles_df(spark, rows), aspects=["x"]).collect()}
     assert ("typo", "a", "b") not in pw
     assert pw[("x", "a", "b")] == 2 + 1 and pw[(J.OVERALL, "a", "b")] == 2 + 0 + 1
+
+
+def test_a_fit_that_does_not_settle_has_no_ratings():
+    import numpy as np
+
+    from tallyspark.operators.rating import fit_bradley_terry
+    win = np.array([[0, 9.0, 1], [1, 0, 5], [2, 1, 0]])
+    ratings, status = fit_bradley_terry(["a", "b", "c"], win, max_steps=1)
+    assert status == "not_converged" and np.isnan(ratings).all()
+    assert fit_bradley_terry(["a", "b", "c"], win)[1] == "ok"
+
+
+def test_unlisted_aspects_never_form_an_arena(spark):
+    from tallyspark.operators import judgements as J
+    rows = [("a", "b", asp, "model_a") for asp in ["x", "x", "y", "misspelt", None]]
+    df = spark.createDataFrame(rows, "model_a string, model_b string, aspect string, winner string")
+    pw = {(r.arena, r.i): (r.w, r.n) for r in J.pairwise_table(df, aspects=["x"]).collect()}
+    assert pw == {("x", "a"): (4, 2), ("x", "b"): (0, 2), ("(all)", "a"): (10, 5), ("(all)", "b"): (0, 5)}
+    cells = {(r.arena, r.cnt) for r in J.cells(df, aspects=["x"]).collect()}
+    assert cells == {("x", 2), ("(all)", 5)}
