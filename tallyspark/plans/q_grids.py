@@ -56,9 +56,10 @@ select o.task_id, o.item_id, o.variant, o.ok from o join f using (item_id) where
 """)
 def j4_prefix_retention(spark, sf_dir):
     """A compile failure drops the item's later variants and keeps the earlier ones."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    items = fx.items(spark, sf_dir).join(d, "item_id")
-    g = G.task_grid(items, VARIANTS).withColumn("ok", (F.length("text") + F.col("ord")) % 6 != 0)
+    d = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("item_id"), F.col("source").alias("suite"),
+        F.concat(F.lit("fn_"), F.col("doc_id").cast("string")).alias("item"), F.length("text").alias("size"))
+    g = G.task_grid(d, VARIANTS).withColumn("ok", (F.col("size") + F.col("ord")) % 6 != 0)
     return G.keep_before_first_failure(g, ["item_id"]).select("task_id", "item_id", "variant", "ok")
 
 

@@ -197,8 +197,13 @@ def read_task_queue(spark: SparkSession, path: str) -> DataFrame:
     """Saved task-queue arrays; keeps array position for later-entry-wins rules."""
     raw = (spark.read.option("wholetext", True).text(path)
            .select(F.col("_metadata.file_path").alias("source"), "value"))
-    return (raw.select("source", F.posexplode_outer(F.from_json("value", QUEUE_SCHEMA)).alias("pos", "t"))
-            .filter(F.col("pos").isNotNull()).select("source", "pos", "t.*"))
+    return parse_task_queue(raw, ["source"])
+
+
+def parse_task_queue(arrays: DataFrame, keys: Sequence[str], text: str = "value") -> DataFrame:
+    """A8 on arrays that are rows: ``keys`` plus ``pos`` and the entry's fields."""
+    return (arrays.select(*keys, F.posexplode_outer(F.from_json(text, QUEUE_SCHEMA)).alias("pos", "t"))
+            .filter(F.col("pos").isNotNull()).select(*keys, "pos", "t.*"))
 
 
 def queue_results(queue: DataFrame, systems: Sequence[str]) -> DataFrame:
