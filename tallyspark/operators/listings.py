@@ -24,9 +24,6 @@ EMPTY_RESULT = "Empty decompile result"
 NO_DETAILS = "No details provided"
 RUNNER_FAILURES = ("Failed to find the function at the given address.", "Failed to decompile the function.")
 
-BODY_SCHEMA = "listing_id long, address string, body string"
-
-
 def _bodies_from_listing(code: str, wanted: set[int]) -> dict[str, str]:
     """Body after each wanted ``// HEX:`` comment, found with brace prefix sums.
 
@@ -70,10 +67,48 @@ def listing_bodies(listings: DataFrame, key: str = "listing_id", code: str = "co
             for lid, txt, addrs in zip(pdf[key], pdf[code], pdf[addresses]):
                 wanted = {int(a, 16) for a in (addrs if addrs is not None else [])}
                 for a, body in _bodies_from_listing(txt, wanted).items():
-                    rows.append((int(lid), a, body))
-            yield pd.DataFrame(rows, columns=["listing_id", "address", "body"])
+                    rows.append((lid, a, body))
+            yield pd.DataFrame(rows, columns=[key, "address", "body"])
+
+    kind = listings.schema[key].dataType.simpleString()
+    return listings.select(key, code, addresses).mapInPandas(run, f"`{key}` {kind}, address string, body string")
 
-    return listings.select(key, code, addresses).mapInPandas(run, BODY_SCHEMA)
+
+def token_list_bodies(listings: DataFrame, key: str = "listing_id", tokens: str = "tokens",
+                      addresses: str = "addresses") -> DataFrame:
+    """P3 where a listing is one row, as the tools write it: ``tokens`` (array of ``kind, val`` in order) and the
+    requested ``addresses``. Same rules as :func:`token_bodies`.
+
+    Row-local: the requested comments cut the list into segments, a fold over
+    each segment holds only the depth and the place where it closes, and the
+    values up to there are joined. No shuffle.
+    """
+    found = lambda t: F.regexp_extract(t["val"], java_regex(RANGE_ADDRESS), 0)
+    # (place, address) of the requested comments; a place is counted from 1
+    marks = F.filter(
+        F.transform(F.col(tokens), lambda t, i: F.struct(
+            (i + 1).alias("at"), F.when((t["kind"] == "cmnt") & t["val"].contains(RANGE_MARKER), found(t)).alias("address"))),
+        lambda m: F.coalesce(F.array_contains(F.col(addresses), m["address"]), F.lit(False)))
+    ends = F.concat(F.slice(F.transform("_marks", lambda m: m["at"]), 2, F.greatest(F.size("_marks"), F.lit(1))),
+                    F.array((F.size(tokens) + 1).cast("int")))
+    x = (listings.select(key, tokens, marks.alias("_marks"))
+         .select(key, tokens, F.posexplode(F.arrays_zip("_marks", ends.alias("_end"))).alias("_seg", "_m"))
+         .filter(F.col("_m._marks").isNotNull())
+         .select(key, "_seg", F.col("_m._marks.address").alias("address"), F.slice(
+             tokens, F.col("_m._marks.at") + 1, F.col("_m._end") - F.col("_m._marks.at") - 1).alias("_part")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("at"), F.lit(0).alias("close"))
+
+    def step(s, t):
+        depth = s["depth"] + F.coalesce(F.when(t["val"] == "{", 1).when(t["val"] == "}", -1), F.lit(0))
+        opened = s["opened"] | F.coalesce(t["val"] == "{", F.lit(False))
+        at = s["at"] + 1
+        return F.struct(depth.alias("depth"), opened.alias("opened"), at.alias("at"),
+                        F.when((s["close"] == 0) & (depth == 0) & opened, at).otherwise(s["close"]).alias("close"))
+
+    close = F.aggregate("_part", start, step, lambda s: s["close"])
+    body = F.array_join(F.transform(F.slice("_part", 1, F.col("_close")), lambda t: t["val"]), "")
+    return (x.withColumn("_close", close).filter("_close > 0")
+            .groupBy(key, "address").agg(F.max_by(py_strip(body), F.col("_seg")).alias("body")))
 
 
 def token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listing_id") -> DataFrame:

@@ -688,19 +688,21 @@ req as (select listing_id, substring(val, 19, position(' - ' in val) - 19) addre
 
 
 def _tokens(spark, sf_dir):
+    """Documents as token lists: every 40th word starts a function, some words are braces, some are missing."""
     d = read_table(spark, sf_dir, "documents")
-    w = (d.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("p", "word"))
-         .filter(F.col("p").isNotNull()).withColumn("pos", F.col("p") + 1))
-    m = F.col("pos") % 40
-    val = (F.when(m == 1, F.concat(F.lit("// Address range: 0x"), F.lower(F.hex(F.col("doc_id") * 1000 + F.col("pos"))),
-                                   F.lit(" - 0xff")))
-           .when(m == 3, F.lit("{")).when(m == 9, F.lit("{")).when(m == 12, F.lit("}")).when(m == 25, F.lit("}"))
-           .when(m == 30, F.lit(None).cast("string")).otherwise(F.col("word")))
-    tok = w.select(F.col("doc_id").alias("listing_id"), "pos",
-                   F.when(m == 1, F.lit("cmnt")).otherwise(F.lit("text")).alias("kind"), val.alias("val"))
-    req = (tok.filter((F.col("kind") == "cmnt") & ((F.col("listing_id") + F.col("pos")) % 3 != 0))
-           .select("listing_id", F.regexp_extract("val", r"(0x\w+)", 1).alias("address")))
-    return tok, req
+
+    def token(word, i):
+        m = (i + 1) % 40
+        mark = F.concat(F.lit("// Address range: 0x"), F.lower(F.hex(F.col("doc_id") * 1000 + i + 1)), F.lit(" - 0xff"))
+        val = (F.when(m == 1, mark).when(m.isin(3, 9), F.lit("{")).when(m.isin(12, 25), F.lit("}"))
+               .when(m == 30, F.lit(None).cast("string")).otherwise(word))
+        return F.struct(F.when(m == 1, F.lit("cmnt")).otherwise(F.lit("text")).alias("kind"), val.alias("val"))
+
+    tokens = F.transform(F.split("text", " "), token)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(F.split("text", " ")), F.lit(1)), F.lit(40)),
+                      lambda p: (F.col("doc_id") + p) % 3 != 0)
+    addresses = F.transform(places, lambda p: F.concat(F.lit("0x"), F.lower(F.hex(F.col("doc_id") * 1000 + p))))
+    return d.select(F.col("doc_id").alias("listing_id"), tokens.alias("tokens"), addresses.alias("addresses"))
 
 
 @register("p3_token_bodies", sql=f"""
@@ -722,8 +724,7 @@ from g group by all""")
 def p3_token_bodies(spark, sf_dir):
     """Function bodies from token streams: tokens between a requested address comment and the
     balancing brace."""
-    tok, req = _tokens(spark, sf_dir)
-    return L.token_bodies(tok, req)
+    return L.token_list_bodies(_tokens(spark, sf_dir))
 
 
 @register("p4_outcome_reasons", sql="""

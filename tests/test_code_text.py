@@ -79,3 +79,11 @@ def test_splitlines_matches_python(spark, texts):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     got = {r.k: r.s for r in df.select("k", CT.py_splitlines("t").alias("s")).collect()}
     assert got == {k: t.splitlines() for k, t in enumerate(texts)}
+
+
+def test_prelude_is_null_where_the_body_does_not_occur(spark):
+    from tallyspark.functions.code_text import split_prelude
+    df = spark.createDataFrame([("int a;\r\nint f() {}\r\n", "int f() {}\n"), ("int a;\nint f() {}", "int f() {}\n"),
+                                ("int a;\nint f() {}\n#undef X\n", "int f() {}\n")], "content string, body string")
+    got = [r[0] for r in df.select(split_prelude("content", F.array().cast("array<string>"), "body")).collect()]
+    assert got[:2] == [None, None] and got[2].startswith("int a;\n")

@@ -54,6 +54,11 @@ def test_token_bodies(spark):
     req = spark.createDataFrame([(1, "0x10"), (1, "0x30"), (1, "0x50")], "listing_id long, address string")
     got = {r.address: r.body for r in L.token_bodies(t, req).collect()}
     assert got == {"0x10": "int f(){ x; {}}", "0x30": "g {}"}
+    rows = [(1, [(k, v) for _, _, k, v in toks], ["0x10", "0x30", "0x50"]), (2, [], ["0x10"]), (3, None, None),
+            (4, [("cmnt", None), ("t", None)], [])]
+    lists = spark.createDataFrame(rows, "listing_id long, tokens array<struct<kind: string, val: string>>, addresses array<string>")
+    assert {(r.listing_id, r.address): r.body for r in L.token_list_bodies(lists).collect()} == \
+        {(1, a): b for a, b in got.items()}
 
 
 def test_outcome_reasons(spark):
@@ -87,3 +92,8 @@ def test_prefix_sum_scan_equals_loop(parts):
     code = "".join(parts)
     wanted = {0x1a, 0x2b}
     assert L._bodies_from_listing(code, wanted) == brute(code, wanted)
+
+
+def test_listing_bodies_take_any_key(spark):
+    df = spark.createDataFrame([("a.c", "// 10: f\nint f()\n{ }\n", ["0x10"])], "name string, code string, addresses array<string>")
+    assert [(r.name, r.address) for r in L.listing_bodies(df, key="name").collect()] == [("a.c", "0x10")]
