@@ -25,16 +25,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def materialize(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+_MADE: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables made so far in this session.
+
+    For a caller that knows that all results built on them have been written.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, release: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor repeats only its tasks of the next
     step, and what a stage decided is not decided again. ``release``: lets Spark
     delete the shuffle files that only finished steps used, which it otherwise
-    does whenever the driver happens to collect garbage.
+    does whenever the driver happens to collect garbage. ``keep``: the table
+    outlives ``drop_scratch``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if not keep:
+        _MADE.append(path)
     df.write.parquet(path)
     schema = df.schema
     if release:

@@ -255,11 +255,17 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
                 block: int = 4096, forests: int = 2) -> DataFrame:
     """The rows of ``docs`` without the near-duplicates of rows that stay: of each component, the row with the least
     non-null ``key`` (of several such rows, any one). Rows without words stay."""
-    rows, row, size, labels = _groups(docs, key, text, n, num, den, block, forests, docs.columns)
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
-    first = _least(rows, size, labels, F.min(order).alias("first")).select(F.col("first.row").alias(row)).distinct()
-    empty = rows.filter(F.col(size) == 0).select(row)
-    return rows.join(first.unionByName(empty), row, "left_semi").select(*docs.columns)
+    rows, _, size, labels = _groups(docs, key, text, n, num, den, block, forests, [key])
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_text").alias("text"))
+    first = _least(rows, size, labels, F.min(order).alias("first")).select(
+        F.col("first.key").alias("_key"), F.col("first.text").alias("_text")).distinct()
+    # a row is known by its key and its text; equal rows are one, and texts meet their verdicts in one shuffle
+    columns = docs.columns
+    named = docs.withColumn("_text", F.md5(F.col(text)))
+    chosen = named.join(first, (named["_text"] == first["_text"]) & named[key].eqNullSafe(first["_key"]), "left_semi")
+    some = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    return chosen.dropDuplicates(["_text", key]).select(*columns).unionByName(
+        docs.filter(~F.coalesce(some, F.lit(False))))
 
 
 def _slices(docs: DataFrame, members: DataFrame, text: str, n: int) -> DataFrame:

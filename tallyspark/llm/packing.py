@@ -58,7 +58,7 @@ class ByteLevelEncoder:
     texts of a file that is not a plain byte-level BPE.
     """
 
-    def __init__(self, path: str, cache_parts: int = 400_000):
+    def __init__(self, path: str, cache_parts: int = 600_000):
         import json
 
         from tokenizers import Tokenizer

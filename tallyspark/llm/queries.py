@@ -132,7 +132,7 @@ def op6(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     third = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = train(docs.filter(third != 1).join(labels.filter(third != 1), "doc_id"))
+    model = train(docs.filter(third != 1), labels.filter(third != 1))
     return score(docs, model, keep=["doc_id"]).select(
         "doc_id", (F.coalesce(third, F.lit(-1)) == 1).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))

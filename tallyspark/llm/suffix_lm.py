@@ -46,6 +46,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one of each, and the number of every key's distinct one."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
@@ -146,18 +157,21 @@ def _batches(rows, schema: list, limit: int = 1 << 24):
 
 
 def _sum(group: pd.DataFrame) -> pd.DataFrame:
-    """Sums per key over the blocks of a bucket; every block gets those of its keys, the first one owns a key."""
+    """Sums per key over the blocks of a bucket; every block gets those of its keys, one of them owns a key."""
     kind = int(group["kind"].iloc[0])
     group = group.sort_values("block")
     sizes = [len(k) // 8 for k in group["keys"]]
     keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
-    distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    distinct, first, inverse = _distinct(keys)
     owned = np.zeros(len(keys), np.uint8)
     owned[first] = 1
     outs = []
-    for c, sent, back in (("v0", "<i4", "<i8"), ("v1", "<f8", "<f8")):
+    for c, sent in (("v0", "<i4"), ("v1", "<f8")):
         v = np.frombuffer(b"".join(group[c]), sent)
-        outs.append(np.bincount(inverse, v, len(distinct))[inverse].astype(back) if len(v) else None)
+        sums = np.bincount(inverse, v, len(distinct)) if len(v) else None
+        if sums is not None and c == "v0":  # half the bytes unless a count needs more
+            sums = sums.astype("<i4" if sums.max() < 1 << 31 else "<i8")
+        outs.append(None if sums is None else sums[inverse])
     rows, at = [], 0
     for bucket, block, n in zip(group["bucket"], group["block"], sizes):
         cut = slice(at, at + n)
@@ -167,8 +181,6 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "block", "v0", "v1", "owned"])
 
 
-def _exchange(sent: DataFrame, name: str) -> DataFrame:
-    return materialize(sent.groupBy("kind", "bucket").applyInPandas(_sum, BACK), name, release=True)
 
 
 class _Back:
@@ -180,8 +192,11 @@ class _Back:
             self.rows.setdefault(r["kind"], []).append(r)
 
     def values(self, kind: int, column: str = "v0") -> np.ndarray:
-        kinds = {"v0": "<i8", "v1": "<f8", "owned": np.uint8}
-        return np.frombuffer(b"".join(r[column] for r in self.rows.get(kind, ())), kinds[column])
+        rows = self.rows.get(kind, ())
+        if column == "v0":  # 32 or 64 bits, as the bucket needed
+            parts = [np.frombuffer(r["v0"], "<i4" if len(r["v0"]) == 4 * len(r["owned"]) else "<i8") for r in rows]
+            return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        return np.frombuffer(b"".join(r[column] for r in rows), "<f8" if column == "v1" else np.uint8)
 
 
 # kinds of keys: words; then for every level its pairs and its contexts
@@ -220,7 +235,7 @@ class _Level:
         # context: hash, size: its count, per position; at: positions that have such a context
         self.at = at
         key = _mix(context[at] * _A + token[at])
-        self.keys, first, self.inverse = np.unique(key, return_index=True, return_inverse=True)
+        self.keys, first, self.inverse = _distinct(key)
         self.train = np.bincount(self.inverse, train[at], len(self.keys)).astype("<i4")
         self.first = at[first]
         self.context = context[self.first]
@@ -262,7 +277,7 @@ def _walk(row, depth: int, least: list[int], root: _Root | None):
         level.count = back.values(_pairs(k))
         level.shorter = shorter[level.first]
         level.owned = back.values(_pairs(k), "owned").astype(bool)
-        level.names, level.number = np.unique(level.context, return_inverse=True)
+        level.names, _, level.number = _distinct(level.context)
         # the level's own probability where it has one, for the test of the next level
         shorter = shorter.copy()
         shorter[at] = level.tested(level.count, level.shorter)[level.inverse]
@@ -330,8 +345,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     least = list(least)
     sent_schema = _arrow(SENT)
 
-    def passed(back: DataFrame | None, fn, schema: str, name: str, root) -> DataFrame:
-        """One pass over the blocks with all that came back to them."""
+    def passed(back: DataFrame | None, fn, name: str, root, schema: str = SENT) -> DataFrame:
+        """One pass over the blocks with all that came back to them; what they send is summed and returned to them."""
         rows = blocks
         if back is None:
             rows = rows.withColumn("back", F.lit(None).cast("array<struct<kind:int,bucket:int,v0:binary,v1:binary,owned:binary>>"))
@@ -344,15 +359,18 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 for row in b.to_pylist():
                     yield from fn(row, _walk(row, depth, least, root))
 
+        out = rows.mapInArrow(run, schema)
+        if schema == SENT:
+            out = out.groupBy("kind", "bucket").applyInPandas(_sum, BACK)
         with _few_rows(spark, 2):
-            return materialize(rows.mapInArrow(run, schema), name, release=True)
+            return materialize(out, name, release=True)
 
     def send_words(row, s):
         counts = np.bincount(s["tokens"][s["train"]], minlength=len(s["vocabulary"])).astype("<i4")
         o = s["order"]
         return _batches(_send(WORDS, row["block"], buckets, s["vocabulary"][o], counts[o]), sent_schema)
 
-    back = _exchange(passed(None, send_words, SENT, "lm-words", None), "lm-word-counts")
+    back = passed(None, send_words, "lm-word-counts", None)
     root = _root(back)
 
     for k in range(depth):
@@ -365,13 +383,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 out += _send(_pairs(k), row["block"], buckets, s["levels"][k].keys, s["levels"][k].train)
             return _batches(out, sent_schema)
 
-        back = back.unionByName(_exchange(passed(back, send, SENT, "lm-pairs", root), "lm-pair-counts"))
+        back = back.unionByName(passed(back, send, "lm-pair-counts", root))
 
     def send_last(row, s):
         names, words_after, gain = _context_sums(s["levels"][depth - 1])
         return _batches(_send(_contexts(depth - 1), row["block"], buckets, names, words_after, gain), sent_schema)
 
-    back = back.unionByName(_exchange(passed(back, send_last, SENT, "lm-contexts", root), "lm-context-sums"))
+    back = back.unionByName(passed(back, send_last, "lm-context-sums", root))
 
     def finish(row, s):
         import pyarrow as pa
@@ -384,8 +402,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             names=[key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     key_type = _arrow(f"key {kind}")[0][1]
-    return passed(back, finish, f"`{key}` {kind}, train boolean, n_tokens long, n_known long, train_tokens long, "
-                                "base_score double, score double", "lm-scores", root)
+    return passed(back, finish, "lm-scores", root, f"`{key}` {kind}, train boolean, n_tokens long, n_known long, "
+                                                   "train_tokens long, base_score double, score double")
 
 
 def _arrow(schema: str) -> list:
@@ -403,7 +421,7 @@ def _root(back: DataFrame) -> _Root:
         sums = np.zeros(4)
         for b in batches:
             for v, o in zip(b.column("v0").to_pylist(), b.column("owned").to_pylist()):
-                c = np.frombuffer(v, "<i8")[np.frombuffer(o, np.uint8) > 0]
+                c = np.frombuffer(v, "<i4" if len(v) == 4 * len(o) else "<i8")[np.frombuffer(o, np.uint8) > 0]
                 sums += c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=list("abcd"))
 

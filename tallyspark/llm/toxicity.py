@@ -95,15 +95,19 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, s
     return w
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 3000,
-          max_ordinary: int = 6000, **options) -> Model:
-    """A model from a bounded sample of ``labelled`` (columns ``key``, ``text``, ``label``)."""
-    order = [F.xxhash64(F.col(key).cast("string")), F.col(key), F.col(text)]
-    sample = {}
-    for value, most in ((1, max_toxic), (0, max_ordinary)):
-        rows = labelled.filter(F.col(label) == value).select(key, text).orderBy(*order).limit(most).collect()
-        sample[value] = [r[1] for r in rows]
-    return train_on(sample[1], sample[0], **options)
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+          max_toxic: int = 3000, max_ordinary: int = 6000, **options) -> Model:
+    """A model from a bounded sample of the documents that ``labels`` (columns ``key``, ``label``) covers.
+
+    The sample is drawn from the labels; only its ids, so many at most, meet
+    the documents, and the texts are read where they are.
+    """
+    order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
+    drawn = [labels.filter((F.col(label) == value) & F.col(key).isNotNull()).select(key, F.col(label).alias("_label"))
+             .distinct().orderBy(*order).limit(most) for value, most in ((1, max_toxic), (0, max_ordinary))]
+    found = docs.select(key, text).join(F.broadcast(drawn[0].unionByName(drawn[1])), key)
+    rows = found.orderBy(*order, text).limit(max_toxic + max_ordinary).collect()
+    return train_on([r[text] for r in rows if r["_label"] == 1], [r[text] for r in rows if r["_label"] == 0], **options)
 
 
 def train_on(tox: list[str], plain: list[str], shared_bytes: int = 1 << 19, own_bytes: int = 1 << 16,

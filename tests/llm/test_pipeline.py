@@ -19,7 +19,7 @@ def test_every_stage_equals_brute_force(spark):
     columns = docs.columns
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = common.materialize(stage(spark, docs, SF), f"test-{name}")
+        docs = common.materialize(stage(spark, docs, SF), f"test-{name}", keep=True)
         kept[name] = docs.collect()
         if name != "packing":
             assert docs.columns == columns
@@ -85,5 +85,5 @@ def test_stages_take_empty_and_odd_tables(spark, docs):
     for table in (docs([]), docs(rows)):
         d = table
         for name, stage in corpus_pipeline.STAGES:
-            d = common.materialize(stage(spark, d, SF), f"odd-{name}")
+            d = common.materialize(stage(spark, d, SF), f"odd-{name}", keep=True)
         assert d.count() >= 0
