@@ -25,6 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _MADE: list[str] = []
 
 
@@ -52,12 +57,13 @@ def materialize(df: DataFrame, name: str, release: bool = False, keep: bool = Fa
     path = scratch_path(spark, name)
     if not keep:
         _MADE.append(path)
+    if release:  # what the step before used is only let go now
+        _collect_garbage(spark)
     df.write.parquet(path)
     schema = df.schema
     if release:
         del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        _collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
 
 

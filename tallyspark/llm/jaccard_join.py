@@ -247,7 +247,7 @@ def _least(rows: DataFrame, size: str, labels: DataFrame, aggregate) -> DataFram
     """``aggregate`` over the rows of every component, for each of its nodes."""
     sets = rows.filter(F.col(size) > 0)
     own = sets.select("_node").distinct().join(labels, "_node", "left").withColumn("_label", F.coalesce("_label", "_node"))
-    own = materialize(own, "components")
+    own = materialize(own, "components", release=True)
     return own.join(sets.join(own, "_node").groupBy("_label").agg(aggregate), "_label")
 
 
@@ -337,13 +337,13 @@ def _links(members: DataFrame, slices: DataFrame, num: int, den: int, forests: i
 
         found = (tasks.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
                  .mapInArrow(pairs, "a long, b long").distinct())
-        found = materialize(found, "pairs")
+        found = materialize(found, "pairs", release=True)
         if found.isEmpty():
             if step or not _large(members):
                 break
             step += 1
             continue
-        judged = materialize(_overlaps(found, members, slices, num, den), "overlaps")
+        judged = materialize(_overlaps(found, members, slices, num, den), "overlaps", release=True)
         new, bad = judged.filter("linked").select("a", "b"), judged.filter("not linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         failed = bad if failed is None else failed.unionByName(bad)

@@ -139,7 +139,7 @@ def _text_spans(docs: DataFrame, text: str, length: int, keep: list[str], shard_
                                                 "_end array<int>, _several array<boolean>"]))
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "anchors")
     texts = materialize(rows.filter(F.col("_bytes") >= length).groupBy("_digest").agg(
-        F.count("*").alias("copies"), F.min("_row").alias("_row")), "distinct-texts")
+        F.count("*").alias("copies"), F.min("_row").alias("_row")), "distinct-texts", release=True)
     runs = (rows.join(texts.select("_row", "copies"), "_row")
             .select(F.col("_digest").alias("digest"), "copies",
                     F.explode(F.arrays_zip("_anchor", "_start", "_end", "_several")).alias("r"))
@@ -151,9 +151,9 @@ def _text_spans(docs: DataFrame, text: str, length: int, keep: list[str], shard_
         F.first("copies").alias("copies"), F.collect_list(F.struct("anchor", "start", "end")).alias("runs"))
     content = F.coalesce(F.col(text), F.lit(""))
     bodies = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("body")).dropDuplicates(["digest"])
-    bodies = materialize(bodies.join(wanted, "digest"), "texts-with-shared-anchors")
+    bodies = materialize(bodies.join(wanted, "digest"), "texts-with-shared-anchors", release=True)
     segments = materialize(bodies.select("digest", "copies", "body", "runs").mapInArrow(
-        _segments, "anchor long, segment binary, digest binary, start int, end int, copies long, bytes binary"), "segments")
+        _segments, "anchor long, segment binary, digest binary, start int, end int, copies long, bytes binary"), "segments", release=True)
     marks = _marks(segments, length, shard_bytes, anchor_bytes)
     found = (segments.filter("copies = 1").select("anchor", "segment", "digest", "start").join(marks, ["anchor", "segment"])
              .select("digest", (F.col("start") + F.col("low")).cast("long").alias("low"),
@@ -250,7 +250,7 @@ def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int
     """``anchor``, ``segment``, ``low``, ``high``: marked ranges of distinct segments."""
     # parent: the segment that a part was cut from, and where; equal parts collapse before they are dealt
     parts = segments.select("anchor", "bytes", "copies")
-    parts = materialize(parts.groupBy("anchor", "bytes").agg(F.sum("copies").alias("places")), "distinct-segments")
+    parts = materialize(parts.groupBy("anchor", "bytes").agg(F.sum("copies").alias("places")), "distinct-segments", release=True)
     done, origin = [], None
     for salt in range(1, most + 1):
         large = parts.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("b"), F.count("*").alias("n")) \
@@ -279,7 +279,7 @@ def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int
         cut = materialize(hot.select("anchor", "bytes", "places").mapInArrow(
             split, "up long, up_segment binary, at int, anchor long, places long, bytes binary"), "split-segments")
         origin = _joined(origin, cut)
-        parts = materialize(cut.groupBy("anchor", "bytes").agg(F.sum("places").alias("places")), "distinct-segments")
+        parts = materialize(cut.groupBy("anchor", "bytes").agg(F.sum("places").alias("places")), "distinct-segments", release=True)
     out = None
     for parts, origin in done:
         marks = _index_marks(parts, length, shard_bytes)
@@ -288,7 +288,7 @@ def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int
                 F.col("up").alias("anchor"), F.col("up_segment").alias("segment"), (F.col("low") + F.col("at")).alias("low"),
                 (F.col("high") + F.col("at")).alias("high"))
         out = marks if out is None else out.unionByName(marks)
-    return materialize(out, "marks")
+    return materialize(out, "marks", release=True)
 
 
 def _joined(origin, cut):

@@ -332,7 +332,7 @@ def _few_rows(spark, rows: int):
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, least: tuple = (32, 64),
-          block_tokens: int = 3 << 19, bucket_tokens: int = 3 << 19) -> DataFrame:
+          block_tokens: int = 1 << 20, bucket_tokens: int = 3 << 19) -> DataFrame:
     """``key``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row.
 
     ``train``: which rows the model learns from. ``least``: for every length of
