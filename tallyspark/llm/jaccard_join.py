@@ -6,8 +6,9 @@ at least ``num`` times their union.
 
 *Candidates.* The order is cut into fragments, one more than the symmetric
 difference that a link of the size class allows, and a few to spare. A link
-must agree on a whole fragment, so the fragments' contents are grouped: every
-text links to the least text of each group. These stars' components hold all
+must agree on so many whole fragments, so the fragments' contents are grouped,
+texts with too few shared fragments are left out, and every other text links to
+the least text of each group. These stars' components hold all
 candidates, whatever the number of texts in a group, without pairs of a group.
 
 *Pairs.* Within a component, pairs of texts not yet connected are compared by
@@ -89,10 +90,13 @@ class Classes:
         first, last = np.searchsorted(self.start, [size, size * self.den // self.num], "right") - 1
         return range(int(first), int(last) + 1)
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """A hash per fragment of every class; fragments without elements only where all that agree may be empty."""
+    def signatures(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A hash per fragment of every class, and with each the class and how many fragments a link agrees on.
+
+        Fragments without elements are left out unless all that agree may be empty.
+        """
         sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(s + _C), dtype=np.uint64)))
-        out = []
+        out, tags = [], []
         for c in self.of(len(s)):
             d = self.differ(int(self.start[c + 1]) - 1)
             if not d:
@@ -103,8 +107,10 @@ class Classes:
             at[-1] = len(s)
             keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix((np.arange(f, dtype=np.uint64) + np.uint64(c << 40)) * _A + _B))
             filled = at[1:] > at[:-1]
-            out.append(keys[filled] if f - int(filled.sum()) < spare else keys)
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            empty = f - int(filled.sum())
+            out.append(keys[filled] if empty < spare else keys)
+            tags.append(np.full(len(out[-1]), (c << 32) + (spare - empty if empty < spare else 1), np.int64))
+        return (np.concatenate(out), np.concatenate(tags)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -206,16 +212,22 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, bl
         word_hash = Bounded(xxhash.xxh3_64_intdigest, 300_000).__getitem__
         for b in batches:
             out = [shingles(t, n, word_hash) for t in b.column(text).to_pylist()]
-            sigs = [classes.signatures(s).view(np.int64) for s in out]
-            names = [np.full(len(g), set_name(s), np.int64) for s, g in zip(out, sigs)]
+            sigs = [classes.signatures(s) for s in out]
+            names = [np.full(len(g), set_name(s), np.int64) for s, (g, _) in zip(out, sigs)]
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(names))],
-                                                 names=["sig", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([g.view(np.int64) for g, _ in sigs])), pa.array(np.concatenate(names)),
+                     pa.array(np.concatenate([t for _, t in sigs]))], names=["sig", "node", "tag"])
 
     rows = keyed.mapInArrow(sets, ", ".join([*schema_of(keyed, columns), f"{size} long, _node long, _sketch binary"]))
     rows = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "shingle-sets")
-    sigs = docs.select(text).mapInArrow(signatures, "sig long, node long")
-    stars = (sigs.withColumn("hub", F.min("node").over(Window.partitionBy("sig"))).filter("node <> hub")
+    # signatures that two different sets have; a set with fewer of them in a class than a link agrees on has no link there
+    sigs = docs.select(text).mapInArrow(signatures, "sig long, node long, tag long")
+    bucket = Window.partitionBy("sig")
+    sigs = materialize(sigs.withColumn("one", F.min("node").over(bucket)).withColumn("other", F.max("node").over(bucket))
+                       .filter("one <> other").select("sig", "node", "tag").distinct(), "shared-signatures", release=True)
+    enough = sigs.groupBy("node", "tag").agg(F.count("*").alias("n")).filter("n >= (tag & 4294967295)").drop("n")
+    stars = (sigs.join(enough, ["node", "tag"]).withColumn("hub", F.min("node").over(bucket)).filter("node <> hub")
              .select("node", "hub").distinct())
     stars = materialize(stars, "stars", release=True)
     clusters = connected_components(stars, "node", "hub").withColumnRenamed("component", "cluster")
