@@ -75,6 +75,19 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, whose upper bytes are mostly zero, byte plane by byte plane, compressed."""
+    import zstandard
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    import zstandard
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _blocks(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFrame:
     """Rows of texts as word numbers: ``block``, ``keys``, ``train``, ``sizes``, ``vocabulary`` (hashes), ``tokens``."""
     kind = docs.schema[key].dataType.simpleString()
@@ -135,7 +148,7 @@ def _send(kind: int, block: int, buckets: int, keys: np.ndarray, v0: np.ndarray,
     at = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     for k in np.flatnonzero(np.diff(at)):
         a, z = at[k], at[k + 1]
-        yield (kind, int(k), block, keys[a:z].tobytes(), v0[a:z].tobytes(), b"" if v1 is None else v1[a:z].tobytes())
+        yield (kind, int(k), block, _pack_keys(keys[a:z]), v0[a:z].tobytes(), b"" if v1 is None else v1[a:z].tobytes())
 
 
 def _batches(rows, schema: list, limit: int = 1 << 24):
@@ -160,8 +173,8 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     """Sums per key over the blocks of a bucket; every block gets those of its keys, one of them owns a key."""
     kind = int(group["kind"].iloc[0])
     group = group.sort_values("block")
-    sizes = [len(k) // 8 for k in group["keys"]]
-    keys = np.frombuffer(b"".join(group["keys"]), np.uint64)
+    parts = [_unpack_keys(k) for k in group["keys"]]
+    sizes, keys = [len(k) for k in parts], np.concatenate(parts)
     distinct, first, inverse = _distinct(keys)
     owned = np.zeros(len(keys), np.uint8)
     owned[first] = 1
@@ -332,7 +345,7 @@ def _few_rows(spark, rows: int):
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, least: tuple = (32, 64),
-          block_tokens: int = 1 << 20, bucket_tokens: int = 3 << 19) -> DataFrame:
+          block_tokens: int = 3 << 19, bucket_tokens: int = 3 << 19) -> DataFrame:
     """``key``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row.
 
     ``train``: which rows the model learns from. ``least``: for every length of
