@@ -1,13 +1,14 @@
 """Operator 1: language-model scores from a probabilistic suffix tree.
 
 The model's contexts are the last words before a token, up to ``depth`` of
-them. A context longer than none is kept if it occurs often enough and passes a
-divergence test against the context one word shorter: how much better its own
-next-word counts, each without the occurrence at hand, predict those
-occurrences. Next-word distributions are smoothed by absolute discounting
-towards the shorter context, down to the words' own counts, where one share is
-set aside for all unknown words. A token is scored by the longest kept suffix
-of its history.
+them. A context longer than none is kept if it passes a divergence test against
+the context one word shorter: how much better its own next-word counts, each
+without the occurrence at hand, predict those occurrences. A context that
+occurs once gains exactly nothing, so the test begins with two occurrences.
+Next-word distributions are smoothed by absolute discounting towards the
+shorter context, down to the words' own counts, where one share is set aside
+for all unknown words. A token is scored by the longest kept suffix of its
+history.
 
 The tree grows with the corpus, so it is never gathered in one place. Texts are
 stored as blocks of word numbers. For every level, a block sends its distinct
@@ -38,6 +39,8 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x9
 DISCOUNT = 0.75
 PRIOR = 1000.0  # of the distribution that the divergence test uses
 GAIN = 5.0  # nats a context must gain
+DEPTH = 4  # words of the longest contexts
+ONCE_MORE = 2  # what occurs once has gain 0: the least count that can pass the test
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -54,7 +57,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = ranked[1:] != ranked[:-1]
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], number
+    return ranked[new], order[new], number.astype(np.int32)
 
 
 class _Numbers(dict):
@@ -246,7 +249,7 @@ class _Level:
 
     def __init__(self, context: np.ndarray, at: np.ndarray, size: np.ndarray, token: np.ndarray, train: np.ndarray):
         # context: hash, size: its count, per position; at: positions that have such a context
-        self.at = at
+        self.at = at = at.astype(np.int32)
         key = _mix(context[at] * _A + token[at])
         self.keys, first, self.inverse = _distinct(key)
         self.train = np.bincount(self.inverse, train[at], len(self.keys)).astype("<i4")
@@ -254,6 +257,10 @@ class _Level:
         self.context = context[self.first]
         self.size = size[self.first].astype(float)
 
+    def settle(self) -> None:
+        """Lets go of what only the sums of the level and the next one need."""
+        del self.keys, self.train, self.context, self.owned, self.names, self.shorter_tested
+
     def tested(self, count: np.ndarray, shorter: np.ndarray, left_out: int = 0) -> np.ndarray:
         """Next-word probability of every pair, as the divergence test takes it."""
         return (count - left_out + PRIOR * shorter) / (self.size - left_out + PRIOR)
@@ -284,16 +291,18 @@ def _walk(row, depth: int, least: list[int], root: _Root | None):
     for k in range(depth):
         at = np.flatnonzero((place > k) & (size >= least[k]))
         level = _Level(context, at, size, token, train)
+        if k > 1 and len(at):  # an empty level may stand for one that is not sent yet
+            state["levels"][k - 2].settle()
         state["levels"].append(level)
         if _pairs(k) not in back.rows and len(at):
             break
         level.count = back.values(_pairs(k))
-        level.shorter = shorter[level.first]
+        level.shorter_tested = shorter[level.first]
         level.owned = back.values(_pairs(k), "owned").astype(bool)
         level.names, _, level.number = _distinct(level.context)
         # the level's own probability where it has one, for the test of the next level
         shorter = shorter.copy()
-        shorter[at] = level.tested(level.count, level.shorter)[level.inverse]
+        shorter[at] = level.tested(level.count, level.shorter_tested)[level.inverse]
         # a longer context: this one and the word before it; it occurs as often as the pair that ends it
         pair = np.zeros(n, np.int64)
         pair[at] = level.count[level.inverse]
@@ -308,8 +317,8 @@ def _context_sums(level: _Level):
     """Per context, from the pairs that the block owns: how many next words it has, and its gain over the shorter one."""
     own = level.owned & (level.count > 0)
     c = level.count[own].astype(float)
-    left_out = (c - 1 + PRIOR * level.shorter[own]) / (level.size[own] - 1 + PRIOR)
-    gain = c * np.log(left_out / level.shorter[own])
+    left_out = (c - 1 + PRIOR * level.shorter_tested[own]) / (level.size[own] - 1 + PRIOR)
+    gain = c * np.log(left_out / level.shorter_tested[own])
     n = len(level.names)
     return (level.names, np.bincount(level.number[own], minlength=n).astype("<i4"),
             np.bincount(level.number[own], gain, n).astype("<f8"))
@@ -344,13 +353,15 @@ def _few_rows(spark, rows: int):
         spark.conf.set(name, before)
 
 
-def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = 2, least: tuple = (32, 64),
-          block_tokens: int = 1 << 20, bucket_tokens: int = 3 << 19) -> DataFrame:
+def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int | None = None,
+          least: tuple = (ONCE_MORE,) * DEPTH, block_tokens: int = 1 << 20, bucket_tokens: int = 3 << 19) -> DataFrame:
     """``key``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row.
 
     ``train``: which rows the model learns from. ``least``: for every length of
-    contexts, how often they must occur to be tested.
+    contexts, how often they must occur to be tested; 2 leaves out nothing that
+    could pass. ``depth``: the longest contexts, as many as ``least`` has by default.
     """
+    depth = len(least) if depth is None else depth
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     blocks = _blocks(docs.withColumn("_learn", F.coalesce(train, F.lit(False))), key, text, block_tokens)
@@ -375,7 +386,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         out = rows.mapInArrow(run, schema)
         if schema == SENT:
             out = out.groupBy("kind", "bucket").applyInPandas(_sum, BACK)
-        with _few_rows(spark, 2):
+        with _few_rows(spark, 1):
             return materialize(out, name, release=True)
 
     def send_words(row, s):

@@ -13,7 +13,7 @@ from tallyspark.llm import decontaminate as D
 from tallyspark.llm.jaccard_join import one_of_each, similar_groups
 from tallyspark.llm.repeats import remove_repeats, repeated_spans
 from tallyspark.llm.run_index import RunIndex
-from tallyspark.llm.suffix_lm import score
+from tallyspark.llm.suffix_lm import DISCOUNT, GAIN, PRIOR, score
 from tallyspark.llm.token_counts import count_tokens
 
 from .conftest import ODD
@@ -274,6 +274,61 @@ def test_suffix_lm_distributions_sum_to_at_most_one(docs):
     assert total < 1
 
 
+def brute_suffix_scores(texts, depth):
+    """Every count and test in the open: contexts that occur at all are tested."""
+    toks = [[*words(t), b""] for t in texts]
+    one = collections.Counter(w for t in toks for w in t)
+    total, once, twice = sum(one.values()), *(sum(v == k for v in one.values()) for k in (1, 2))
+    d = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+    after = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
+    for t in toks:
+        for i, w in enumerate(t):
+            for k in range(1, min(depth, i) + 1):
+                after[k][tuple(t[i - k:i])][w] += 1
+
+    def root(w):
+        return (one[w] - d) / total
+
+    def size(c):  # as often as its last words are followed by its end; a lone word by its own count
+        return one[c[0]] if len(c) == 1 else after[len(c) - 1][c[:-1]][c[-1]]
+
+    def tested(c, w):
+        return root(w) if not c else (after[len(c)][c][w] + PRIOR * tested(c[1:], w)) / (size(c) + PRIOR)
+
+    def gain(c):
+        return sum(n * math.log((n - 1 + PRIOR * tested(c[1:], w)) / (size(c) - 1 + PRIOR) / tested(c[1:], w))
+                   for w, n in after[len(c)][c].items())
+
+    def smooth(c, w):
+        if not c:
+            return root(w)
+        follow = after[len(c)][c]
+        return (max(follow[w] - DISCOUNT, 0) + DISCOUNT * len(follow) * smooth(c[1:], w)) / size(c)
+
+    scores = []
+    for t in toks:
+        s = 0.0
+        for i, w in enumerate(t):
+            kept = [()] + [c for k in range(1, min(depth, i) + 1) if gain(c := tuple(t[i - k:i])) > GAIN]
+            s += math.log10(smooth(kept[-1], w))
+        scores.append(s)
+    return scores
+
+
+def test_suffix_lm_defaults_test_every_context(docs):
+    """Contexts that occur twice, and of up to four words, are tested by the defaults."""
+    rng = random.Random(9)
+    names = [f"w{k}" for k in range(400)]
+    texts = [" ".join(rng.choice(names) for _ in range(40)) for _ in range(30)]
+    # a text and its copy with other words around: most of their contexts occur twice; x y z then tells apart by the word before
+    texts += [f"{rng.choice(names)} {t}" for t in texts[:5]]
+    texts += [f"{a} x y z {b}" for a, b in [("p", "first"), ("q", "second"), ("r", "third")] * 30]
+    got = {r.doc_id: r.score for r in score(docs(list(enumerate(texts))), F.lit(True)).collect()}
+    for i, s in enumerate(brute_suffix_scores(texts, 4)):
+        assert abs(got[i] - s) < 1e-6, (i, got[i], s)
+    assert got[len(texts) - 1] > brute_suffix_scores(texts, 2)[-1] + 0.1
+
+
 def test_suffix_lm_without_training_rows(docs):
     got = score(docs([(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 3, 0, 0), (2, 1, 0, 0)]
