@@ -10,7 +10,9 @@ by anchor. Only anchors that occur in two places of the distinct texts matter;
 a text that occurs twice as a whole is marked as a whole. Equal segments are
 stored once with the number of their places. An anchor with more distinct
 segments than a task should hold is split by further anchors, which are also
-functions of the window alone.
+functions of the window alone. What stays large after two splits, as a passage
+between many different neighbours does, is not gathered: its windows are
+counted by name over the corpus.
 
 *Index.* Each shard builds a run-length index of its segments and streams
 their matching statistics; a match of ``length`` bytes or more, or a segment
@@ -87,16 +89,20 @@ def marked_parts(segments: list[bytes], places: list[int], length: int) -> list[
         if n > 1:
             out.append([(0, len(s))])
             continue
-        at = np.flatnonzero(hit[a:z])
-        if not len(at):
-            out.append([])
-            continue
-        cut = np.flatnonzero(np.diff(at) > length)
-        out.append([(int(x), int(y) + length) for x, y in zip(at[np.concatenate(([0], cut + 1))],
-                                                            at[np.concatenate((cut, [len(at) - 1]))])])
+        out.append(_ranges(hit[a:z], length))
     return out
 
 
+def _ranges(hit: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """What the marked windows cover, as maximal ranges."""
+    at = np.flatnonzero(hit)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > length)
+    return [(int(x), int(y) + length) for x, y in zip(at[np.concatenate(([0], cut + 1))],
+                                                      at[np.concatenate((cut, [len(at) - 1]))])]
+
+
 def join_spans(spans) -> list[tuple[int, int]]:
     """Union of ranges, as maximal ranges in order."""
     out: list[tuple[int, int]] = []
@@ -246,21 +252,24 @@ def _segment_batch(out):
                                       names=["anchor", "segment", "digest", "start", "end", "copies", "bytes"])
 
 
-def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int, most: int = 8) -> DataFrame:
+def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int, most: int = 3) -> DataFrame:
     """``anchor``, ``segment``, ``low``, ``high``: marked ranges of distinct segments."""
     # parent: the segment that a part was cut from, and where; equal parts collapse before they are dealt
     parts = segments.select("anchor", "bytes", "copies")
     parts = materialize(parts.groupBy("anchor", "bytes").agg(F.sum("copies").alias("places")), "distinct-segments", release=True)
-    done, origin = [], None
+    done, origin, left = [], None, None
     for salt in range(1, most + 1):
         large = parts.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("b"), F.count("*").alias("n")) \
             .filter((F.col("b") > anchor_bytes) & (F.col("n") > 1)).select("anchor")
         large = materialize(large, "large-anchors")
-        if salt == most or large.isEmpty():
+        if large.isEmpty():
             done.append((parts, origin))
             break
         done.append((parts.join(large, "anchor", "left_anti"), origin))
         hot = parts.join(large, "anchor")
+        if salt == most:
+            left = hot
+            break
 
         def split(batches, salt=salt):
             import pyarrow as pa
@@ -280,9 +289,11 @@ def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int
             split, "up long, up_segment binary, at int, anchor long, places long, bytes binary"), "split-segments")
         origin = _joined(origin, cut)
         parts = materialize(cut.groupBy("anchor", "bytes").agg(F.sum("places").alias("places")), "distinct-segments", release=True)
+    found = [(_index_marks(parts, length, shard_bytes), origin) for parts, origin in done]
+    if left is not None:
+        found.append((_window_marks(left, length), origin))
     out = None
-    for parts, origin in done:
-        marks = _index_marks(parts, length, shard_bytes)
+    for marks, origin in found:
         if origin is not None:  # back to the segments of the first level
             marks = marks.join(origin, ["anchor", "segment"]).select(
                 F.col("up").alias("anchor"), F.col("up_segment").alias("segment"), (F.col("low") + F.col("at")).alias("low"),
@@ -325,3 +336,78 @@ def _index_marks(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
     return (parts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
             .applyInPandas(mark, "anchor long, segment binary, low int, high int"))
+
+
+def _window_names(segment: bytes, length: int) -> np.ndarray:
+    """128-bit names of the windows of a segment."""
+    names = [xxhash.xxh3_128_digest(segment[k:k + length]) for k in range(len(segment) - length + 1)]
+    return np.frombuffer(b"".join(names), "S16")
+
+
+def _window_marks(parts: DataFrame, length: int, block_bytes: int = 1 << 18) -> DataFrame:
+    """As ``_index_marks``, for anchors of any number of segments: no anchor's segments meet.
+
+    Segments are stored in blocks as they come. A block sends each of its
+    distinct windows once, with its places, and gets back those that the corpus
+    has twice or more; a window that all segments share is one row a block.
+    """
+    blocks = materialize(parts.select("anchor", "bytes", "places").mapInArrow(
+        _segment_blocks(block_bytes), "block long, anchors array<long>, segments array<binary>, places array<long>"),
+        "segment-blocks", release=True)
+
+    def names(batches):
+        import pyarrow as pa
+        for b in batches:
+            for block, segments, places in zip(*(b.column(c).to_pylist() for c in ("block", "segments", "places"))):
+                of = [_window_names(x, length) for x in segments]
+                name, number = np.unique(np.concatenate(of), return_inverse=True)
+                n = np.bincount(number, np.repeat(places, [len(x) for x in of])).astype(np.int64)
+                halves = np.frombuffer(name.tobytes(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                                                  pa.array(n)], names=["block", "w0", "w1", "n"])
+
+    sent = blocks.mapInArrow(names, "block long, w0 long, w1 long, n long")
+    several = sent.groupBy("w0", "w1").agg(F.sum("n").alias("n")).filter("n > 1").select("w0", "w1")
+    back = (sent.select("block", "w0", "w1").join(several, ["w0", "w1"]).groupBy("block")
+            .agg(F.collect_list("w0").alias("w0"), F.collect_list("w1").alias("w1")))
+
+    def mark(batches):
+        import pyarrow as pa
+        for b in batches:
+            out = []
+            for anchors, segments, places, w0, w1 in zip(*(b.column(c).to_pylist() for c in (
+                    "anchors", "segments", "places", "w0", "w1"))):
+                several = np.frombuffer(np.array([w0, w1], "<i8").T.tobytes(), "S16")
+                for a, s, n in zip(anchors, segments, places):
+                    ranges = [(0, len(s))] if n > 1 else _ranges(np.isin(_window_names(s, length), several), length)
+                    out += [(a, xxhash.xxh3_128_digest(s), x, y) for x, y in ranges]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))],
+                                             names=["anchor", "segment", "low", "high"])
+
+    return blocks.join(back, "block").mapInArrow(mark, "anchor long, segment binary, low int, high int")
+
+
+def _segment_blocks(block_bytes: int):
+    def build(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        task, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(((task << 32) + count, *map(list, zip(*held))), (
+                    pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())))],
+                names=["block", "anchors", "segments", "places"])
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "bytes", "places"))):
+                held.append(row)
+                size += len(row[1])
+                if size >= block_bytes:
+                    yield flush()
+                    count, held, size = count + 1, [], 0
+        if held:
+            yield flush()
+
+    return build

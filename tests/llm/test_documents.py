@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate as D
 from tallyspark.llm.jaccard_join import one_of_each, similar_groups
+from tallyspark.llm import repeats
 from tallyspark.llm.repeats import remove_repeats, repeated_spans
 from tallyspark.llm.run_index import RunIndex
 from tallyspark.llm.suffix_lm import DISCOUNT, GAIN, PRIOR, score
@@ -159,6 +161,40 @@ def test_repeats_equal_brute_force(docs, length, anchor_bytes):
         assert r.n_bytes == len((t or "").encode()) and r.kept_sha256 == hashlib.sha256(left).hexdigest()
 
 
+def test_passage_between_many_neighbours_gathers_no_group(docs, monkeypatch):
+    """Its windows keep few anchors under every salt, each text with neighbour bytes of its own."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def some(n):
+        return "".join(rng.choices(letters, k=n))
+
+    passage, sides = some(1000), [(some(500), some(500)) for _ in range(2000)]
+    rows = [(k, a + passage + z) for k, (a, z) in enumerate(sides)]
+    gathered, plain = [], repeats._index_marks
+
+    def spy(parts, *args):
+        by = parts.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("b"), F.count("*").alias("n")).filter("n > 1")
+        gathered.append(by.agg(F.max("b")).first()[0] or 0)
+        return plain(parts, *args)
+
+    monkeypatch.setattr(repeats, "_index_marks", spy)
+    out = {r.doc_id: r.spans for r in repeated_spans(docs(rows), anchor_bytes=50_000).collect()}
+
+    def shared(texts):  # how far each goes with another one from its begin
+        order = sorted(range(len(texts)), key=texts.__getitem__)
+        far = [0] * len(texts)
+        for x, y in zip(order, order[1:]):
+            n = len(os.path.commonprefix([texts[x], texts[y]]))
+            far[x], far[y] = max(far[x], n), max(far[y], n)
+        return far
+
+    before, after = shared([a[::-1] for a, _ in sides]), shared([z for _, z in sides])
+    for k in range(len(rows)):
+        assert [(s.start, s.end) for s in out[k]] == [(500 - before[k], 1500 + after[k])], k
+    assert max(gathered) <= 50_000
+
+
 def test_remove_repeats_cuts_whole_characters(docs):
     rows = [(1, "ß" * 10 + "x" * 50), (2, "é" + "ß" * 5 + "x" * 50 + "tail"), (3, None), (4, "free")]
     out = {r.doc_id: r.text for r in remove_repeats(docs(rows), length=32).collect()}
