@@ -25,6 +25,7 @@ rows are copies of a text like any others.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pandas as pd
@@ -51,8 +52,11 @@ def window_anchors(data: bytes, length: int, salt: int = 0) -> tuple[np.ndarray,
         size *= 2
     h *= _C
     h ^= h >> np.uint64(32)
-    # least hash in each window: the least of the end of one block and the begin of the next
-    width = length - anchor + 1
+    return h, _least(h, length - anchor + 1)
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Least hash in each window: the least of the end of one block and the begin of the next."""
     count = len(h) - width + 1
     blocks = -(-len(h) // width)
     p = np.full(blocks * width, ~np.uint64(0))
@@ -60,7 +64,7 @@ def window_anchors(data: bytes, length: int, salt: int = 0) -> tuple[np.ndarray,
     p = p.reshape(blocks, width)
     ahead = np.minimum.accumulate(p, axis=1).ravel()
     behind = np.minimum.accumulate(p[:, ::-1], axis=1)[:, ::-1].ravel()
-    return h, np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
+    return np.minimum(behind[:count], ahead[width - 1:width - 1 + count])
 
 
 def anchor_runs(data: bytes, length: int, salt: int = 0):
@@ -207,9 +211,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 400, shard
     """
     _, whole, _, found = _text_spans(docs, text, length, [], shard_bytes, anchor_bytes)
     digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return _cut(docs.withColumn("_digest", digest).join(whole, "_digest", "left").join(
+        found.withColumnRenamed("digest", "_digest"), "_digest", "left"), docs, text)
+
+
+def _cut(joined: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` without the bytes that ``_whole`` and ``found`` mark in ``text``."""
     columns = docs.columns
-    joined = docs.withColumn("_digest", digest).join(whole, "_digest", "left").join(
-        found.withColumnRenamed("digest", "_digest"), "_digest", "left")
 
     def cut(batches):
         import pyarrow as pa
@@ -411,3 +419,116 @@ def _segment_blocks(block_bytes: int):
             yield flush()
 
     return build
+
+
+# -- passages of words ---------------------------------------------------------------------------------------------
+
+GRAM = 8  # words of an anchor
+
+
+def _word_windows(raw: bytes, n: int):
+    """Where the words of a text start and end, their hashes (A-Z lower-cased), and the anchor of every window of n words."""
+    at = [m.span() for m in re.finditer(rb"\S+", raw)]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw.lower().split()), np.uint64, len(at))
+    if len(h) < n:
+        return at, h, np.zeros(0, np.int64)
+    size, g = 1, h
+    while size < GRAM:
+        g = g[:-size] * _A + (g[size:] ^ (g[size:] >> np.uint64(31))) * _B
+        g ^= g >> np.uint64(29)
+        size *= 2
+    return at, h, _least(g * _C, n - GRAM + 1).view(np.int64)
+
+
+def _wanted_names(raw: bytes, anchors: list[int], n: int):
+    """The words' places, the windows with a wanted anchor, and their 128-bit names."""
+    at, h, anchor = _word_windows(raw, n)
+    data, wanted = h.tobytes(), np.flatnonzero(np.isin(anchor, anchors))
+    return at, wanted, np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[8 * k:8 * (k + n)]) for k in wanted.tolist()]), "S16")
+
+
+def remove_passages(docs: DataFrame, text: str = "text", n: int = 51, block_bytes: int = 1 << 20) -> DataFrame:
+    """``docs`` without the runs of ``n`` or more words that rows of ``docs`` share, whatever their length in bytes.
+
+    Words are compared lower-cased (A-Z) and without the white space between
+    them. Every occurrence is cut; rows stay, and null texts stay null. Only
+    windows with an anchor that two rows share are named and counted, as in
+    ``_window_marks``; no group gathers them.
+    """
+    if n < GRAM:
+        raise ValueError(f"n must be at least {GRAM}")
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+    def anchors(batches):
+        import pyarrow as pa
+        for b in batches:
+            found = [np.unique(_word_windows((t or "").encode(), n)[2]) for t in b.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(found, pa.list_(pa.int64()))], names=["digest", "anchors"])
+
+    bodies = docs.select(digest.alias("digest"), F.col(text).alias("body"))
+    # an anchor counts once a row, so copies of a text share all of theirs
+    runs = materialize(bodies.mapInArrow(anchors, "digest binary, anchors array<long>")
+                       .select("digest", F.explode("anchors").alias("anchor")), "passage-anchors", release=True)
+    shared = runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    wanted = runs.join(shared, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
+    texts = bodies.groupBy("digest").agg(F.first("body").alias("body"), F.count("*").alias("copies")).join(wanted, "digest")
+
+    def block(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        task, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            types = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(((task << 32) + count, *map(list, zip(*held))), types)],
+                                              names=["block", "digests", "bodies", "copies", "anchors"])
+
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("digest", "body", "copies", "anchors"))):
+                held.append(row)
+                size += len(row[1])
+                if size >= block_bytes:
+                    yield flush()
+                    count, held, size = count + 1, [], 0
+        if held:
+            yield flush()
+
+    blocks = materialize(texts.select("digest", "body", "copies", "anchors").mapInArrow(
+        block, "block long, digests array<binary>, bodies array<string>, copies array<long>, anchors array<array<long>>"),
+        "passage-blocks", release=True)
+
+    def names(batches):
+        import pyarrow as pa
+        for b in batches:
+            for k, bodies, copies, anchors in zip(*(b.column(c).to_pylist() for c in ("block", "bodies", "copies", "anchors"))):
+                of = [np.unique(_wanted_names(t.encode(), a, n)[2]) for t, a in zip(bodies, anchors)]  # once a row
+                name, number = np.unique(np.concatenate(of), return_inverse=True)
+                c = np.bincount(number, np.repeat(copies, [len(x) for x in of])).astype(np.int64)
+                halves = np.frombuffer(name.tobytes(), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k)), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                                                  pa.array(c)], names=["block", "w0", "w1", "n"])
+
+    sent = blocks.mapInArrow(names, "block long, w0 long, w1 long, n long")
+    several = sent.groupBy("w0", "w1").agg(F.sum("n").alias("n")).filter("n > 1").select("w0", "w1")
+    back = (sent.select("block", "w0", "w1").join(several, ["w0", "w1"]).groupBy("block")
+            .agg(F.collect_list("w0").alias("w0"), F.collect_list("w1").alias("w1")))
+
+    def mark(batches):
+        import pyarrow as pa
+        for b in batches:
+            out = []
+            for digests, bodies, anchors, w0, w1 in zip(*(b.column(c).to_pylist() for c in ("digests", "bodies", "anchors", "w0", "w1"))):
+                several = np.frombuffer(np.array([w0, w1], "<i8").T.tobytes(), "S16")
+                for d, t, a in zip(digests, bodies, anchors):
+                    at, wanted, name = _wanted_names(t.encode(), a, n)
+                    hit = np.zeros(len(at), bool)
+                    hit[wanted[np.isin(name, several)]] = True
+                    if spans := [{"low": at[x][0], "high": at[z - 1][1]} for x, z in _ranges(hit, n)]:
+                        out.append((d, spans))
+            columns = list(zip(*out)) or [()] * 2
+            spans = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], spans)], names=["_digest", "found"])
+
+    found = materialize(blocks.join(back, "block").mapInArrow(
+        mark, "_digest binary, found array<struct<low: long, high: long>>"), "passages", release=True)
+    return _cut(docs.withColumn("_digest", digest).join(found, "_digest", "left").withColumn("_whole", F.lit(False)), docs, text)

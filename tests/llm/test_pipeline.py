@@ -73,6 +73,31 @@ def test_every_stage_equals_brute_force(spark):
         assert at <= 2048
 
 
+def test_passages_of_over_50_words_go(spark, docs):
+    """51 to 60 short words that two documents share, in other case and white space, are under 400 bytes; 50 words stay."""
+    def some(k, n):
+        return " ".join(f"{k}x{j}" for j in range(n))
+
+    rows, exp = [], {}
+    for n in range(50, 61):
+        passage = [f"w{n}{j}" for j in range(n)]
+        for side, p in enumerate((" ".join(passage), "\n".join(passage).upper())):
+            i = 2 * n + side
+            before, after = some(f"{i}a", 30) + " ", f" é{i} " + some(f"{i}b", 30)
+            rows.append((i, before + p + after))
+            exp[i] = before + (p if n == 50 else "") + after
+    rows += [(1, "again " * 60), (2, None), (3, ""), (4, " ".join(f"own{j}" for j in range(90)))]  # no other document has them
+    exp |= {1: "again " * 60, 2: None, 3: "", 4: rows[-1][1]}
+    rows += [(5, rows[0][1].split(" é")[0] + " " + some("5c", 40))]  # 80 words of the first document
+    d = docs(rows)
+    exp[5], exp[100] = some("5c", 40), "é100 " + some("100b", 30)
+    for stage in ("repeated_passages", "benchmark_passages"):
+        d = common.materialize(dict(corpus_pipeline.STAGES)[stage](spark, d, SF), f"passages-{stage}", keep=True)
+    out = {r.doc_id: r for r in d.collect()}
+    assert {i: r.text for i, r in out.items()} == exp
+    assert all(r.text is None or r.n_chars == len(r.text) for r in out.values())
+
+
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert set(out.columns) == {"doc_id", "piece", "start", "length", "sequence_id", "offset", "ids_crc32"}
