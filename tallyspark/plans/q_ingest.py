@@ -200,7 +200,8 @@ def a7_headered_jsonl(spark, sf_dir):
                                                             F.lit(', "code": ')))
             .when(F.col("event_type") == "signup", F.to_json(F.struct(F.col("code").alias("note"))))
             .otherwise(F.to_json(F.struct(F.col("task_id").alias("idx"), "code"))))
-    part = F.pmod(F.xxhash64("task_id"), F.lit(4)).alias("part")
+    files = max(4, -(-r.count() // 250_000))  # as many rows a file as the sink has
+    part = F.pmod(F.xxhash64("task_id"), F.lit(files)).alias("part")
     body = r.select("system", part, F.lit(1).alias("body"), "seq", line.alias("value"))
     path = scratch_path(spark, "jsonl")
     for system in ["angr", "ghidra", "hexrays", "retdec"]:  # files of several systems side by side in one folder

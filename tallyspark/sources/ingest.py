@@ -174,14 +174,16 @@ def read_headered_jsonl(spark: SparkSession, path: str, n_tasks: int | None = No
 
 
 def write_headered_jsonl(results: DataFrame, path: str, system: str = "system", order: str = "seq",
-                         files_per_system: int = 8) -> None:
+                         files_per_system: int = 8, file_rows: int = 250_000) -> None:
     """A9 sink: ``{idx, code}`` lines in ``order``, each file led by its system's header line.
 
-    A system's tasks are dealt into ``files_per_system`` files by a hash of the
-    task, so one large system does not land in one task and a repeated task
+    A system's tasks are dealt into ``files_per_system`` files, or more where the
+    largest system would have over ``file_rows`` rows in one, by a hash of the task, so one large system does not land in one task and a repeated task
     stays in one file, in order.
     """
-    part = F.pmod(F.xxhash64("task_id"), F.lit(files_per_system)).cast("int").alias("part")
+    largest = results.groupBy(system).count().agg(F.max("count")).first()[0] or 0
+    files = max(files_per_system, -(-largest // file_rows))
+    part = F.pmod(F.xxhash64("task_id"), F.lit(files)).cast("int").alias("part")
     body = results.select(system, part, F.lit(1).alias("body"), F.col(order).cast("long").alias("place"),
                           F.to_json(F.struct(F.col("task_id").alias("idx"), "code"),
                                     {"ignoreNullFields": "false"}).alias("value"))

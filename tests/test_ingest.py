@@ -93,6 +93,14 @@ def test_result_sink_spreads_one_large_system(spark, tmp_path):
     assert got == exp
 
 
+def test_result_sink_has_more_files_for_more_rows(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id seq", "'big' system", "id % 700 task_id", "concat('c', id) code")
+    I.write_headered_jsonl(df, str(tmp_path / "out"), file_rows=200)
+    assert len(list((tmp_path / "out").glob("system=big/part=*/*.txt"))) == 25
+    got = {r.task_id: r.code for r in I.read_headered_jsonl(spark, str(tmp_path / "out")).collect()}
+    assert got == {k % 700: f"c{k}" for k in range(5000)}
+
+
 def test_task_queue_results(spark, tmp_path):
     q = [
         {"uuid": "1", "status": "completed", "metadata": {"idx": 0, "decompiler": "angr"}, "decompiler": "angr",
