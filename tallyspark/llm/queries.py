@@ -165,3 +165,11 @@ def op1(spark, sf_dir):
     tenth = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10))
     return score(docs, tenth != 0).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
                                           "train_tokens", "base_score", "score")
+
+
+@register("op12_suffix_groups")
+def op12(spark, sf_dir):
+    """Every document without the words that a 20-word window covers which also starts earlier."""
+    from .suffix_groups import remove_repeated_windows
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
