@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.text import let
 from ..sources.tables import read_table
 from . import common
 
@@ -173,3 +174,46 @@ def op12(spark, sf_dir):
     from .suffix_groups import remove_repeated_windows
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     return remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _periodic_tail(key: str, text: str):
+    """``text``, in which a tenth of the documents repeat a stretch of words up to their end (none where the key is null)."""
+    h = F.crc32(F.col(key).cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+        return let(F.struct(w.alias("w"), a.alias("a"), p.alias("p")), lambda v: F.array_join(F.transform(
+            v["w"], lambda x, i: F.when(i < v["a"], x).otherwise(F.get(v["w"], (v["a"] + (i - v["a"]) % v["p"]).cast("int")))), " "))
+
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return F.when(F.pmod(h, F.lit(10)) == 0, let(words, lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(F.col(text))
+
+
+@register("op11_periodic_runs")
+def op11(spark, sf_dir):
+    """Every document's periodic runs of words, and its text without their repetitions."""
+    from .periodic_runs import find_runs
+    docs = common.documents(spark, sf_dir).select("doc_id", _periodic_tail("doc_id", "text").alias("text"))
+    found = find_runs(docs, keep=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    first = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("order"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    found = found.withColumn("r", F.when(F.size("runs") > 0, first))
+    length = -F.col("r.order")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("r.start").alias("start"), length.alias("length"),
+        F.col("r.period").alias("period"), F.expr("1000 * -r.order div r.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit(""))), 256)
+        .alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op13_whitening")
+def op13(spark, sf_dir):
+    """Every whole embedding, whitened along the first eight components."""
+    from .whitening import whiten
+    out = whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained",
+                      "identity_error")
