@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,17 +31,28 @@ def _collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-_MADE: list[str] = []
+_SCOPES: list[list[str]] = []
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far in this session.
+@contextmanager
+def scratch():
+    """The paths of scratch tables that are made within, for a caller that deletes them when what it builds on them is written.
 
-    For a caller that knows that all results built on them have been written.
+    Scopes may be nested; a table belongs to the innermost one, and to none outside of all of them.
     """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES[:] = [s for s in _SCOPES if s is not made]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing needs any more."""
     conf = spark._jsc.hadoopConfiguration()
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
@@ -51,12 +63,12 @@ def materialize(df: DataFrame, name: str, release: bool = False, keep: bool = Fa
     step, and what a stage decided is not decided again. ``release``: lets Spark
     delete the shuffle files that only finished steps used, which it otherwise
     does whenever the driver happens to collect garbage. ``keep``: the table
-    outlives ``drop_scratch``.
+    belongs to no ``scratch`` scope.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    if not keep:
-        _MADE.append(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     if release:  # what the step before used is only let go now
         _collect_garbage(spark)
     df.write.parquet(path)

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force on a small table."""
 
 import os
+import re
 
 import corpus_pipeline
 from tallyspark.llm import common
@@ -13,6 +14,37 @@ from .test_documents import brute_components, brute_hits, brute_spans
 SF = os.environ.get("TALLY_TEST_SF", "/root/testdata/sf0.001")
 
 
+def brute_passages(texts, n):
+    """Texts without the runs of n words (A-Z lower-cased, any white space between) that two of them share."""
+    at = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    words = [(t or "").encode().lower().split() for t in texts]
+    rows = {}
+    for k, w in enumerate(words):
+        for a in range(len(w) - n + 1):
+            rows.setdefault(tuple(w[a:a + n]), set()).add(k)
+    out = []
+    for k, (t, w) in enumerate(zip(texts, words)):
+        gone = [False] * len(w)
+        for a in range(len(w) - n + 1):
+            if len(rows[tuple(w[a:a + n])]) > 1:
+                gone[a:a + n] = [True] * n
+        raw, left, end = (t or "").encode(), b"", 0
+        for a, z in runs_of_true(gone):
+            left, end = left + raw[end:at[k][a][0]], at[k][z - 1][1]
+        out.append(t and (left + raw[end:]).decode())
+    return out
+
+
+def runs_of_true(flags):
+    a = None
+    for k, f in enumerate([*flags, False]):
+        if f and a is None:
+            a = k
+        elif not f and a is not None:
+            yield a, k
+            a = None
+
+
 def test_every_stage_equals_brute_force(spark):
     docs = common.documents(spark, SF)
     rows = {r.doc_id: r for r in docs.collect()}
@@ -46,8 +78,8 @@ def test_every_stage_equals_brute_force(spark):
             first[c] = min(first.get(c, i), i)
     assert sorted(r.doc_id for r in kept["near_duplicates"]) == sorted(first.values())
 
-    # repeats: judged on this stage's input
-    texts = [r.text for r in kept["near_duplicates"]]
+    # repeats: runs of 51 shared words, then 400 bytes of what is left
+    texts = brute_passages([r.text for r in kept["near_duplicates"]], 51)
     exp = {r.doc_id: left.decode(errors="ignore") for r, (_, left) in zip(kept["near_duplicates"], brute_spans(texts, 400))}
     assert {r.doc_id: r.text for r in kept["repeated_passages"]} == exp
     assert all(r.n_chars == len(r.text) for r in kept["repeated_passages"])
@@ -91,11 +123,31 @@ def test_passages_of_over_50_words_go(spark, docs):
     rows += [(5, rows[0][1].split(" é")[0] + " " + some("5c", 40))]  # 80 words of the first document
     d = docs(rows)
     exp[5], exp[100] = some("5c", 40), "é100 " + some("100b", 30)
-    for stage in ("repeated_passages", "benchmark_passages"):
-        d = common.materialize(dict(corpus_pipeline.STAGES)[stage](spark, d, SF), f"passages-{stage}", keep=True)
+    stages = dict(corpus_pipeline.STAGES)
+    d = common.materialize(stages["repeated_passages"](spark, d, SF), "passages-cut", keep=True)
     out = {r.doc_id: r for r in d.collect()}
     assert {i: r.text for i, r in out.items()} == exp
     assert all(r.text is None or r.n_chars == len(r.text) for r in out.values())
+    # nothing of a benchmark here: the next stage changes nothing
+    assert sorted(stages["benchmark_passages"](spark, d, SF).collect()) == sorted(d.collect())
+
+
+def test_scratch_tables_of_other_results_stay(spark, docs):
+    from tallyspark.llm import queries
+    other = queries.QUERIES["op2_packing"](spark, SF)
+    n = other.count()
+    d = docs([(k, " ".join(f"w{(k * j) % 31}" for j in range(80))) for k in range(1, 30)])
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        d = common.materialize(stage(spark, d, "/root/testdata/sf0.001"), f"live-{name}", keep=True)
+    assert other.count() == n and d.count() >= 0
+    with common.scratch() as made:
+        t = common.materialize(d, "scoped")
+        with common.scratch() as inner:
+            common.materialize(d, "inner")
+        kept = common.materialize(d, "kept", keep=True)
+    assert len(made) == len(inner) == 1 and t.count() == kept.count()
+    common.drop_scratch(spark, made)
+    assert kept.count() == d.count()
 
 
 def test_run_gives_the_last_stage(spark):
