@@ -1,11 +1,11 @@
-"""Column functions for judge replies: lenient JSON parse and winner normalisation."""
+"""Column functions for judge replies: lenient JSON read in one pass, also where it is cut off, and winner normalisation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import java_regex, let, py_strip
+from .text import PY_SPACE, java_regex, let, py_strip
 
 #: categories of a reply in its order: whether it is an object, and its entries in order. An entry's ``state`` is
 #: 'ok', 'skip' (an object without a winner) or 'end' (no object, or a winner that is neither text nor empty).
@@ -27,80 +27,175 @@ JSON5_OPTIONS = {
 # body before it is parsed, and the winner spellings.
 FENCE_JSON = r"```json(.*)```"        # searched with DOTALL
 FENCE_ANY = r"```(.*)```"
+OPEN_FENCE = r"```(?:json)?([^`]*)\z"  # a fence that the reply does not close
 JSON_EDGE_CHARS = " \n\r\t`"
 WINNER_A = "a"
 WINNER_B = "b"
 
+# Tokens of a reply: texts in either quotes (the end of the reply closes them), comments, structural characters, words. The
+# quantifiers are possessive, so a long text needs no stack.
+_SPACE = PY_SPACE + "\\ufeff"
+TOKEN = (r'(?s)"(?:[^"\\]++|\\.)*+(?:"|\\?\z)' r"|'(?:[^'\\]++|\\.)*+(?:'|\\?\z)" r"|/\*.*?(?:\*/|\z)|//[^\n\r]*+"
+         r"|[{}\[\]:,]|[^" + _SPACE + r"""{}\[\]:,"'/]++|/""")
+NUMBER = r"^[+-]?(?:0[xX][0-9a-fA-F]+|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|Infinity|NaN)$"
+ZERO = r"^[+-]?(?:0[xX]0+|(?:0+\.?0*|\.0+)(?:[eE][+-]?\d+)?)$"
+NAME = r"^[$_\p{L}\p{Nl}][$_\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}\x{200c}\x{200d}]*$"
+#: what a reply that holds JSON can begin with; others are not scanned
+BEGIN = r"""^(?:[{\["'/+\-.0-9]|true|false|null|Infinity|NaN)"""
 
-def _strip_edges(c: Column) -> Column:
-    return F.btrim(c, F.lit(JSON_EDGE_CHARS))
 
+def _text_of(token: Column) -> Column:
+    """What a quoted text says (an unclosed one: as far as it goes), and any other token as it is."""
+    quote = F.left(token, F.lit(1))
+    quoted = quote.isin('"', "'")
+    plain = F.substring(token, F.lit(2), F.length(token) - F.when((F.length(token) > 1) & (F.right(token, F.lit(1)) == quote), 2).otherwise(1))
+    # with escapes the last quote may be one of them
+    closed = token.rlike(r'''(?s)^(?:"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')$''')
+    whole = F.when(closed, token).otherwise(F.concat(F.regexp_replace(token, r"(?s)((?:[^\\]|\\.)*+)\\\z", "$1"), quote))
+    escaped = let(whole, lambda w: F.coalesce(
+        F.get(F.from_json(F.concat(F.lit("["), w, F.lit("]")), "array<string>", JSON5_OPTIONS), 0), F.substring(w, F.lit(2), F.length(w) - 2)))
+    return F.when(~quoted, token).when(token.contains("\\"), escaped).otherwise(plain)
 
-def _object(v: Column) -> Column:
-    """The fields of a variant object, null for any other value."""
-    return F.try_variant_get(v, "$", "map<string,variant>")
 
+def _number_text(token: Column) -> Column:
+    """A number in decimal digits, without a plus sign."""
+    t = F.ltrim(token, F.lit("+"))
+    return F.when(t.rlike("^-?0[xX]"), F.concat(F.when(t.startswith("-"), "-").otherwise(""), F.conv(F.regexp_extract(t, "0[xX](.*)", 1), 16, 10))
+                  ).otherwise(t)
 
-def _entries(text: Column, fields: Column) -> Column:
-    """Entries of one category, in the order of its text; ``fields`` has the values with their JSON types."""
-    def entry(key):
-        return let(_object(fields[key]), lambda e: let(e["winner"], lambda w: F.struct(
-            key.alias("aspect"), _state(e, w).alias("state"), e.isNotNull().alias("is_object"),
-            F.try_variant_get(w, "$", "string").alias("winner"))))
 
-    return F.transform(_keys(F.from_json(text, "map<string,string>", JSON5_OPTIONS)), entry)
+def _tokens(body: Column) -> Column:
+    """``kind, text`` of the tokens: a structural character itself, (s)tring, (n)umber, (l)iteral, (i)dentifier or (?)."""
+    def kind(t):
+        c = F.left(t, F.lit(1))
+        word = (F.when(t.isin("true", "false", "null", "NaN", "Infinity"), "l").when(t.rlike(NUMBER), "n")
+                .when(t.rlike(NAME), "i").otherwise("?"))
+        return F.when(c.isin('"', "'"), "s").when(c.isin("{", "}", "[", "]", ":", ","), c).otherwise(word)
 
+    found = F.filter(F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)), lambda t: ~t.startswith("//") & ~t.startswith("/*"))
+    return F.transform(found, lambda t: F.struct(kind(t).alias("k"), t.alias("v")))
 
-def _keys(m: Column) -> Column:
-    """Keys in the order of the text; a repeated key stands where it was first (its last value counts)."""
-    return F.array_distinct(F.map_keys(m))
 
+_RECORD = "array<struct<q:int,c:string,o:boolean,a:string,e:boolean,w:string,t:string>>"
 
-def _last_text(m: Column, key: Column) -> Column:
-    return F.element_at(F.map_values(F.map_filter(m, lambda k, _: k == key)), -1)
 
+def _scan(body: Column, lenient: bool) -> Column:
+    """One fold over the tokens of ``body`` with a stack of open brackets: the records of categories and entries.
 
-def _state(e: Column, winner: Column) -> Column:
-    kind = F.schema_of_variant(winner)
-    text = F.to_json(winner)
-    empty = kind.isin("VOID", "STRING") | text.isin("0", "0.0", "-0", "-0.0", "false", "[]", "{}")
-    return (F.when(e.isNull(), "end").when(~F.map_contains_key(e, "winner"), "skip")
-            .when(empty, "ok").otherwise("end"))
-
-
-def _parse(body: Column, lenient: bool) -> Column:
-    """The categories of a JSON object; an empty list for any other JSON value; null for what does not parse."""
-    def read(text):
-        # the values' types come from the variant, the order of the keys from the map
-        return let(F.from_json(text, "variant", JSON5_OPTIONS), lambda v: F.when(v.isNotNull(), let(
-            _object(v), lambda fields: F.when(fields.isNull(), F.array().cast(PARSED_TYPE)).otherwise(let(
-                F.from_json(text, "map<string,string>", JSON5_OPTIONS), lambda m: F.transform(
-                    _keys(m), lambda key: let(_object(fields[key]), lambda inner: F.struct(
-                        key.alias("category"), inner.isNotNull().alias("is_object"),
-                        F.when(inner.isNotNull(), _entries(_last_text(m, key), inner)).alias("entries")))))))))
-
-    body = _strip_edges(body)
-    p = read(body)
-    if lenient:
-        # trailing commas and plus signs parse after a pre-clean, tried only when the plain parse fails
-        cleaned = F.regexp_replace(F.regexp_replace(body, r",(\s*[}\]])", "$1"), r"([:\[,]\s*)\+(?=[0-9.])", "$1")
-        p = F.coalesce(p, read(cleaned))
-    return p
-
-
-def parse_judgement(raw: Column, lenient: bool = True) -> Column:
+    ``st`` says what may follow: (V)alue, (K)ey or end of object, (C)olon, (E)nd of a value, (A) value or end of array,
+    (D)one; '?' something else came last, and 'X' more followed it. ``stk`` holds the open brackets.
+    """
+    def lit_null(kind="string"):
+        return F.lit(None).cast(kind)
+
+    start = F.struct(F.lit("V").alias("st"), F.lit("").alias("stk"), F.lit(0).alias("q"), lit_null().alias("c"), lit_null().alias("a"),
+                     F.lit(False).alias("kw"), F.lit("skip").alias("w"), lit_null().alias("t"), F.lit(False).alias("iw"),
+                     F.lit(False).alias("odd"), F.array().cast(_RECORD).alias("out"))
+
+    def record(q, c, o, a, e, w, t):
+        return F.struct(q.alias("q"), c.alias("c"), o.alias("o"), a.alias("a"), e.alias("e"), w.alias("w"), t.alias("t"))
+
+    def step(s, x):
+        k, st, stk = x["k"], s["st"], s["stk"]
+        top, depth = F.right(stk, F.lit(1)), F.length(stk)
+        here = st.isin("V", "A") | ((st == "E") & (top == "["))
+        act = (F.when(st.isin("D", "X"), "stay").when(st == "?", "fail")
+               .when(here & k.isin("s", "n", "l"), "scalar").when(here & k.isin("{", "["), "open")
+               .when(st.isin("K", "E") & (top == "{") & k.isin("s", "i", "l"), "key")
+               .when((st == "C") & (k == ":"), "colon").when((st == "E") & (k == ","), "comma")
+               .when((st.isin("K", "E") & (top == "{") & (k == "}")) | (st.isin("A", "E") & (top == "[") & (k == "]")), "close")
+               .otherwise("odd"))
+        return let(F.struct(act.alias("act"), top.alias("top"), depth.alias("d")), lambda y: moved(s, x, y["act"], y["top"], y["d"]))
+
+    def moved(s, x, act, top, depth):
+        k, v, stk = x["k"], x["v"], s["stk"]
+        value, opens, closes, key = act.isin("scalar", "open"), act == "open", act == "close", act == "key"
+        entry_opens = opens & (k == "{") & (stk == "{{")
+        winner = value & s["kw"] & (stk == "{{{")
+        scalar_state = F.when((k == "s") | v.isin("null", "false") | ((k == "n") & v.rlike(ZERO)), "ok").otherwise("end")
+        scalar_text = F.when(k == "s", _text_of(v)).when(k == "n", _number_text(v)).when(v != "null", v)
+        w = (F.when(entry_opens, "skip").when(winner & opens, "open").when(winner, scalar_state)
+             .when(s["iw"] & (s["w"] == "open"), F.when(closes & (depth == 4), "ok").otherwise("end")).otherwise(s["w"]))
+        t = (F.when(entry_opens, lit_null()).when(winner & opens, k).when(winner, scalar_text)
+             .when(s["iw"] & ~act.isin("odd", "fail"), F.concat(s["t"], v)).otherwise(s["t"]))
+        category = value & (stk == "{")
+        q = s["q"] + F.when(category, 1).otherwise(0)
+        new = (F.when(category, record(q, s["c"], opens & (k == "{"), lit_null(), lit_null("boolean"), lit_null(), lit_null()))
+               .when(value & (stk == "{{") & ~entry_opens, record(q, s["c"], F.lit(True), s["a"], F.lit(False), F.lit("end"), lit_null()))
+               .when(closes & (stk == "{{{"), record(q, s["c"], F.lit(True), s["a"], F.lit(True), s["w"], s["t"])))
+        emits = category | (value & (stk == "{{") & ~entry_opens) | (closes & (stk == "{{{"))
+        return F.struct(
+            F.when(act == "stay", s["st"]).when(act == "fail", "X").when(act == "odd", "?").when(key, "C").when(act == "colon", "V")
+            .when(opens, F.when(k == "{", "K").otherwise("A")).when(act == "comma", F.when(top == "{", "K").otherwise("A"))
+            .when(act == "scalar", F.when(depth == 0, "D").otherwise("E")).otherwise(F.when(depth == 1, "D").otherwise("E")).alias("st"),
+            F.when(opens, F.concat(stk, k)).when(closes, F.left(stk, depth - 1)).otherwise(stk).alias("stk"),
+            q.alias("q"),
+            F.when(key & (stk == "{"), _text_of(v)).otherwise(s["c"]).alias("c"),
+            F.when(key & (stk == "{{"), _text_of(v)).otherwise(s["a"]).alias("a"),
+            F.when(key & (stk == "{{{"), _text_of(v) == "winner").otherwise(s["kw"]).alias("kw"),
+            w.alias("w"), t.alias("t"),
+            F.when(winner & opens, True).when(closes & (depth == 4), False).otherwise(s["iw"]).alias("iw"),
+            (s["odd"] | ((key | value) & (s["st"] == "E"))).alias("odd"),
+            F.when(emits, F.concat(s["out"], F.array(new))).otherwise(s["out"]).alias("out"))
+
+    def finish(s):
+        left_open = s["stk"].startswith("{{{")
+        w = F.when(s["iw"] & (s["w"] == "open"), "ok").otherwise(s["w"])
+        out = F.when(left_open, F.concat(s["out"], F.array(record(s["q"], s["c"], F.lit(True), s["a"], F.lit(True), w, s["t"])))
+                     ).otherwise(s["out"])
+        bad = (s["st"] == "X") | ((s["stk"] == "") & (s["st"] != "D"))
+        if not lenient:
+            bad = bad | (s["st"] != "D") | s["odd"]
+        return F.when(~bad, out)
+
+    return F.aggregate(_tokens(body), start, step, finish)
+
+
+def _last_of_each(items: Column, name: str, build) -> Column:
+    """``build`` of the last item of every name, in the order in which the names come first."""
+    names = F.array_distinct(F.transform(items, lambda r: r[name]))
+    return let(names, lambda ns: F.when(F.size(ns) == F.size(items), F.transform(items, build)).otherwise(
+        F.transform(ns, lambda n: build(F.element_at(F.filter(items, lambda r: r[name].eqNullSafe(n)), -1)))))
+
+
+def _grouped(records: Column) -> Column:
+    """Records of a scan as categories with their entries; the last value of a repeated key counts, where it came first."""
+    def entry(r):
+        return F.struct(r["a"].alias("aspect"), r["w"].alias("state"), r["e"].alias("is_object"), r["t"].alias("winner"))
+
+    def category(all_, m):
+        own = F.filter(all_, lambda r: (r["q"] == m["q"]) & r["a"].isNotNull())
+        return F.struct(m["c"].alias("category"), m["o"].alias("is_object"),
+                        F.when(m["o"], let(own, lambda rs: _last_of_each(rs, "a", entry))).alias("entries"))
+
+    return let(records, lambda all_: F.when(all_.isNotNull(), let(
+        F.filter(all_, lambda r: r["a"].isNull()), lambda ms: _last_of_each(ms, "c", lambda m: category(all_, m)))))
+
+
+def parse_judgement(raw: Column, lenient: bool = True, open_fence: bool = False) -> Column:
     """Whole text as JSON, else the greedy ```json fence, else the greedy ``` fence.
 
+    Each of them is read once, token by token. JSON5 forms are taken (comments, either quotes, bare keys, signs, hexadecimal numbers,
+    trailing commas); what follows the first whole value is not read. ``lenient``: a comma may be missing, and a reply that is
+    cut off counts as far as it goes - texts and brackets are closed, a pair without its value is dropped, as is one odd
+    word at the end; odd text with more behind it makes the reply unreadable. ``open_fence``: also takes a fence that is not closed
+    (a reply cut off within its fence), which is otherwise rejected.
+
     Returns the categories and entries of :data:`PARSED_TYPE`; an empty list
     when the reply is JSON but no object, null when nothing parses. One odd
-    value never loses the rest of a reply.
+    value never loses the rest of a reply. Null gives null.
     """
-    t = py_strip(raw)
-    # a missing fence falls back to the whole text, whose parse already failed;
-    # regexp_extract gives '' then, which fails the same way, so no rlike is needed
-    f1 = F.regexp_extract(t, java_regex(FENCE_JSON, dotall=True), 1)
-    f2 = F.regexp_extract(t, java_regex(FENCE_ANY, dotall=True), 1)
-    return F.coalesce(_parse(t, lenient), _parse(f1, lenient), _parse(f2, lenient))
+    def read(body):
+        return let(F.btrim(body, F.lit(JSON_EDGE_CHARS)), lambda b: F.when(b.rlike(BEGIN), _scan(b, lenient)))
+
+    def fence(t, pattern):
+        return read(F.regexp_extract(t, java_regex(pattern, dotall=True), 1))
+
+    def cascade(t):
+        found = [read(t), fence(t, FENCE_JSON), fence(t, FENCE_ANY)]
+        return F.coalesce(*found, *([fence(t, OPEN_FENCE)] if open_fence else []))
+
+    return _grouped(let(py_strip(raw), cascade)).cast(PARSED_TYPE)
 
 
 def normalise_winner(w: Column) -> Column:

@@ -18,11 +18,12 @@ from ..functions.text import let
 OVERALL = "(all)"
 
 
-def parse_judgements(judgements: DataFrame, raw_col: str = "raw", lenient: bool = True) -> DataFrame:
-    """Add ``parsed``; rows whose reply does not parse have ``parsed`` null (see :func:`rejected`)."""
-    # as in JSON readers, the last value of a repeated key counts; otherwise such a reply would not parse at all
-    judgements.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    return judgements.withColumn("parsed", parse_judgement(F.col(raw_col), lenient))
+def parse_judgements(judgements: DataFrame, raw_col: str = "raw", lenient: bool = True, open_fence: bool = False) -> DataFrame:
+    """Add ``parsed``; rows whose reply does not parse have ``parsed`` null (see :func:`rejected`).
+
+    Replies that are cut off count as far as they go; see :func:`~tallyspark.functions.judge_text.parse_judgement`.
+    """
+    return judgements.withColumn("parsed", parse_judgement(F.col(raw_col), lenient, open_fence))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

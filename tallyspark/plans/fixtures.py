@@ -442,3 +442,55 @@ ODD_BATTLES_SQL = (f"""odd as (select battle_id, model_a, model_b, e.p entry_pos
   from battles join ROWS e(k, p, c, a, w) on e.k = battle_id % {len(ODD_REPLIES)})""")
 ODD_BATCH_SQL = f"{BATTLES_SQL}, {ODD_BATTLES_SQL.replace('ROWS', _odd_rows(2))}"
 ODD_ONLINE_SQL = f"{BATTLES_SQL}, {ODD_BATTLES_SQL.replace('ROWS', _odd_rows(3))}"
+
+# ---------------------------------------------------------------- F6c judge replies that are cut off
+# Three entries in two categories; every reply is cut at a place of its own (some not at all). Half of them lack the commas, a third
+# has hexadecimal scores, a fifth stands in a fence. The text below is valid in both engines.
+
+
+def _cut_word(k: int) -> str:
+    return f"case (event_id + {k}) % 5 when 0 then 'A' when 1 then 'b' when 2 then 'Tie' when 3 then '' else 'B' end"
+
+
+def _cut_aspect(k: int) -> str:
+    return f"concat('asp', cast((event_id + {k}) % 12 as string))"
+
+
+_CUT_SEP = "case when event_id % 2 = 0 then ' ' else ', ' end"
+_CUT_OPEN = "'{\"Readability\": {'"
+
+
+def _cut_head(k: int) -> str:
+    return (f"concat('\"', {_cut_aspect(k)}, '\": {{\"A_score\": ', case when event_id % 3 = 0 then '0x1F' else '2' end, "
+            f"{_CUT_SEP}, '\"winner\": \"')")
+
+
+_CUT_BEFORE = [f"concat({_CUT_OPEN}, {_cut_head(0)})",
+               f"concat({_cut_word(0)}, '\"}}', {_CUT_SEP}, {_cut_head(1)})",
+               f"concat({_cut_word(1)}, '\"}}}}', {_CUT_SEP}, '\"Helpfulness\": {{', {_cut_head(2)})"]
+_CUT_WHOLE = f"concat({', '.join(_CUT_BEFORE)}, {_cut_word(2)}, '\"}}}}}}')"
+CUT_COLUMNS = ["event_id", "user_id", f"{_CUT_WHOLE} as whole",
+               f"(event_id * 31 + user_id) % (length({_CUT_WHOLE}) + 1) as cut"]
+CUT_RAW = ("case when event_id % 5 = 0 then concat('Reasons.', chr(10), '```json', chr(10), substring(whole, 1, cast(cut as int)), "
+           "chr(10), '```') else substring(whole, 1, cast(cut as int)) end")
+
+
+def judgements_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events").selectExpr(*CUT_COLUMNS)
+    u = (F.col("user_id") % 12).cast("int")
+    return ev.select(F.col("event_id").alias("battle_id"), F.concat(F.lit("s"), u.cast("string")).alias("model_a"),
+                     F.concat(F.lit("s"), ((u + 1 + F.col("event_id") % 11) % 12).cast("int").cast("string")).alias("model_b"),
+                     F.expr(CUT_RAW).alias("raw"))
+
+
+# what a cut leaves: the state, and the entries whose winner's text has begun, with as much of it as there is
+CUT_SQL = f"""{BATTLES_SQL},
+cuts as (select {', '.join(CUT_COLUMNS)} from events),
+cut_states as (select event_id battle_id, case when cut = 0 then 'rejected' when cut < length({_CUT_OPEN}) then 'no_object'
+                      else 'parsed' end parse_state from cuts),
+cut_entries as (
+  {" union all ".join(f"""select event_id battle_id, {k} entry_pos, '{c}' category, {_cut_aspect(k)} aspect, {_cut_word(k)} word,
+    cut - ({" + ".join(f"length({b})" for b in _CUT_BEFORE[:k + 1])}) left_ from cuts""" for k, c in
+    enumerate(["Readability", "Readability", "Helpfulness"]))}),
+cut_battles as (select battle_id, model_a, model_b, entry_pos, category, cut_entries.aspect, substring(word, 1, cast(left_ as int)) winner_raw
+                from cut_entries join battles using (battle_id) where left_ >= 0)"""

@@ -65,6 +65,27 @@ def q5_odd_replies(spark, sf_dir):
     return J.online_battles(J.parse_judgements(fx.judgements_odd(spark, sf_dir)))
 
 
+@register("p1_cut_replies", sql=f"with {fx.CUT_SQL} select * from cut_states")
+def p1_cut_replies(spark, sf_dir):
+    """Parse state of replies that are cut off anywhere, lack commas or hold hexadecimal numbers."""
+    return J.parse_state(J.parse_judgements(fx.judgements_cut(spark, sf_dir))).select("battle_id", "parse_state")
+
+
+@register("g7_cut_replies", sql=f"""
+with {fx.CUT_SQL}
+select battle_id, model_a, model_b, category, aspect, winner_raw,
+       case lower(winner_raw) when 'a' then 'model_a' when 'b' then 'model_b' else 'tie' end winner from cut_battles""")
+def g7_cut_replies(spark, sf_dir):
+    """Battles of such replies: all entries whose winner has begun."""
+    return J.explode_battles(J.parse_judgements(fx.judgements_cut(spark, sf_dir)))
+
+
+@register("q5_cut_replies", sql=f"with {fx.CUT_SQL} select * from cut_battles")
+def q5_cut_replies(spark, sf_dir):
+    """Online battles of such replies."""
+    return J.online_battles(J.parse_judgements(fx.judgements_cut(spark, sf_dir)))
+
+
 _PAIRWISE_SQL = f"""
 with {fx.BULK_BATTLES_SQL},
 both_sides as (

@@ -27,7 +27,12 @@ def test_parse_variants(spark, raw):
 
 def test_unparseable_is_null(spark):
     assert parse(spark, "no json here") is None
-    assert parse(spark, '```json\n{"R": {"t": {"winner": "A"}\n```') is None
+    assert parse(spark, '```json\n{"R": {"t": {"winner": "A"}') is None        # the fence is not closed
+    assert parse(spark, '{"R": {"t" {"winner": "A"}}}') is None                # odd in the middle
+
+
+def test_cut_off_replies_count_as_far_as_they_go(spark):
+    assert parse(spark, '```json\n{"R": {"t": {"winner": "A"}\n```') == {"R": {"t": {"winner": "A"}}}
 
 
 def test_duplicate_key_last_wins(spark):
@@ -72,7 +77,7 @@ def test_a_text_that_looks_like_an_object_is_none(spark):
 
 
 def test_parse_states(spark):
-    raws = ['{"R": {}}', "[1]", "{}", "no", '{"R": {"t": {"winner": "A"}', '"text"', "```\n{'R': {'t': {winner: 'A'}}}\n```"]
+    raws = ['{"R": {}}', "[1]", "{}", "no", '{"R" {"t": {"winner": "A"}', '"text"', "```\n{'R': {'t': {winner: 'A'}}}\n```"]
     df = spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "battle_id long, raw string")
     got = [r.parse_state for r in J.parse_state(J.parse_judgements(df)).orderBy("battle_id").collect()]
     assert got == ["parsed", "no_object", "no_object", "rejected", "rejected", "no_object", "parsed"]
