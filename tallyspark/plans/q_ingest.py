@@ -9,6 +9,7 @@ from ..operators import listings as L
 from ..operators import status as STS
 from ..session import scratch_path
 from ..sources import ingest as I
+from ..sources.named_files import write_named_files
 from ..sources.tables import read_table
 from . import fixtures as fx, q_arena
 from .registry import register
@@ -44,6 +45,20 @@ def a1_c_suites(spark, sf_dir):
     return I.c_suites(_manifests(spark, sf_dir))
 
 
+@register("a1_manifest_scan", sql="""
+with m as (select distinct source suite, cast(substring(source, 4, 3) as int) % 6 k from documents)
+select suite, ['c', 'c++', 'c', 'c++', null, 'rust'][k + 1] language from m where k in (0, 1, 2, 3)""")
+def a1_manifest_scan(spark, sf_dir):
+    """Manifest files written as <suite>/project.yaml and scanned back; suites in c or c++ are kept."""
+    d = read_table(spark, sf_dir, "documents").select(F.col("source").alias("suite")).distinct()
+    texts = ['homepage: "x"\nlanguage: c\n', "language: \"c++\"  # main\nmain_repo: y\n", "language: c # old\nlanguages: python\n",
+             "# language: rust\nlanguage:   'c++'\n", "homepage: z\nnested:\n  language: c\n", "language: rust\n"]
+    k = F.substring("suite", 4, 3).cast("int") % len(texts)
+    path = scratch_path(spark, "projects")
+    write_named_files(d, path, F.concat("suite", F.lit("/project.yaml")), F.element_at(F.array(*[F.lit(t) for t in texts]), (k + 1).cast("int")))
+    return I.c_suites(I.read_manifests(spark, path))
+
+
 # ---------------------------------------------------------------- B1 / A2 coverage exports
 _B1_SQL = f"""{fx.COVERAGE_EXPORT_SQL},
 f as (select *, list_filter([f0, f1], lambda x: ends_with(x, '.c')) c from cx),
@@ -228,9 +243,19 @@ def a9_result_sink(spark, sf_dir):
     return I.read_headered_jsonl(spark, path).select("system", "task_id", "code")
 
 
+@register("a9_named_results", sql=f"""
+with {_JSONL_SQL}
+select system, task_id, arg_max(props, seq) code from r where event_type <> 'signup' group by all""")
+def a9_named_results(spark, sf_dir):
+    """Results written to files named by their system, one header a file and none for one system, and read back."""
+    path = scratch_path(spark, "named-results")
+    I.write_result_files(_result_lines(spark, sf_dir).filter("event_type <> 'signup'"), path, without_header=["retdec"])
+    return I.read_headered_jsonl(spark, path).select("system", "task_id", "code")
+
+
 # ---------------------------------------------------------------- A8 task queues
 @register("a8_queue_scan", sql="""
-with q as (select event_id pos, user_id % 500 task_id, ['angr', 'ghidra'][event_id % 2 + 1] system, event_type, props from events),
+with q as (select event_id pos, event_id % (select count(*) * 5 from documents) task_id, ['angr', 'ghidra'][event_id % 2 + 1] system, event_type, props from events),
 ok as (select * from q where event_type in ('purchase', 'click'))
 select task_id, arg_max(props, pos) filter (where system = 'angr') angr,
        arg_max(props, pos) filter (where system = 'ghidra') ghidra from ok group by task_id""")
@@ -238,13 +263,14 @@ def a8_queue_scan(spark, sf_dir):
     """Saved task queues, JSON arrays of at most 100 entries and many to a file, scanned back: the first value of a
     completed entry's result map, the later entry wins; errors and empty results give nothing."""
     e = read_table(spark, sf_dir, "events")
+    n_tasks = max(1, read_table(spark, sf_dir, "documents").count() * 5)
     system = F.when(F.col("event_id") % 2 == 0, "angr").otherwise("ghidra")
     done = F.col("event_type").isin("purchase", "click")
     result = F.when(done, F.create_map(F.lit("0x10"), F.col("props"), F.lit("0x20"), F.lit("int later;"))) \
         .when(F.col("event_type") == "view", F.create_map().cast("map<string,string>"))
     entry = F.struct(F.col("event_id").alias("pos"), F.struct(
         F.col("event_id").cast("string").alias("uuid"), F.when(F.col("event_type") == "error", "error").otherwise("completed").alias("status"),
-        F.struct((F.col("user_id") % 500).alias("idx"), system.alias("decompiler")).alias("metadata"), result.alias("result")).alias("t"))
+        F.struct((F.col("event_id") % n_tasks).alias("idx"), system.alias("decompiler")).alias("metadata"), result.alias("result")).alias("t"))
     path = scratch_path(spark, "queues")
     (e.groupBy(F.floor(F.col("event_id") / 100).alias("grp")).agg(F.array_sort(F.collect_list(entry), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("xs"))
      .select("grp", F.to_json(F.transform("xs", lambda x: x["t"])).alias("value")).write.parquet(path))
@@ -485,20 +511,18 @@ def b18_strip_extern(spark, sf_dir):
 
 _STDERR_SQL = """logs as (
   select doc_id, doc_id % 4 a1, doc_id % 8 = 1 a2_ok,
-         case when doc_id % 4 = 1 then concat('a.c:1: warning: unused [-Wunused-variable]', chr(10),
-                                              'b.c:2: error: x [-Wint-conversion] y [-Wformat]', chr(10), 'done')
-              when doc_id % 4 = 2 then 'a.c:3: error: no warnings here' else '' end || chr(10) || text stderr
+         case when doc_id % 4 = 1 then regexp_replace(text, '([A-Za-z]+)[.]', 'x.c: warning: use [-W\\1].', 'g')
+              when doc_id % 4 = 2 then 'a.c:3: error: no warnings here' || chr(10) || text else text end stderr
   from documents)"""
 
 
 def _logs(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 4
-    stderr = (F.when(k == 1, F.lit("a.c:1: warning: unused [-Wunused-variable]\n"
-                                   "b.c:2: error: x [-Wint-conversion] y [-Wformat]\ndone"))
-              .when(k == 2, F.lit("a.c:3: error: no warnings here")).otherwise(F.lit("")))
-    return d.select("doc_id", k.alias("a1"), (F.col("doc_id") % 8 == 1).alias("a2_ok"),
-                    F.concat(stderr, F.lit("\n"), F.col("text")).alias("stderr"))
+    # a word that ends a sentence is a warning's name
+    stderr = (F.when(k == 1, F.regexp_replace("text", "([A-Za-z]+)[.]", "x.c: warning: use [-W$1]."))
+              .when(k == 2, F.concat(F.lit("a.c:3: error: no warnings here\n"), "text")).otherwise(F.col("text")))
+    return d.select("doc_id", k.alias("a1"), (F.col("doc_id") % 8 == 1).alias("a2_ok"), stderr.alias("stderr"))
 
 
 @register("b19_warnings", sql=f"""
@@ -885,26 +909,39 @@ def a4_extract_items(spark, sf_dir):
     return I.extract_items(files, spans)
 
 
+@register("a4_function_files", sql="""
+select case when doc_id % 9 = 0 then 'other' else source end suite, concat('fn_', doc_id) item,
+       text || case when doc_id % 7 = 0 then chr(65533) || '//' else '' end source
+from documents where doc_id % 11 <> 3""")
+def a4_function_files(spark, sf_dir):
+    """One file per function, written by name and scanned back; bytes that are no UTF-8 are replaced, a suite is skipped."""
+    d, i = read_table(spark, sf_dir, "documents"), F.col("doc_id")
+    suite = F.when(i % 11 == 3, I.SKIPPED_SUITES[0]).when(i % 9 == 0, "other").otherwise(F.col("source"))
+    tail = F.when(i % 7 == 0, F.lit(b"\xff//")).otherwise(F.lit(b""))
+    path = scratch_path(spark, "functions")
+    I.write_function_files(d.select(suite.alias("suite"), F.concat(F.lit("fn_"), i.cast("string")).alias("item"),
+                                    F.concat(F.encode("text", "UTF-8"), tail).alias("source")), path)
+    return I.read_function_files(spark, path).select("suite", "item", "source")
+
+
 # ---------------------------------------------------------------- A5 probe discovery
+# one build folder per 20 parts, each with a symbolizer and a patched copy
 _PROBES_SQL = """pr as (
-  select case when p_partkey % 40 = 0 then 'llvm-symbolizer'
-              when p_partkey % 40 = 1 then 'fuzz_1_patched'
-              else concat('fuzz_', p_partkey % 40) end probe,
-         (p_partkey % 40) % 3 <> 0 elf
+  select concat('suite', p_partkey // 20) suite,
+         case when p_partkey % 20 = 0 then 'llvm-symbolizer' when p_partkey % 20 = 1 then concat('fuzz_', p_partkey, '_patched')
+              else concat('fuzz_', p_partkey) end probe, p_partkey % 3 <> 0 elf
   from part)"""
 
 
 @register("a5_discover_probes", sql=f"""
 with {_PROBES_SQL}
-select distinct probe from pr where elf and probe <> 'llvm-symbolizer' and not ends_with(probe, '_patched')""")
+select suite, probe from pr where elf and probe <> 'llvm-symbolizer' and not ends_with(probe, '_patched')""")
 def a5_discover_probes(spark, sf_dir):
-    """Probe files written per probe folder (ELF header or a script), scanned as binary files."""
-    p = read_table(spark, sf_dir, "part")
-    k = F.col("p_partkey") % 40
-    probe = (F.when(k == 0, F.lit("llvm-symbolizer")).when(k == 1, F.lit("fuzz_1_patched"))
+    """Build outputs by file name (ELF header or a script) in one folder per suite; only four bytes of each are read."""
+    p, k = read_table(spark, sf_dir, "part"), F.col("p_partkey")
+    probe = (F.when(k % 20 == 0, F.lit("llvm-symbolizer")).when(k % 20 == 1, F.concat(F.lit("fuzz_"), k.cast("string"), F.lit("_patched")))
              .otherwise(F.concat(F.lit("fuzz_"), k.cast("string"))))
-    content = F.when(k % 3 != 0, F.concat(F.lit("\x7fELF\x02\x01"), F.col("p_name"))) \
-        .otherwise(F.concat(F.lit("#!/bin/sh "), F.col("p_name")))
+    content = F.concat(F.when(k % 3 != 0, F.lit(I.ELF_MAGIC + b"\x02\x01")).otherwise(F.lit(b"#!/bin/sh ")), F.encode("p_name", "UTF-8"))
     path = scratch_path(spark, "probes")
-    p.select(probe.alias("probe"), content.alias("value")).write.partitionBy("probe").text(path)
-    return I.discover_probes(spark, path, name_from="folder").select("probe").distinct()
+    write_named_files(p, path, F.concat(F.lit("suite"), F.floor(k / 20).cast("string"), F.lit("/"), probe), content)
+    return I.discover_probes(spark, path).select("suite", "probe")

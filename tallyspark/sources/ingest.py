@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .named_files import read_named_files, write_named_files
+
 # Fixed values
 C_LANGUAGES = ("c", "c++")
 ENTRY_NAME = "LLVMFuzzerTestOneInput"
@@ -44,6 +46,19 @@ def c_suites(manifests: DataFrame, language: str = "language") -> DataFrame:
     return manifests.filter(F.col(language).isin(*C_LANGUAGES))
 
 
+def read_manifests(spark: SparkSession, root: str, name: str = "project.yaml") -> DataFrame:
+    """A1: ``suite, language`` of every ``<suite>/project.yaml`` under ``root``.
+
+    The language is the last top-level scalar of that key, plain or in quotes, without a comment; null where there is none.
+    """
+    files = read_named_files(spark, root, suffix=name).filter(F.col("name") == name)
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    value = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(r"(?m)^language[ \t]*:[ \t]+(.*)$"), F.lit(1))), -1)
+    plain = F.coalesce(F.nullif(F.regexp_extract(value, r"""^(["'])(.*?)\1""", 2), F.lit("")),
+                       F.nullif(F.regexp_extract(value, r"""^([^"'#\s].*?)[ \t]*(?:[ \t]#.*)?$""", 1), F.lit("")))
+    return files.select(F.col("folder").alias("suite"), F.when(~plain.isin("null", "~"), plain).alias("language"))
+
+
 # A2 --------------------------------------------------------------------------
 def read_coverage_reports(spark: SparkSession, path: str) -> DataFrame:
     """A2: one coverage export per file; only ``data[0].functions`` is read.
@@ -110,31 +125,27 @@ def last_commands(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
 def read_function_files(spark: SparkSession, root: str) -> DataFrame:
     """A4: one ``.c`` file per function under ``root/<suite>/``; bytes decoded as
     UTF-8 with replacement; suites in :data:`SKIPPED_SUITES` are skipped."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.c")
-             .option("recursiveFileLookup", True).load(root))
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    out = files.select(_parent_name(F.col("path")).alias("suite"), _file_stem(F.col("path")).alias("item"),
-                       text.alias("source"), F.col("path"))
+    files = read_named_files(spark, root, suffix=".c")
+    out = files.select(F.col("folder").alias("suite"), _file_stem(F.col("name")).alias("item"),
+                       F.make_valid_utf8(F.col("content").cast("string")).alias("source"), "path")
     return out.filter(~F.col("suite").isin(*SKIPPED_SUITES))
 
 
+def write_function_files(items: DataFrame, root: str, suite: str = "suite", item: str = "item", source: str = "source",
+                         overwrite: bool = False) -> None:
+    """A4: ``root/<suite>/<item>.c`` for every row; no shuffle. Two rows of one name fail the write."""
+    write_named_files(items, root, F.concat(F.col(suite), F.lit("/"), F.col(item), F.lit(".c")), F.col(source), overwrite=overwrite)
+
+
 # A5 --------------------------------------------------------------------------
-def discover_probes(spark: SparkSession, root: str, name_from: str = "file") -> DataFrame:
-    """A5: executables (ELF magic) in ``root``; the symbolizer and patched copies excluded.
+def discover_probes(spark: SparkSession, root: str) -> DataFrame:
+    """A5: executables (ELF magic) under ``root``, by file name: ``suite`` (their folder), ``probe``, ``path``.
 
-    ``name_from='file'`` names a probe by its file (the build output layout);
-    ``'folder'`` by its ``key=value`` folder (a layout Spark writers produce).
+    The symbolizer and patched copies are excluded. Only the magic's bytes of a file are read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if name_from == "folder":
-        name = F.regexp_extract("path", r"=([^/=]*)/[^/]*$", 1)
-    else:
-        name = F.regexp_extract("path", r"([^/]*)$", 1)
-    magic = F.substring("content", 1, 4) == F.lit(ELF_MAGIC)
-    return (files.select(name.alias("probe"), "path", magic.alias("is_elf"))
-            .filter(F.col("is_elf") & (F.col("probe") != SYMBOLIZER) & ~F.col("probe").endswith(PATCHED_SUFFIX))
-            .select("probe", "path"))
-
+    files = read_named_files(spark, root, head=len(ELF_MAGIC))
+    return (files.filter((F.col("content") == F.lit(ELF_MAGIC)) & (F.col("name") != SYMBOLIZER) & ~F.col("name").endswith(PATCHED_SUFFIX))
+            .select(F.col("folder").alias("suite"), F.col("name").alias("probe"), "path"))
 
 
 # A7 --------------------------------------------------------------------------
@@ -194,6 +205,23 @@ def write_headered_jsonl(results: DataFrame, path: str, system: str = "system",
      .drop("body", "place").write.partitionBy(system, "part").text(path))
 
 
+def write_result_files(results: DataFrame, root: str, system: str = "system", order: str = "seq", file_rows: int = 250_000,
+                       without_header: Sequence[str] = ()) -> None:
+    """A9 sink with file names: ``{idx, code}`` lines in ``order`` in ``root/part-<k>/<system>.jsonl``, each led by its header line.
+
+    A system without a header line is named by its files. The number of parts follows from the largest system's rows; a task's
+    lines stay in one file, in order.
+    """
+    largest = results.groupBy(system).count().agg(F.max("count")).first()[0] or 0
+    part = F.pmod(F.xxhash64("task_id"), F.lit(max(1, -(-largest // file_rows))))
+    line = F.to_json(F.struct(F.col("task_id").alias("idx"), "code"), {"ignoreNullFields": "false"})
+    head = F.concat(F.to_json(F.struct(F.col(system).alias("model"))), F.lit("\n"))
+    if without_header:
+        head = F.when(~F.col(system).isin(*without_header), head)
+    write_named_files(results, root, F.concat(F.lit("part-"), part.cast("string"), F.lit("/"), F.col(system), F.lit(".jsonl")),
+                      F.concat(line, F.lit("\n")), head, F.col(order))
+
+
 # A8 --------------------------------------------------------------------------
 def read_task_queue(spark: SparkSession, path: str) -> DataFrame:
     """Saved task-queue arrays; keeps array position for later-entry-wins rules."""

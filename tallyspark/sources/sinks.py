@@ -12,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_candidates(long: DataFrame, path: str, mode: str = "overwrite", files_per_system: int = 64) -> None:
+def _parts(rows: DataFrame, key: str, file_rows: int) -> int:
+    """Files per key, so that the key with the most rows has at most ``file_rows`` rows in one."""
+    largest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-largest // file_rows))
+
+
+def write_candidates(long: DataFrame, path: str, mode: str = "overwrite", file_rows: int = 1_000_000) -> None:
     """Long candidates ``task_id, system, code`` partitioned by system.
 
-    A system's rows are dealt by a hash of the task, so a system that holds most
-    rows is written by up to ``files_per_system`` tasks; the adaptive planner
-    joins small ones.
+    A system's rows are dealt by a hash of the task into as many parts as the largest system needs, so
+    a system that holds most rows is not written by one task; the adaptive planner joins small ones.
     """
-    part = F.pmod(F.xxhash64("task_id"), F.lit(files_per_system))
+    part = F.pmod(F.xxhash64("task_id"), F.lit(_parts(long, "system", file_rows)))
     long.repartition("system", part).write.mode(mode).partitionBy("system").parquet(path)
 
 
@@ -29,9 +34,13 @@ def read_candidates(spark: SparkSession, path: str, systems: list[str] | None =
     return df.filter(F.col("system").isin(*systems)) if systems else df
 
 
-def write_cer_results(long: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A10: long CER outcomes ``suite, item, system, variant, probe, ok`` partitioned by suite."""
-    long.write.mode(mode).partitionBy("suite").parquet(path)
+def write_cer_results(long: DataFrame, path: str, mode: str = "overwrite", file_rows: int = 5_000_000) -> None:
+    """A10: long CER outcomes ``suite, item, system, variant, probe, ok`` partitioned by suite.
+
+    Dealt by suite and a hash of the item, so a suite has as many files as its rows need, not one per task.
+    """
+    part = F.pmod(F.xxhash64("item"), F.lit(_parts(long, "suite", file_rows)))
+    long.repartition("suite", part).write.mode(mode).partitionBy("suite").parquet(path)
 
 
 def write_scores_csv(scores: DataFrame, path: str, partition: str = "arena", mode: str = "overwrite") -> None:
