@@ -8,12 +8,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import java_regex, py_strip
+from ..functions.text import java_regex, let, py_strip
 
 # Listing markers and runner messages.
 ADDRESS_COMMENT = re.compile(r"// ([0-9A-Fa-f]+):")
@@ -24,127 +23,75 @@ EMPTY_RESULT = "Empty decompile result"
 NO_DETAILS = "No details provided"
 RUNNER_FAILURES = ("Failed to find the function at the given address.", "Failed to decompile the function.")
 
-def _bodies_from_listing(code: str, wanted: set[int]) -> dict[str, str]:
-    """Body after each wanted ``// HEX:`` comment, found with brace prefix sums.
-
-    ``depth[i]`` is the brace balance after character i. A body opened after
-    position ``s`` closes at the first ``}`` whose balance equals the balance
-    just before ``s``; without one the body runs to the last character but one.
-    """
-    out: dict[str, str] = {}
-    if not code:
-        return out
-    chars = np.frombuffer(code.encode("utf-32-le"), dtype=np.uint32)
-    closes = chars == ord("}")
-    depth = np.cumsum((chars == ord("{")).astype(np.int64) - closes)
-    newlines = np.flatnonzero(chars == ord("\n"))
-    for m in ADDRESS_COMMENT.finditer(code):
-        addr = int(m.group(1), 16)
-        if addr not in wanted:
-            continue
-        s = m.end()
-        before = depth[s - 1] if s > 0 else 0
-        hits = np.flatnonzero(closes[s:] & (depth[s:] == before))
-        end = s + int(hits[0]) + 1 if len(hits) else len(code) - 1
-        nl = newlines[np.searchsorted(newlines, s):]
-        begin = int(nl[0]) + 1 if len(nl) and (not len(hits) or nl[0] < end) else s
-        out[hex(addr)] = code[begin:end].strip()
-    return out
-
 
 def listing_bodies(listings: DataFrame, key: str = "listing_id", code: str = "code",
-                   addresses: str = "addresses") -> DataFrame:
+                   addresses: str = "addresses", block_chars: int | None = None) -> DataFrame:
     """One row per (listing, wanted address) found after a ``// HEX:`` comment.
 
     The body starts on the line after the comment and ends at the brace that
     balances; an unbalanced body ends one character early (as the reference).
-    Per-listing scan in ``mapInPandas``: a listing is one binary's output, and
-    the work is spread over listings.
+    A listing may be of any size: it is cut into blocks, see
+    :mod:`~tallyspark.operators.listing_blocks`. ``key`` names one row.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for lid, txt, addrs in zip(pdf[key], pdf[code], pdf[addresses]):
-                wanted = {int(a, 16) for a in (addrs if addrs is not None else [])}
-                for a, body in _bodies_from_listing(txt, wanted).items():
-                    rows.append((lid, a, body))
-            yield pd.DataFrame(rows, columns=[key, "address", "body"])
-
-    kind = listings.schema[key].dataType.simpleString()
-    return listings.select(key, code, addresses).mapInPandas(run, f"`{key}` {kind}, address string, body string")
+    from . import listing_blocks as B
+    blocks = B.listing_blocks(listings, key, code, block_chars or B.BLOCK_CHARS)
+    requests = listings.select(key, F.explode(addresses).alias("address"))
+    return B.block_listing_bodies(blocks, requests, key)
 
 
 def token_list_bodies(listings: DataFrame, key: str = "listing_id", tokens: str = "tokens",
                       addresses: str = "addresses") -> DataFrame:
     """P3 where a listing is one row, as the tools write it: ``tokens`` (array of ``kind, val`` in order) and the
-    requested ``addresses``. Same rules as :func:`token_bodies`.
+    requested ``addresses``. A comment token holding ``// Address range:`` with a requested address starts a
+    function; values are concatenated until the braces balance; the body is stripped. Each body holds only its own
+    tokens (the reference never clears its buffer, so its later bodies repeat earlier ones). A later body for the same address wins.
 
-    Row-local: the requested comments cut the list into segments, a fold over
-    each segment holds only the depth and the place where it closes, and the
-    values up to there are joined. No shuffle.
+    Row-local: only braces and requested comments are folded over, with the depth and the open function as state; the
+    values between a comment and its closing place are joined. No shuffle.
     """
     found = lambda t: F.regexp_extract(t["val"], java_regex(RANGE_ADDRESS), 0)
-    # (place, address) of the requested comments; a place is counted from 1
-    marks = F.filter(
-        F.transform(F.col(tokens), lambda t, i: F.struct(
-            (i + 1).alias("at"), F.when((t["kind"] == "cmnt") & t["val"].contains(RANGE_MARKER), found(t)).alias("address"))),
-        lambda m: F.coalesce(F.array_contains(F.col(addresses), m["address"]), F.lit(False)))
-    ends = F.concat(F.slice(F.transform("_marks", lambda m: m["at"]), 2, F.greatest(F.size("_marks"), F.lit(1))),
-                    F.array((F.size(tokens) + 1).cast("int")))
-    x = (listings.select(key, tokens, marks.alias("_marks"))
-         .select(key, tokens, F.posexplode(F.arrays_zip("_marks", ends.alias("_end"))).alias("_seg", "_m"))
-         .filter(F.col("_m._marks").isNotNull())
-         .select(key, "_seg", F.col("_m._marks.address").alias("address"), F.slice(
-             tokens, F.col("_m._marks.at") + 1, F.col("_m._end") - F.col("_m._marks.at") - 1).alias("_part")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("at"), F.lit(0).alias("close"))
-
-    def step(s, t):
-        depth = s["depth"] + F.coalesce(F.when(t["val"] == "{", 1).when(t["val"] == "}", -1), F.lit(0))
-        opened = s["opened"] | F.coalesce(t["val"] == "{", F.lit(False))
-        at = s["at"] + 1
-        return F.struct(depth.alias("depth"), opened.alias("opened"), at.alias("at"),
-                        F.when((s["close"] == 0) & (depth == 0) & opened, at).otherwise(s["close"]).alias("close"))
-
-    close = F.aggregate("_part", start, step, lambda s: s["close"])
-    body = F.array_join(F.transform(F.slice("_part", 1, F.col("_close")), lambda t: t["val"]), "")
-    return (x.withColumn("_close", close).filter("_close > 0")
-            .groupBy(key, "address").agg(F.max_by(py_strip(body), F.col("_seg")).alias("body")))
-
-
-def token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listing_id") -> DataFrame:
-    """Bodies from a token stream ``(listing_id, pos, kind, val)``.
-
-    A comment token holding ``// Address range:`` with a requested address
-    (``requests``: ``listing_id, address``) starts a function; values are
-    concatenated until the braces balance; the body is stripped. Each body
-    holds only its own tokens (the reference never clears its buffer, so its
-    later bodies repeat earlier ones). A later body for the same address wins.
-    Running sums over windows per listing (one binary's output).
-    """
-    found = F.regexp_extract("val", java_regex(RANGE_ADDRESS), 0)
-    t = tokens.withColumn("_addr", F.when((F.col("kind") == "cmnt") & F.col("val").contains(RANGE_MARKER)
-                                          & (found != ""), found))
-    # requested addresses as one array per listing: the join is many-to-one on
-    # the listing key, so the windows below reuse its partitioning (one shuffle)
-    wanted = requests.groupBy(key).agg(F.collect_set("address").alias("_wanted"))
-    t = t.join(wanted, key, "left")
-    t = t.withColumn("_start", F.coalesce(F.array_contains("_wanted", F.col("_addr")), F.lit(False))).drop("_wanted")
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = (t.withColumn("_seg", F.sum(F.col("_start").cast("int")).over(w))
-         .withColumn("_seg_addr", F.last(F.when(F.col("_start"), F.col("_addr")), ignorenulls=True).over(w)))
-    t = t.filter((F.col("_seg") > 0) & ~F.col("_start"))
-    ws = Window.partitionBy(key, "_seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    delta = F.when(F.col("val") == "{", 1).when(F.col("val") == "}", -1).otherwise(0)
-    t = (t.withColumn("_depth", F.sum(delta).over(ws))
-         .withColumn("_opened", F.max((F.col("val") == "{").cast("int")).over(ws)))
-    closed = F.min(F.when((F.col("_depth") == 0) & (F.col("_opened") == 1), F.col("pos")))
-    t = t.withColumn("_close", closed.over(Window.partitionBy(key, "_seg")))
-    body = t.filter(F.col("_close").isNotNull() & (F.col("pos") <= F.col("_close")) & F.col("val").isNotNull())
-    parts = F.array_sort(F.collect_list(F.struct("pos", "val")))
-    seg = body.groupBy(key, "_seg", "_seg_addr").agg(
-        F.array_join(F.transform(parts, lambda x: x["val"]), "").alias("body"))
-    return (seg.groupBy(key, F.col("_seg_addr").alias("address"))
-            .agg(F.max_by(py_strip(F.col("body")), F.col("_seg")).alias("body")))
+
+    def event(t, i):
+        address = F.when((t["kind"] == "cmnt") & t["val"].contains(RANGE_MARKER), found(t))
+        return F.when(t["val"] == "{", _event(i, 1)).when(t["val"] == "}", _event(i, -1)).when(
+            F.coalesce(F.array_contains(F.col(addresses), address), F.lit(False)), _event(i, 0, address))
+
+    events = F.filter(F.transform(F.col(tokens), event), lambda e: e.isNotNull())
+    spans = "array<struct<address: string, start: int, close: int>>"
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(None).cast("string").alias("address"),
+                     F.lit(0).alias("start"), F.array().cast(spans).alias("out"))
+
+    def step(s, e):
+        mark = e["step"] == 0
+        depth = F.when(mark, 0).otherwise(s["depth"] + e["step"])
+        opened = ~mark & (s["opened"] | (e["step"] == 1))
+        closes = opened & (depth == 0) & s["address"].isNotNull()
+        span = F.struct(s["address"].alias("address"), s["start"].alias("start"), e["at"].alias("close"))
+        return F.struct(depth.alias("depth"), opened.alias("opened"), F.when(mark, e["address"]).when(~closes, s["address"]).alias("address"),
+                        F.when(mark, e["at"]).otherwise(s["start"]).alias("start"),
+                        F.when(closes, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+
+    def last_of_each(out):
+        names = F.array_distinct(F.transform(out, lambda b: b["address"]))
+        return let(names, lambda ns: F.when(F.size(ns) == F.size(out), out).otherwise(
+            F.transform(ns, lambda n: F.element_at(F.filter(out, lambda b: b["address"] == n), -1))))
+
+    bodies = let(F.aggregate(events, start, step, lambda s: s["out"]), last_of_each)
+    body = F.array_join(F.transform(F.slice(F.col(tokens), F.col("_b.start") + 2, F.col("_b.close") - F.col("_b.start")), lambda t: t["val"]), "")
+    return (listings.select(key, tokens, F.explode_outer(bodies).alias("_b")).filter(F.col("_b").isNotNull())
+            .select(key, F.col("_b.address").alias("address"), py_strip(body).alias("body")))
+
+
+def _event(at: Column, step: int, address: Column | None = None) -> Column:
+    address = F.lit(None).cast("string") if address is None else address
+    return F.struct(at.cast("int").alias("at"), F.lit(step).alias("step"), address.alias("address"))
+
+
+def token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listing_id", block_tokens: int | None = None) -> DataFrame:
+    """Bodies from a token stream ``(listing_id, pos, kind, val)`` of any length, by the rules of
+    :func:`token_list_bodies`; ``requests``: ``listing_id, address``. See :mod:`~tallyspark.operators.listing_blocks`."""
+    from . import listing_blocks as B
+    return B.block_token_bodies(tokens, requests, key, block_tokens or B.BLOCK_TOKENS)
 
 
 def classify_runs(runs: DataFrame) -> DataFrame:

@@ -656,9 +656,11 @@ def _listings(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     h = lambda k: F.lower(F.hex(i * 64 + k))
-    code = F.concat(F.lit("// "), h(0), F.lit(": f0\nint f0(void)\n{\n  if (x) { y(); }\n  return 0;\n}\n"),
+    # whole texts as bodies: some of their points and commas become braces, which may or may not balance
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(" {\n")), F.lit(", "), F.lit(" }\n"))
+    code = F.concat(F.lit("// "), h(0), F.lit(": f0\nint f0(void)\n{\n  if (x) { y(); }\n"), text, F.lit("\n}\n"),
                     F.lit("// "), h(1), F.lit(": f1\nint f1(void) { return 1; }\n"),
-                    F.lit("// "), h(2), F.lit(": open\nvoid g(void)\n{\n  "), F.regexp_replace("source", "[{}]", ""))
+                    F.lit("// "), h(2), F.lit(": open\nvoid g(void)\n{\n  "), text)
     addrs = F.array(F.concat(F.lit("0x"), h(0)), F.concat(F.lit("0x"), h(2)),
                     F.when(i % 2 == 0, F.concat(F.lit("0x"), h(1))).otherwise(F.lit("0x0")))
     return d.select(i.alias("listing_id"), code.alias("code"), addrs.alias("addresses"))
@@ -667,38 +669,36 @@ def _listings(spark, sf_dir):
 _LISTINGS_SQL = """lst as (
   select doc_id listing_id,
          concat('// ', lower(hex(doc_id * 64)), ': f0', chr(10), 'int f0(void)', chr(10), '{', chr(10),
-                '  if (x) { y(); }', chr(10), '  return 0;', chr(10), '}', chr(10),
+                '  if (x) { y(); }', chr(10), t, chr(10), '}', chr(10),
                 '// ', lower(hex(doc_id * 64 + 1)), ': f1', chr(10), 'int f1(void) { return 1; }', chr(10),
-                '// ', lower(hex(doc_id * 64 + 2)), ': open', chr(10), 'void g(void)', chr(10), '{', chr(10), '  ',
-                regexp_replace(source, '[{}]', '', 'g')) code,
+                '// ', lower(hex(doc_id * 64 + 2)), ': open', chr(10), 'void g(void)', chr(10), '{', chr(10), '  ', t) code,
          ['0x' || lower(hex(doc_id * 64)), '0x' || lower(hex(doc_id * 64 + 2)),
           case when doc_id % 2 = 0 then '0x' || lower(hex(doc_id * 64 + 1)) else '0x0' end] addresses
-  from documents)"""
+  from (select doc_id, replace(replace(text, '. ', ' {' || chr(10)), ', ', ' }' || chr(10)) t from documents))"""
 
 
+# per character, the depth; a comment's body ends where a closing brace first comes down to the comment's depth. Only comments' colons and
+# braces are joined.
 @register("p2_listing_bodies", sql=f"""
 with {_LISTINGS_SQL},
-c as (select listing_id, code, addresses, unnest(generate_series(1, length(code))) i from lst),
-ch as (select *, substring(code, i, 1) ch from c),
+c as (select listing_id, unnest(string_split(code, '')) ch, generate_subscripts(string_split(code, ''), 1) i from lst),
 d as (select *, sum(case when ch = '{{' then 1 when ch = '}}' then -1 else 0 end)
-                  over (partition by listing_id order by i) depth from ch),
-m as (select listing_id, i s, depth ds, code, addresses,
-             regexp_extract(substring(code, 1, i), '// ([0-9A-Fa-f]+):$', 1) addr
-      from d where ch = ':' and regexp_matches(substring(code, 1, i), '// ([0-9A-Fa-f]+):$')),
-w as (select * from m where list_contains(list_transform(addresses, lambda a: a::BIGINT), ('0x' || addr)::BIGINT)),
-e as (select w.listing_id, w.s, w.code, w.addr,
-             (select min(d.i) from d where d.listing_id = w.listing_id and d.i > w.s and d.ch = '}}' and d.depth = w.ds) close
-      from w),
-b as (select e.*, (select min(d.i) from d where d.listing_id = e.listing_id and d.i > e.s and d.ch = chr(10)
-                   and (e.close is null or d.i < e.close)) nl from e)
+                  over (partition by listing_id order by i) depth from c where ch in ('{{', '}}', ':', chr(10))),
+m as (select listing_id, i s, depth ds, regexp_extract(substring(code, greatest(1, i - 40), least(i, 41)), '// ([0-9A-Fa-f]+):$', 1) addr, code, addresses
+      from d join lst using (listing_id) where ch = ':'),
+w as (select * from m where addr <> '' and list_contains(list_transform(addresses, lambda a: a::BIGINT), ('0x' || addr)::BIGINT)),
+e as (select w.listing_id, w.s, min(d.i) close from w left join d
+        on d.listing_id = w.listing_id and d.i > w.s and d.ch = '}}' and d.depth = w.ds group by all),
+b as (select e.listing_id, e.s, e.close, min(d.i) nl from e left join d
+        on d.listing_id = e.listing_id and d.i > e.s and d.ch = chr(10) and (e.close is null or d.i < e.close) group by all)
 select listing_id, '0x' || lower(hex(('0x' || addr)::BIGINT)) address,
        arg_max(trim(substring(code, coalesce(nl + 1, s + 1),
                               coalesce(close, length(code) - 1) - coalesce(nl + 1, s + 1) + 1),
                     ' ' || chr(9) || chr(10) || chr(13)), s) body
-from b group by all""")
+from b join w using (listing_id, s) group by all""")
 def p2_listing_bodies(spark, sf_dir):
-    """Function bodies cut from address-commented listings (checked against a brute-force test)."""
-    return L.listing_bodies(_listings(spark, sf_dir))
+    """Function bodies cut from address-commented listings, block by block (also checked against a brute-force test)."""
+    return L.listing_bodies(_listings(spark, sf_dir), block_chars=1 << 14)
 
 
 _TOKENS_SQL = """tok as (
@@ -730,7 +730,7 @@ def _tokens(spark, sf_dir):
     return d.select(F.col("doc_id").alias("listing_id"), tokens.alias("tokens"), addresses.alias("addresses"))
 
 
-@register("p3_token_bodies", sql=f"""
+_TOKEN_BODIES_SQL = f"""
 with {_TOKENS_SQL},
 m as (select t.*, r.address is not null st, r.address from tok t left join req r
         on r.listing_id = t.listing_id and t.kind = 'cmnt'
@@ -745,13 +745,24 @@ c as (select *, min(case when depth = 0 and opened = 1 then pos end) over (parti
 g as (select listing_id, seg, seg_addr, string_agg(val, '' order by pos) body from c
       where close is not null and pos <= close and val is not null group by all)
 select listing_id, seg_addr address, arg_max(trim(body, ' ' || chr(9) || chr(10) || chr(13)), seg) body
-from g group by all""")
+from g group by all"""
+
+
+@register("p3_token_bodies", sql=_TOKEN_BODIES_SQL)
 def p3_token_bodies(spark, sf_dir):
     """Function bodies from token streams: tokens between a requested address comment and the
     balancing brace."""
     return L.token_list_bodies(_tokens(spark, sf_dir))
 
 
+@register("p3_token_stream_bodies", sql=_TOKEN_BODIES_SQL)
+def p3_token_stream_bodies(spark, sf_dir):
+    """The same from streams of token rows, in blocks, whatever the length of a stream."""
+    t = _tokens(spark, sf_dir)
+    rows = t.select("listing_id", F.posexplode("tokens").alias("pos", "t")).select("listing_id", F.col("pos").cast("long"), "t.*")
+    return L.token_bodies(rows, t.select("listing_id", F.explode("addresses").alias("address")))
+
+
 @register("p4_outcome_reasons", sql="""
 with r as (select ['angr', 'ghidra', 'hexrays', 'reko', 'retdec'][user_id % 5 + 1] system, event_type = 'error' timed_out,
                   case when event_type in ('click', 'view') then 0 else 1 end returncode,

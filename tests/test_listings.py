@@ -1,9 +1,12 @@
 """Listing bodies (P2) against a brute-force scan, token-stream bodies (P3), outcome classes (P4), infer."""
 
+import random
 import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tallyspark.operators import listing_blocks as B
 from tallyspark.operators import listings as L
 
 LISTING = ("// 0001a0: f\nint f(void)\n{\n  if (x) { y(); }\n}\n"
@@ -83,15 +86,68 @@ def test_infer_isolates_row_failures(spark):
     assert out[2] == ("P2", None) and out[9] == ("P9", None)
 
 
-from hypothesis import given, settings, strategies as st  # noqa: E402
+def random_listing(rng, parts):
+    return "".join(rng.choice(["// 1a:", "// 02B:", "// 3c: f", "{", "}", "{", "}", "\n", "\n", " x", "é\U0001f600", "// zz:", "// Aa0: q\n{"])
+                   for _ in range(parts))
+
+
+def test_blocks_equal_the_loop(spark):
+    """Random listings, from one character a block (one line) to one block a listing."""
+    rng = random.Random(11)
+    rows = [(k, random_listing(rng, rng.randrange(0, 120)), ["0x1a", "2b", "0X003C", "0xaa0", "0xff"]) for k in range(250)]
+    df = spark.createDataFrame(rows, "listing_id long, code string, addresses array<string>")
+    want = {(k, a): v for k, code, _ in rows for a, v in brute(code, {0x1A, 0x2B, 0x3C, 0xAA0}).items()}
+    for block_chars in (1, 40, 1 << 16):
+        got = [((r.listing_id, r.address), r.body) for r in L.listing_bodies(df, block_chars=block_chars).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_a_listing_in_64_blocks(spark):
+    rng = random.Random(5)
+    code = "\n".join(f"// {k:x}: f\nint f{k}()\n{{\n" + random_listing(rng, 300) + "\n}" for k in range(200))
+    df = spark.createDataFrame([(1, code, [hex(k) for k in range(0, 200, 3)])], "listing_id long, code string, addresses array<string>")
+    blocks = B.listing_blocks(df, block_chars=len(code) // 64 - 60)
+    assert blocks.count() >= 60
+    assert "".join(r.piece for r in blocks.orderBy("block").collect()) == code
+    got = B.block_listing_bodies(blocks, df.select("listing_id", F.explode("addresses").alias("address")))
+    assert {r.address: r.body for r in got.collect()} == brute(code, set(range(0, 200, 3)))
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert "FlatMapGroups" not in plan
+
+
+def plain_token_bodies(tokens, wanted):
+    out, body, depth, opened, address = {}, None, 0, False, None
+    for kind, val in tokens:
+        m = re.search(r"0x\w+", val or "")
+        if kind == "cmnt" and "// Address range:" in (val or "") and m and m[0] in wanted:
+            body, depth, opened, address = "", 0, False, m[0]
+            continue
+        if body is None:
+            continue
+        depth += (val == "{") - (val == "}")
+        opened |= val == "{"
+        body += val or ""
+        if depth == 0 and opened:
+            out[address], body = body.strip(), None
+    return out
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["// 1a:", "// 2b:", "{", "}", "\n", " x", "é", "// zz:"]), max_size=30))
-def test_prefix_sum_scan_equals_loop(parts):
-    code = "".join(parts)
-    wanted = {0x1a, 0x2b}
-    assert L._bodies_from_listing(code, wanted) == brute(code, wanted)
+def test_token_streams_equal_the_loop(spark):
+    rng = random.Random(3)
+    lists = []
+    for k in range(120):
+        toks = [rng.choice([("t", "{"), ("t", "}"), ("t", "{"), ("t", "}"), ("t", " a"), ("t", None), ("cmnt", "// note"), ("cmnt", None),
+                            ("cmnt", f"// Address range: 0x{rng.randrange(6)} - 0x9")]) for _ in range(rng.randrange(0, 90))]
+        lists.append((k, toks, [f"0x{j}" for j in range(0, 6, 2)] + ["0x5"]))
+    want = {(k, a): b for k, toks, wanted in lists for a, b in plain_token_bodies(toks, wanted).items()}
+    assert len(want) > 100
+    df = spark.createDataFrame(lists, "listing_id long, tokens array<struct<kind: string, val: string>>, addresses array<string>")
+    assert {(r.listing_id, r.address): r.body for r in L.token_list_bodies(df).collect()} == want
+    stream = df.select("listing_id", F.posexplode("tokens").alias("pos", "t")).select("listing_id", F.col("pos").cast("long"), "t.*")
+    requests = df.select("listing_id", F.explode("addresses").alias("address"))
+    for block_tokens in (1, 7, 4096):
+        got = [((r.listing_id, r.address), r.body) for r in L.token_bodies(stream, requests, block_tokens=block_tokens).collect()]
+        assert len(got) == len(want) and dict(got) == want
 
 
 def test_listing_bodies_take_any_key(spark):
