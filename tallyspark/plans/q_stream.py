@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import rating as R
 from ..operators import status as ST
 from ..session import scratch_path
+from ..sources.tables import read_table
 from ..streaming import ratings_stream as RS
 from ..streaming import status_stream as SS
+from ..streaming import task_limits as TL
 from . import fixtures as fx
 from .registry import register
 
@@ -71,6 +75,43 @@ def s1_latest_status_stream(spark, sf_dir):
     return SS.current_view(spark, upd).select("task_id", "status", "code", "error")
 
 
+# four entries a task, as events follow each other; a task that is still processing six hours later has run out
+_LIMIT, _DELAY = 6 * 3600, 600
+_LIMITS_SQL = f"""
+with {fx.STATUS_LOG_SQL},
+l as (select event_id // 4 task_id, event_id seq, s.raw, epoch_ms(ts) at_ms from events join slog s on s.seq = event_id),
+t as (select task_id, max(seq) seq, arg_max(raw, seq) raw, arg_max(at_ms, seq) at_ms from l group by task_id),
+src as (select task_id, seq, case when starts_with(raw, 'processing') and at_ms + {_LIMIT * 1000} <= (select max(at_ms) from l) - {_DELAY * 1000}
+                                  then 'error:Exceeded time limit' else raw end raw from t),
+{_DECODE_SQL},
+v as (select task_id, status s0, result text,
+             case when status = 'completed' and json_valid(result) and json_type(result::JSON) = 'OBJECT'
+                  then true else false end ok
+      from dec)
+"""
+
+
+def _timed_log(spark, sf_dir):
+    log = fx.status_log(spark, sf_dir)
+    at = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+    return log.join(at, "seq").select(F.floor(F.col("seq") / 4).cast("bigint").alias("task_id"), "seq", "raw", F.col("at").cast("timestamp").alias("at"))
+
+
+@register("s1_status_with_limits", sql=_LIMITS_SQL + _VIEW_SELECT)
+def s1_status_with_limits(spark, sf_dir):
+    """Client view in which tasks that never ended are errors (batch)."""
+    return TL.latest_with_limit(_timed_log(spark, sf_dir), _LIMIT, _DELAY).select("task_id", "status", "code", "error")
+
+
+@register("s1_status_with_limits_stream", sql=_LIMITS_SQL + _VIEW_SELECT)
+def s1_status_with_limits_stream(spark, sf_dir):
+    """The same view from a stream whose state holds open tasks only, with timers and a compacted update table."""
+    log_dir = scratch_path(spark, "timed-log")
+    _timed_log(spark, sf_dir).repartitionByRange("seq").write.option("maxRecordsPerFile", FILE_ROWS).parquet(log_dir)
+    out, _ = TL.run_task_stream(spark, log_dir, limit_seconds=_LIMIT, delay=f"{_DELAY} seconds", compact_every=2)
+    return TL.current_view(spark, out).select("task_id", "status", "code", "error")
+
+
 @register("a8_completed_results", sql=_LATEST_SQL + """
 select task_id, text::JSON ->> json_keys(text::JSON)[1] code from v
 where s0 = 'completed' and ok and len(json_keys(text::JSON)) > 0""")

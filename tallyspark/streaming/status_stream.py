@@ -3,7 +3,7 @@
 The status log arrives as files. A streaming ``groupBy(task_id)`` keeps the
 latest ``(seq, raw)`` per task in the RocksDB state store, on the executors'
 disks: one row per task, kept as long as the query's checkpoint, because the
-log has no event time and a finished task may still be polled. Each micro-batch's updated rows are appended to an update table in the
+log has no event time and a finished task may still be polled (with times and limits: ``task_limits``). Each micro-batch's updated rows are appended to an update table in the
 shared folder (``foreachBatch``, idempotent per batch id). The current view is
 the latest update per task, decoded exactly as in batch (``status.client_view``).
 """
@@ -35,10 +35,12 @@ def run_latest_status_stream(spark: SparkSession, log_dir: str, out_dir: str | N
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    q = (latest.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    try:
+        q = (latest.writeStream.outputMode("update").foreachBatch(sink)
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    finally:  # a query keeps the settings it was started with
+        spark.conf.set(provider, before)
     q.awaitTermination()
-    spark.conf.set(provider, before)
     return out
 
 

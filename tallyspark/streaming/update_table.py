@@ -1,0 +1,67 @@
+"""A table of updates that a stream appends to and compacts.
+
+``batch=<id>`` folders hold the updates of a micro-batch; a retried batch overwrites its own. ``upto=<id>`` folders hold the last
+update per key of all batches up to that one. A compaction writes a new ``upto`` folder whole, and only then deletes what it
+replaces; a folder without its ``_SUCCESS`` file does not count, so a compaction that is lost changes nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class UpdateTable:
+    """``key`` columns, ``order`` columns (the largest wins) and others, under ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: tuple[str, ...], schema: str):
+        self.spark, self.path, self.key, self.order, self.schema = spark, path, key, order, schema
+
+    def _folders(self, kind: str) -> dict[int, str]:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = {}
+        for st in fs.listStatus(root) if fs.exists(root) else ():
+            name = st.getPath().getName()
+            if name.startswith(kind + "=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                found[int(name[len(kind) + 1:])] = f"{self.path}/{name}"
+        return found
+
+    def _current(self) -> tuple[int, list[str], list[str]]:
+        """(last compacted batch, folders that count, folders that are replaced)."""
+        merged, batches = self._folders("upto"), self._folders("batch")
+        last = max(merged, default=-1)
+        live = [merged[last]] if merged else []
+        return last, live + [p for b, p in sorted(batches.items()) if b > last], \
+            [p for b, p in merged.items() if b < last] + [p for b, p in batches.items() if b <= last]
+
+    def append(self, updates: DataFrame, batch_id: int) -> None:
+        if batch_id > self._current()[0]:  # a batch that was compacted before its checkpoint was written is repeated for nothing
+            updates.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def compact(self) -> None:
+        """Merge all batches so far into one folder of at most a row per key."""
+        batches = self._folders("batch")
+        last, live, _ = self._current()
+        upto = max(batches, default=-1)
+        if upto > last:
+            self._last(live).write.mode("overwrite").parquet(f"{self.path}/upto={upto}")
+        for p in self._current()[2]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _last(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        u = self.spark.read.schema(self.schema).parquet(*folders)
+        rest = F.struct(*[c for c in u.columns if c != self.key])
+        return (u.groupBy(self.key).agg(F.max_by(rest, F.struct(*self.order)).alias("r"))
+                .select(self.key, "r.*"))
+
+    def current(self) -> DataFrame:
+        """The last update per key."""
+        return self._last(self._current()[1])
+
+    def n_folders(self) -> int:
+        return len(self._folders("batch")) + len(self._folders("upto"))

@@ -1,6 +1,8 @@
 """Streaming forms equal their batch forms."""
 
 
+from pyspark.sql import functions as F
+
 from tallyspark.operators import judgements as J
 from tallyspark.operators import rating as R
 from tallyspark.operators import status as STS
@@ -8,6 +10,7 @@ from tallyspark.plans import fixtures as fx
 from tallyspark.session import scratch_path
 from tallyspark.streaming import ratings_stream as RS
 from tallyspark.streaming import status_stream as SS
+from tallyspark.streaming import task_limits as TL
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +36,77 @@ def test_incremental_ratings_equal_batch_fit(spark):
     assert inc.keys() == batch.keys()
     for k in inc:
         assert (inc[k] is None and batch[k] is None) or abs(inc[k] - batch[k]) < 1e-6
+
+
+COLUMNS = ["task_id", "status", "code", "error"]
+
+
+def entries(spark, rows):
+    return spark.createDataFrame(rows, "task_id long, seq long, raw string, minute int").select(
+        "task_id", "seq", "raw", F.expr("timestamp_seconds(1700000000 + minute * 60)").alias("at"))
+
+
+def view(df):
+    return sorted(tuple(r) for r in df.select(COLUMNS).collect())
+
+
+def test_tasks_that_never_end_leave_the_state(spark):
+    """Files one by one: ended, run out, still open, reopened, late and out of order; then a restart with more of the log."""
+    files = [[(1, 1, "processing: a", 0), (2, 2, "processing: b", 0), (3, 3, "processing: c", 0), (6, 1, None, 0), (7, 1, "odd", 0)],
+             [(1, 4, 'completed:{"0x1": "int f"}', 5), (4, 5, "processing: d", 14), (2, 6, "processing: again", 8)],
+             [(3, 7, "failed:late", 40), (5, 8, "processing: e", 39), (1, 2, "processing: older", 1)]]
+    d = scratch_path(spark, "t-limits")
+    for f in files:
+        entries(spark, f).coalesce(1).write.mode("append").parquet(d)
+    out, ckpt = TL.run_task_stream(spark, d, limit_seconds=600, delay="60 seconds", compact_every=2)
+    log = entries(spark, [r for f in files for r in f])
+    expected = [(1, "completed", "int f", None), (2, "error", None, "Exceeded time limit"), (3, "error", None, "late"),
+                (4, "error", None, "Exceeded time limit"), (5, "processing", None, None), (6, "error", None, "Task not found"),
+                (7, "error", None, "Exceeded time limit")]
+    assert view(TL.current_view(spark, out)) == expected == view(TL.latest_with_limit(log, 600, 60))
+    assert [r.task_id for r in TL.open_tasks(spark, ckpt).collect()] == [5]
+    more = [(4, 9, 'completed:{"0x2": "int g"}', 50), (8, 10, "processing: h", 55), (9, 11, "processing: i", 60)]
+    entries(spark, more).coalesce(1).write.mode("append").parquet(d)
+    assert TL.run_task_stream(spark, d, out, ckpt, limit_seconds=600, delay="60 seconds", compact_every=2) == (out, ckpt)
+    log = entries(spark, [r for f in files for r in f] + more)
+    now = view(TL.current_view(spark, out))
+    assert now == view(TL.latest_with_limit(log, 600, 60))
+    assert (4, "completed", "int g", None) in now and (5, "error", None, "Exceeded time limit") in now
+    assert sorted(r.task_id for r in TL.open_tasks(spark, ckpt).collect()) == [8, 9]
+
+
+def test_state_holds_open_tasks_only(spark):
+    rows = [(k, 2 * k, "processing: x", k // 10) for k in range(400)] + \
+           [(k, 2 * k + 1, "completed:{}", k // 10 + 1) for k in range(400) if k % 7]
+    d = scratch_path(spark, "t-open")
+    entries(spark, rows).repartitionByRange(4, "at").write.parquet(d)
+    out, ckpt = TL.run_task_stream(spark, d, limit_seconds=900, delay="0 seconds", compact_every=3)
+    log = entries(spark, rows)
+    assert view(TL.current_view(spark, out)) == view(TL.latest_with_limit(log, 900, 0))
+    open_now = {r.task_id for r in TL.open_tasks(spark, ckpt).collect()}
+    assert open_now == {r[0] for r in view(TL.current_view(spark, out)) if r[1] == "processing"} and 0 < len(open_now) < 40
+
+
+def test_update_table_survives_lost_compactions(spark):
+    path = scratch_path(spark, "t-table")
+    t = TL.update_table(spark, path)
+    assert t.current().count() == 0
+    t.compact()
+
+    def batch(rows):
+        return spark.createDataFrame(rows, TL.UPDATES)
+
+    t.append(batch([(1, 1, False, "a"), (2, 1, False, "b")]), 0)
+    t.append(batch([(1, 2, False, "c")]), 1)
+    batch([(9, 9, False, "lost")]).write.parquet(f"{path}/upto=1")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/upto=1/_SUCCESS")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)  # a compaction that did not end
+    rows = [(1, 2, False, "c"), (2, 1, False, "b")]
+    assert sorted(tuple(r) for r in t.current().collect()) == rows
+    t.compact()
+    assert t.n_folders() == 1 and sorted(tuple(r) for r in t.current().collect()) == rows
+    t.append(batch([(1, 99, False, "repeated")]), 1)  # a batch that was merged already
+    t.append(batch([(2, 1, True, "timeout")]), 2)
+    t.append(batch([(2, 1, True, "timeout")]), 2)
+    assert t.n_folders() == 2
+    assert sorted(tuple(r) for r in t.current().collect()) == [(1, 2, False, "c"), (2, 1, True, "timeout")]
