@@ -76,6 +76,8 @@ def _tokens(body: Column) -> Column:
     return F.transform(found, lambda t: F.struct(kind(t).alias("k"), t.alias("v")))
 
 
+_HOLDER = "the reply"
+_WHOLE = f"struct<`{_HOLDER}`: map<string, map<string, struct<winner: variant>>>, _odd: string>"
 _RECORD = "array<struct<q:int,c:string,o:boolean,a:string,e:boolean,w:string,t:string>>"
 
 
@@ -172,10 +174,40 @@ def _grouped(records: Column) -> Column:
         F.filter(all_, lambda r: r["a"].isNull()), lambda ms: _last_of_each(ms, "c", lambda m: category(all_, m)))))
 
 
+def _plain(body: Column) -> Column:
+    """A whole and plain reply by the JSON reader: objects of objects whose winners are texts, null or missing, no key twice. Null
+    for every other text, which is left to the scan (also one whose only fault is what follows the object)."""
+    # inside a struct the reader reports whatever it could not read; the line end closes a last comment
+    whole = F.from_json(F.concat(F.lit('{"' + _HOLDER + '":'), body, F.lit("\n}")), _WHOLE, {**JSON5_OPTIONS, "columnNameOfCorruptRecord": "_odd"})
+
+    def distinct(m):
+        return F.size(F.array_distinct(F.map_keys(m))) == F.size(m)
+
+    def text_or_null(w):
+        return F.coalesce(F.schema_of_variant(w).isin("STRING", "VOID"), F.lit(True))
+
+    def entry(e):
+        w = e["value"]["winner"]
+        return F.struct(e["key"].alias("aspect"), F.when(e["value"].isNull(), "end").when(w.isNull(), "skip").otherwise("ok").alias("state"),
+                        e["value"].isNotNull().alias("is_object"), F.try_variant_get(w, "$", "string").alias("winner"))
+
+    def category(c):
+        return F.struct(c["key"].alias("category"), c["value"].isNotNull().alias("is_object"),
+                        F.when(c["value"].isNotNull(), F.transform(F.map_entries(c["value"]), entry)).alias("entries"))
+
+    def read(r):
+        m = r[_HOLDER]
+        plain = r["_odd"].isNull() & distinct(m) & F.forall(F.map_values(m), lambda c: c.isNull() | (
+            distinct(c) & F.forall(F.map_values(c), lambda e: text_or_null(e["winner"]))))
+        return F.when(plain, F.transform(F.map_entries(m), category))
+
+    return let(whole, read)
+
+
 def parse_judgement(raw: Column, lenient: bool = True, open_fence: bool = False) -> Column:
     """Whole text as JSON, else the greedy ```json fence, else the greedy ``` fence.
 
-    Each of them is read once, token by token. JSON5 forms are taken (comments, either quotes, bare keys, signs, hexadecimal numbers,
+    Whole and plain replies are read by Spark's JSON reader; all others once, token by token. JSON5 forms are taken (comments, either quotes, bare keys, signs, hexadecimal numbers,
     trailing commas); what follows the first whole value is not read. ``lenient``: a comma may be missing, and a reply that is
     cut off counts as far as it goes - texts and brackets are closed, a pair without its value is dropped, as is one odd
     word at the end; odd text with more behind it makes the reply unreadable. ``open_fence``: also takes a fence that is not closed
@@ -186,16 +218,16 @@ def parse_judgement(raw: Column, lenient: bool = True, open_fence: bool = False)
     value never loses the rest of a reply. Null gives null.
     """
     def read(body):
-        return let(F.btrim(body, F.lit(JSON_EDGE_CHARS)), lambda b: F.when(b.rlike(BEGIN), _scan(b, lenient)))
-
-    def fence(t, pattern):
-        return read(F.regexp_extract(t, java_regex(pattern, dotall=True), 1))
+        return let(F.btrim(body, F.lit(JSON_EDGE_CHARS)), lambda b: F.when(
+            b.rlike(BEGIN), F.coalesce(_plain(b), _grouped(_scan(b, lenient)).cast(PARSED_TYPE))))
 
     def cascade(t):
-        found = [read(t), fence(t, FENCE_JSON), fence(t, FENCE_ANY)]
-        return F.coalesce(*found, *([fence(t, OPEN_FENCE)] if open_fence else []))
+        fences = [FENCE_JSON, FENCE_ANY] + [OPEN_FENCE] * open_fence
+        bodies = F.array(t, *[F.regexp_extract(t, java_regex(p, dotall=True), 1) for p in fences])
+        # one fold, so that the readers stand in the plan once; the first body that is readable is the last one read
+        return F.aggregate(bodies, F.lit(None).cast(PARSED_TYPE), lambda found, b: F.coalesce(found, read(b)).cast(PARSED_TYPE))
 
-    return _grouped(let(py_strip(raw), cascade)).cast(PARSED_TYPE)
+    return let(py_strip(raw), cascade)
 
 
 def normalise_winner(w: Column) -> Column:

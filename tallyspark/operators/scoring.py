@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,57 @@ def all_pass(runs: DataFrame, item_keys: Sequence[str] = ("suite", "item_id"),
             .agg(F.bool_and(F.coalesce(F.col(ok_col), F.lit(False))).alias("passed")))
 
 
+WORD_BITS = 64
+
+
+def _cell_number(keys: Sequence[str], values: Sequence[Sequence]) -> Column:
+    """Number of a row's cell in the product of the configured ``values`` of each key; null outside of it."""
+    number = F.lit(0)
+    for key, vs in zip(keys, values):
+        known = F.array_position(F.array(*[F.lit(v) for v in vs if v is not None]), F.col(key)) - 1
+        known = F.when(known >= 0, known)
+        if None in vs:
+            known = F.when(F.col(key).isNull(), F.lit(len(vs) - 1)).otherwise(known)
+        number = number * len(vs) + known
+    return number.cast("int")
+
+
+def _cell_masks(runs: DataFrame, item_keys: Sequence[str], cell_keys: Sequence[str], values: Sequence[Sequence],
+                ok_col: str) -> tuple[DataFrame, int]:
+    """Per item the cells that passed as bits (``_w0``, ... of 64 cells each): seen by some outcome, failed by none.
+
+    Two aggregates per 64 cells, combined on the map side, in place of one per cell.
+    """
+    n_cells = 1
+    for vs in values:
+        n_cells *= len(vs)
+    words = -(-n_cells // WORD_BITS)
+    r = runs.select(*item_keys, _cell_number(cell_keys, values).alias("_cell"), F.coalesce(F.col(ok_col), F.lit(False)).alias("_ok"))
+    aggs = []
+    for w in range(words):
+        bit = F.when(F.col("_cell").between(w * WORD_BITS, w * WORD_BITS + WORD_BITS - 1),
+                     F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_cell") - w * WORD_BITS)).otherwise(F.lit(0).cast("long"))
+        aggs += [F.bit_or(bit).alias(f"_seen{w}"), F.bit_or(F.when(~F.col("_ok"), bit).otherwise(F.lit(0).cast("long"))).alias(f"_failed{w}")]
+    per_item = r.groupBy(*item_keys).agg(*aggs)
+    return per_item.select(*item_keys, *[F.col(f"_seen{w}").bitwiseAND(F.bitwise_not(F.col(f"_failed{w}"))).alias(f"_w{w}")
+                                         for w in range(words)]), words
+
+
+def _bit(number: int) -> Column:
+    """Whether a cell's bit is set."""
+    return F.shiftrightunsigned(F.col(f"_w{number // WORD_BITS}"), number % WORD_BITS).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _numbers(cells: Sequence[Sequence], values: Sequence[Sequence]) -> list[int]:
+    out = []
+    for c in cells:
+        n = 0
+        for v, vs in zip(c, values):
+            n = n * len(vs) + vs.index(v)
+        out.append(n)
+    return out
+
+
 def cer_rate(runs: DataFrame, grid: DataFrame, items: DataFrame | None = None,
              item_keys: Sequence[str] = ("suite", "item_id"),
              cell_keys: Sequence[str] = ("system", "variant"), ok_col: str = "ok") -> DataFrame:
@@ -52,32 +103,36 @@ def cer_rate(runs: DataFrame, grid: DataFrame, items: DataFrame | None = None,
     ``items`` is the item table (untested items count as failures). When it is
     omitted the distinct items of ``runs`` are used. Rows with null item keys
     are ignored, as a pandas group-by drops them.
+
+    An item's cells are bits (see ``_cell_masks``); items are counted by the cells whose bit is set.
     """
     valid = runs
     for k in item_keys:
         valid = valid.filter(F.col(k).isNotNull())
     cells = [tuple(r) for r in grid.select(*cell_keys).distinct().collect()]  # the configured grid
-    # one pass: a conditional fold per cell for every item, then one row of sums
-    folds = [F.bool_and(F.when(_is_cell(cell_keys, c), F.coalesce(F.col(ok_col), F.lit(False)))).alias(f"_c{k}")
-             for k, c in enumerate(cells)]
-    totals = valid.groupBy(*item_keys).agg(*folds).agg(
-        F.count(F.lit(1)).alias("items"), *[F.count_if(F.col(f"_c{k}")).alias(f"_c{k}") for k in range(len(cells))])
-    n_items = F.col("items")
+    values = [_distinct_last_null(c[k] for c in cells) for k in range(len(cell_keys))]
+    numbers = _numbers(cells, values)
+    masks, words = _cell_masks(valid, item_keys, cell_keys, values, ok_col)
+    every = F.lit(-1)  # counts the items
+    passed = F.array_compact(F.array(every, *[F.when(_bit(n), F.lit(n)) for n in numbers]))
+    counts = masks.select(F.explode(passed).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.agg(F.map_from_entries(F.collect_list(F.struct("_n", "_c"))).alias("_m"))  # one entry per cell
+    n_items = F.coalesce(F.try_element_at("_m", every), F.lit(0))
     if items is not None:
         n_items = items.select(*item_keys).dropna().distinct().agg(F.count(F.lit(1))).scalar()
     types = {f.name: f.dataType for f in grid.schema}
     rows = F.array(*[F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(cell_keys, c)],
-                              F.col(f"_c{k}").cast("bigint").alias("passes")) for k, c in enumerate(cells)])
+                              F.coalesce(F.try_element_at("_m", F.lit(k)), F.lit(0)).cast("bigint").alias("passes"))
+                     for k, c in zip(numbers, cells)])
     out = totals.select(F.explode(rows).alias("_g"), n_items.cast("bigint").alias("items")).select(
         *[F.col(f"_g.{n}").alias(n) for n in cell_keys], F.col("_g.passes").alias("passes"), "items")
     return out.withColumn("rate", F.col("passes").cast("double") / F.col("items"))
 
 
-def _is_cell(keys: Sequence[str], values: Sequence):
-    cond = F.lit(True)
-    for k, v in zip(keys, values):
-        cond = cond & F.col(k).eqNullSafe(F.lit(v))
-    return cond
+def _distinct_last_null(values) -> list:
+    """Distinct values, null last."""
+    vs = list(dict.fromkeys(values))
+    return [v for v in vs if v is not None] + [None] * (None in vs)
 
 
 def distinct_suites(df: DataFrame, suite_col: str = "suite") -> DataFrame:
@@ -97,15 +152,17 @@ def complete_outcomes(runs: DataFrame, item_keys: Sequence[str], systems: Sequen
     """J12 over a configured grid in one aggregation: every item x system x variant cell,
     ``ok`` = all reported outcomes passed, ``false`` when the cell has none.
 
-    One conditional ``bool_and`` per configured cell (config-sized), grouped by
-    item: a single shuffle of partially aggregated rows instead of a join of
+    An item's cells are bits (see ``_cell_masks``), so a single shuffle of a few longs per item stands for the join of
     the expanded grid with the outcomes.
     """
+    cell_keys = ("system", "variant")
     cells = [(s, v) for s in systems for v in variants]
-    aggs = [F.bool_and(F.when((F.col("system") == s) & (F.col("variant") == v), F.coalesce(F.col(ok_col), F.lit(False)))).alias(f"_c{k}")
-            for k, (s, v) in enumerate(cells)]
-    per_item = runs.groupBy(*item_keys).agg(*aggs)
-    grid = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(v).alias("variant"),
-                              F.coalesce(F.col(f"_c{k}"), F.lit(False)).alias(ok_col))
-                     for k, (s, v) in enumerate(cells)])
-    return per_item.select(*item_keys, F.explode(grid).alias("_g")).select(*item_keys, "_g.*")
+    values = [list(systems), list(variants)]
+    masks, words = _cell_masks(runs, item_keys, cell_keys, values, ok_col)
+    # the exploded list is a constant; the bit is read from the row it comes to
+    grid = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(v).alias("variant"), F.lit(n).alias("n"))
+                     for n, (s, v) in zip(_numbers(cells, values), cells)])
+    word = F.col("_w0") if words == 1 else F.get(F.array(*[F.col(f"_w{w}") for w in range(words)]), F.floor(F.col("_g.n") / WORD_BITS).cast("int"))
+    ok = F.call_function("shiftrightunsigned", word, F.col("_g.n") % WORD_BITS).bitwiseAND(F.lit(1).cast("long")) == 1
+    return (masks.withColumn("_g", F.explode(grid))
+            .select(*item_keys, F.col("_g.system").alias("system"), F.col("_g.variant").alias("variant"), ok.alias(ok_col)))
