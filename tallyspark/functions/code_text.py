@@ -170,8 +170,8 @@ def model_family(model: Column | str) -> Column:
 
 
 def render_refine_prompt(model: Column | str, code: Column | str, completion_template: str,
-                         system_prompt: str, user_template: str = "Decompiled code:\n{code}") -> Column:
-    """struct(kind, system, prompt) for one request.
+                         system_prompt: str, user_template: str) -> Column:
+    """struct(kind, system, prompt) for one request; the caller's templates hold ``{code}``.
 
     ``mlm`` requests fail in the reference (the request is built under a key
     the caller never reads), so their kind is ``error`` and they store ERROR.

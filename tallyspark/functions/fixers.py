@@ -129,15 +129,44 @@ def fix_reko(code: Column, _fn: Column | None = None) -> Column:
 def fix_retdec(code: Column, _fn: Column | None = None) -> Column:
     """Labels used by ``goto`` but never defined get defined at their ``// 0xH`` comment.
 
-    The rewrite is a literal replace, so ``// 0x12`` also hits ``// 0x12f8``.
-    Labels are applied in ascending text order (the reference's order is arbitrary).
+    The rewrite is that of a literal replace per label, so ``// 0x12`` also hits ``// 0x12f8``.
+    Labels are applied in ascending text order (the reference's order is arbitrary): a comment gets the labels that are
+    its prefixes, shortest first. One scan of the text: it is split at the comments, and a comment's prefixes of the lengths that
+    labels have are looked up in the sorted labels.
     """
     needed = F.regexp_extract_all(code, F.lit(java_regex(RETDEC_GOTO)), 1)
     defined = F.regexp_extract_all(code, F.lit(java_regex(RETDEC_LABEL)), 1)
     comments = F.regexp_extract_all(code, F.lit(java_regex(RETDEC_COMMENT)), 1)
     todo = F.array_sort(F.array_intersect(F.array_except(needed, defined), comments))
-    return F.aggregate(todo, code, lambda acc, x: F.replace(
-        acc, F.concat(F.lit("// 0x"), x), F.concat(F.lit("lab_0x"), x, F.lit(":// 0x"), x)))
+    comment = "// 0x"
+
+    def repaired(labels: Column) -> Column:
+        lengths = F.array_sort(F.array_distinct(F.transform(labels, lambda x: F.length(x))))
+
+        def of_comment(ls: Column, part: Column) -> Column:
+            digits = F.regexp_extract(part, "^[0-9a-f]+", 0)
+            own = F.filter(ls, lambda n: (n <= F.length(digits)) & _contains_sorted(labels, F.left(digits, n)))
+            return F.concat(F.array_join(F.transform(own, lambda n: F.concat(F.lit("lab_0x"), F.left(digits, n), F.lit(":"))), ""),
+                            F.lit(comment), part)
+
+        return let(lengths, lambda ls: F.array_join(F.transform(
+            F.split(code, comment, -1), lambda part, i: F.when(i == 0, part).otherwise(of_comment(ls, part))), ""))
+
+    return let(todo, lambda labels: F.when(F.size(labels) == 0, code).otherwise(repaired(labels)))
+
+
+def _contains_sorted(values: Column, x: Column) -> Column:
+    """Whether a sorted array has ``x``, by halving."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi"))
+
+    def half(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get(values, mid) < x
+        return F.struct(F.when(s["lo"] >= s["hi"], s["lo"]).when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when((s["lo"] >= s["hi"]) | below, s["hi"]).otherwise(mid).alias("hi"))
+
+    return F.coalesce(F.aggregate(steps, start, half, lambda s: F.get(values, s["lo"]) == x), F.lit(False))
 
 
 def _fix_llm(code: Column, fn: Column, declaration: str) -> Column:

@@ -21,6 +21,7 @@ RANGE_ADDRESS = r"0x\w+"
 TIME_LIMIT = "Exceeded time limit"
 EMPTY_RESULT = "Empty decompile result"
 NO_DETAILS = "No details provided"
+ERROR_VALUE = "ERROR"
 RUNNER_FAILURES = ("Failed to find the function at the given address.", "Failed to decompile the function.")
 
 
@@ -118,6 +119,112 @@ def reason_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("system", "reason").agg(F.count(F.lit(1)).alias("runs"))
 
 
+# Stated error of the run-time quantiles: of the rank, as a share of the runs, at the default sketch size.
+SKETCH_K = 200
+RANK_ERROR = 0.0133
+RUN_TIMES = "system string, reason string, runs bigint, seconds double, least double, most double, sketch binary"
+
+
+def run_times(classified: DataFrame, seconds: str = "seconds", k: int = SKETCH_K) -> DataFrame:
+    """Run times per (system, reason): runs, their sum, least and most, and a mergeable quantile sketch. Runs without a
+    time are left out."""
+    return (classified.filter(F.col(seconds).isNotNull()).groupBy("system", "reason")
+            .agg(F.count(F.lit(1)).alias("runs"), F.sum(seconds).alias("seconds"), F.min(seconds).alias("least"), F.max(seconds).alias("most"),
+                 F.kll_sketch_agg_double(F.col(seconds), F.lit(k)).alias("sketch")))
+
+
+def merge_run_times(parts: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Run times of several batches as those of one."""
+    return parts.groupBy("system", "reason").agg(
+        F.sum("runs").alias("runs"), F.sum("seconds").alias("seconds"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.kll_merge_agg_double(F.col("sketch"), F.lit(k)).alias("sketch"))
+
+
+def run_time_quantiles(times: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """``system, reason, rank, value`` from the sketches."""
+    values = F.kll_sketch_get_quantile_double(F.col("sketch"), F.array(*[F.lit(r) for r in ranks]))
+    pairs = F.arrays_zip(F.array(*[F.lit(r) for r in ranks]).alias("rank"), values.alias("value"))
+    return times.select("system", "reason", F.explode(pairs).alias("q")).select("system", "reason", "q.rank", "q.value")
+
+
+def infer_in_flight(df: DataFrame, call: Callable, input_col: str = "prompt", output_col: str = "output", in_flight: int = 16,
+                    time_limit: float | None = None, error_value: str = ERROR_VALUE) -> DataFrame:
+    """Many calls in flight per partition, results in input order.
+
+    ``call`` takes one value and gives text; it is a coroutine function or a plain one. At most ``in_flight`` calls of a
+    partition run at a time, and at most eight times as many rows wait for an earlier one. A call that fails, takes longer than
+    ``time_limit`` seconds or gives nothing yields ``error_value`` and a message in ``error``; other rows are not affected. A coroutine that
+    runs out of time is cancelled; a plain call cannot be, and keeps its place until it returns. Spark repeats lost tasks, so calls must be
+    idempotent.
+    """
+    schema = df.schema.simpleString()[len("struct<"):-1]
+    out_schema = f"{schema},{output_col}:string,error:string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import asyncio
+        import inspect
+        import threading
+        from collections import deque
+        from concurrent.futures import ThreadPoolExecutor
+
+        loop = asyncio.new_event_loop()
+        threading.Thread(target=loop.run_forever, daemon=True).start()
+        pool, places = ThreadPoolExecutor(in_flight), threading.Semaphore(in_flight)
+        is_coroutine = inspect.iscoroutinefunction(call)
+
+        async def answer(value):
+            try:
+                if is_coroutine:
+                    text = await asyncio.wait_for(call(value), time_limit)
+                    places.release()
+                else:
+                    started = loop.run_in_executor(pool, call, value)
+                    started.add_done_callback(lambda _: places.release())
+                    text = await asyncio.wait_for(asyncio.shield(started), time_limit)
+                return (str(text), None) if text else (error_value, "no result")
+            except (TimeoutError, asyncio.TimeoutError):
+                failure = f"no result after {time_limit} s"
+            except Exception as e:  # noqa: BLE001
+                failure = f"{type(e).__name__}: {e}"
+            if is_coroutine:
+                places.release()
+            return error_value, failure
+
+        waiting: deque = deque()  # (batch, future) in input order
+        held: dict[int, list] = {}
+
+        def finished(n, pdf):
+            answers = held.pop(n)
+            out = pdf.copy()
+            out[output_col], out["error"] = [a for a, _ in answers], [e for _, e in answers]
+            return out
+
+        frames: dict[int, pd.DataFrame] = {}
+        try:
+            for n, pdf in enumerate(batches):
+                frames[n], held[n] = pdf, []
+                if not len(pdf):
+                    yield finished(n, frames.pop(n))
+                for value in pdf[input_col]:
+                    while waiting and (waiting[0][1].done() or len(waiting) >= 8 * in_flight):
+                        k, future = waiting.popleft()
+                        held[k].append(future.result())
+                        if len(held[k]) == len(frames[k]):
+                            yield finished(k, frames.pop(k))
+                    places.acquire()
+                    waiting.append((n, asyncio.run_coroutine_threadsafe(answer(value), loop)))
+            while waiting:
+                k, future = waiting.popleft()
+                held[k].append(future.result())
+                if len(held[k]) == len(frames[k]):
+                    yield finished(k, frames.pop(k))
+        finally:
+            loop.call_soon_threadsafe(loop.stop)
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return df.mapInPandas(run, out_schema)
+
+
 def infer(df: DataFrame, fn: Callable[[pd.Series], pd.Series], input_col: str = "prompt",
           output_col: str = "output", batch_rows: int = 64) -> DataFrame:
     """Call a caller-supplied batch function on ``input_col`` with ``mapInPandas``.

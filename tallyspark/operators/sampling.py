@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.uniform import hash_uniform
@@ -18,39 +18,69 @@ from ..functions.uniform import hash_uniform
 GAP_EPS = 1e-6
 
 
-def matchups(items: DataFrame, systems: Sequence[str], ratings: Sequence[float], key: str = "item_id",
-             seed: str = "arena") -> DataFrame:
+# Bytes up to which the seats' tables are broadcast: M * M entries of a position and a running sum.
+BROADCAST_BYTES = 64 << 20
+ENTRY_BYTES = 16
+
+
+def seat_tables(ratings: DataFrame) -> DataFrame:
+    """Per seat A, what its opponents are drawn by: ``a``, ``table`` (array of ``j, cum``).
+
+    ``ratings``: ``idx`` (0 to M - 1), ``rating``. The weight of opponent j is ``1 / (1 + d / dmin)``, ``d = |r_a - r_b|``, ``dmin = min(d) +
+    1e-6``; ``cum`` is the running sum of the weights by ``idx``. Made once for all items.
+    """
+    one = ratings.agg(F.array_sort(F.collect_list(F.struct("idx", "rating"))).alias("all"))  # M entries, a run-config size
+    pairs = (one.select(F.explode("all").alias("x"), "all").repartition(F.col("x.idx"))
+             .select("x", F.explode("all").alias("y")).filter(F.col("x.idx") != F.col("y.idx"))
+             .select(F.col("x.idx").alias("a"), F.col("y.idx").alias("j"), F.abs(F.col("x.rating") - F.col("y.rating")).alias("gap")))
+    seat = Window.partitionBy("a")
+    weighted = pairs.withColumn("w", F.lit(1.0) / (F.lit(1.0) + F.col("gap") / (F.min("gap").over(seat) + F.lit(GAP_EPS))))
+    summed = weighted.withColumn("cum", F.sum("w").over(seat.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)))
+    return summed.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("j", "cum"))).alias("table"))
+
+
+def draw_matchups(items: DataFrame, ratings: DataFrame, key: str = "item_id", seed: str = "arena") -> DataFrame:
     """Q1: draw (model_a, model_b) per item with ratings frozen for the chunk.
 
-    A is uniform; B is drawn among the others with weight ``1 / (1 + d / dmin)``,
-    ``d = |r_a - r_b|``, ``dmin = min(d) + 1e-6``; then seats swap with
-    probability 1/2. The ratings are a run-config-sized literal array
-    (M values), so nothing here shuffles.
+    ``ratings``: ``idx`` (0 to M - 1), ``system``, ``rating``, one row per system. A is uniform; B is drawn among the others with the weights of
+    :func:`seat_tables`; then seats swap with probability 1/2. An item meets the table of its seat A by a join (broadcast
+    while the tables are within ``BROADCAST_BYTES``; else dealt by the seat, of which all are equally likely) and does one
+    lookup by halving.
     """
-    m = len(systems)
-    names = F.array(*[F.lit(s) for s in systems])
-    rat = F.array(*[F.lit(float(r)) for r in ratings])
+    m = ratings.count()
+    if m < 2:
+        raise ValueError("two systems are needed")
+    tables = seat_tables(ratings)
+    names = ratings.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "system"))), lambda x: x["system"]).alias("n")).scalar()
+    if m * m * ENTRY_BYTES <= BROADCAST_BYTES:
+        tables = F.broadcast(tables)
     k = F.col(key)
-    # each step is its own column so that no sub-expression is evaluated twice
-    d = (items.withColumn("_u1", hash_uniform(f"{seed}:a", k))
-         .withColumn("_u2", hash_uniform(f"{seed}:b", k))
+    d = (items.withColumn("_a", F.floor(hash_uniform(f"{seed}:a", k) * m).cast("int")).withColumn("_u2", hash_uniform(f"{seed}:b", k))
          .withColumn("_u3", hash_uniform(f"{seed}:s", k)))
-    d = d.withColumn("_a", F.floor(F.col("_u1") * m).cast("int"))
-    d = d.withColumn("_others", F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: j != F.col("_a")))
-    d = d.withColumn("_gaps", F.transform("_others", lambda j: F.abs(F.get(rat, F.col("_a")) - F.get(rat, j))))
-    d = d.withColumn("_dmin", F.array_min("_gaps") + F.lit(GAP_EPS))
-    d = d.withColumn("_w", F.transform("_gaps", lambda g: F.lit(1.0) / (F.lit(1.0) + g / F.col("_dmin"))))
-    # running sums left to right (same order as a cumulative sum)
-    d = d.withColumn("_cum", F.aggregate(
-        "_w", F.array().cast("array<double>"),
-        lambda acc, y: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + y))))
-    d = d.withColumn("_pos", F.least(F.size(F.filter("_cum", lambda c: c <= F.col("_u2") * F.element_at("_cum", -1))),
-                                     F.lit(m - 2)))
-    d = d.withColumn("_b", F.get(F.col("_others"), F.col("_pos")))
+    d = d.join(tables.withColumnsRenamed({"a": "_a", "table": "_table"}), "_a")
+    # the first opponent whose running sum exceeds the draw
+    start = F.struct(F.lit(0).alias("lo"), F.lit(m - 2).alias("hi"))
+
+    def half(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.get("_table", mid)["cum"] <= F.col("_draw")
+        return F.struct(F.when(s["lo"] >= s["hi"], s["lo"]).when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when((s["lo"] >= s["hi"]) | below, s["hi"]).otherwise(mid).alias("hi"))
+
+    d = d.withColumn("_draw", F.col("_u2") * F.element_at("_table", -1)["cum"])
+    at = F.aggregate(F.sequence(F.lit(0), F.lit(m.bit_length())), start, half, lambda s: s["lo"])
+    d = d.withColumn("_b", F.get("_table", at)["j"]).withColumn("_names", names)
     swap = F.col("_u3") < 0.5
-    d = (d.withColumn("model_a", F.get(names, F.when(swap, F.col("_b")).otherwise(F.col("_a"))))
-         .withColumn("model_b", F.get(names, F.when(swap, F.col("_a")).otherwise(F.col("_b")))))
-    return d.drop("_u1", "_u2", "_u3", "_a", "_others", "_gaps", "_dmin", "_w", "_cum", "_pos", "_b")
+    return (d.withColumn("model_a", F.get("_names", F.when(swap, F.col("_b")).otherwise(F.col("_a"))))
+            .withColumn("model_b", F.get("_names", F.when(swap, F.col("_a")).otherwise(F.col("_b"))))
+            .select(*items.columns, "model_a", "model_b"))
+
+
+def matchups(items: DataFrame, systems: Sequence[str], ratings: Sequence[float], key: str = "item_id",
+             seed: str = "arena") -> DataFrame:
+    """Q1 with the ratings given as lists; see :func:`draw_matchups`."""
+    rows = [(k, s, float(r)) for k, (s, r) in enumerate(zip(systems, ratings, strict=True))]
+    return draw_matchups(items, items.sparkSession.createDataFrame(rows, "idx int, system string, rating double"), key, seed)
 
 
 def eligible_pair(out_a: Column, out_b: Column) -> Column:

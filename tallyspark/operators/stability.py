@@ -12,10 +12,11 @@ Rules kept from the reference:
     a longer target fails; a null target fails.
 
 Cost: the baseline checks are plain column expressions over the (few) trial
-columns. A target that is a prefix of its baseline passes by ``startswith``
-with no arrays; only a target that differs from an unstable baseline builds
-per-character arrays (``split(t, '')`` is code-point safe), and only the
-positions where it differs are tested. Whole texts are processed; each row is
+columns. Positions that are not stable are found once per baseline and kept as ranges, so
+neither the join nor a target ever sees the trials. Texts are compared in blocks of
+``BLOCK`` characters; only blocks that differ are split into characters (``split(t, '')`` is code-point safe). A target
+that is a prefix of its baseline passes by ``startswith``; only one that differs from an
+unstable baseline is compared block by block, and a place where it differs is looked up in the ranges. Whole texts are processed; each row is
 independent, so the work partitions with the data.
 """
 
@@ -31,13 +32,12 @@ from ..functions.text import let
 
 
 def baseline_profile(df: DataFrame, keys: Sequence[str], trial_cols: Sequence[str]) -> DataFrame:
-    """One row per valid baseline: ``keys, base, base_len, all_equal, rest``.
+    """One row per valid baseline: ``keys, base, base_len, all_equal, unstable``.
 
     The trial columns are few (3 runs), so the checks are unrolled over them
-    as plain column expressions (codegen, no arrays). ``rest`` holds the
-    trials from the first non-empty one on, only when they differ (null when
-    ``all_equal``): per-position work is deferred to the few targets that need
-    it. Invalid baselines (error in a trial, length change) are dropped.
+    as plain column expressions (codegen, no arrays). ``unstable`` holds the ranges of positions
+    (from 0, ``end`` exclusive, in order) on which the trials from the first non-empty one on
+    disagree; null when ``all_equal``. Invalid baselines (error in a trial, length change) are dropped.
     """
     ts = [F.col(c) for c in trial_cols]
     lens = [F.length(t) for t in ts]
@@ -57,39 +57,70 @@ def baseline_profile(df: DataFrame, keys: Sequence[str], trial_cols: Sequence[st
     equal = reduce(lambda a, b: a & b, [~c | (x == F.col("base")) for c, x in zip(considered, tc)])
     t = t.withColumn("all_equal", equal)
     rest = F.filter(F.array(*tc), lambda x, i: i + 1 >= F.greatest(F.col("_first"), F.lit(1)))
-    return t.select(*keys, "base", "base_len", "all_equal", F.when(~F.col("all_equal"), rest).alias("rest"))
+    ranges = let(_unstable_positions(F.col("base"), rest), _ranges)
+    return t.select(*keys, "base", "base_len", "all_equal", F.when(~F.col("all_equal"), ranges).alias("unstable"))
 
 
-def stable_count(base: Column, base_len: Column, all_equal: Column, rest: Column) -> Column:
+BLOCK = 1024  # characters compared at once
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _unstable_positions(base: Column, trials: Column) -> Column:
+    """Positions at which some trial (all as long as ``base``) differs from ``base``, in order."""
+    def inside(block, j, ts):
+        chars = F.transform(F.filter(F.transform(ts, lambda t: F.get(t, j)), lambda t: t != block), lambda t: F.split(t, ""))
+        return let(chars, lambda cs: F.filter(
+            F.transform(F.split(block, ""), lambda c, i: F.when(F.exists(cs, lambda a: F.get(a, i) != c), j * BLOCK + i)),
+            lambda p: p.isNotNull()))
+
+    return let(F.transform(trials, _blocks), lambda ts: F.flatten(F.transform(_blocks(base), lambda block, j: F.when(
+        F.forall(ts, lambda t: F.get(t, j) == block), F.array().cast("array<int>")).otherwise(inside(block, j, ts)))))
+
+
+def _ranges(positions: Column) -> Column:
+    """Ordered positions as ranges: a position without the one before it begins one, one without the next ends it."""
+    def kept(flag, value):
+        return F.filter(F.transform(positions, lambda p, i: F.when(flag(p, i), value(p))), lambda p: p.isNotNull())
+
+    starts = kept(lambda p, i: (i == 0) | (F.get(positions, i - 1) != p - 1), lambda p: p)
+    ends = kept(lambda p, i: F.coalesce(F.get(positions, i + 1) != p + 1, F.lit(True)), lambda p: p + 1)
+    return F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("start"), z.alias("end")))
+
+
+def stable_count(base_len: Column, all_equal: Column, unstable: Column) -> Column:
     """Number of stable positions (all trials agree) of a baseline profile."""
-    counted = let(F.split(base, ""), lambda b: let(F.transform(rest, lambda x: F.split(x, "")), lambda cs: F.size(
-        F.filter(b, lambda c, i: F.forall(cs, lambda a: F.get(a, i) == c)))))
-    return F.when(all_equal | (base_len == 0), base_len).otherwise(counted)
+    lost = F.aggregate(unstable, F.lit(0), lambda n, r: n + r["end"] - r["start"])
+    return F.when(all_equal | (base_len == 0), base_len).otherwise(base_len - lost)
 
 
 def target_passes(target: Column, base: Column, base_len: Column, all_equal: Column,
-                  rest: Column) -> Column:
+                  unstable: Column) -> Column:
     """G6 predicate for one target against a baseline profile.
 
     Cheap tests first: null, too long, empty, and ``startswith`` (a target that
     is a prefix of the baseline differs nowhere). Only a target that differs
-    from an unstable baseline looks at characters, and only at the positions
-    where it differs.
+    from an unstable baseline is compared block by block, and only blocks that
+    differ are looked at by character: a place where they differ must lie in an unstable range.
     """
     tlen = F.length(target)
 
-    def slow(b: Column) -> Column:
-        diffs = F.filter(F.transform(F.split(target, ""), lambda c, i: F.when(c != F.get(b, i), i)),
-                         lambda i: i.isNotNull())
-        return let(F.transform(rest, lambda x: F.split(x, "")), lambda cs: ~F.exists(
-            diffs, lambda i: F.forall(cs, lambda a: F.get(a, i) == F.get(b, i))))
+    def fails(block, against, j):
+        own = F.filter(unstable, lambda r: (r["start"] < (j + 1) * BLOCK) & (r["end"] > j * BLOCK))
+        return let(own, lambda rs: let(F.split(against, ""), lambda b: F.exists(
+            F.transform(F.split(block, ""), lambda c, i: (c != F.get(b, i)) & ~F.exists(
+                rs, lambda r: (r["start"] <= j * BLOCK + i) & (r["end"] > j * BLOCK + i))), lambda x: x)))
 
+    slow = let(_blocks(base), lambda bs: ~F.exists(
+        F.transform(_blocks(target), lambda x, j: F.when(x == F.get(bs, j), False).otherwise(fails(x, F.get(bs, j), j))), lambda x: x))
     return (F.when(target.isNull(), F.lit(False))
             .when(tlen > base_len, F.lit(False))
             .when(tlen == 0, F.lit(True))
             .when(F.startswith(base, target), F.lit(True))
             .when(all_equal, F.lit(False))
-            .otherwise(let(F.split(base, ""), slow)))
+            .otherwise(slow))
 
 
 def diff_targets(profile: DataFrame, targets: DataFrame, keys: Sequence[str],
@@ -102,4 +133,4 @@ def diff_targets(profile: DataFrame, targets: DataFrame, keys: Sequence[str],
     """
     j = targets.join(profile, list(keys), "inner")
     return j.withColumn("passed", target_passes(F.col(target_col), F.col("base"), F.col("base_len"),
-                                                F.col("all_equal"), F.col("rest")))
+                                                F.col("all_equal"), F.col("unstable")))

@@ -125,7 +125,7 @@ CANDIDATE_CODE_SQL = """cand as (
 
 # ---------------------------------------------------------------- F5 coverage texts
 # Whole documents as coverage texts: three baseline trials (the third one
-# unstable at position 11 for every 5th item, one character too long for every
+# unstable at position 11 for every 5th item, at many places more for every 10th, one character too long for every
 # 11th) and a target that is changed at a stable or later position, one
 # character short, one character long, empty, or equal.
 
@@ -140,7 +140,8 @@ def coverage_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return d.select(
         i.alias("item_id"), t.alias("t1"), t.alias("t2"),
-        F.when(i % 5 == 0, put(11, "#")).when(i % 11 == 0, F.concat(t, F.lit("x"))).otherwise(t).alias("t3"),
+        F.when(i % 10 == 0, F.replace(put(11, "#"), F.lit("an"), F.lit("##")))
+         .when(i % 5 == 0, put(11, "#")).when(i % 11 == 0, F.concat(t, F.lit("x"))).otherwise(t).alias("t3"),
         F.when(i % 7 == 0, put(11, "@"))
          .when(i % 7 == 1, F.substring(t, 1, n - 1))
          .when(i % 7 == 2, F.concat(t, F.lit("z")))
@@ -150,7 +151,8 @@ def coverage_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COVERAGE_TEXTS_SQL = """cov as (
   select doc_id item_id, text t1, text t2,
-         case when doc_id % 5 = 0 then concat(substring(text, 1, 10), '#', substring(text, 12))
+         case when doc_id % 10 = 0 then replace(concat(substring(text, 1, 10), '#', substring(text, 12)), 'an', '##')
+              when doc_id % 5 = 0 then concat(substring(text, 1, 10), '#', substring(text, 12))
               when doc_id % 11 = 0 then concat(text, 'x') else text end t3,
          case when doc_id % 7 = 0 then concat(substring(text, 1, 10), '@', substring(text, 12))
               when doc_id % 7 = 1 then substring(text, 1, length(text) - 1)

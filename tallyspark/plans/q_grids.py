@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import done_sets as DS
 from ..operators import grids as G
+from ..session import scratch_path
 from ..sources.tables import read_table
 from . import fixtures as fx
 from .registry import register
 
 VARIANTS = fx.VARIANTS
+# fixed values: the configured systems
 SYSTEMS = ["angr", "binja", "dewolf", "ghidra", "hexrays", "mlm", "retdec", "llm4decompile",
            "qwen", "deepseek", "gpt-4o-mini", "gpt-4o", "claude", "func"]
 
@@ -191,6 +194,46 @@ def j8_pending_retry_errors(spark, sf_dir):
     return G.pending(_grid(spark, sf_dir), stored, retry_errors=True).select("task_id")
 
 
+def _done_batches(spark, sf_dir, key, results, ok=None):
+    """A done set filled by four result batches, one of them twice, and compacted in between."""
+    path = scratch_path(spark, "done-set")
+    part = F.pmod(F.xxhash64(key), F.lit(4))
+    for batch in (0, 1, 1, 2, 3):
+        DS.add_results(spark, path, results.filter(part == batch), batch, key, ok)
+        if batch == 2:
+            DS.done_set(spark, path).compact()
+    return DS.done_set(spark, path).current()
+
+
+@register("j8_pending_from_bitmaps", sql=f"""
+with {_GRID_SQL}, {_DONE_SQL},
+stored as (select task_id, coalesce(nullif(code, ''), 'ERROR') code from done)
+select task_id, task_id not in (select task_id from done) first_run from grid
+where task_id not in (select task_id from stored where code <> 'ERROR')
+""")
+def j8_pending_from_bitmaps(spark, sf_dir):
+    """Resume from bitmaps of done ids, appended with each result batch: tasks without an ok result, and whether they ever ran."""
+    stored = _done(spark, sf_dir).withColumn("code", G.error_or_code("code"))
+    done = _done_batches(spark, sf_dir, "task_id", stored, F.col("code") != "ERROR")
+    grid = _grid(spark, sf_dir).select("task_id")
+    again = DS.pending(grid, done, retry_errors=True)
+    ran = DS.pending(again, done).withColumn("first_run", F.lit(True))
+    return again.join(ran, "task_id", "left").select("task_id", F.coalesce("first_run", F.lit(False)).alias("first_run"))
+
+
+@register("j9_pending_chunks_from_bitmaps", sql=f"""
+with {_GRID_SQL},
+chunks as (select distinct task_id // 100 chunk_id from grid),
+res as (select user_id * 3 chunk_id from events)
+select chunk_id from chunks where chunk_id not in (select chunk_id from res)
+""")
+def j9_pending_chunks_from_bitmaps(spark, sf_dir):
+    """Chunks to run, from bitmaps of the chunks that have stored rows."""
+    chunks = _grid(spark, sf_dir).select(F.floor(F.col("task_id") / 100).cast("bigint").alias("chunk_id")).distinct()
+    res = read_table(spark, sf_dir, "events").select((F.col("user_id") * 3).alias("chunk_id"))
+    return DS.pending(chunks, _done_batches(spark, sf_dir, "chunk_id", res), "chunk_id")
+
+
 @register("a9_stored_results", sql=f"""
 with {_DONE_SQL}
 select task_id, coalesce(nullif(code, ''), 'ERROR') code from done

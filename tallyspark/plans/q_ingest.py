@@ -9,6 +9,7 @@ from ..operators import listings as L
 from ..operators import status as STS
 from ..session import scratch_path
 from ..sources import ingest as I
+from ..sources.merged_table import MergedTable
 from ..sources.named_files import write_named_files
 from ..sources.tables import read_table
 from . import fixtures as fx, q_arena
@@ -470,13 +471,13 @@ select doc_id,
             when contains(lower(model), 'llm4decompile')
             then concat('# Pseudo code:', chr(10), trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)),
                         chr(10), '# Source:', chr(10))
-            else concat('Decompiled code:', chr(10), text) end prompt
+            else concat('Please tidy this listing.', chr(10), text) end prompt
 from d""")
 def b15_refine_prompts(spark, sf_dir):
     """Requests per model family over whole documents: completion, chat, or the failing mlm branch."""
     d = read_table(spark, sf_dir, "documents")
     model = F.element_at(F.array(*[F.lit(m) for m in _MODELS]), (F.col("doc_id") % 3 + 1).cast("int"))
-    p = CT.render_refine_prompt(model, F.col("text"), COMPLETION_TEMPLATE, SYSTEM_PROMPT)
+    p = CT.render_refine_prompt(model, F.col("text"), COMPLETION_TEMPLATE, SYSTEM_PROMPT, "Please tidy this listing.\n{code}")
     return d.select("doc_id", p.alias("p")).select("doc_id", "p.kind", "p.system", "p.prompt")
 
 
@@ -777,17 +778,56 @@ c as (select system, case when timed_out then 'time_limit'
 select system, reason, count(*) runs from c group by all""")
 def p4_outcome_reasons(spark, sf_dir):
     """Runs per (system, outcome reason): time limit, empty result, error, runner failure, ok."""
-    ev = read_table(spark, sf_dir, "events")
+    return L.reason_counts(L.classify_runs(_runs(spark, sf_dir)))
+
+
+def _runs(spark, sf_dir, *more):
     et = F.col("event_type")
-    runs = ev.select(
+    return read_table(spark, sf_dir, "events").select(
         F.element_at(F.array(*[F.lit(s) for s in ["angr", "ghidra", "hexrays", "reko", "retdec"]]),
                      (F.col("user_id") % 5 + 1).cast("int")).alias("system"),
         (et == "error").alias("timed_out"),
         F.when(et.isin("click", "view"), F.lit(0)).otherwise(F.lit(1)).alias("returncode"),
         F.when(et == "view", F.lit("")).when(et == "click", F.col("props"))
         .when(et == "purchase", F.lit("Failed to decompile the function.")).otherwise(F.lit("")).alias("stdout"),
-        F.lit("").alias("stderr"))
-    return L.reason_counts(L.classify_runs(runs))
+        F.lit("").alias("stderr"), *more)
+
+
+@register("p4_run_times", sql="""
+with r as (select ['angr', 'ghidra', 'hexrays', 'reko', 'retdec'][user_id % 5 + 1] system, event_type = 'error' timed_out,
+                  case when event_type in ('click', 'view') then 0 else 1 end returncode,
+                  case when event_type = 'view' then '' when event_type = 'click' then props
+                       when event_type = 'purchase' then 'Failed to decompile the function.' else '' end stdout, value as seconds
+           from events),
+c as (select system, seconds, case when timed_out then 'time_limit'
+                          when returncode = 0 and coalesce(length(stdout), 0) = 0 then 'empty_result'
+                          when returncode <> 0 then 'error'
+                          when stdout in ('Failed to find the function at the given address.', 'Failed to decompile the function.')
+                          then 'runner_failure' else 'ok' end reason from r)
+select system, reason, count(*) runs, round(sum(seconds), 6) as seconds, min(seconds) as least, max(seconds) as most, q.rank::DOUBLE as rank, true as near
+from c, (values (0.5), (0.9), (0.99)) q(rank) where seconds is not null group by system, reason, q.rank""")
+def p4_run_times(spark, sf_dir):
+    """Run times per system and reason, sketched per batch, stored and merged; every quantile's rank is within the stated error."""
+    runs = _runs(spark, sf_dir, "value")
+    classified = L.classify_runs(runs).withColumnRenamed("value", "seconds")
+    path = scratch_path(spark, "run-times")
+    table = MergedTable(spark, path, L.RUN_TIMES, L.merge_run_times)
+    for batch in range(3):
+        table.append(L.run_times(classified.filter(F.pmod(F.xxhash64("seconds"), F.lit(3)) == batch)), batch)
+        if batch == 1:
+            table.compact()
+    times = table.current().checkpoint()
+    q = L.run_time_quantiles(times)
+    # the rank of a value that stands several times is a range
+    # as many rows as systems, reasons and ranks, whatever the runs
+    seen = classified.filter("seconds is not null").select("system", "reason", "seconds").join(F.broadcast(q), ["system", "reason"])
+    ranks = seen.groupBy("system", "reason", "rank", "value").agg(
+        F.avg((F.col("seconds") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("seconds") <= F.col("value")).cast("int")).alias("upto"),
+        F.count(F.lit(1)).alias("n"))
+    slack = 2 * L.RANK_ERROR + 1 / F.col("n")
+    near = ranks.select("system", "reason", "rank", ((F.col("below") <= F.col("rank") + slack) & (F.col("upto") >= F.col("rank") - slack)).alias("near"))
+    return (times.select("system", "reason", "runs", F.round("seconds", 6).alias("seconds"), "least", "most")
+            .join(near, ["system", "reason"]))
 
 
 # ---------------------------------------------------------------- A6 / A10-A12 sinks, U2 inference
@@ -855,6 +895,24 @@ def a12_battle_chunks_pending(spark, sf_dir):
     return G.pending_chunks(b.select("chunk_id").distinct(), SK.stored_chunks(spark, path))
 
 
+async def _slow_length(text):
+    """A call over a network, as far as its waiting goes; texts of some lengths fail or come back empty."""
+    import asyncio
+    await asyncio.sleep(0.0005)
+    if len(text) % 10 == 3:
+        raise ValueError("refused")
+    return "" if len(text) % 10 == 4 else str(len(text))
+
+
+@register("u2_calls_in_flight", sql="""
+select doc_id, case when length(text) % 10 in (3, 4) then 'ERROR' else cast(length(text) as varchar) end output,
+       case length(text) % 10 when 3 then 'ValueError: refused' when 4 then 'no result' end error from documents""")
+def u2_calls_in_flight(spark, sf_dir):
+    """Up to 32 calls in flight per task; failures and empty answers become ERROR, row by row."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return L.infer_in_flight(d, _slow_length, "text", in_flight=32, time_limit=60).select("doc_id", "output", "error")
+
+
 def _text_length(s):
     return s.str.len().astype(str)
 

@@ -23,14 +23,14 @@ rl as (select list(rating order by idx) rat from rt)"""
 
 
 def _ratings(spark, sf_dir):
-    """Per-system ratings from win shares (M rows: collected to build the literal array)."""
+    """Per-system ratings from win shares, one row per configured system."""
     b = fx.battles(spark, sf_dir)
     pa = F.when(F.col("winner") == "model_a", 1.0).when(F.col("winner") == "model_b", 0.0).otherwise(0.5)
     pts = b.select(F.col("model_a").alias("system"), pa.alias("p")).unionByName(
         b.select(F.col("model_b").alias("system"), (F.lit(1.0) - pa).alias("p")))
-    rows = pts.groupBy("system").agg((F.lit(1000.0) + F.lit(400.0) * F.avg("p")).alias("r")).collect()
-    d = {r["system"]: r["r"] for r in rows}
-    return [d.get(s, 1000.0) for s in SYSTEMS12]
+    rated = pts.groupBy("system").agg((F.lit(1000.0) + F.lit(400.0) * F.avg("p")).alias("r"))
+    systems = spark.createDataFrame(list(enumerate(SYSTEMS12)), "idx int, system string")
+    return systems.join(rated, "system", "left").select("idx", "system", F.coalesce("r", F.lit(1000.0)).alias("rating"))
 
 
 def _out_sql(idx):
@@ -56,8 +56,7 @@ from s
 """)
 def q1_matchups(spark, sf_dir):
     """Per item: A uniform, B weighted towards close ratings, seats swapped half the time; B3 eligibility."""
-    rat = _ratings(spark, sf_dir)
-    m = S.matchups(fx.items(spark, sf_dir), SYSTEMS12, rat)
+    m = S.draw_matchups(fx.items(spark, sf_dir), _ratings(spark, sf_dir))
     ia = F.substring("model_a", 2, 3).cast("int")
     ib = F.substring("model_b", 2, 3).cast("int")
 

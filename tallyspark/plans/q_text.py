@@ -213,10 +213,20 @@ select item_id, cast(base_len as int) base_len, all_equal,
 def g5_baseline_stability(spark, sf_dir):
     """Valid baselines with their length, equality of trials and number of stable positions."""
     prof = ST.baseline_profile(fx.coverage_texts(spark, sf_dir), ["item_id"], ["t1", "t2", "t3"])
-    n_stable = ST.stable_count(F.col("base"), F.col("base_len"), F.col("all_equal"), F.col("rest"))
+    n_stable = ST.stable_count(F.col("base_len"), F.col("all_equal"), F.col("unstable"))
     return prof.select("item_id", "base_len", "all_equal", n_stable.cast("int").alias("n_stable"))
 
 
+@register("g5_unstable_ranges", sql=_BASELINE_SQL + f""",
+u as (select item_id, unnest(list_filter(range(1, base_len + 1), lambda i: not ({_STABLE}))) i from p where not all_equal),
+g as (select item_id, i, i - row_number() over (partition by item_id order by i) grp from u)
+select item_id, cast(min(i) - 1 as int) "start", cast(max(i) as int) "end" from g group by item_id, grp""")
+def g5_unstable_ranges(spark, sf_dir):
+    """The ranges of positions on which the trials of a baseline disagree."""
+    prof = ST.baseline_profile(fx.coverage_texts(spark, sf_dir), ["item_id"], ["t1", "t2", "t3"])
+    return prof.select("item_id", F.explode("unstable").alias("r")).select("item_id", "r.*")
+
+
 @register("g6_target_diff", sql=_BASELINE_SQL + f"""
 select item_id,
        case when target is null then false

@@ -3,7 +3,7 @@
 The status log (``task_id, seq, raw, at``) arrives as files. ``transformWithState`` keeps one row per *open* task: its last entry's
 place and the time it runs out. An entry that ends the task (completed, error, failed) clears the row and its timer; a timer
 that the watermark passes turns the task into an error with the text of an exceeded limit. The state therefore holds open
-tasks only, however long the log. Every change is appended to an :class:`~tallyspark.streaming.update_table.UpdateTable`, which is compacted
+tasks only, however long the log. Every change is appended to an :class:`~tallyspark.sources.merged_table.MergedTable`, which is compacted
 every few batches.
 
 Entries may come in any order and however late: the largest ``seq`` of a task counts. The watermark only decides when a timer
@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.listings import TIME_LIMIT
 from ..operators.status import P_COMPLETED, P_ERROR, P_FAILED, client_view
 from ..session import scratch_path
-from .update_table import UpdateTable
+from ..sources.merged_table import MergedTable
 
 LOG_SCHEMA = "task_id bigint, seq bigint, raw string, at timestamp"
 UPDATES = "task_id bigint, seq bigint, timed_out boolean, raw string"
@@ -77,8 +77,13 @@ class OpenTasks(StatefulProcessor):
         pass
 
 
-def update_table(spark: SparkSession, path: str) -> UpdateTable:
-    return UpdateTable(spark, path, "task_id", ("seq", "timed_out"), UPDATES)
+def update_table(spark: SparkSession, path: str) -> MergedTable:
+    """The last change per task: the largest ``seq``, and of one entry the time limit after the entry itself."""
+    def last(updates: DataFrame) -> DataFrame:
+        best = F.max_by(F.struct("seq", "timed_out", "raw"), F.struct("seq", "timed_out"))
+        return updates.groupBy("task_id").agg(best.alias("u")).select("task_id", "u.*")
+
+    return MergedTable(spark, path, UPDATES, last)
 
 
 def run_task_stream(spark: SparkSession, log_dir: str, out_dir: str | None = None, checkpoint: str | None = None,

@@ -58,8 +58,8 @@ def test_warnings_greedy_per_line(spark):
 
 def test_prompts_by_family(spark):
     df = spark.createDataFrame([("MLM-1", " c "), ("LLM4Decompile-x", " c "), ("other", " c ")], "m string, c string")
-    out = [tuple(r[0]) for r in df.select(CT.render_refine_prompt("m", "c", "<{code}>", "SYS")).collect()]
-    assert out == [("error", None, None), ("completion", None, "<c>"), ("chat", "SYS", "Decompiled code:\n c ")]
+    out = [tuple(r[0]) for r in df.select(CT.render_refine_prompt("m", "c", "<{code}>", "SYS", "Tidy:\n{code}")).collect()]
+    assert out == [("error", None, None), ("completion", None, "<c>"), ("chat", "SYS", "Tidy:\n c ")]
 
 
 def test_arguments(spark):

@@ -115,3 +115,32 @@ def test_register_pandas_udf_fixer(spark):
         assert got == {"rev": "cba", "angr": "func0"}
     finally:
         del FX.FIXERS["rev"]
+
+
+def test_retdec_many_labels_in_one_scan(spark):
+    """Labels that are prefixes of others, repeated comments, and ten thousand labels in one text."""
+    import random
+    import re
+    import time
+
+    def plain(code):
+        todo = set(re.findall(FX.RETDEC_GOTO, code)) - set(re.findall(FX.RETDEC_LABEL, code))
+        comments = set(re.findall(FX.RETDEC_COMMENT, code))
+        for x in sorted(todo & comments):
+            code = code.replace(f"// 0x{x}", f"lab_0x{x}:// 0x{x}")
+        return code
+
+    rng = random.Random(9)
+    codes = []
+    for _ in range(150):
+        name = lambda: "".join(rng.choice("01a") for _ in range(rng.randrange(1, 5)))
+        codes.append("\n".join(rng.choice(["goto lab_0x{};", "// 0x{}", "/// 0x{}z", "lab_0x{}:", "x // 0x{} // 0x{}", "// 0x", "// 0xZ", "é"])
+                               .format(name(), name()) for _ in range(rng.randrange(0, 40))))
+    big = "\n".join(f"goto lab_0x{k:x};\n// 0x{k:x}" for k in range(4096, 14096))
+    df = spark.createDataFrame([(k, c) for k, c in enumerate([*codes, big])], "k int, code string")
+    start = time.time()
+    got = {r.k: r.o for r in df.select("k", FX.fix_retdec(F.col("code")).alias("o")).collect()}
+    assert time.time() - start < 60
+    assert [got[k] for k in range(len(codes))] == [plain(c) for c in codes]
+    assert got[len(codes)] == re.sub(r"// 0x([0-9a-f]+)", r"lab_0x\1:// 0x\1", big)
+    assert sum(got[k] != c for k, c in enumerate(codes)) > 50

@@ -153,3 +153,84 @@ def test_token_streams_equal_the_loop(spark):
 def test_listing_bodies_take_any_key(spark):
     df = spark.createDataFrame([("a.c", "// 10: f\nint f()\n{ }\n", ["0x10"])], "name string, code string, addresses array<string>")
     assert [(r.name, r.address) for r in L.listing_bodies(df, key="name").collect()] == [("a.c", "0x10")]
+
+
+def fake_calls(kind):
+    """A call that reports how many of its kind run; 'boom' fails, 'slow' takes long, 'none' gives nothing."""
+    import asyncio
+    import threading
+    import time
+    state = {"now": 0}
+
+    def enter(x):
+        with state.setdefault("lock", threading.Lock()):
+            state["now"] += 1
+            return state["now"]
+
+    def leave(x, n):
+        with state["lock"]:
+            state["now"] -= 1
+        if x == "boom":
+            raise ValueError("bad " + x)
+        return None if x == "none" else f"{x}:{n}"
+
+    async def later(x):
+        n = enter(x)
+        try:
+            await asyncio.sleep(10 if x == "slow" else 0.1)
+        except asyncio.CancelledError:
+            with state["lock"]:
+                state["now"] -= 1
+            raise
+        return leave(x, n)
+
+    def plain(x):
+        n = enter(x)
+        time.sleep(4 if x == "slow" else 0.1)
+        return leave(x, n)
+
+    return later if kind == "coroutine" else plain
+
+
+def test_calls_in_flight(spark):
+    import time
+    n, k = 300, 10
+    special = {7: "boom", 30: "slow", 31: "none", 99: None}
+    df = spark.createDataFrame([(i, special.get(i, f"p{i}")) for i in range(n)], "id long, prompt string").coalesce(1)
+    for kind in ("coroutine", "plain"):
+        call = fake_calls(kind)
+        start = time.time()
+        out = L.infer_in_flight(df, call, in_flight=k, time_limit=2.0).collect()
+        took = time.time() - start
+        assert [r.id for r in out] == list(range(n))
+        for r in out:
+            if r.id in (7, 30, 31):
+                assert r.output == "ERROR"
+            else:
+                value, running = r.output.split(":")
+                assert value == str(r.prompt) and int(running) <= k and r.error is None
+        assert out[7].error == "ValueError: bad boom" and "2.0 s" in out[30].error and out[31].error == "no result"
+        assert max(int(r.output.split(":")[1]) for r in out if r.output != "ERROR") == k
+        assert took < 15  # the worker's start included; one by one it would take 30 s and more
+    assert L.infer_in_flight(df.filter("id < 0"), fake_calls("plain")).count() == 0
+
+
+def test_run_time_sketches_merge(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice(["ok", "error"]), rng.lognormvariate(1, 2)) for _ in range(30_000)] + [("a", "ok", None), ("c", "ok", 3.0)]
+    df = spark.createDataFrame(rows, "system string, reason string, seconds double")
+    part = F.pmod(F.hash("seconds"), F.lit(7))
+    parts = None
+    for b in range(7):
+        t = L.run_times(df.filter(F.coalesce(part, F.lit(0)) == b))
+        parts = t if parts is None else parts.unionByName(t)
+    merged = L.merge_run_times(parts)
+    exact = {}
+    for s, r, x in rows:
+        if x is not None:
+            exact.setdefault((s, r), []).append(x)
+    got = {(r.system, r.reason): r for r in merged.collect()}
+    assert {k: (v.runs, v.least, v.most) for k, v in got.items()} == {k: (len(v), min(v), max(v)) for k, v in exact.items()}
+    for r in L.run_time_quantiles(merged, (0.01, 0.25, 0.5, 0.9, 0.99)).collect():
+        xs = exact[r.system, r.reason]
+        assert abs(sum(x <= r.value for x in xs) / len(xs) - r.rank) <= 2 * L.RANK_ERROR + 1 / len(xs) or len(xs) == 1

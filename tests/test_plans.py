@@ -41,7 +41,7 @@ def test_python_only_where_designed(plans):
     # Python runs only in bounded groups or per-batch helpers: rating fits, the
     # bootstrap, listing scans and the inference surface
     allowed = {"g10_bt_expected_wins", "g11_calibrated_ratings", "g12_bootstrap_ratings", "g12_bootstrap_draws",
-               "g14_bootstrap_leaderboard", "p2_listing_bodies", "u2_infer", "s2_incremental_ratings"}
+               "g14_bootstrap_leaderboard", "p2_listing_bodies", "u2_infer", "u2_calls_in_flight", "s2_incremental_ratings"}
     python_nodes = ("FlatMapGroupsInPandas", "MapInPandas", "ArrowEvalPython", "FlatMapGroupsInPandasWithState")
     used = {n for n, p in plans.items() if any(x in p for x in python_nodes)}
     assert used <= allowed, used - allowed

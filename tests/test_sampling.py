@@ -63,3 +63,35 @@ def test_hash_uniform_equals_python_md5(spark):
     got = {r.k: r.u for r in df.select("k", hash_uniform("seed", F.col("k")).alias("u")).collect()}
     want = {k: int(hashlib.md5(f"seed|{k}".encode()).hexdigest()[:8], 16) / 2 ** 32 for k in range(500)}
     assert got == want
+
+
+def test_a_thousand_systems_draw_as_plain_python(spark):
+    """Same draws as a cumulative sum per item, tables joined and broadcast, one lookup per row in the plan."""
+    import hashlib
+    import random
+    from bisect import bisect_right
+    from itertools import accumulate
+    rng = random.Random(1)
+    m = 1000
+    ratings = [1000 + 400 * rng.random() for _ in range(m)]
+    items = spark.range(0, 3000).withColumnRenamed("id", "item_id")
+    uniform = lambda tag, k: int(hashlib.md5(f"arena:{tag}|{k}".encode()).hexdigest()[:8], 16) / 2 ** 32
+    out = S.matchups(items, [f"s{k}" for k in range(m)], ratings)
+    got = {r.item_id: (r.model_a, r.model_b) for r in out.collect()}
+    for k in range(0, 3000, 7):
+        a = int(uniform("a", k) * m)
+        others = [j for j in range(m) if j != a]
+        gaps = [abs(ratings[a] - ratings[j]) for j in others]
+        dmin = min(gaps) + 1e-6
+        cum = list(accumulate(1.0 / (1.0 + g / dmin) for g in gaps))
+        b = others[min(bisect_right(cum, uniform("b", k) * cum[-1]), m - 2)]
+        pair = (f"s{b}", f"s{a}") if uniform("s", k) < 0.5 else (f"s{a}", f"s{b}")
+        assert got[k] == pair
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BroadcastHashJoin" in plan
+    before, S.BROADCAST_BYTES = S.BROADCAST_BYTES, 0
+    try:
+        joined = S.matchups(items, [f"s{k}" for k in range(m)], ratings)
+        assert {r.item_id: (r.model_a, r.model_b) for r in joined.collect()} == got
+    finally:
+        S.BROADCAST_BYTES = before

@@ -71,3 +71,40 @@ def test_property_against_rules(spark, rows):
 def test_identical_target_always_passes(spark):
     rows = [(k, t, t, t, t) for k, t in enumerate(["", "a", "hello", "x" * 300])]
     assert set(spark_diff(spark, rows).values()) == {True}
+
+
+def test_long_texts_by_blocks(spark):
+    """Texts of several blocks with differences anywhere, also at the blocks' edges."""
+    import random
+    rng = random.Random(4)
+    rows, alphabet = [], "abé\U0001f600\n"
+    for k in range(60):
+        base = "".join(rng.choice(alphabet) for _ in range(rng.choice([1, 1023, 1024, 1025, 2048, 5000])))
+
+        def changed(text, places):
+            t = list(text)
+            for p in places:
+                t[p % len(t)] = "X"
+            return "".join(t)
+
+        places = [rng.choice([0, 1022, 1023, 1024, 1025, 2047, 2048, rng.randrange(5000)]) for _ in range(rng.randrange(6))]
+        extra = [rng.randrange(5000)] if k % 3 == 0 else []
+        target = changed(base, places[:rng.randrange(6)] + extra)[:rng.choice([len(base), len(base) // 2, 1])]
+        rows.append((k, base, changed(base, places[::2]), changed(base, places[1::2]), target))
+    got = spark_diff(spark, rows)
+    assert got == {r[0]: ref_diff(r[1:4], r[4]) for r in rows} and len(set(got.values())) == 2
+    df = spark.createDataFrame(rows, "k int, t1 string, t2 string, t3 string, target string")
+    for r in ST.baseline_profile(df, ["k"], ["t1", "t2", "t3"]).collect():
+        _, a, b, c, _ = rows[r.k]
+        places = [i for i in range(len(a)) if len({a[i], b[i], c[i]}) > 1]
+        assert [p for x in r.unstable or [] for p in range(x.start, x.end)] == places and (r.unstable is None) == (not places)
+        assert all(x.end < y.start for x, y in zip(r.unstable or [], (r.unstable or [])[1:]))
+
+
+def test_trials_do_not_travel_in_the_join(spark):
+    import re
+    df = spark.createDataFrame([(1, "a", "b", "a", "a")], "k int, t1 string, t2 string, t3 string, target string")
+    j = ST.diff_targets(ST.baseline_profile(df, ["k"], ["t1", "t2", "t3"]), df.select("k", "target"), ["k"])
+    plan = j._sc._jvm.PythonSQLUtils.explainString(j._jdf.queryExecution(), "formatted")
+    joins = re.findall(r"Join.*?\n(?:.*\n)*?\n", plan)
+    assert "unstable" in plan and not [x for x in joins if re.search(r"\bt[123]#", x)]
