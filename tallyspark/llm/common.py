@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import inspect
 import re
 from collections.abc import Iterable
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir, scratch_path
@@ -79,6 +81,32 @@ def materialize(df: DataFrame, name: str, release: bool = False, keep: bool = Fa
     return spark.read.schema(schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a Python worker serves many tasks, and its peak would otherwise stay with it."""
+    import ctypes
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(fn):
+    """``fn`` of ``mapInArrow`` (or of a group), whose worker keeps no freed memory when the task (or the group) has ended."""
+    if inspect.isgeneratorfunction(fn):
+        def run(batches):
+            yield from fn(batches)
+            _give_back()
+        return run
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        out = fn(rows)
+        _give_back()
+        return out
+    return group
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -35,7 +35,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Bounded, fresh, materialize, schema_of, words
+from .common import Bounded, fresh, lean, materialize, schema_of, words
 from .components import connected_components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -210,19 +210,26 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, bl
     def signatures(batches):
         import pyarrow as pa
         word_hash = Bounded(xxhash.xxh3_64_intdigest, 300_000).__getitem__
+        sent: set[int] = set()  # a set goes once from a task: copies do not burden their signatures' tasks
         for b in batches:
-            out = [shingles(t, n, word_hash) for t in b.column(text).to_pylist()]
-            sigs = [classes.signatures(s) for s in out]
-            names = [np.full(len(g), set_name(s), np.int64) for s, (g, _) in zip(out, sigs)]
+            out = []
+            for t in b.column(text).to_pylist():
+                s = shingles(t, n, word_hash)
+                name = set_name(s)
+                if name not in sent:
+                    sent.add(name)
+                    out.append((name, s))
+            sigs = [classes.signatures(s) for _, s in out]
+            names = [np.full(len(g), name, np.int64) for (name, _), (g, _) in zip(out, sigs)]
             if sigs:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([g.view(np.int64) for g, _ in sigs])), pa.array(np.concatenate(names)),
                      pa.array(np.concatenate([t for _, t in sigs]))], names=["sig", "node", "tag"])
 
-    rows = keyed.mapInArrow(sets, ", ".join([*schema_of(keyed, columns), f"{size} long, _node long, _sketch binary"]))
+    rows = keyed.mapInArrow(lean(sets), ", ".join([*schema_of(keyed, columns), f"{size} long, _node long, _sketch binary"]))
     rows = materialize(rows.withColumn(row, F.monotonically_increasing_id()), "shingle-sets")
     # signatures that two different sets have; a set with fewer of them in a class than a link agrees on has no link there
-    sigs = docs.select(text).mapInArrow(signatures, "sig long, node long, tag long")
+    sigs = docs.select(text).mapInArrow(lean(signatures), "sig long, node long, tag long")
     bucket = Window.partitionBy("sig")
     sigs = materialize(sigs.withColumn("one", F.min("node").over(bucket)).withColumn("other", F.max("node").over(bucket))
                        .filter("one <> other").select("sig", "node", "tag").distinct(), "shared-signatures", release=True)
@@ -231,17 +238,26 @@ def _groups(docs: DataFrame, key: str, text: str, n: int, num: int, den: int, bl
              .select("node", "hub").distinct())
     stars = materialize(stars, "stars", release=True)
     clusters = connected_components(stars, "node", "hub").withColumnRenamed("component", "cluster")
-    one = rows.groupBy(F.col("_node").alias("node")).agg(F.min(row).alias(row))
-    nodes = (clusters.join(one, "node").select("node", "cluster", row)
-             .join(rows.select(row, F.col(size).alias("n"), "_text", "_sketch"), row))
+    # of the rows only those of candidates are shuffled, one per set
+    one = F.min_by(F.struct("n", "_text", "_sketch"), "at").alias("one")
+    nodes = (rows.select(F.col("_node").alias("node"), F.col(size).alias("n"), "_text", "_sketch", F.col(row).alias("at"))
+             .join(_fitting(clusters, 16), "node").groupBy("node", "cluster").agg(one).select("node", "cluster", "one.*"))
     members = (nodes.join(clusters.groupBy("cluster").agg(F.count("*").alias("many")), "cluster")
                .withColumn("blocks", F.ceil(F.col("many") / block).cast("int"))
-               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("many", row))
+               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("many"))
     members = materialize(members, "cluster-members", release=True)
     labels = _links(members, _slices(docs, members, text, n), num, den, forests)
     return rows, row, size, labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def _fitting(df: DataFrame, width: int) -> DataFrame:
+    """``df``, to be broadcast if its rows of about ``width`` bytes are within ``BROADCAST_BYTES``; it is shuffled otherwise."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, num: int = 90, den: int = 100,
                    block: int = 4096, forests: int = 2, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) plus ``n_shingles`` and ``component_id``.
@@ -301,10 +317,11 @@ def _slices(docs: DataFrame, members: DataFrame, text: str, n: int) -> DataFrame
                                               pa.array(elements, pa.list_(pa.int64()))],
                                              names=["node", "slice", "elements"])
 
-    # copies collapse before the one shuffle of texts, which serves the join too
-    texts = docs.select(F.md5(F.col(text)).alias("_text"), text).dropDuplicates(["_text"])
-    texts = texts.join(members.select("_text").distinct(), "_text", "left_semi").select(text)
-    return materialize(texts.mapInArrow(cut, "node long, slice int, elements array<long>"), "slices", release=True)
+    # only texts of candidates are shuffled, for their copies to collapse; beyond the broadcast's bound that shuffle serves the join too
+    texts = docs.select(F.md5(F.col(text)).alias("_text"), text)
+    wanted = _fitting(members.select("_text").distinct(), 64)
+    texts = texts.join(wanted, "_text", "left_semi").dropDuplicates(["_text"]).select(text)
+    return materialize(texts.mapInArrow(lean(cut), "node long, slice int, elements array<long>"), "slices", release=True)
 
 
 def _links(members: DataFrame, slices: DataFrame, num: int, den: int, forests: int) -> DataFrame:
@@ -348,7 +365,7 @@ def _links(members: DataFrame, slices: DataFrame, num: int, den: int, forests: i
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         found = (tasks.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-                 .mapInArrow(pairs, "a long, b long").distinct())
+                 .mapInArrow(lean(pairs), "a long, b long").distinct())
         found = materialize(found, "pairs", release=True)
         if found.isEmpty():
             if step or not _large(members):
@@ -374,7 +391,8 @@ def _overlaps(pairs: DataFrame, members: DataFrame, slices: DataFrame, num: int,
     """Overlap of every pair: counted in each fragment of the order separately, then summed."""
     left = slices.select(F.col("node").alias("a"), "slice", F.col("elements").alias("ea"))
     right = slices.select(F.col("node").alias("b"), "slice", F.col("elements").alias("eb"))
-    parts = (pairs.join(left, "a").join(right, ["b", "slice"])
+    # the same plan at every size: sets are shuffled to pairs, whichever of them is small
+    parts = (pairs.join(left.hint("merge"), "a").join(right.hint("merge"), ["b", "slice"])
              .select("a", "b", F.size(F.array_intersect("ea", "eb")).alias("part")))
     total = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
     size = members.select("node", "n")

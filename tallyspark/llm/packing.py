@@ -27,7 +27,7 @@ from collections import namedtuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Bounded, fresh, materialize, schema_of, tokenizer_path
+from .common import Bounded, fresh, lean, materialize, schema_of, tokenizer_path
 
 # -- tokenising ---------------------------------------------------------------------------------------------------
 
@@ -142,7 +142,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacit
 
     schema = [*schema_of(docs, kept), f"{piece} int", f"{start} long", f"{length} long", f"{ids} binary",
               f"{task} int", f"{rank} long"]
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(encode, ", ".join(schema))
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(lean(encode), ", ".join(schema))
 
 
 def _runs(texts: list[str], limit: int = 1 << 22):
@@ -369,7 +369,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = 20
             yield pa.RecordBatch.from_arrays([b.column(c) for c in out] + [pa.array(sequence), pa.array(at)],
                                              names=[*out, seq, off])
 
-    return ranked.select(*out, rank).mapInArrow(place, ", ".join([*schema_of(ranked, out), f"{seq} long", f"{off} long"]))
+    return ranked.select(*out, rank).mapInArrow(lean(place), ", ".join([*schema_of(ranked, out), f"{seq} long", f"{off} long"]))
 
 
 def sequences(packed: DataFrame, capacity: int = 2048) -> DataFrame:

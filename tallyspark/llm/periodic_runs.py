@@ -28,7 +28,7 @@ from bisect import bisect_left, insort
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, schema_of
+from .common import fresh, lean, schema_of
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 RUNS = "array<struct<start: long, length: long, period: long>>"
@@ -230,4 +230,4 @@ def find_runs(docs: DataFrame, text: str = "text", keep: list[str] | None = None
                     names=[*keep, *names])
 
     schema = [*schema_of(docs, keep), f"`{names[0]}` long", f"`{names[1]}` {RUNS}", f"`{names[2]}` string"]
-    return docs.select(*keep, F.col(text).alias(body)).mapInArrow(search, ", ".join(schema))
+    return docs.select(*keep, F.col(text).alias(body)).mapInArrow(lean(search), ", ".join(schema))

@@ -29,7 +29,7 @@ from operator import eq
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import fresh, materialize, schema_of
+from .common import fresh, lean, materialize, schema_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -95,8 +95,7 @@ def with_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = No
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(c, pa.int64()) for c in columns],
                                              names=[*kept, *names])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(
-        count, ", ".join([*schema_of(docs, kept), *(f"{n} long" for n in names)]))
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(lean(count), ", ".join([*schema_of(docs, kept), *(f"{n} long" for n in names)]))
 
 
 def base_failed(names: dict[str, str]) -> Column:
@@ -165,7 +164,7 @@ def _inverse(sums: DataFrame, keys: list[str], p: int, floors: list[float], fact
                 b.column("n"), pa.array(list(mean), pa.list_(pa.float64())),
                 pa.array(list(inv.reshape(-1, p * p)), pa.list_(pa.float64()))], names=[*keys, "n", "mean", "inv"])
 
-    return sums.mapInArrow(invert, ", ".join([*schema_of(sums, keys), "n long, mean array<double>, inv array<double>"]))
+    return sums.mapInArrow(lean(invert), ", ".join([*schema_of(sums, keys), "n long, mean array<double>, inv array<double>"]))
 
 
 def _attach(rows: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:

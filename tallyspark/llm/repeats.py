@@ -32,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fresh, materialize, schema_of
+from .common import fresh, lean, materialize, schema_of
 from .run_index import RunIndex
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -144,8 +144,7 @@ def _text_spans(docs: DataFrame, text: str, length: int, keep: list[str], shard_
                     pa.array([r[2] for r in runs], pa.list_(pa.int32())), pa.array([r[3] for r in runs], pa.list_(pa.bool_()))],
                 names=[*keep, "_digest", "_bytes", "_anchor", "_start", "_end", "_several"])
 
-    rows = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(
-        cut, ", ".join([*schema_of(docs, keep), "_digest binary, _bytes long, _anchor array<long>, _start array<int>, "
+    rows = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(cut), ", ".join([*schema_of(docs, keep), "_digest binary, _bytes long, _anchor array<long>, _start array<int>, "
                                                 "_end array<int>, _several array<boolean>"]))
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "anchors")
     texts = materialize(rows.filter(F.col("_bytes") >= length).groupBy("_digest").agg(
@@ -162,8 +161,7 @@ def _text_spans(docs: DataFrame, text: str, length: int, keep: list[str], shard_
     content = F.coalesce(F.col(text), F.lit(""))
     bodies = docs.select(F.unhex(F.sha2(content, 256)).alias("digest"), content.alias("body")).dropDuplicates(["digest"])
     bodies = materialize(bodies.join(wanted, "digest"), "texts-with-shared-anchors", release=True)
-    segments = materialize(bodies.select("digest", "copies", "body", "runs").mapInArrow(
-        _segments, "anchor long, segment binary, digest binary, start int, end int, copies long, bytes binary"), "segments", release=True)
+    segments = materialize(bodies.select("digest", "copies", "body", "runs").mapInArrow(lean(_segments), "anchor long, segment binary, digest binary, start int, end int, copies long, bytes binary"), "segments", release=True)
     marks = _marks(segments, length, shard_bytes, anchor_bytes)
     found = (segments.filter("copies = 1").select("anchor", "segment", "digest", "start").join(marks, ["anchor", "segment"])
              .select("digest", (F.col("start") + F.col("low")).cast("long").alias("low"),
@@ -193,8 +191,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, keep:
                 [b.column("digest"), pa.array([o[0] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                  pa.array([o[1] for o in out], pa.string())], names=["_digest", "_spans", "_sha"])
 
-    partly = bodies.select("digest", "body").join(found, "digest").mapInArrow(
-        finish, f"_digest binary, _spans {SPANS}, _sha string")
+    partly = bodies.select("digest", "body").join(found, "digest").mapInArrow(lean(finish), f"_digest binary, _spans {SPANS}, _sha string")
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_bytes").alias("end")))
     return (rows.select(*kept, "_digest", "_bytes").join(whole, "_digest", "left").join(partly, "_digest", "left")
             .select(*kept, F.col("_bytes").alias(n_bytes),
@@ -232,7 +229,7 @@ def _cut(joined: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(c) for c in columns],
                                              names=columns)
 
-    return joined.select(*docs.columns, "_whole", "found").mapInArrow(cut, ", ".join(schema_of(docs)))
+    return joined.select(*docs.columns, "_whole", "found").mapInArrow(lean(cut), ", ".join(schema_of(docs)))
 
 
 def _segments(batches):
@@ -293,8 +290,7 @@ def _marks(segments: DataFrame, length: int, shard_bytes: int, anchor_bytes: int
                                                               pa.binary()))],
                     names=["up", "up_segment", "at", "anchor", "places", "bytes"])
 
-        cut = materialize(hot.select("anchor", "bytes", "places").mapInArrow(
-            split, "up long, up_segment binary, at int, anchor long, places long, bytes binary"), "split-segments")
+        cut = materialize(hot.select("anchor", "bytes", "places").mapInArrow(lean(split), "up long, up_segment binary, at int, anchor long, places long, bytes binary"), "split-segments")
         origin = _joined(origin, cut)
         parts = materialize(cut.groupBy("anchor", "bytes").agg(F.sum("places").alias("places")), "distinct-segments", release=True)
     found = [(_index_marks(parts, length, shard_bytes), origin) for parts, origin in done]
@@ -322,7 +318,7 @@ def _joined(origin, cut):
                 + [pa.array([xxhash.xxh3_128_digest(s) for s in b.column("bytes").to_pylist()], pa.binary())],
                 names=["up", "up_segment", "at", "anchor", "segment"])
 
-    here = named.mapInArrow(name, "up long, up_segment binary, at int, anchor long, segment binary")
+    here = named.mapInArrow(lean(name), "up long, up_segment binary, at int, anchor long, segment binary")
     if origin is None:
         return here
     above = origin.select(F.col("up").alias("top"), F.col("up_segment").alias("top_segment"), F.col("at").alias("base"),
@@ -343,7 +339,7 @@ def _index_marks(parts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         return pd.DataFrame(out, columns=["anchor", "segment", "low", "high"])
 
     return (parts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard")
-            .applyInPandas(mark, "anchor long, segment binary, low int, high int"))
+            .applyInPandas(lean(mark), "anchor long, segment binary, low int, high int"))
 
 
 def _window_names(segment: bytes, length: int) -> np.ndarray:
@@ -359,8 +355,7 @@ def _window_marks(parts: DataFrame, length: int, block_bytes: int = 1 << 18) ->
     distinct windows once, with its places, and gets back those that the corpus
     has twice or more; a window that all segments share is one row a block.
     """
-    blocks = materialize(parts.select("anchor", "bytes", "places").mapInArrow(
-        _segment_blocks(block_bytes), "block long, anchors array<long>, segments array<binary>, places array<long>"),
+    blocks = materialize(parts.select("anchor", "bytes", "places").mapInArrow(lean(_segment_blocks(block_bytes)), "block long, anchors array<long>, segments array<binary>, places array<long>"),
         "segment-blocks", release=True)
 
     def names(batches):
@@ -374,7 +369,7 @@ def _window_marks(parts: DataFrame, length: int, block_bytes: int = 1 << 18) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                                                   pa.array(n)], names=["block", "w0", "w1", "n"])
 
-    sent = blocks.mapInArrow(names, "block long, w0 long, w1 long, n long")
+    sent = blocks.mapInArrow(lean(names), "block long, w0 long, w1 long, n long")
     several = sent.groupBy("w0", "w1").agg(F.sum("n").alias("n")).filter("n > 1").select("w0", "w1")
     back = (sent.select("block", "w0", "w1").join(several, ["w0", "w1"]).groupBy("block")
             .agg(F.collect_list("w0").alias("w0"), F.collect_list("w1").alias("w1")))
@@ -393,7 +388,7 @@ def _window_marks(parts: DataFrame, length: int, block_bytes: int = 1 << 18) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))],
                                              names=["anchor", "segment", "low", "high"])
 
-    return blocks.join(back, "block").mapInArrow(mark, "anchor long, segment binary, low int, high int")
+    return blocks.join(back, "block").mapInArrow(lean(mark), "anchor long, segment binary, low int, high int")
 
 
 def _segment_blocks(block_bytes: int):
@@ -467,7 +462,7 @@ def remove_passages(docs: DataFrame, text: str = "text", n: int = 51, block_byte
 
     bodies = docs.select(digest.alias("digest"), F.col(text).alias("body"))
     # an anchor counts once a row, so copies of a text share all of theirs
-    runs = materialize(bodies.mapInArrow(anchors, "digest binary, anchors array<long>")
+    runs = materialize(bodies.mapInArrow(lean(anchors), "digest binary, anchors array<long>")
                        .select("digest", F.explode("anchors").alias("anchor")), "passage-anchors", release=True)
     shared = runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     wanted = runs.join(shared, "anchor").groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
@@ -493,8 +488,7 @@ def remove_passages(docs: DataFrame, text: str = "text", n: int = 51, block_byte
         if held:
             yield flush()
 
-    blocks = materialize(texts.select("digest", "body", "copies", "anchors").mapInArrow(
-        block, "block long, digests array<binary>, bodies array<string>, copies array<long>, anchors array<array<long>>"),
+    blocks = materialize(texts.select("digest", "body", "copies", "anchors").mapInArrow(lean(block), "block long, digests array<binary>, bodies array<string>, copies array<long>, anchors array<array<long>>"),
         "passage-blocks", release=True)
 
     def names(batches):
@@ -508,7 +502,7 @@ def remove_passages(docs: DataFrame, text: str = "text", n: int = 51, block_byte
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k)), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
                                                   pa.array(c)], names=["block", "w0", "w1", "n"])
 
-    sent = blocks.mapInArrow(names, "block long, w0 long, w1 long, n long")
+    sent = blocks.mapInArrow(lean(names), "block long, w0 long, w1 long, n long")
     several = sent.groupBy("w0", "w1").agg(F.sum("n").alias("n")).filter("n > 1").select("w0", "w1")
     back = (sent.select("block", "w0", "w1").join(several, ["w0", "w1"]).groupBy("block")
             .agg(F.collect_list("w0").alias("w0"), F.collect_list("w1").alias("w1")))
@@ -529,6 +523,5 @@ def remove_passages(docs: DataFrame, text: str = "text", n: int = 51, block_byte
             spans = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], spans)], names=["_digest", "found"])
 
-    found = materialize(blocks.join(back, "block").mapInArrow(
-        mark, "_digest binary, found array<struct<low: long, high: long>>"), "passages", release=True)
+    found = materialize(blocks.join(back, "block").mapInArrow(lean(mark), "_digest binary, found array<struct<low: long, high: long>>"), "passages", release=True)
     return _cut(docs.withColumn("_digest", digest).join(found, "_digest", "left").withColumn("_whole", F.lit(False)), docs, text)

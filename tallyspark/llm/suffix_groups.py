@@ -39,7 +39,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 SYMBOLS = 4
@@ -153,7 +153,7 @@ def _blocks(docs: DataFrame, key: str, text: str, n: int, block_words: int) -> D
         if held:
             yield flush()
 
-    return materialize(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(build, BLOCK),
+    return materialize(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(lean(build), BLOCK),
                        "suffix-blocks")
 
 
@@ -365,7 +365,7 @@ def remove_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "t
                 for row in b.to_pylist():
                     yield from fn(row, _Suffixes(row, n, bits))
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(lean(run), schema)
 
     codes, symbols = None, FIRST
     code_columns = "symbols range codes"
@@ -373,7 +373,7 @@ def remove_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "t
         back = {} if codes is None else {"codes": (codes, code_columns)}
         counted = passed(back, lambda row, s: _batches(_count(s, row.get("codes"), ranges), COUNTED), COUNTED)
         with _few_rows(spark):
-            now = materialize(counted.groupBy("symbols", "range").applyInPandas(_code(group_suffixes), CODED),
+            now = materialize(counted.groupBy("symbols", "range").applyInPandas(lean(_code(group_suffixes)), CODED),
                               "suffix-prefixes", release=True)
         codes = now if codes is None else codes.unionByName(now)
         if now.filter("longer > 0").isEmpty():
@@ -384,7 +384,7 @@ def remove_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "t
     gathered = passed({"codes": (codes, code_columns)},
                       lambda row, s: _batches(_gather(s, s.walk(row["codes"], ranges)[2]), GATHERED), GATHERED)
     with _few_rows(spark):
-        marks = materialize(gathered.groupBy("symbols", "range", "grp").applyInPandas(_marks, MARKED), "suffix-marks",
+        marks = materialize(gathered.groupBy("symbols", "range", "grp").applyInPandas(lean(_marks), MARKED), "suffix-marks",
                             release=True)
     back = {"codes": (codes, code_columns), "marks": (marks, "symbols range grp marks")}
 

@@ -122,7 +122,7 @@ def test_passages_of_over_50_words_go(spark, docs):
     exp |= {1: "again " * 60, 2: None, 3: "", 4: rows[-1][1]}
     rows += [(5, rows[0][1].split(" é")[0] + " " + some("5c", 40))]  # 80 words of the first document
     d = docs(rows)
-    exp[5], exp[100] = some("5c", 40), "é100 " + some("100b", 30)
+    exp[5], exp[100] = " " + some("5c", 40), " é100 " + some("100b", 30)  # words are cut, and the white space between them
     stages = dict(corpus_pipeline.STAGES)
     d = common.materialize(stages["repeated_passages"](spark, d, SF), "passages-cut", keep=True)
     out = {r.doc_id: r for r in d.collect()}
