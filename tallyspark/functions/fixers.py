@@ -169,13 +169,24 @@ def _contains_sorted(values: Column, x: Column) -> Column:
     return F.coalesce(F.aggregate(steps, start, half, lambda s: F.get(values, s["lo"]) == x), F.lit(False))
 
 
+def _where(code: Column, literal: str, fix: Callable[[Column], Column]) -> Column:
+    """``fix`` on texts that hold ``literal``, without which its pattern cannot match."""
+    return let(code, lambda c: F.when(c.contains(literal), fix(c)).otherwise(c))
+
+
+def _tagged(code: Column, decl: str, impl: str) -> Column:
+    """Every line once: ``l``, whether it is a (d)eclaration, the implemented (n)ame ('' when not an implementation)."""
+    return F.transform(lines(code), lambda x: F.struct(
+        x.alias("l"), F.when(x.contains(");"), x.rlike(decl)).otherwise(False).alias("d"),
+        F.when(x.contains("{") & x.contains("("), F.regexp_extract(x, impl, 1)).otherwise("").alias("n")))
+
+
 def _fix_llm(code: Column, fn: Column, declaration: str) -> Column:
-    c = py_sub_first(_chain(code, HEXRAYS_RULES), SUB_NAME, FUNC0)
-    c = py_sub(c, *INCLUDE_RULE)
+    # the patterns are only tried where their fixed characters are
+    c = _where(code, "@<", lambda x: _chain(x, HEXRAYS_RULES))
+    c = _where(c, "sub_", lambda x: py_sub_first(x, SUB_NAME, FUNC0))
+    c = _where(c, "#include", lambda x: py_sub(x, *INCLUDE_RULE))
     decl, impl = java_regex(declaration), java_regex(LLM_IMPLEMENTATION)
-    # tag every line once: declaration?, implemented name ('' when not an implementation)
-    tagged = F.transform(lines(c), lambda x: F.struct(
-        x.alias("l"), x.rlike(decl).alias("d"), F.regexp_extract(x, impl, 1).alias("n")))
 
     def with_tags(tg: Column) -> Column:
         # declarations are dropped only before the first implementation line
@@ -190,7 +201,8 @@ def _fix_llm(code: Column, fn: Column, declaration: str) -> Column:
 
         return let(fi, with_first)
 
-    return let(tagged, with_tags)
+    # most texts have neither: they are not split at all
+    return let(c, lambda x: F.when(x.contains("(") & (x.contains(");") | x.contains("{")), let(_tagged(x, decl, impl), with_tags)).otherwise(x))
 
 
 def fix_llm(code: Column, fn: Column) -> Column:
