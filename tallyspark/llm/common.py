@@ -28,7 +28,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def _collect_garbage(spark: SparkSession) -> None:
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that only finished jobs used."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -72,12 +73,12 @@ def materialize(df: DataFrame, name: str, release: bool = False, keep: bool = Fa
     if _SCOPES and not keep:
         _SCOPES[-1].append(path)
     if release:  # what the step before used is only let go now
-        _collect_garbage(spark)
+        collect_garbage(spark)
     df.write.parquet(path)
     schema = df.schema
     if release:
         del df
-        _collect_garbage(spark)
+        collect_garbage(spark)
     return spark.read.schema(schema).parquet(path)
 
 

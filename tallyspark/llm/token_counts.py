@@ -1,8 +1,10 @@
 """Operator 4: token counts through a digest cache.
 
-Rows are keyed by the digest of their content and by a digest of the
+Rows are keyed by the digest of their normalised content - what the piece model's own
+normaliser makes of a text, which is all that its count depends on; the text itself where
+a tokenizer has no normaliser to ask - and by a digest of the
 tokenizer (file bytes and library version). Counts that the cache holds are
-joined; only distinct texts that it lacks are encoded, once each, and their
+joined; only distinct contents that it lacks are encoded, once each, and their
 counts are appended to it. The cache is a Parquet folder, so a count survives
 the session and a lost executor repeats only uncommitted tasks.
 
@@ -13,13 +15,14 @@ gives an empty result. Extra columns of the input pass through.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..session import scratch_path
-from .common import fresh, tokenizer_path
+from .common import collect_garbage, fresh, tokenizer_path
 
 _LOADED: dict[str, object] = {}
 
@@ -56,6 +59,20 @@ def _counter(path: str):
     return lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def content_digests(path: str):
+    """texts -> digests of their normalised content."""
+    normalise = None
+    if path.endswith(".model"):
+        _counter(path)
+        normalise = _LOADED[path].normalize
+
+    def digest(t: str | None) -> str:
+        t = t or ""
+        return hashlib.sha256((normalise(t) if normalise and t else t).encode()).hexdigest()
+
+    return lambda texts: [digest(t) for t in texts]
+
+
 def _chunks(texts: list[str], limit: int = 1 << 22):
     """Runs of texts of about ``limit`` characters, so that the ids of few texts are held at once."""
     run, size = [], 0
@@ -69,32 +86,45 @@ def _chunks(texts: list[str], limit: int = 1 << 22):
         yield run
 
 
-def read_cache(spark, cache: str, version: str) -> DataFrame | None:
-    """Counts stored for this tokenizer, one row per digest (two runs may have appended the same one)."""
+CACHE = "digest string, n_tokens long, tokenizer string, run string"
+
+
+def read_cache(spark, cache: str, version: str, run: str = "") -> DataFrame | None:
+    """Counts stored for this tokenizer, one row per digest (two runs may have appended the same one), and whether some other
+    run than ``run`` stored it."""
     try:
-        stored = spark.read.parquet(cache)
+        stored = spark.read.schema(CACHE).parquet(cache)
     except AnalysisException:  # nothing stored yet
         return None
-    return (stored.filter(F.col("tokenizer") == version)
-            .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
+    return (stored.filter(F.col("tokenizer") == version).groupBy("digest")
+            .agg(F.max("n_tokens").alias("n_tokens"), F.bool_or(~F.col("run").eqNullSafe(run)).alias("known")))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", cache: str | None = None,
-                 out: str = "n_tokens") -> DataFrame:
-    """``docs`` plus column ``out``: the number of tokens of ``text`` without added tokens.
+                 out: str = "n_tokens", known: str | None = None) -> DataFrame:
+    """``docs`` plus column ``out``: the number of tokens of ``text`` without added tokens; and ``known``, if named: whether the
+    cache had the count before this call.
 
     ``tokenizer``: a file of the public tokenizers or a path that every
     executor has. ``cache``: the cache's folder; by default a new one.
     """
     spark = docs.sparkSession
     path = tokenizer_path(tokenizer)
-    version = tokenizer_digest(path)
+    version, run = tokenizer_digest(path), uuid.uuid4().hex
     cache = cache or scratch_path(spark, "token-count-cache")
     key = fresh("digest", docs.columns)
-    content = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn(key, F.sha2(content, 256))
 
-    distinct = (docs.select(F.sha2(content, 256).alias("digest"), content.alias("text"))
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series(content_digests(path)(texts))
+
+    if path.endswith(".model"):
+        name = digest(F.col(text))
+    else:  # no normaliser to ask
+        name = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    keyed = docs.withColumn(key, name)
+
+    distinct = (docs.select(name.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
                 .groupBy("digest").agg(F.first("text").alias("text")))
     stored = read_cache(spark, cache, version)
     misses = distinct if stored is None else distinct.join(stored, "digest", "left_anti")
@@ -106,8 +136,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", cache: str
             yield pd.DataFrame({"digest": b["digest"], "n_tokens": pd.Series(n, dtype="int64")})
 
     (misses.mapInPandas(encode, "digest string, n_tokens long")
-     .withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache))
-    counts = read_cache(spark, cache, version).select(
-        F.col("digest").alias(key), F.col("n_tokens").alias("_count"))
+     .withColumn("tokenizer", F.lit(version)).withColumn("run", F.lit(run)).write.mode("append").parquet(cache))
+    collect_garbage(spark)  # the shuffle of the texts is done with
+    found = fresh("found", [*docs.columns, key])
+    counts = read_cache(spark, cache, version, run).select(F.col("digest").alias(key), F.struct("n_tokens", "known").alias(found))
     joined = keyed.join(counts, key, "left")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != out], F.col("_count").alias(out))
+    added = [F.col(f"{found}.n_tokens").alias(out)] + ([F.col(f"{found}.known").alias(known)] if known else [])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (out, known)], *added)

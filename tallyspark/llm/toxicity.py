@@ -8,16 +8,19 @@ differences go through a logistic calibration fitted on labelled documents
 that no dictionary has seen.
 
 Training reads a bounded sample of the labelled rows (``max_toxic`` and
-``max_ordinary`` documents, the smallest by a hash of their id); dictionaries
+``max_ordinary`` documents, the smallest by a hash of their id, as far as ``max_bytes`` of text hold them: one
+that does not fit is passed over); dictionaries
 and weights, whose size is a parameter, are broadcast. Scoring reads every
 text whole. A null or empty text has no windows and gets the score of
 statistics that are all zero. Rows with null labels are not trained on. With
-no labelled document of one class every score is the share of toxic ones.
+no labelled document of one class every score is the share of toxic ones. Repeated rows
+are scored alike; an empty table gives no rows; texts of any length are scored window by window.
 """
 
 from __future__ import annotations
 
 import random
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,17 +99,26 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, s
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          max_toxic: int = 3000, max_ordinary: int = 6000, **options) -> Model:
+          max_toxic: int = 3000, max_ordinary: int = 6000, max_bytes: int = 64 << 20, **options) -> Model:
     """A model from a bounded sample of the documents that ``labels`` (columns ``key``, ``label``) covers.
 
     The sample is drawn from the labels; only its ids, so many at most, meet
-    the documents, and the texts are read where they are.
+    the documents, and the texts are read where they are. Their lengths are looked at before any text is fetched: at most
+    ``max_bytes`` of text reach the driver, and of each class no more than half of that.
     """
     order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
     drawn = [labels.filter((F.col(label) == value) & F.col(key).isNotNull()).select(key, F.col(label).alias("_label"))
              .distinct().orderBy(*order).limit(most) for value, most in ((1, max_toxic), (0, max_ordinary))]
     found = docs.select(key, text).join(F.broadcast(drawn[0].unionByName(drawn[1])), key)
-    rows = found.orderBy(*order, text).limit(max_toxic + max_ordinary).collect()
+    sizes = found.groupBy(key, "_label").agg(F.sum(F.octet_length(text)).alias("size"), F.count("*").alias("n")).orderBy(*order)
+    chosen, left, rows_left = [], {0: max_bytes // 2, 1: max_bytes // 2}, max_toxic + max_ordinary
+    for r in sizes.collect():  # a few numbers for every drawn id
+        if (r["size"] or 0) <= left[r["_label"]] and r["n"] <= rows_left:
+            left[r["_label"]] -= r["size"] or 0
+            rows_left -= r["n"]
+            chosen.append((r[key], r["_label"]))
+    ids = docs.sparkSession.createDataFrame(chosen, sizes.select(key, "_label").schema)
+    rows = found.join(F.broadcast(ids), [key, "_label"], "left_semi").orderBy(*order, text).collect()
     return train_on([r[text] for r in rows if r["_label"] == 1], [r[text] for r in rows if r["_label"] == 0], **options)
 
 
@@ -149,7 +161,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     name = fresh(out, docs.columns)
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
-    key = (spark.sparkContext.applicationId, id(shipped))
+    key = uuid.uuid4().hex  # of the model in a worker's memory
 
     def run(batches):
         import pyarrow as pa

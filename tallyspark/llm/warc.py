@@ -35,6 +35,9 @@ VERSION = "WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
 
 
+KEEPER_BYTES, BROADCAST_BYTES, SALTS = 128, 64 << 20, 16
+
+
 class WarcError(ValueError):
     pass
 
@@ -115,11 +118,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     repeated = (rows.filter(long).select(F.sha1("payload").alias("digest"), "page_id")
                 .groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper"))
                 .filter("n > 1").drop("n"))
-    marked = (rows.withColumn("digest", F.when(long, F.sha1("payload")))
-              .join(repeated, "digest", "left")
-              .select("page_id", "url", "payload",
-                      F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")),
-                             F.col("keeper")).cast("string").alias("refers_to"))
+    repeated = materialize(repeated, "warc-keepers")
+    # only long payloads are looked up; a page that is copied everywhere is dealt by a salt, if the keepers are too many to broadcast
+    named = rows.filter(long).withColumn("digest", F.sha1("payload"))
+    if repeated.count() * KEEPER_BYTES <= BROADCAST_BYTES:
+        found = named.join(F.broadcast(repeated), "digest", "left")
+    else:
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+        found = named.withColumn("salt", salt).join(
+            repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"], "left")
+    keeper = F.when(F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).cast("string")
+    marked = (found.select("page_id", "url", "payload", keeper.alias("refers_to"))
+              .unionByName(rows.filter(~long).withColumn("refers_to", F.lit(None).cast("string")))
               .withColumn("page_id", F.col("page_id").cast("string")))
 
     def write(batches):

@@ -68,6 +68,14 @@ def test_token_counts_equal_the_library(spark, docs, tmp_path):
     again = count_tokens(docs(more), "piece_bpe_32k.model", cache=cache)
     assert again.count() == len(more)
     assert spark.read.parquet(cache).count() == stored + 1  # only the miss was appended
+    flags = {(r.doc_id, r.text): r.hit for r in count_tokens(docs(more + [(902, "newer still")]), "piece_bpe_32k.model", cache=cache,
+                                                             known="hit").collect()}
+    assert not flags[902, "newer still"] and flags[901, "something new"] and all(flags[i, t] for i, t in rows)
+    stored += 1
+    # the model's normaliser writes spaces as U+2581, so these two are one content
+    twins = count_tokens(docs([(1, "two words of it"), (2, "two\u2581words of\u2581it")]), "piece_bpe_32k.model", cache=cache).collect()
+    assert sp.normalize(twins[0].text) == sp.normalize(twins[1].text) and spark.read.parquet(cache).count() == stored + 2
+    assert all(r.n_tokens == len(sp.encode(r.text)) for r in twins)
     other = count_tokens(docs(rows[:3]), "byte_bpe_50k.json", cache=cache)  # another tokenizer has counts of its own
     assert other.count() == 3 and spark.read.parquet(cache).select("tokenizer").distinct().count() == 2
     assert count_tokens(docs([]), "piece_bpe_32k.model").count() == 0

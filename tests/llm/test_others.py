@@ -138,6 +138,73 @@ def test_toxicity_odd_rows(spark, docs):
     assert T.score(docs([]), model).count() == 0
 
 
+def plain_score(text, model):
+    """A score window by window, a new compressor for each, and the calibration written out."""
+    import math
+    import zstandard
+    w = (text or "").encode().lower().split()
+    cuts = [b" " + b" ".join(w[i:i + 16]) + b" " for i in range(0, len(w), 16)]
+
+    def length(content, window):
+        p = zstandard.ZstdCompressionParameters(window_log=22, chain_log=18, hash_log=19, search_log=3, min_match=4, target_length=8,
+                                                strategy=zstandard.STRATEGY_GREEDY, write_content_size=False)
+        if len(content) < 8:
+            return len(zstandard.ZstdCompressor(compression_params=p).compress(window))
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=p)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(window))
+
+    d = [length(model.ordinary, c) - length(model.toxic, c) for c in cuts]
+    if not d:
+        x = [0.0] * 7
+    else:
+        best = sorted(d, reverse=True)[:max(1, len(d) // 5)]
+        top, n = sum(best) / len(best), math.log(1 + len(d))
+        x = [top, sum(d) / len(d), max(d), sum(v >= 2 for v in d) / len(d), sum(v >= 4 for v in d) / len(d), n, top * n]
+    z = model.weights[7] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights, x, model.centre, model.scale))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_equals_a_plain_version(spark, docs):
+    """Scores against a plain restatement, and the calibration against plain gradient steps."""
+    import numpy as np
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "ne"]) for _ in range(3)) for _ in range(500)]
+
+    def some(toxic):
+        return " ".join("zugglic" if toxic and rng.random() < 0.1 else rng.choice(words) for _ in range(rng.randint(1, 90)))
+
+    tox, plain = [some(True) for _ in range(60)], [some(False) for _ in range(120)]
+    model = T.train_on(tox, plain)
+    texts = tox[:10] + plain[:10] + [None, "", " ", "zugglic", "ka " * 3000]
+    out = {r.doc_id: r.score for r in T.score(docs(list(enumerate(texts))), model).collect()}
+    assert out == pytest.approx({k: plain_score(t, model) for k, t in enumerate(texts)}, abs=1e-12)
+    # the fit is where the weighted, ridged likelihood is flat
+    compressors = [T._compressor(model.toxic), T._compressor(model.ordinary)]
+    held = [(t, 1) for t in tox[40:]] + [(t, 0) for t in plain[80:]]
+    x = (np.array([T.statistics(t, *compressors) for t, _ in held]) - model.centre) / model.scale
+    slope = np.zeros(8)
+    for row, (_, y) in zip(x, held):
+        p = 1 / (1 + np.exp(-(row @ model.weights[:7] + model.weights[7])))
+        slope += (1.0 if y else 1.25) * (y - p) * np.append(row, 1.0)
+    assert np.abs(slope - np.append(model.weights[:7], 1e-6 * model.weights[7])).max() < 1e-4
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, docs, monkeypatch):
+    rows = [(k, ("bad " if k % 2 else "good ") * (200 if k % 10 else 60_000)) for k in range(60)] + [(3, "bad again"), (100, None)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(100, 1)], "doc_id long, toxic int")
+    seen = {}
+
+    def keep(tox, plain, **_):
+        seen.update(tox=tox, plain=plain)
+    monkeypatch.setattr(T, "train_on", keep)
+    T.train(docs(rows), labels, max_bytes=20_000)
+    assert sum(len(t or "") for t in seen["tox"]) <= 10_000 and sum(len(t or "") for t in seen["plain"]) <= 10_000
+    assert len(seen["tox"]) >= 10 and len(seen["plain"]) >= 9  # long texts are passed over, shorter ones still come
+    T.train(docs(rows), labels)
+    assert len(seen["tox"]) + len(seen["plain"]) == 62
+
+
 # -- operator 8 ---------------------------------------------------------------------------------------------------
 
 def pages_rows():
@@ -169,6 +236,27 @@ def test_warc_round_trip(spark, archive_bytes):
     assert W.read_archives(W.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_keepers_beyond_the_broadcast(spark, monkeypatch):
+    rows = [(k, "u", "page that is copied " * 100 if k % 3 else f"short {k}") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def read():
+        return sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in W.read_archives(W.write_archives(pages)).collect())
+
+    wide = read()
+    monkeypatch.setattr(W, "BROADCAST_BYTES", 0)
+    assert read() == wide
+    assert sum(t == "revisit" for _, t, _, _ in wide) == sum(k % 3 > 0 for k in range(400)) - 1
+
+
+def test_short_pages_share_no_key(spark):
+    """Nine tenths of the payloads are short: they are not shuffled to one task."""
+    pages = spark.range(0, 20_000, numPartitions=8).selectExpr("id page_id", "'u' url", "if(id % 10 = 0, repeat(cast(id as string), 400), 'x') html")
+    manifest = W.write_archives(pages, archive_bytes=1 << 20)
+    n = [r.n_records for r in manifest.collect()]
+    assert sum(n) == 20_000 and max(n) < 10_000
+
+
 def test_warc_files_follow_the_format(spark, tmp_path):
     import zstandard
     pages = spark.createDataFrame(pages_rows(), "page_id long, url string, html string").coalesce(1)
