@@ -13,11 +13,13 @@ each an automaton of bounded size and a scan of its own, and their hits are
 merged per document.
 
 A null text has no words. A null item id counts as an empty one; repeated item
-rows count once.
+rows count once, repeated documents are scanned each by itself. Without items nothing is hit; an empty table of
+documents gives no rows. A text of any length is scanned by one task.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -91,17 +93,19 @@ def scan(automaton, text: str | None):
 
 
 _BUILT: dict = {}
+SHARD_BYTES = 1 << 19  # of items in one automaton, which then has about four million nodes and 200 MB
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id",
-                       item_text: str = "text", window: int = 10, shard_bytes: int = 1 << 23,
+                       item_text: str = "text", window: int = 10, shard_bytes: int = SHARD_BYTES,
                        keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all by default) plus ``n_words``, ``spans`` and ``items``.
 
     ``spans``: the runs of hit words, as ranges of words and of characters of
     the original text. ``items``: sorted ids, as strings, of items with windows
     in the text. A column of ``docs`` of the same name keeps it; the new one
-    gets an underscore in front.
+    gets an underscore in front. An automaton has up to ``window`` nodes for a byte of an item, so items beyond ``shard_bytes`` are
+    dealt into shards of that size, each of which scans the documents once more.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"),
@@ -115,7 +119,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     def scanned(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
         own = bench.filter(F.pmod(F.xxhash64("item", "words"), F.lit(shards)) == k) if shards > 1 else bench
         shipped = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about shard_bytes at most
-        key = (spark.sparkContext.applicationId, k, size, id(shipped))
+        key = uuid.uuid4().hex  # of the automaton in a worker's memory
 
         def scan_all(batches):
             import pyarrow as pa
