@@ -33,7 +33,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, words
+from .common import lean, materialize, words
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 DISCOUNT = 0.75
@@ -143,7 +143,34 @@ def _blocks(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFram
 # -- sums over the corpus for keys that blocks hold ----------------------------------------------------------------
 
 SENT = "kind int, bucket int, block long, keys binary, v0 binary, v1 binary"
-BACK = "kind int, bucket int, block long, v0 binary, v1 binary, owned binary"
+BACK = "kind int, bucket int, block long, n int, v0 binary, kept binary, owned binary"
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, mostly small ones, byte plane by byte plane, compressed."""
+    import zstandard
+    width = max(1, (int(counts.max()).bit_length() + 7) // 8) if len(counts) else 1
+    planes = counts.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :len(raw) // n] = raw.reshape(-1, n).T
+    return out.view("<i8").ravel()
+
+
+def _pack_flags(flags: np.ndarray) -> bytes:
+    import zstandard
+    return zstandard.ZstdCompressor(level=3).compress(np.packbits(flags).tobytes())
+
+
+def _unpack_flags(data: bytes, n: int) -> np.ndarray:
+    import zstandard
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=n).astype(bool)
 
 
 def _send(kind: int, block: int, buckets: int, keys: np.ndarray, v0: np.ndarray, v1: np.ndarray | None = None):
@@ -173,30 +200,27 @@ def _batches(rows, schema: list, limit: int = 1 << 24):
 
 
 def _sum(group: pd.DataFrame) -> pd.DataFrame:
-    """Sums per key over the blocks of a bucket; every block gets those of its keys, one of them owns a key."""
+    """Sums per key over the blocks of a bucket; every block gets those of its keys, one of them owns a key.
+
+    Of a context's gain only the test's result goes back, a bit.
+    """
     kind = int(group["kind"].iloc[0])
     group = group.sort_values("block")
     parts = [_unpack_keys(k) for k in group["keys"]]
     sizes, keys = [len(k) for k in parts], np.concatenate(parts)
     distinct, first, inverse = _distinct(keys)
-    owned = np.zeros(len(keys), np.uint8)
-    owned[first] = 1
-    outs = []
-    for c, sent in (("v0", "<i4"), ("v1", "<f8")):
-        v = np.frombuffer(b"".join(group[c]), sent)
-        sums = np.bincount(inverse, v, len(distinct)) if len(v) else None
-        if sums is not None and c == "v0":  # half the bytes unless a count needs more
-            sums = sums.astype("<i4" if sums.max() < 1 << 31 else "<i8")
-        outs.append(None if sums is None else sums[inverse])
+    owned = np.zeros(len(keys), bool)
+    owned[first] = True
+    counts = np.bincount(inverse, np.frombuffer(b"".join(group["v0"]), "<i4"), len(distinct)).astype(np.int64)[inverse]
+    gains = np.frombuffer(b"".join(group["v1"]), "<f8")
+    kept = (np.bincount(inverse, gains, len(distinct)) > GAIN)[inverse] if len(gains) else None
     rows, at = [], 0
     for bucket, block, n in zip(group["bucket"], group["block"], sizes):
         cut = slice(at, at + n)
-        rows.append((kind, bucket, block, *(b"" if o is None else o[cut].tobytes() for o in outs),
-                     owned[cut].tobytes()))
+        rows.append((kind, bucket, block, n, _pack_counts(counts[cut]), b"" if kept is None else _pack_flags(kept[cut]),
+                     _pack_flags(owned[cut])))
         at += n
-    return pd.DataFrame(rows, columns=["kind", "bucket", "block", "v0", "v1", "owned"])
-
-
+    return pd.DataFrame(rows, columns=["kind", "bucket", "block", "n", "v0", "kept", "owned"])
 
 
 class _Back:
@@ -207,12 +231,13 @@ class _Back:
         for r in sorted(rows or (), key=lambda r: (r["kind"], r["bucket"])):
             self.rows.setdefault(r["kind"], []).append(r)
 
-    def values(self, kind: int, column: str = "v0") -> np.ndarray:
-        rows = self.rows.get(kind, ())
-        if column == "v0":  # 32 or 64 bits, as the bucket needed
-            parts = [np.frombuffer(r["v0"], "<i4" if len(r["v0"]) == 4 * len(r["owned"]) else "<i8") for r in rows]
-            return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-        return np.frombuffer(b"".join(r[column] for r in rows), "<f8" if column == "v1" else np.uint8)
+    def counts(self, kind: int) -> np.ndarray:
+        parts = [_unpack_counts(r["v0"], r["n"]) for r in self.rows.get(kind, ())]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def flags(self, kind: int, column: str) -> np.ndarray:
+        parts = [_unpack_flags(r[column], r["n"]) for r in self.rows.get(kind, ())]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
 # kinds of keys: words; then for every level its pairs and its contexts
@@ -259,15 +284,16 @@ class _Level:
 
     def settle(self) -> None:
         """Lets go of what only the sums of the level and the next one need."""
-        del self.keys, self.train, self.context, self.owned, self.names, self.shorter_tested
+        for name in ("keys", "train", "context", "owned", "names", "shorter_tested"):
+            self.__dict__.pop(name, None)
 
     def tested(self, count: np.ndarray, shorter: np.ndarray, left_out: int = 0) -> np.ndarray:
         """Next-word probability of every pair, as the divergence test takes it."""
         return (count - left_out + PRIOR * shorter) / (self.size - left_out + PRIOR)
 
 
-def _walk(row, depth: int, least: list[int], root: _Root | None):
-    """A block's arrays, level by level, as far as what came back allows."""
+def _walk(row, depth: int, least: list[int], root: _Root | None, named):
+    """A block's arrays, level by level, as far as what came back allows. ``named``: levels whose contexts are wanted."""
     back = _Back(row["back"])
     vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
     order = np.argsort(vocabulary)
@@ -277,7 +303,7 @@ def _walk(row, depth: int, least: list[int], root: _Root | None):
     if WORDS not in back.rows:
         return state
     count = np.empty(len(vocabulary), np.int64)
-    count[order] = back.values(WORDS)
+    count[order] = back.counts(WORDS)
     state["count"] = count[tokens]
     if root is None:
         return state
@@ -296,10 +322,11 @@ def _walk(row, depth: int, least: list[int], root: _Root | None):
         state["levels"].append(level)
         if _pairs(k) not in back.rows and len(at):
             break
-        level.count = back.values(_pairs(k))
+        level.count = back.counts(_pairs(k))
         level.shorter_tested = shorter[level.first]
-        level.owned = back.values(_pairs(k), "owned").astype(bool)
-        level.names, _, level.number = _distinct(level.context)
+        level.owned = back.flags(_pairs(k), "owned")
+        if k in named:
+            level.names, _, level.number = _distinct(level.context)
         # the level's own probability where it has one, for the test of the next level
         shorter = shorter.copy()
         shorter[at] = level.tested(level.count, level.shorter_tested)[level.inverse]
@@ -331,12 +358,12 @@ def _scores(state, root: _Root, depth: int) -> np.ndarray:
     for k, level in enumerate(state["levels"][:depth]):
         if not len(level.at):
             break
-        next_words = state["back"].values(_contexts(k), "v0")[level.number].astype(float)
-        gain = state["back"].values(_contexts(k), "v1")[level.number]
+        next_words = state["back"].counts(_contexts(k))[level.number].astype(float)
+        passed = state["back"].flags(_contexts(k), "kept")[level.number]
         shorter = p[level.first]
         own = (np.maximum(level.count - DISCOUNT, 0) + DISCOUNT * next_words * shorter) / level.size
         p[level.at] = own[level.inverse]
-        kept = (gain > GAIN)[level.inverse]
+        kept = passed[level.inverse]
         best[level.at[kept]] = p[level.at[kept]]
     return np.log10(best)
 
@@ -369,23 +396,23 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     least = list(least)
     sent_schema = _arrow(SENT)
 
-    def passed(back: DataFrame | None, fn, name: str, root, schema: str = SENT) -> DataFrame:
+    def passed(back: DataFrame | None, fn, name: str, root, schema: str = SENT, named=()) -> DataFrame:
         """One pass over the blocks with all that came back to them; what they send is summed and returned to them."""
         rows = blocks
         if back is None:
-            rows = rows.withColumn("back", F.lit(None).cast("array<struct<kind:int,bucket:int,v0:binary,v1:binary,owned:binary>>"))
+            rows = rows.withColumn("back", F.lit(None).cast("array<struct<kind:int,bucket:int,n:int,v0:binary,kept:binary,owned:binary>>"))
         else:
-            rows = rows.join(back.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "v0", "v1", "owned"))
+            rows = rows.join(back.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "n", "v0", "kept", "owned"))
                                                        .alias("back")), "block", "left")
 
         def run(batches):
             for b in batches:
                 for row in b.to_pylist():
-                    yield from fn(row, _walk(row, depth, least, root))
+                    yield from fn(row, _walk(row, depth, least, root, named))
 
-        out = rows.mapInArrow(run, schema)
+        out = rows.mapInArrow(lean(run), schema)
         if schema == SENT:
-            out = out.groupBy("kind", "bucket").applyInPandas(_sum, BACK)
+            out = out.groupBy("kind", "bucket").applyInPandas(lean(_sum), BACK)
         with _few_rows(spark, 1):
             return materialize(out, name, release=True)
 
@@ -407,13 +434,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 out += _send(_pairs(k), row["block"], buckets, s["levels"][k].keys, s["levels"][k].train)
             return _batches(out, sent_schema)
 
-        back = back.unionByName(passed(back, send, "lm-pair-counts", root))
+        back = back.unionByName(passed(back, send, "lm-pair-counts", root, named=(k - 1,)))
 
     def send_last(row, s):
         names, words_after, gain = _context_sums(s["levels"][depth - 1])
         return _batches(_send(_contexts(depth - 1), row["block"], buckets, names, words_after, gain), sent_schema)
 
-    back = back.unionByName(passed(back, send_last, "lm-context-sums", root))
+    back = back.unionByName(passed(back, send_last, "lm-context-sums", root, named=(depth - 1,)))
 
     def finish(row, s):
         import pyarrow as pa
@@ -427,7 +454,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
 
     key_type = _arrow(f"key {kind}")[0][1]
     return passed(back, finish, "lm-scores", root, f"`{key}` {kind}, train boolean, n_tokens long, n_known long, "
-                                                   "train_tokens long, base_score double, score double")
+                                                   "train_tokens long, base_score double, score double",
+                  named=range(depth))
 
 
 def _arrow(schema: str) -> list:
@@ -444,8 +472,8 @@ def _root(back: DataFrame) -> _Root:
         import pyarrow as pa
         sums = np.zeros(4)
         for b in batches:
-            for v, o in zip(b.column("v0").to_pylist(), b.column("owned").to_pylist()):
-                c = np.frombuffer(v, "<i4" if len(v) == 4 * len(o) else "<i8")[np.frombuffer(o, np.uint8) > 0]
+            for n, v, o in zip(*(b.column(c).to_pylist() for c in ("n", "v0", "owned"))):
+                c = _unpack_counts(v, n)[_unpack_flags(o, n)]
                 sums += c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=list("abcd"))
 
