@@ -82,7 +82,7 @@ def materialize(df: DataFrame, name: str, release: bool = False, keep: bool = Fa
     return spark.read.schema(schema).parquet(path)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: a Python worker serves many tasks, and its peak would otherwise stay with it."""
     import ctypes
     import pyarrow as pa
@@ -98,12 +98,12 @@ def lean(fn):
     if inspect.isgeneratorfunction(fn):
         def run(batches):
             yield from fn(batches)
-            _give_back()
+            give_back()
         return run
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         out = fn(rows)
-        _give_back()
+        give_back()
         return out
     return group
 

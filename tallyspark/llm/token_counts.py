@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..session import scratch_path
-from .common import collect_garbage, fresh, tokenizer_path
+from .common import collect_garbage, fresh, give_back, lean, tokenizer_path
 
 _LOADED: dict[str, object] = {}
 
@@ -73,7 +74,7 @@ def content_digests(path: str):
     return lambda texts: [digest(t) for t in texts]
 
 
-def _chunks(texts: list[str], limit: int = 1 << 22):
+def _chunks(texts: list[str], limit: int = 1 << 20):
     """Runs of texts of about ``limit`` characters, so that the ids of few texts are held at once."""
     run, size = [], 0
     for t in texts:
@@ -115,8 +116,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", cache: str
     key = fresh("digest", docs.columns)
 
     @F.pandas_udf("string")
-    def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series(content_digests(path)(texts))
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        digests = content_digests(path)
+        for texts in batches:
+            yield pd.Series(digests(texts))
+        give_back()
 
     if path.endswith(".model"):
         name = digest(F.col(text))
@@ -135,7 +139,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", cache: str
             n = [c for run in _chunks(list(b["text"])) for c in count(run)]
             yield pd.DataFrame({"digest": b["digest"], "n_tokens": pd.Series(n, dtype="int64")})
 
-    (misses.mapInPandas(encode, "digest string, n_tokens long")
+    (misses.mapInPandas(lean(encode), "digest string, n_tokens long")
      .withColumn("tokenizer", F.lit(version)).withColumn("run", F.lit(run)).write.mode("append").parquet(cache))
     collect_garbage(spark)  # the shuffle of the texts is done with
     found = fresh("found", [*docs.columns, key])
