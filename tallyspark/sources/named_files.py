@@ -33,6 +33,7 @@ FORMAT = "named_files"
 STAGING = "_staging-"
 OPEN_COST = 64 << 10  # bytes that opening a file counts as
 MOVERS = 16
+MOVED_AT_ONCE = 2000  # names that the movers are given together
 
 
 def _open_fs(path: str):
@@ -100,7 +101,7 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    attempt: str  # its staging folder
+    attempt: str  # its folder in the staging folder
     names: list
 
 
@@ -116,8 +117,9 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator):
         fs, root = _open_fs(self.root)
-        attempt = f"{self.staging}/{uuid.uuid4().hex}"
-        fs.create_dir(f"{root}/{attempt}", recursive=False)  # fails once the job has been given up and its staging folder removed
+        attempt = uuid.uuid4().hex
+        place = f"{root}/{self.staging}/{attempt}"
+        fs.create_dir(place, recursive=False)  # fails once the job has been given up and its staging folder removed
         names, seen, out, current = [], set(), None, None
         as_bytes = lambda v: v.encode() if isinstance(v, str) else v
         try:
@@ -133,7 +135,7 @@ class _Writer(DataSourceArrowWriter):
                             raise ValueError(f"rows of {name!r} are not consecutive")
                         seen.add(name)
                         names.append(name)
-                        path = f"{root}/{attempt}/{name}"
+                        path = f"{place}/{name}"
                         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                         out, current = fs.open_output_stream(path), name
                         if header is not None:
@@ -149,22 +151,25 @@ class _Writer(DataSourceArrowWriter):
         from pyarrow import fs as afs
         fs, root = _open_fs(self.root)
         try:
-            moves = {}
+            seen, folders = set(), set()
             for m in messages:
                 for name in m.names if m else ():
-                    if name in moves:
+                    if name in seen:
                         raise ValueError(f"two tasks wrote {name!r}")
-                    moves[name] = f"{root}/{m.attempt}/{name}"
+                    seen.add(name)
+                    folders.add(name.rpartition("/")[0])
+            del seen
+            moves = [(m.attempt, m.names[a:a + MOVED_AT_ONCE]) for m in messages if m for a in range(0, len(m.names), MOVED_AT_ONCE)]
             if not self.overwrite:
-                names = list(moves)
-                for a in range(0, len(names), 1000):
-                    there = [i.path for i in fs.get_file_info([f"{root}/{n}" for n in names[a:a + 1000]]) if i.type != afs.FileType.NotFound]
+                for _, names in moves:
+                    there = [i.path for i in fs.get_file_info([f"{root}/{n}" for n in names]) if i.type != afs.FileType.NotFound]
                     if there:
                         raise FileExistsError(there[0])
-            for folder in {f"{root}/{n}".rsplit("/", 1)[0] for n in moves}:
-                fs.create_dir(folder, recursive=True)
+            for folder in folders - {""}:
+                fs.create_dir(f"{root}/{folder}", recursive=True)
             with ThreadPoolExecutor(MOVERS) as pool:
-                list(pool.map(lambda n: fs.move(moves[n], f"{root}/{n}"), moves))
+                for attempt, names in moves:
+                    list(pool.map(lambda n, a=attempt: fs.move(f"{root}/{self.staging}/{a}/{n}", f"{root}/{n}"), names))
         finally:
             self._clear(fs, root)
 
