@@ -26,6 +26,7 @@ from ..session import scratch_path
 from .common import collect_garbage, fresh, give_back, lean, tokenizer_path
 
 _LOADED: dict[str, object] = {}
+DIGEST_BYTES, BROADCAST_BYTES = 100, 64 << 20  # digests that are broadcast at most
 
 
 def tokenizer_digest(path: str) -> str:
@@ -128,9 +129,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", cache: str
         name = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     keyed = docs.withColumn(key, name)
 
-    distinct = (docs.select(name.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-                .groupBy("digest").agg(F.first("text").alias("text")))
+    texts = docs.select(name.alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     stored = read_cache(spark, cache, version)
+    if stored is not None:
+        stored = stored.select("digest")
+        if stored.count() * DIGEST_BYTES <= BROADCAST_BYTES:  # known texts are not shuffled at all
+            texts, stored = texts.join(F.broadcast(stored), "digest", "left_anti"), None
+    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct if stored is None else distinct.join(stored, "digest", "left_anti")
 
     def encode(batches):

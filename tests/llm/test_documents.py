@@ -52,7 +52,10 @@ def words(t):
 
 # -- operator 4 ---------------------------------------------------------------------------------------------------
 
-def test_token_counts_equal_the_library(spark, docs, tmp_path):
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_token_counts_equal_the_library(spark, docs, tmp_path, monkeypatch, broadcast):
+    from tallyspark.llm import token_counts
+    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", broadcast)
     import public_tokenizers
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
