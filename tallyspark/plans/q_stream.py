@@ -108,7 +108,7 @@ def s1_status_with_limits_stream(spark, sf_dir):
     """The same view from a stream whose state holds open tasks only, with timers and a compacted update table."""
     log_dir = scratch_path(spark, "timed-log")
     _timed_log(spark, sf_dir).repartitionByRange("seq").write.option("maxRecordsPerFile", FILE_ROWS).parquet(log_dir)
-    out, _ = TL.run_task_stream(spark, log_dir, limit_seconds=_LIMIT, delay=f"{_DELAY} seconds", compact_every=2)
+    out, _ = TL.run_task_stream(spark, log_dir, limit_seconds=_LIMIT, delay=f"{_DELAY} seconds", files_per_trigger=4, compact_every=2)
     return TL.current_view(spark, out).select("task_id", "status", "code", "error")
 
 

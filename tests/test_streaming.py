@@ -110,3 +110,23 @@ def test_update_table_survives_lost_compactions(spark):
     t.append(batch([(2, 1, True, "timeout")]), 2)
     assert t.n_folders() == 2
     assert sorted(tuple(r) for r in t.current().collect()) == [(1, 2, False, "c"), (2, 1, True, "timeout")]
+
+
+def test_shards_hold_ended_tasks_for_the_limit_only(spark):
+    """Entries before and after the one that ended their task, null times, equal places; many tasks of a shard in one batch."""
+    n = 3 * TL.SHARDS
+    files = [[(k, 10, "completed:{}", 5) for k in range(n)] + [(-1, 1, "processing: never", None), (-2, 3, "processing: a", 4)],
+             [(k, 9, "processing: older", 4) for k in range(n)] + [(-2, 4, "processing: b", 6), (-2, 2, "failed:older", 6), (-3, 1, "error:c", None)],
+             [(-4, 1, "processing: d", 30)]]
+    d = scratch_path(spark, "t-shards")
+    out = ckpt = None
+    for f in files:
+        entries(spark, f).coalesce(1).write.mode("append").parquet(d)
+        out, ckpt = TL.run_task_stream(spark, d, out, ckpt, limit_seconds=900, delay="0 seconds")
+        if f is files[1]:
+            assert sorted(tuple(r) for r in TL.open_tasks(spark, ckpt).select("task_id", "seq").collect()) == [(-2, 4), (-1, 1)]
+    log = entries(spark, [r for f in files for r in f])
+    assert view(TL.current_view(spark, out)) == view(TL.latest_with_limit(log, 900, 0))
+    left = spark.read.format("statestore").option("stateVarName", "task").load(ckpt).select(F.explode("value.task_id").alias("t"))
+    assert sorted(r.t for r in left.collect()) == [-4, -1]
+    assert {r.task_id: r.expiry for r in TL.open_tasks(spark, ckpt).collect()}[-1] is None
