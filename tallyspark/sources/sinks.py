@@ -18,14 +18,13 @@ def _parts(rows: DataFrame, key: str, file_rows: int) -> int:
     return max(1, -(-largest // file_rows))
 
 
-def write_candidates(long: DataFrame, path: str, mode: str = "overwrite", file_rows: int = 1_000_000) -> None:
+def write_candidates(long: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Long candidates ``task_id, system, code`` partitioned by system.
 
-    A system's rows are dealt by a hash of the task into as many parts as the largest system needs, so
-    a system that holds most rows is not written by one task; the adaptive planner joins small ones.
+    Rows are dealt evenly, whatever their system, and the adaptive planner joins small parts and splits large ones by their bytes: a
+    system that holds most rows is not written by one task, and neither are long codes.
     """
-    part = F.pmod(F.xxhash64("task_id"), F.lit(_parts(long, "system", file_rows)))
-    long.repartition("system", part).write.mode(mode).partitionBy("system").parquet(path)
+    long.hint("rebalance").write.mode(mode).partitionBy("system").parquet(path)
 
 
 def read_candidates(spark: SparkSession, path: str, systems: list[str] | None = None) -> DataFrame:

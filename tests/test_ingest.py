@@ -168,6 +168,21 @@ def test_candidates_of_one_large_system_are_written_by_many_tasks(spark, tmp_pat
     assert SK.read_candidates(spark, str(tmp_path / "c")).count() == 4000
 
 
+def test_candidates_with_long_codes_are_written_by_many_tasks(spark, tmp_path):
+    from tallyspark.sources import sinks as SK
+    name, code = "spark.sql.adaptive.advisoryPartitionSizeInBytes", F.sha2(F.concat(F.col("id").cast("string"), F.lit("-"), F.col("k").cast("string")), 512)
+    df = (spark.range(400).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(80)))).repartition(8, "id").groupBy("id").agg(F.concat_ws("", F.collect_list(code)).alias("code"))
+          .select(F.lit(None).cast("long").alias("task_id"), F.lit("one").alias("system"), "code"))
+    spark.conf.set(name, "256k")
+    try:
+        SK.write_candidates(df, str(tmp_path / "c"))
+    finally:
+        spark.conf.unset(name)
+    sizes = [f.stat().st_size for f in (tmp_path / "c" / "system=one").glob("*.parquet")]
+    assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert SK.read_candidates(spark, str(tmp_path / "c"), ["one"]).count() == 400
+
+
 def test_null_outcomes_fail(spark):
     from tallyspark.operators import scoring as S
     df = spark.createDataFrame([("s", 1, "p", "O0", True), ("s", 1, "p", "O0", None), ("s", 2, "p", "O0", True)],
