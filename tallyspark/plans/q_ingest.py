@@ -1012,5 +1012,6 @@ def a5_discover_probes(spark, sf_dir):
              .otherwise(F.concat(F.lit("fuzz_"), k.cast("string"))))
     content = F.concat(F.when(k % 3 != 0, F.lit(I.ELF_MAGIC + b"\x02\x01")).otherwise(F.lit(b"#!/bin/sh ")), F.encode("p_name", "UTF-8"))
     path = scratch_path(spark, "probes")
-    write_named_files(p, path, F.concat(F.lit("suite"), F.floor(k / 20).cast("string"), F.lit("/"), probe), content)
+    suite = F.concat(F.lit("suite"), F.floor(k / 20).cast("string"))
+    write_named_files(p, path, F.concat(suite, F.lit("/"), probe), content, folder=suite)
     return I.discover_probes(spark, path).select("suite", "probe")

@@ -9,8 +9,8 @@ bytes; a task reads its files, or only their first ``head`` bytes. Options: ``su
 
 Writing (rows of ``name``, ``content`` and perhaps ``header``): consecutive rows of one name make one file, which begins with the header
 of its first row; null contents add nothing. Each attempt of a task writes to a staging folder of its own and reports its names; when all tasks
-have ended, the commit moves the files of the reported attempts to their places and removes the staging folder, so a lost task or a job that
-fails leaves no file. A name that two tasks report, or (without ``mode("overwrite")``) one that exists, fails the commit before anything is moved;
+have ended, the commit moves the files of the reported attempts to their places (a new folder that one task wrote goes whole) and removes the
+staging folder, so a lost task or a job that fails leaves no file. A name that two tasks report, or (without ``mode("overwrite")``) one that exists, fails the commit before anything is moved;
 a name that leaves the folder fails the task. ``overwrite`` replaces files of the same names and keeps others.
 
 Tasks reach files through ``pyarrow.fs`` (local and mounted folders, hdfs, s3, gs, abfs). The planner holds one name and
@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import chain, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ STAGING = "_staging-"
 OPEN_COST = 64 << 10  # bytes that opening a file counts as
 MOVERS = 16
 MOVED_AT_ONCE = 2000  # names that the movers are given together
+RENAMING = ("local", "hdfs")  # file systems in which moving a folder does not copy its files
 
 
 def _open_fs(path: str):
@@ -44,6 +47,16 @@ def _open_fs(path: str):
     return fs.FileSystem.from_uri(path.rstrip("/"))
 
 
+def _inside(folder: str, name: str) -> str:
+    return f"{folder}/{name}" if folder else name
+
+
+def _above(folder: str) -> list[str]:
+    """The folders that hold ``folder``."""
+    steps = folder.split("/")
+    return ["/".join(steps[:k]) for k in range(1, len(steps))]
+
+
 def _true(value: str | None, default: bool) -> bool:
     return default if value is None else value.lower() == "true"
 
@@ -66,10 +79,21 @@ class _Reader(DataSourceReader):
         from pyarrow import fs as afs
         fs, root = _open_fs(self.root)
         found = []
-        for info in fs.get_file_info(afs.FileSelector(root, recursive=self.recursive, allow_not_found=True)):
-            inside = info.path[len(root):].strip("/").split("/")
-            if info.type == afs.FileType.File and inside[-1].endswith(self.suffix) and not any(p[0] in "_." for p in inside):
-                found.append((info.path, info.size))
+
+        def files(infos):
+            for info in infos:
+                inside = info.path[len(root):].strip("/").split("/")
+                if info.type == afs.FileType.File and inside[-1].endswith(self.suffix) and not any(p[0] in "_." for p in inside):
+                    yield info.path, info.size
+
+        top = fs.get_file_info(afs.FileSelector(root, recursive=False, allow_not_found=True))
+        found.extend(files(top))
+        if self.recursive:  # folder by folder, so no more is held of a file than its path and size
+            folders = iter([i.path for i in top if i.type == afs.FileType.Directory and i.path[len(root):].strip("/")[0] not in "_."])
+            with ThreadPoolExecutor(MOVERS) as pool:
+                while some := list(islice(folders, MOVED_AT_ONCE)):
+                    for held in pool.map(lambda f: list(files(fs.get_file_info(afs.FileSelector(f, recursive=True, allow_not_found=True)))), some):
+                        found.extend(held)
         found.sort()
         parts, held, cost = [], [], 0
         for path, size in found:
@@ -102,7 +126,7 @@ class _Reader(DataSourceReader):
 @dataclass
 class _Written(WriterCommitMessage):
     attempt: str  # its folder in the staging folder
-    names: list
+    folders: dict  # names in each folder
 
 
 class _Writer(DataSourceArrowWriter):
@@ -120,7 +144,7 @@ class _Writer(DataSourceArrowWriter):
         attempt = uuid.uuid4().hex
         place = f"{root}/{self.staging}/{attempt}"
         fs.create_dir(place, recursive=False)  # fails once the job has been given up and its staging folder removed
-        names, seen, out, current = [], set(), None, None
+        folders, out, current = {}, None, None
         as_bytes = lambda v: v.encode() if isinstance(v, str) else v
         try:
             for batch in iterator:
@@ -131,13 +155,14 @@ class _Writer(DataSourceArrowWriter):
                             out.close()
                         if not name or name[0] == "/" or any(p in ("", ".", "..") or p[0] in "_." for p in name.split("/")):
                             raise ValueError(f"not a name for a file: {name!r}")
-                        if name in seen:
+                        folder, _, last = name.rpartition("/")
+                        if folder not in folders:
+                            fs.create_dir(f"{place}/{folder}", recursive=True)
+                            folders[folder] = {}
+                        if last in folders[folder]:
                             raise ValueError(f"rows of {name!r} are not consecutive")
-                        seen.add(name)
-                        names.append(name)
-                        path = f"{place}/{name}"
-                        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                        out, current = fs.open_output_stream(path), name
+                        folders[folder][last] = None
+                        out, current = fs.open_output_stream(f"{place}/{name}"), name
                         if header is not None:
                             out.write(as_bytes(header))
                     if content is not None:
@@ -145,31 +170,45 @@ class _Writer(DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
-        return _Written(attempt, names)
+        return _Written(attempt, {f: list(names) for f, names in folders.items()})
 
     def commit(self, messages):
         from pyarrow import fs as afs
         fs, root = _open_fs(self.root)
         try:
-            seen, folders = set(), set()
+            messages = [m for m in messages if m]
+            writers = Counter(f for m in messages for f in m.folders)
+            shared = {f: set() for f, n in writers.items() if n > 1}
             for m in messages:
-                for name in m.names if m else ():
-                    if name in seen:
-                        raise ValueError(f"two tasks wrote {name!r}")
-                    seen.add(name)
-                    folders.add(name.rpartition("/")[0])
-            del seen
-            moves = [(m.attempt, m.names[a:a + MOVED_AT_ONCE]) for m in messages if m for a in range(0, len(m.names), MOVED_AT_ONCE)]
-            if not self.overwrite:
-                for _, names in moves:
-                    there = [i.path for i in fs.get_file_info([f"{root}/{n}" for n in names]) if i.type != afs.FileType.NotFound]
-                    if there:
-                        raise FileExistsError(there[0])
-            for folder in folders - {""}:
-                fs.create_dir(f"{root}/{folder}", recursive=True)
+                for folder in shared.keys() & m.folders.keys():
+                    for name in m.folders[folder]:
+                        if name in shared[folder]:
+                            raise ValueError(f"two tasks wrote {_inside(folder, name)!r}")
+                        shared[folder].add(name)
+            del shared
             with ThreadPoolExecutor(MOVERS) as pool:
-                for attempt, names in moves:
-                    list(pool.map(lambda n, a=attempt: fs.move(f"{root}/{self.staging}/{a}/{n}", f"{root}/{n}"), names))
+                def each(f, items):
+                    items = iter(items)
+                    while some := list(islice(items, MOVED_AT_ONCE)):
+                        yield from pool.map(f, some)
+
+                def exists(at):
+                    return fs.get_file_info(f"{root}/{at}").type != afs.FileType.NotFound
+
+                # a new folder that one task wrote, and that holds no other, is moved whole where a folder has a name to change
+                inner = {a for f in writers for a in _above(f)}
+                alone = [f for f, n in writers.items() if f and n == 1 and f not in inner] if fs.type_name in RENAMING else []
+                whole = {f for f, there in zip(alone, each(exists, alone)) if not there}
+                names = lambda: ((m.attempt, _inside(f, n)) for m in messages for f in m.folders if f not in whole for n in m.folders[f])
+                if not self.overwrite:
+                    for (_, name), there in zip(names(), each(exists, (n for _, n in names()))):
+                        if there:
+                            raise FileExistsError(f"{root}/{name}")
+                for folder in {f.rpartition("/")[0] if f in whole else f for f in writers} - {""}:
+                    fs.create_dir(f"{root}/{folder}", recursive=True)
+                moves = chain(((m.attempt, f) for m in messages for f in m.folders if f in whole), names())
+                for _ in each(lambda x: fs.move(f"{root}/{self.staging}/{x[0]}/{x[1]}", f"{root}/{x[1]}"), moves):
+                    pass
         finally:
             self._clear(fs, root)
 
@@ -217,12 +256,15 @@ def read_named_files(spark: SparkSession, root: str, **options) -> DataFrame:
 
 
 def write_named_files(rows: DataFrame, root: str, name: Column, content: Column, header: Column | None = None,
-                      order: Column | None = None, overwrite: bool = False) -> None:
+                      order: Column | None = None, overwrite: bool = False, folder: Column | None = None) -> None:
     """One file per ``name``. With ``order``, rows of a name are brought together and written in that order; without, each
-    row is a file and stays where it is."""
+    row is a file and stays where it is, or goes to the task of its ``folder``: small rows lie in few parts, and a file takes the
+    same time however small."""
     register_format(rows.sparkSession)
     columns = [name.alias("name"), content.alias("content")] + ([] if header is None else [header.alias("header")])
     if order is None:
+        if folder is not None:  # a given number of parts is not joined by their bytes
+            rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), folder)
         out = rows.select(*columns)
     else:
         out = (rows.select(*columns, order.alias("_order")).repartition("name").sortWithinPartitions("name", "_order").drop("_order"))

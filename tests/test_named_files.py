@@ -118,3 +118,43 @@ def test_result_files_are_named_by_system(spark, tmp_path):
     for k in range(400):
         exp["angr" if k % 4 else "b x", k % 50] = f"c{k}"
     assert {(r.system, r.task_id): r.code for r in I.read_headered_jsonl(spark, str(tmp_path)).collect()} == exp
+
+
+def test_new_folders_of_one_task_are_moved_whole(tmp_path, monkeypatch):
+    """Folders that two tasks wrote, that exist or that hold folders are moved file by file; a name that exists fails before any move."""
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "there").write_text("before")
+
+    def write(*tasks):
+        w = N._Writer({"path": str(tmp_path)}, ["name", "content"], False)
+        return w, [w.write(iter([pa.record_batch({"name": list(t), "content": [n.encode() for n in t]})])) for t in tasks]
+
+    real, moved = N._open_fs, []
+
+    class Counting:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def move(self, a, b):
+            moved.append(b[len(str(tmp_path)) + 1:])
+            self.fs.move(a, b)
+
+    monkeypatch.setattr(N, "_open_fs", lambda p: (Counting(real(p)[0]), real(p)[1]))
+    w, m = write(["a/x/1", "a/x/2", "b/1", "old/1", "top", "c/1", "c/d/1"], ["a/y/1", "b/2", "e/1"])
+    w.commit([*m, None])
+    assert sorted(moved) == ["a/x", "a/y", "b/1", "b/2", "c/1", "c/d", "e", "old/1", "top"]
+    files = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert files.pop("old/there") == "before" and files == {n: n for n in files}
+    assert sorted(files) == ["a/x/1", "a/x/2", "a/y/1", "b/1", "b/2", "c/1", "c/d/1", "e/1", "old/1", "top"]
+    del moved[:]
+    for tasks in ([["new/1", "old/there"]], [["new/1"], ["new/1"]]):
+        w, m = write(*tasks)
+        with pytest.raises((FileExistsError, ValueError)):
+            w.commit(m)
+    assert not moved and not (tmp_path / "new").exists() and not list(tmp_path.glob("_*"))
+    got = sorted(p for part in N._Reader({"path": str(tmp_path)}).partitions() for p, _ in part.files)
+    assert got == sorted(str(tmp_path / n) for n in [*files, "old/there"])
+    assert [p for part in N._Reader({"path": str(tmp_path), "recursive": "false"}).partitions() for p, _ in part.files] == [str(tmp_path / "top")]
