@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import java_regex, py_strip
+from ..session import scratch_path
 from .listings import ADDRESS_COMMENT, RANGE_ADDRESS, RANGE_MARKER
 
 BLOCK_CHARS = 1 << 16
@@ -133,54 +134,117 @@ def block_listing_bodies(blocks: DataFrame, requests: DataFrame, key: str = "lis
     return _joined(bodies, blocks.select(key, "block", "piece"), key, part, ["address"])
 
 
+def _scan_token_block(braces: list, marks: list):
+    """(change of depth, first '{', first place of each depth, the same from the first '{' on, marks) of a block of tokens."""
+    pos, delta = (np.array([b[c] for b in braces], np.int64) for c in ("pos", "delta"))
+    depth, opens = np.cumsum(delta), pos[delta > 0]
+
+    def first(since: int):
+        depths, at = np.unique(depth[since:], return_index=True)
+        return [{"depth": int(d), "at": int(pos[since + k])} for d, k in zip(depths, at)]
+
+    found = []
+    for m in marks:
+        k, o = np.searchsorted(pos, m["pos"], "right"), np.searchsorted(opens, m["pos"], "right")
+        before, begin, close = int(depth[k - 1]) if k else 0, None, None
+        if o < len(opens):
+            begin = int(opens[o])
+            since = np.searchsorted(pos, begin)
+            hits = np.flatnonzero(depth[since:] == before)
+            close = int(pos[since + hits[0]]) if len(hits) else None
+        found.append({"at": m["pos"], "address": m["address"], "depth": before, "open": begin, "close": close})
+    return (int(delta.sum()), int(opens[0]) if len(opens) else None, first(0),
+            first(int(np.searchsorted(pos, opens[0]))) if len(opens) else [], found)
+
+
+def _scanned_tokens(blocks: DataFrame, key: str) -> DataFrame:
+    kind = blocks.schema[key].dataType.simpleString()
+
+    def scan(batches):
+        import pyarrow as pa
+        pair = pa.list_(pa.struct([("depth", pa.int64()), ("at", pa.int64())]))
+        mark = pa.list_(pa.struct([("at", pa.int64()), ("address", pa.string()), ("depth", pa.int64()), ("open", pa.int64()), ("close", pa.int64())]))
+        kinds = [pa.int64(), pa.int64(), pair, pair, mark]
+        for b in batches:
+            found = [*zip(*map(_scan_token_block, b.column("braces").to_pylist(), b.column("marks").to_pylist()))] or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("block"), *map(pa.array, found, kinds)],
+                                             names=[key, "block", "change", "open", "closes", "after", "marks"])
+
+    pairs = "array<struct<depth: long, at: long>>"
+    return blocks.select(key, "block", "braces", "marks").mapInArrow(
+        scan, f"`{key}` {kind}, block long, change long, open long, closes {pairs}, after {pairs}, "
+              "marks array<struct<at: long, address: string, depth: long, open: long, close: long>>")
+
+
+def _cut_tokens(wanted: DataFrame, key: str) -> DataFrame:
+    """``key, block, address, part``: of every block's ``tokens`` those that its ``wants`` (address, start, close) name, joined."""
+    kind = wanted.schema[key].dataType.simpleString()
+
+    def cut(batches):
+        import pyarrow as pa
+        for b in batches:
+            tokens, row, address, part, size = b.column("tokens"), [], [], [], 0
+            for k, wants in enumerate(b.column("wants").to_pylist()):
+                held = tokens[k].values  # one block's
+                pos = np.asarray(held.field("pos"))
+                for w in wants:
+                    a, e = np.searchsorted(pos, (w["start"], w["close"]), "right")
+                    row.append(k)
+                    address.append(w["address"])
+                    part.append("".join(held.field("val").slice(a, e - a).to_pylist()))
+                size += sum(map(len, part[len(part) - len(wants):])) if wants else 0
+                if k + 1 == b.num_rows or size > 4 << 20:
+                    at = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column("block").take(at), pa.array(address, pa.string()),
+                                                      pa.array(part, pa.string())], names=[key, "block", "address", "part"])
+                    row, address, part, size = [], [], [], 0
+
+    return wanted.select(key, "block", "tokens", "wants").mapInArrow(cut, f"`{key}` {kind}, block long, address string, part string")
+
+
 def block_token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listing_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """P3 over a token stream ``(key, pos, kind, val)`` of any length; same rules as
     :func:`~tallyspark.operators.listings.token_list_bodies`.
 
-    Windows are per block of ``block_tokens`` positions; only block summaries are ordered over a listing.
+    Tokens are shuffled once, into blocks of ``block_tokens`` positions; depths change at braces only, so what follows works on
+    braces and comments, and blocks' summaries are all that is ordered over a listing.
     """
-    address = F.when((F.col("kind") == "cmnt") & F.col("val").contains(RANGE_MARKER),
-                     F.nullif(F.regexp_extract("val", java_regex(RANGE_ADDRESS), 0), F.lit("")))
-    wanted = requests.select(key, "address").dropna().distinct().withColumn("wanted", F.lit(True))
-    t = tokens.select(key, "pos", "val", F.floor(F.col("pos") / block_tokens).cast("long").alias("block"), address.alias("address"))
-    # only comments meet the requests
-    t = (t.filter(F.col("address").isNull()).withColumn("wanted", F.lit(False))
-         .unionByName(t.filter(F.col("address").isNotNull()).join(wanted, [key, "address"], "left")
-                      .withColumn("wanted", F.coalesce("wanted", F.lit(False)))))
-    delta = F.when(F.col("val") == "{", 1).when(F.col("val") == "}", -1).otherwise(0)
-    inside = Window.partitionBy(key, "block").orderBy("pos")
-    t = t.select(key, "block", "pos", "val", F.when(F.col("wanted"), F.col("address")).alias("address"), delta.alias("delta"),
-                 F.sum(delta).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("rel"),
-                 F.min(F.when(F.col("val") == "{", F.col("pos"))).over(inside.rowsBetween(1, Window.unboundedFollowing)).alias("own_open"))
-    t = t.checkpoint()
-    summary = t.groupBy(key, "block").agg(F.sum("delta").alias("change"), F.min(F.when(F.col("val") == "{", F.col("pos"))).alias("open"))
+    spark, val = tokens.sparkSession, F.col("val")
+    address = F.when((F.col("kind") == "cmnt") & val.contains(RANGE_MARKER), F.nullif(F.regexp_extract("val", java_regex(RANGE_ADDRESS), 0), F.lit("")))
+    delta = F.when(val == "{", 1).when(val == "}", -1)
+    t = (tokens.filter(F.col(key).isNotNull() & F.col("pos").isNotNull())
+         .select(key, F.floor(F.col("pos") / block_tokens).cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), "val",
+                 delta.cast("long").alias("delta"), address.alias("address")))
+    ordered = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", c))))
+    path = scratch_path(spark, "token-blocks")
+    t.groupBy(key, "block").agg(ordered("val").alias("tokens"), ordered("delta").alias("braces"), ordered("address").alias("marks")).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    base = _scanned_tokens(blocks, key).withColumn("base", _before("change", key))
     after = Window.partitionBy(key).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    base = summary.select(key, "block", _before("change", key).alias("base"),
-                          F.first(F.when(F.col("open").isNotNull(), F.struct("block", "open")), ignorenulls=True).over(after).alias("later_open"))
-    order = Window.partitionBy(key).orderBy("pos")
-    marks = (t.filter(F.col("address").isNotNull()).join(base, [key, "block"])
-             .select(key, "address", F.col("pos").alias("start"), F.col("block").alias("start_block"), (F.col("base") + F.col("rel")).alias("depth"),
-                     F.when(F.col("own_open").isNotNull(), F.struct("block", F.col("own_open").alias("open"))).otherwise(F.col("later_open")).alias("o"),
-                     F.lead("pos").over(order).alias("next")))
-    marks = marks.filter(F.col("o").isNotNull()).select(key, "address", "start", "start_block", "depth", "next", F.col("o.block").alias("block"),
-                                                        F.col("o.open").alias("open"))
-    # first place of every depth in a block; in the block of the first brace, from that brace on
-    at_depth = t.join(base.select(key, "block", "base"), [key, "block"]).select(key, "block", "pos", (F.col("base") + F.col("rel")).alias("depth"))
-    kept = ["address", "start", "start_block", "next", "open"]
-    m = marks.select(key, "block", F.col("open").alias("pos"), "depth", F.struct(*kept).alias("m"))
-    here = m.unionByName(at_depth.withColumn("m", F.lit(None).cast(m.schema["m"].dataType)))
-    from_open = Window.partitionBy(key, "block", "depth").orderBy("pos").rangeBetween(0, Window.unboundedFollowing)
-    own = F.min(F.when(F.col("m").isNull(), F.col("pos"))).over(from_open)
-    marks = here.withColumn("own", own).filter(F.col("m").isNotNull()).select(key, "depth", "block", "m.*", "own")
-    stops = at_depth.groupBy(key, "depth", "block").agg(F.min("pos").alias("at"))
-    close = F.coalesce(F.col("own"), F.col("stop.at"))
-    found = (_next_at_depth(marks, stops, key).withColumn("close", close)
-             .filter(F.col("close").isNotNull() & (F.col("next").isNull() | (F.col("close") < F.col("next"))))
+    later = F.first(F.when(F.col("open").isNotNull(), F.struct("block", "open", "base", "after")), ignorenulls=True).over(after)
+    base = base.withColumn("later", later).select(key, "block", "base", "closes", "later", "marks").checkpoint()
+    wanted = requests.select(key, "address").dropna().distinct()
+    depth = F.col("base") + F.col("m.depth")
+    there = F.get(F.filter("later.after", lambda x: x["depth"] + F.col("later.base") == depth), 0)["at"]
+    own = F.col("m.open").isNotNull()
+    marks = (base.select(key, "block", "base", "later", F.explode("marks").alias("m"))
+             .select(key, "m.address", F.col("m.at").alias("start"), F.col("block").alias("start_block"), depth.alias("depth"),
+                     F.when(own, F.col("block")).otherwise(F.col("later.block")).alias("block"), F.when(own, F.col("m.close")).otherwise(there).alias("own"))
+             .join(wanted, [key, "address"], "left_semi")
+             .withColumn("next", F.lead("start").over(Window.partitionBy(key).orderBy("start")))
+             .filter(F.col("block").isNotNull()))  # a body has a brace that opens
+    kept = [key, "address", "start", "start_block", "next"]
+    stops = base.select(key, "block", "base", F.explode("closes").alias("c")).select(
+        key, (F.col("base") + F.col("c.depth")).alias("depth"), "block", F.col("c.at").alias("at"))
+    # what the next comment ends before the block does closes in no later block
+    on = marks.filter(F.col("own").isNull() & (F.col("next").isNull() | (F.floor(F.col("next") / block_tokens) > F.col("block"))))
+    closed = (marks.filter(F.col("own").isNotNull()).select(*kept, F.col("own").alias("close"))
+              .unionByName(_next_at_depth(on.select(*kept, "depth", "block"), stops, key).select(*kept, F.col("stop.at").alias("close"))))
+    found = (closed.filter(F.col("close").isNotNull() & (F.col("next").isNull() | (F.col("close") < F.col("next"))))
              .groupBy(key, "address").agg(F.max_by(F.struct("start", "start_block", "close"), F.col("start")).alias("m"))
-             .select(key, "address", "m.start", F.col("m.start_block").alias("block"), "m.close",
-                     F.floor(F.col("m.close") / block_tokens).cast("long").alias("end_block")))
-    texts = t.filter(F.col("val").isNotNull()).groupBy(key, "block").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("tokens"))
-    part = F.array_join(F.transform(F.filter("tokens", lambda x: (x["pos"] > F.col("start")) & (x["pos"] <= F.col("close"))),
-                                    lambda x: x["val"]), "")
-    return _joined(found, texts, key, part, ["address"])
+             .select(key, "address", "m.*").withColumn("end_block", F.floor(F.col("close") / block_tokens).cast("long")))
+    wants = (found.withColumn("block", F.explode(F.sequence("start_block", "end_block")))
+             .groupBy(key, "block").agg(F.collect_list(F.struct("address", "start", "close")).alias("wants")))
+    parts = F.sort_array(F.collect_list(F.struct("block", "part")))
+    return (_cut_tokens(blocks.select(key, "block", "tokens").join(wants, [key, "block"]), key).groupBy(key, "address")
+            .agg(py_strip(F.array_join(F.transform(parts, lambda p: p["part"]), "")).alias("body")))

@@ -234,3 +234,25 @@ def test_run_time_sketches_merge(spark):
     for r in L.run_time_quantiles(merged, (0.01, 0.25, 0.5, 0.9, 0.99)).collect():
         xs = exact[r.system, r.reason]
         assert abs(sum(x <= r.value for x in xs) / len(xs) - r.rank) <= 2 * L.RANK_ERROR + 1 / len(xs) or len(xs) == 1
+
+
+def test_token_rows_are_read_once(spark):
+    """Blocks of 4 tokens, bodies over several blocks, null keys and places; the operator runs over its tokens a single time."""
+    seen = spark.sparkContext.accumulator(0)
+    mark = lambda a: ("cmnt", f"// Address range: {a} - 0xff")
+    text = lambda s: [("text", w if w != "-" else None) for w in s.split()]
+    lists = {1: [mark("0x1"), *text("f ( ) { a - b { c } d e f g h } i"), mark("0x2"), *text("} { x }")],
+             2: [*text("{ }"), mark("0x1"), *text("j k l m n o { p"), mark("0x1"), *text("q { } r")], 3: text("{ }")}
+    rows = [(k, i, *t) for k, ts in lists.items() for i, t in enumerate(ts)]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "listing_id long, pos long, kind string, val string"
+    tokens = spark.createDataFrame([*rows, (None, 0, "text", "{"), (1, None, "text", "{")], schema).mapInArrow(counted, schema)
+    requests = spark.createDataFrame([(1, "0x1"), (1, "0x2"), (2, "0x1"), (2, "0x1"), (3, "0x1"), (None, "0x1")], "listing_id long, address string")
+    got = sorted(tuple(r) for r in L.token_bodies(tokens, requests, block_tokens=4).select("listing_id", "address", "body").collect())
+    assert got == [(1, "0x1", "f(){ab{c}defgh}"), (1, "0x2", "}{"), (2, "0x1", "q{}")]
+    assert seen.value == len(rows) + 2
