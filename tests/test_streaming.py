@@ -144,6 +144,6 @@ def test_ratings_versions_have_few_files_whatever_the_session_partitions(spark):
         assert spark.conf.get(name) == "40"
     finally:
         spark.conf.set(name, before)
-    assert RS.latest_ratings(spark, out).count() == 13 * 3 and RS.latest_cells(spark, out).agg(F.sum("n")).first()[0] == 4 * 216
+    assert RS.latest_ratings(spark, out).count() == 12 * 2 + 3 and RS.latest_cells(spark, out).agg(F.sum("n")).first()[0] == 4 * 216
     for df in (RS.latest_ratings(spark, out), RS.latest_cells(spark, out)):
         assert len(df.inputFiles()) <= RS.CELL_PARTITIONS
