@@ -51,13 +51,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the place of one of each, and the number of every key's distinct one."""
-    order = np.argsort(keys)
-    ranked = keys[order]
+    order, ranked = _ranked(keys)
     new = np.ones(len(keys), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], number.astype(np.int32)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ranked[new], order[new], number
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of hashes, and they in it. Their upper bits are sorted with their places in the lower ones, which is
+    much faster than to sort places; where hashes differ in lower bits only and come out wrong, places are sorted."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = keys & ~low
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(keys)
+        ranked = keys[order]
+    return order, ranked
 
 
 class _Numbers(dict):
@@ -163,6 +178,21 @@ def _unpack_counts(data: bytes, n: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def _pack_gains(gains: np.ndarray) -> bytes:
+    """Gains, of which most are those of pairs that occur once, few values in all, by their places among the distinct ones."""
+    import zstandard
+    values, number = np.unique(gains.view("<i8"), return_inverse=True)
+    return (len(values).to_bytes(4, "little")
+            + zstandard.ZstdCompressor(level=1).compress(values.tobytes() + number.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
+
+
+def _unpack_gains(data: bytes) -> np.ndarray:
+    import zstandard
+    n, raw = 8 * int.from_bytes(data[:4], "little"), np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8)
+    number = np.ascontiguousarray(raw[n:].reshape(4, -1).T).view("<u4").ravel()
+    return raw[:n].view("<f8")[number]
+
+
 def _pack_flags(flags: np.ndarray) -> bytes:
     import zstandard
     return zstandard.ZstdCompressor(level=3).compress(np.packbits(flags).tobytes())
@@ -178,7 +208,7 @@ def _send(kind: int, block: int, buckets: int, keys: np.ndarray, v0: np.ndarray,
     at = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     for k in np.flatnonzero(np.diff(at)):
         a, z = at[k], at[k + 1]
-        yield (kind, int(k), block, _pack_keys(keys[a:z]), v0[a:z].tobytes(), b"" if v1 is None else v1[a:z].tobytes())
+        yield (kind, int(k), block, _pack_keys(keys[a:z]), _pack_counts(v0[a:z]), b"" if v1 is None else _pack_gains(v1[a:z]))
 
 
 def _batches(rows, schema: list, limit: int = 1 << 24):
@@ -211,9 +241,10 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     distinct, first, inverse = _distinct(keys)
     owned = np.zeros(len(keys), bool)
     owned[first] = True
-    counts = np.bincount(inverse, np.frombuffer(b"".join(group["v0"]), "<i4"), len(distinct)).astype(np.int64)[inverse]
-    gains = np.frombuffer(b"".join(group["v1"]), "<f8")
-    kept = (np.bincount(inverse, gains, len(distinct)) > GAIN)[inverse] if len(gains) else None
+    sent = np.concatenate([_unpack_counts(v, n) for v, n in zip(group["v0"], sizes)])
+    counts = np.bincount(inverse, sent, len(distinct)).astype(np.int64)[inverse]
+    gains = [_unpack_gains(v) for v in group["v1"] if v]
+    kept = (np.bincount(inverse, np.concatenate(gains), len(distinct)) > GAIN)[inverse] if gains else None
     rows, at = [], 0
     for bucket, block, n in zip(group["bucket"], group["block"], sizes):
         cut = slice(at, at + n)
@@ -272,19 +303,25 @@ class _Root:
 class _Level:
     """A block's distinct pairs of contexts of one length and next words."""
 
-    def __init__(self, context: np.ndarray, at: np.ndarray, size: np.ndarray, token: np.ndarray, train: np.ndarray):
-        # context: hash, size: its count, per position; at: positions that have such a context
-        self.at = at = at.astype(np.int32)
-        key = _mix(context[at] * _A + token[at])
+    def __init__(self, key: np.ndarray, at: np.ndarray, size: np.ndarray, parent: np.ndarray):
+        # key: hash of context and next word, size: the context's count, parent: its number, per position that has such a
+        # context; at: these positions
+        self.at = at
         self.keys, first, self.inverse = _distinct(key)
-        self.train = np.bincount(self.inverse, train[at], len(self.keys)).astype("<i4")
         self.first = at[first]
-        self.context = context[self.first]
-        self.size = size[self.first].astype(float)
+        self.size = size[first].astype(float)
+        self.parent = parent[first]
+
+    def name(self, names: np.ndarray) -> None:
+        """The contexts by which pairs are known here: ``names``, sorted, has the hash of every number of a context."""
+        there = np.zeros(len(names), bool)
+        there[self.parent] = True
+        self.names = names[there]
+        self.number = (np.cumsum(there, dtype=np.int32) - np.int32(1))[self.parent]
 
     def settle(self) -> None:
         """Lets go of what only the sums of the level and the next one need."""
-        for name in ("keys", "train", "context", "owned", "names", "shorter_tested"):
+        for name in ("keys", "owned", "names", "parent", "shorter_tested"):
             self.__dict__.pop(name, None)
 
     def tested(self, count: np.ndarray, shorter: np.ndarray, left_out: int = 0) -> np.ndarray:
@@ -292,8 +329,9 @@ class _Level:
         return (count - left_out + PRIOR * shorter) / (self.size - left_out + PRIOR)
 
 
-def _walk(row, depth: int, least: list[int], root: _Root | None, named):
-    """A block's arrays, level by level, as far as what came back allows. ``named``: levels whose contexts are wanted."""
+def _walk(row, depth: int, least: list[int], root: _Root | None, named, tested: bool = True):
+    """A block's arrays, level by level, as far as what came back allows. ``named``: levels whose contexts are wanted.
+    ``tested``: whether their gains are."""
     back = _Back(row["back"])
     vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
     order = np.argsort(vocabulary)
@@ -309,34 +347,40 @@ def _walk(row, depth: int, least: list[int], root: _Root | None, named):
         return state
     n = len(tokens)
     token = vocabulary[tokens]
-    place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    state["root"] = root.of(state["count"])
-    context, size = np.zeros(n, np.uint64), np.full(n, 0, np.int64)
-    context[1:], size[1:] = _mix(token[:-1] + _B), state["count"][:-1]
-    shorter = state["root"]
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    end = np.zeros(n, bool)
+    end[np.cumsum(sizes) - 1] = True
+    state["root"] = root.of(count)[tokens]
+    shorter = state["root"].copy() if tested else None
+    # a context is known by its number among sorted names: words, then the pairs of the level before, each of which makes
+    # a longer context that occurs as often as the pair
+    names, held = vocabulary[order], state["count"]
+    before = np.flatnonzero(~end & (held >= least[0]))
+    parent, size, context = rank[tokens[before]], held[before], _mix(token[before] + _B)
     for k in range(depth):
-        at = np.flatnonzero((place > k) & (size >= least[k]))
-        level = _Level(context, at, size, token, train)
+        at = (before + 1).astype(np.int32)
+        key = _mix(context * _A + token[at])
+        level = _Level(key, at, size, parent)
         if k > 1 and len(at):  # an empty level may stand for one that is not sent yet
             state["levels"][k - 2].settle()
         state["levels"].append(level)
-        if _pairs(k) not in back.rows and len(at):
-            break
+        if _pairs(k) not in back.rows:
+            level.train = np.bincount(level.inverse[train[at]], minlength=len(level.keys)).astype("<i4")
+            if len(at):
+                break
         level.count = back.counts(_pairs(k))
-        level.shorter_tested = shorter[level.first]
         level.owned = back.flags(_pairs(k), "owned")
+        if tested:
+            level.shorter_tested = shorter[level.first]
+            if k + 1 < depth and _pairs(k + 1) in back.rows:  # the level's own probability where it has one, for the test of the next level
+                shorter[at] = level.tested(level.count, level.shorter_tested)[level.inverse]
         if k in named:
-            level.names, _, level.number = _distinct(level.context)
-        # the level's own probability where it has one, for the test of the next level
-        shorter = shorter.copy()
-        shorter[at] = level.tested(level.count, level.shorter_tested)[level.inverse]
-        # a longer context: this one and the word before it; it occurs as often as the pair that ends it
-        pair = np.zeros(n, np.int64)
-        pair[at] = level.count[level.inverse]
-        whole = np.zeros(n, np.uint64)
-        whole[at] = level.keys[level.inverse]
-        context, size = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-        context[1:], size[1:] = _mix(whole[:-1] ^ _C), pair[:-1]
+            level.name(names)
+        if k + 1 < depth:
+            held = level.count[level.inverse]
+            longer = np.flatnonzero((held >= least[k + 1]) & ~end[at])
+            names, before, parent, size, context = level.keys, at[longer], level.inverse[longer], held[longer], _mix(key[longer] ^ _C)
     return state
 
 
@@ -396,7 +440,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     least = list(least)
     sent_schema = _arrow(SENT)
 
-    def passed(back: DataFrame | None, fn, name: str, root, schema: str = SENT, named=()) -> DataFrame:
+    def passed(back: DataFrame | None, fn, name: str, root, schema: str = SENT, named=(), tested: bool = True) -> DataFrame:
         """One pass over the blocks with all that came back to them; what they send is summed and returned to them."""
         rows = blocks
         if back is None:
@@ -408,7 +452,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         def run(batches):
             for b in batches:
                 for row in b.to_pylist():
-                    yield from fn(row, _walk(row, depth, least, root, named))
+                    yield from fn(row, _walk(row, depth, least, root, named, tested))
 
         out = rows.mapInArrow(lean(run), schema)
         if schema == SENT:
@@ -455,7 +499,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     key_type = _arrow(f"key {kind}")[0][1]
     return passed(back, finish, "lm-scores", root, f"`{key}` {kind}, train boolean, n_tokens long, n_known long, "
                                                    "train_tokens long, base_score double, score double",
-                  named=range(depth))
+                  named=range(depth), tested=False)
 
 
 def _arrow(schema: str) -> list:

@@ -7,12 +7,13 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate as D
 from tallyspark.llm.jaccard_join import one_of_each, similar_groups
-from tallyspark.llm import repeats
+from tallyspark.llm import repeats, suffix_lm
 from tallyspark.llm.repeats import remove_repeats, repeated_spans
 from tallyspark.llm.run_index import RunIndex
 from tallyspark.llm.suffix_lm import DISCOUNT, GAIN, PRIOR, score
@@ -306,6 +307,28 @@ def test_suffix_lm_does_not_depend_on_blocks(docs):
     assert runs[0] == runs[1]
 
 
+def test_suffix_lm_sends_counts_and_gains_in_few_bytes():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2))
+    counts = np.where(rng.random(len(keys)) < 0.9, 1, rng.integers(2, 70_000, len(keys))).astype("<i4")
+    gains = -np.log1p(rng.integers(1, 30, len(keys)) / PRIOR)
+    sent = list(suffix_lm._send(2, 0, 3, keys, counts, gains))
+    # before, 12 bytes a key besides the key
+    assert sum(len(r[4]) + len(r[5]) for r in sent) < 3 * len(keys)
+    assert np.array_equal(np.concatenate([suffix_lm._unpack_gains(r[5]) for r in sent]), gains)
+    sizes = [len(suffix_lm._unpack_keys(r[3])) for r in sent]
+    assert np.array_equal(np.concatenate([suffix_lm._unpack_counts(r[4], n) for r, n in zip(sent, sizes)]), counts)
+
+
+def test_suffix_lm_distinct_keys_that_differ_in_low_bits_only():
+    rng = np.random.default_rng(2)
+    for keys in (np.zeros(0, np.uint64), rng.integers(0, 1 << 40, 5000, np.uint64) << np.uint64(24),
+                 (rng.integers(0, 3, 5000, np.uint64) << np.uint64(60)) + rng.integers(0, 50, 5000, np.uint64)):
+        distinct, first, number = suffix_lm._distinct(keys)
+        assert np.array_equal(distinct, np.unique(keys))
+        assert np.array_equal(distinct[number], keys) and np.array_equal(keys[first], distinct)
+
+
 def test_suffix_lm_distributions_sum_to_at_most_one(docs):
     """The probabilities of all next words after a context, scored as texts that differ in the last word, and the share
     of unknown words add up to one."""
