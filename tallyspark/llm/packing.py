@@ -49,6 +49,10 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)}
 
 
+class _Blank(Exception):
+    """What follows a space begins with white space, so both may belong to a run that began before them."""
+
+
 class ByteLevelEncoder:
     """ids of texts by a byte-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
@@ -58,7 +62,7 @@ class ByteLevelEncoder:
     texts of a file that is not a plain byte-level BPE.
     """
 
-    def __init__(self, path: str, cache_parts: int = 600_000):
+    def __init__(self, path: str, cache_parts: int = 1_000_000):
         import json
 
         from tokenizers import Tokenizer
@@ -70,19 +74,37 @@ class ByteLevelEncoder:
                  and pre.get("use_regex", True) and not pre.get("add_prefix_space"))
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.whole = re.compile("|".join(map(re.escape, special)) if plain and special else "" if not plain else r"(?!)")
-        model, letters = self.tokenizer.model, str.maketrans(_byte_letters())
+        model, letters = self.tokenizer.model, _byte_letters()
+        space, table = letters[ord(" ")], str.maketrans(letters)
         word = re.compile(f" ?[{_LETTER}]+")
+        usual = re.compile(f"([{_LETTER}]+)([.,]*)")
+        blank = re.compile(f"[{_SPACE}]")
 
-        def part(p: str) -> bytes:  # a run of letters is one pre-token, so the model can take it at once
-            if word.fullmatch(p):
-                ids = [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))]
-            else:
-                ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+        def packed(ids: list[int]) -> bytes:
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.parts = Bounded(part, cache_parts)
-        #: what stands between two spaces, with the first of them
-        self.chunks = Bounded(lambda c: self._join(" " + c), cache_parts)
+        def run(p: str) -> bytes:  # a run of letters is one pre-token, so the model can take it at once
+            return packed([t.id for t in model.tokenize(p)])
+
+        def part(p: str) -> bytes:
+            if word.fullmatch(p):
+                return run(p.encode().decode("latin-1").translate(table))
+            return packed(self.tokenizer.encode(p, add_special_tokens=False).ids)
+
+        def chunk(c: str) -> bytes:
+            m = usual.fullmatch(c)
+            if not m:
+                if blank.match(c):
+                    raise _Blank
+                return self._join(" " + c)
+            w, marks = m.groups()
+            if marks:
+                return self.chunks[w] + self.parts[marks]
+            return run(space + (c if c.isascii() else c.encode().decode("latin-1").translate(table)))
+
+        self.parts = Bounded(part, cache_parts // 5)
+        #: what stands between two spaces, with the first of them; most are a run of letters, with stops or commas or without
+        self.chunks = Bounded(chunk, cache_parts)
 
     def _join(self, text: str) -> bytes:
         return b"".join(map(self.parts.__getitem__, _PART.findall(text)))
@@ -93,7 +115,10 @@ class ByteLevelEncoder:
         chunks = text.split(" ")
         if "" in chunks:  # spaces in a row, at the begin or the end
             return self._join(text)
-        return self._join(chunks[0]) + b"".join(map(self.chunks.__getitem__, chunks[1:]))
+        try:
+            return self._join(chunks[0]) + b"".join(map(self.chunks.__getitem__, chunks[1:]))
+        except _Blank:
+            return self._join(text)
 
 
 _ENCODERS: dict[str, ByteLevelEncoder] = {}

@@ -32,6 +32,19 @@ def test_ids_equal_the_library():
     assert [e(t) for t in texts] == exp
 
 
+def test_words_with_stops_are_encoded_without_parts():
+    e = P.ByteLevelEncoder(P.tokenizer_path("byte_bpe_50k.json"))
+    text = "x " + " ".join(f"{w}{m}" for w in ("Reed", "schöne", "Übung", "thend") for m in ("", ".", ",", ".,"))
+    assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(e.parts) == {"x", ".", ",", ".,"}  # before, each word too
+
+
+def test_runs_of_white_space_over_a_space():
+    e = P.ByteLevelEncoder(P.tokenizer_path("byte_bpe_50k.json"))
+    for text in ("a\n \n b", "a\n \nb", "a \nb", "x\xa0 \xa0 y", ", \xa0 \xa0", " \xa0 \xa0 \u2019.", "a, \xa0 \xa0 \xa0 b"):
+        assert np.frombuffer(e(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_another_kind_of_file_goes_to_the_library():
     e = P.ByteLevelEncoder(P.tokenizer_path("word_bpe_49k.json"))
     assert np.frombuffer(e("Hello world"), "<u4").tolist() == e.tokenizer.encode("Hello world", add_special_tokens=False).ids
