@@ -16,7 +16,9 @@ stored as blocks of word numbers. For every level, a block sends its distinct
 hash, and gets back the corpus counts of exactly these pairs; one block owns
 each pair and adds it to its context's sums, which are dealt and returned the
 same way. A pair that all texts share is one entry per block, so no word or
-context, however frequent, burdens a task.
+context, however frequent, burdens a task. Blocks and what came back to them are
+tables bucketed by block: a pass reads them side by side and shuffles only what
+is new.
 
 Tokens are lower-cased words and one end per text. Null and empty texts have
 the end alone. Rows with a null or false ``train`` column are only scored.
@@ -26,6 +28,7 @@ words are unknown and the score is that of the unknown share alone.
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager
 
 import numpy as np
@@ -33,29 +36,46 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lean, materialize, words
+from ..session import scratch_path
+from . import common
+from .common import collect_garbage, drop_scratch, lean, materialize
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_MIXED = 1 << 15
 DISCOUNT = 0.75
 PRIOR = 1000.0  # of the distribution that the divergence test uses
 GAIN = 5.0  # nats a context must gain
 DEPTH = 4  # words of the longest contexts
+BLOCKS_PER_TASK = 2
 ONCE_MORE = 2  # what occurs once has gain 0: the least count that can pass the test
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _B
-    h = (h ^ (h >> np.uint64(27))) * _C
-    return h ^ (h >> np.uint64(31))
+    out = np.empty(len(h), np.uint64)
+    spare = np.empty(min(len(h), _MIXED), np.uint64)
+    for at in range(0, len(h), _MIXED):  # as many at once as a processor's own cache holds
+        a, b = h[at:at + _MIXED], out[at:at + _MIXED]
+        c = spare[:len(a)]
+        np.right_shift(a, np.uint64(30), out=b)
+        b ^= a
+        b *= _B
+        np.right_shift(b, np.uint64(27), out=c)
+        c ^= b
+        c *= _C
+        np.right_shift(c, np.uint64(31), out=b)
+        b ^= c
+    return out
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the place of one of each, and the number of every key's distinct one."""
     order, ranked = _ranked(keys)
-    new = np.ones(len(keys), bool)
+    new = np.zeros(len(keys), bool)
     np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
     number = np.empty(len(keys), np.int32)
-    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    number[order] = np.cumsum(new, dtype=np.int32)
+    new[:1] = True
+    new = np.flatnonzero(new)
     return ranked[new], order[new], number
 
 
@@ -75,22 +95,24 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ranked
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
-
-
 def _pack(numbers: np.ndarray) -> bytes:
     """Word numbers, byte plane by byte plane, compressed."""
     import zstandard
     return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
+def _woven(planes: np.ndarray) -> np.ndarray:
+    """Byte planes, put together to rows of bytes."""
+    out = np.empty(planes.shape[::-1], np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = plane
+    return out
+
+
 def _unpack(data: bytes) -> np.ndarray:
     import zstandard
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return _woven(planes).view("<u4").ravel().astype(np.int64)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -103,7 +125,18 @@ def _pack_keys(keys: np.ndarray) -> bytes:
 def _unpack_keys(data: bytes) -> np.ndarray:
     import zstandard
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_woven(planes).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _words(texts):
+    """How many words texts have, and all their words, as ``common.words`` takes them."""
+    import pyarrow.compute as pc
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    parts = pc.list_flatten(lists)
+    word = pc.greater(pc.binary_length(parts), 0)  # white space at an end of a text leaves an empty part
+    before = np.concatenate([[0], np.cumsum(word.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return np.diff(before[ends], prepend=0), parts.filter(word)
 
 
 def _blocks(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFrame:
@@ -117,42 +150,74 @@ def _blocks(docs: DataFrame, key: str, text: str, block_tokens: int) -> DataFram
 
         def flush():
             nonlocal count
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-            row = ((task << 32) + count, keys, train, np.array(sizes, "<i4").tobytes(), hashes.tobytes(),
-                   _pack(np.concatenate(tokens)))
+            n = np.concatenate(sizes)
+            named = pa.concat_arrays([pa.array([""], held[0].type), *held]).dictionary_encode()  # the end is the first word
+            vocabulary = named.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+            inside = np.ones(int(n.sum()), bool)
+            inside[np.cumsum(n) - 1] = False
+            tokens = np.zeros(len(inside), np.int32)
+            tokens[inside] = named.indices.to_numpy()[1:]
+            row = ((task << 32) + count, keys, train, n.astype("<i4").tobytes(), hashes.tobytes(), _pack(tokens))
             count += 1
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.list_(key_type), pa.list_(pa.bool_()), pa.binary(),
                                                         pa.binary(), pa.binary()))],
                 names=["block", "keys", "train", "sizes", "vocabulary", "tokens"])
 
-        def start():
-            n = _Numbers()
-            n[b""]  # the end
-            return n, [], [], [], []
-
-        numbers, keys, train, sizes, tokens = start()
-        total, key_type = 0, None
+        keys, train, sizes, held, total, key_type = [], [], [], [], 0, None
         for b in batches:
             key_type = b.schema.field("key").type
-            for k, learn, t in zip(*(b.column(c).to_pylist() for c in ("key", "learn", "text"))):
-                w = words(t)
-                tokens.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
-                tokens.append(np.zeros(1, np.int32))
-                keys.append(k)
-                train.append(bool(learn))
-                sizes.append(len(w) + 1)
-                total += len(w) + 1
+            ids, learn, (n, found) = b.column("key").to_pylist(), b.column("learn").to_pylist(), _words(b.column("text"))
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                filled = total + np.cumsum(n[at:] + 1)
+                to = at + min(int(np.searchsorted(filled, block_tokens)) + 1, len(filled))  # up to the text that fills the block
+                begin = int(ends[at - 1]) if at else 0
+                keys += ids[at:to]
+                train += map(bool, learn[at:to])
+                sizes.append(n[at:to] + 1)
+                held.append(found.slice(begin, int(ends[to - 1]) - begin))
+                total = int(filled[to - at - 1])
+                at = to
                 if total >= block_tokens:
                     yield flush()
-                    numbers, keys, train, sizes, tokens = start()
-                    total = 0
+                    keys, train, sizes, held, total = [], [], [], [], 0
         if keys:
             yield flush()
 
     return materialize(docs.select(F.col(key).alias("key"), F.col("_learn").alias("learn"), F.col(text).alias("text"))
-                       .mapInArrow(build, f"block long, keys array<{kind}>, train array<boolean>, sizes binary, "
-                                          "vocabulary binary, tokens binary"), "lm-blocks")
+                       .mapInArrow(lean(build), f"block long, keys array<{kind}>, train array<boolean>, sizes binary, "
+                                          "vocabulary binary, tokens binary"), "lm-texts")
+
+
+class _Tables:
+    """Scratch tables of a row per block, bucketed by block: joins of them shuffle nothing."""
+
+    def __init__(self, spark):
+        self.spark, self.buckets, self.names = spark, 1, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` is dealt by ``dealt``."""
+        path = scratch_path(self.spark, name)
+        if common._SCOPES:
+            common._SCOPES[-1].append(path)
+        table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.names.append(table)
+        collect_garbage(self.spark)  # what the step before used is only let go now
+        df.write.format("parquet").bucketBy(self.buckets, "block").option("path", path).saveAsTable(table)
+        del df
+        collect_garbage(self.spark)
+        return self.spark.table(table)
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.buckets, "block")
+
+    def forget(self) -> None:
+        """The tables leave the catalog; their files are scratch files."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 
 
 # -- sums over the corpus for keys that blocks hold ----------------------------------------------------------------
@@ -165,17 +230,17 @@ def _pack_counts(counts: np.ndarray) -> bytes:
     """Counts, mostly small ones, byte plane by byte plane, compressed."""
     import zstandard
     width = max(1, (int(counts.max()).bit_length() + 7) // 8) if len(counts) else 1
-    planes = counts.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    planes = b"".join((counts if not k else counts >> 8 * k).astype(np.uint8).tobytes() for k in range(width))
+    return zstandard.ZstdCompressor(level=3).compress(planes)
 
 
 def _unpack_counts(data: bytes, n: int) -> np.ndarray:
     import zstandard
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        out[:, :len(raw) // n] = raw.reshape(-1, n).T
-    return out.view("<i8").ravel()
+    out = raw[:n].astype("<i8")
+    for k in range(1, len(raw) // n if n else 0):
+        out |= raw[k * n:k * n + n].astype("<i8") << 8 * k
+    return out
 
 
 def _pack_gains(gains: np.ndarray) -> bytes:
@@ -189,7 +254,7 @@ def _pack_gains(gains: np.ndarray) -> bytes:
 def _unpack_gains(data: bytes) -> np.ndarray:
     import zstandard
     n, raw = 8 * int.from_bytes(data[:4], "little"), np.frombuffer(zstandard.ZstdDecompressor().decompress(data[4:]), np.uint8)
-    number = np.ascontiguousarray(raw[n:].reshape(4, -1).T).view("<u4").ravel()
+    number = _woven(raw[n:].reshape(4, -1)).view("<u4").ravel()
     return raw[:n].view("<f8")[number]
 
 
@@ -248,8 +313,9 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     rows, at = [], 0
     for bucket, block, n in zip(group["bucket"], group["block"], sizes):
         cut = slice(at, at + n)
-        rows.append((kind, bucket, block, n, _pack_counts(counts[cut]), b"" if kept is None else _pack_flags(kept[cut]),
-                     _pack_flags(owned[cut])))
+        # nobody asks who owns a context
+        rows.append((kind, bucket, block, n, _pack_counts(counts[cut]), *((_pack_flags(kept[cut]), b"") if gains else
+                                                                          (b"", _pack_flags(owned[cut])))))
         at += n
     return pd.DataFrame(rows, columns=["kind", "bucket", "block", "n", "v0", "kept", "owned"])
 
@@ -303,25 +369,29 @@ class _Root:
 class _Level:
     """A block's distinct pairs of contexts of one length and next words."""
 
-    def __init__(self, key: np.ndarray, at: np.ndarray, size: np.ndarray, parent: np.ndarray):
-        # key: hash of context and next word, size: the context's count, parent: its number, per position that has such a
-        # context; at: these positions
+    def __init__(self, key: np.ndarray, at: np.ndarray):
+        # key: hash of context and next word, per position that has such a context; at: these positions
         self.at = at
-        self.keys, first, self.inverse = _distinct(key)
-        self.first = at[first]
-        self.size = size[first].astype(float)
-        self.parent = parent[first]
-
-    def name(self, names: np.ndarray) -> None:
-        """The contexts by which pairs are known here: ``names``, sorted, has the hash of every number of a context."""
+        self.keys, self.one, self.inverse = _distinct(key)
+
+    def counted(self, count: np.ndarray, size: np.ndarray) -> None:
+        """``count``: of every pair; ``size``: the context's, per position."""
+        self.count = count
+        self.first = self.at[self.one]
+        self.size = size[self.one].astype(float)
+
+    def name(self, names: np.ndarray, parent: np.ndarray) -> None:
+        """The contexts by which pairs are known here: ``names``, sorted, has the hash of every number of a context;
+        ``parent``: the context's number, per position."""
+        parent = parent[self.one]
         there = np.zeros(len(names), bool)
-        there[self.parent] = True
+        there[parent] = True
         self.names = names[there]
-        self.number = (np.cumsum(there, dtype=np.int32) - np.int32(1))[self.parent]
+        self.number = (np.cumsum(there, dtype=np.int32) - np.int32(1))[parent]
 
     def settle(self) -> None:
         """Lets go of what only the sums of the level and the next one need."""
-        for name in ("keys", "owned", "names", "parent", "shorter_tested"):
+        for name in ("keys", "one", "owned", "names", "shorter_tested"):
             self.__dict__.pop(name, None)
 
     def tested(self, count: np.ndarray, shorter: np.ndarray, left_out: int = 0) -> np.ndarray:
@@ -357,11 +427,14 @@ def _walk(row, depth: int, least: list[int], root: _Root | None, named, tested:
     # a longer context that occurs as often as the pair
     names, held = vocabulary[order], state["count"]
     before = np.flatnonzero(~end & (held >= least[0]))
-    parent, size, context = rank[tokens[before]], held[before], _mix(token[before] + _B)
+    size, context = held[before], _mix(token[before] + _B)
+    parent = rank[tokens[before]] if 0 in named else None
     for k in range(depth):
         at = (before + 1).astype(np.int32)
-        key = _mix(context * _A + token[at])
-        level = _Level(key, at, size, parent)
+        context *= _A
+        context += token[at]
+        key = _mix(context)
+        level = _Level(key, at)
         if k > 1 and len(at):  # an empty level may stand for one that is not sent yet
             state["levels"][k - 2].settle()
         state["levels"].append(level)
@@ -369,18 +442,19 @@ def _walk(row, depth: int, least: list[int], root: _Root | None, named, tested:
             level.train = np.bincount(level.inverse[train[at]], minlength=len(level.keys)).astype("<i4")
             if len(at):
                 break
-        level.count = back.counts(_pairs(k))
-        level.owned = back.flags(_pairs(k), "owned")
+        level.counted(back.counts(_pairs(k)), size)
         if tested:
+            level.owned = back.flags(_pairs(k), "owned")
             level.shorter_tested = shorter[level.first]
             if k + 1 < depth and _pairs(k + 1) in back.rows:  # the level's own probability where it has one, for the test of the next level
                 shorter[at] = level.tested(level.count, level.shorter_tested)[level.inverse]
         if k in named:
-            level.name(names)
+            level.name(names, parent)
         if k + 1 < depth:
             held = level.count[level.inverse]
             longer = np.flatnonzero((held >= least[k + 1]) & ~end[at])
-            names, before, parent, size, context = level.keys, at[longer], level.inverse[longer], held[longer], _mix(key[longer] ^ _C)
+            names, before, size, context = level.keys, at[longer], held[longer], _mix(key[longer] ^ _C)
+            parent = level.inverse[longer] if k + 1 in named else None
     return state
 
 
@@ -432,41 +506,60 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     contexts, how often they must occur to be tested; 2 leaves out nothing that
     could pass. ``depth``: the longest contexts, as many as ``least`` has by default.
     """
-    depth = len(least) if depth is None else depth
+    tables = _Tables(docs.sparkSession)
+    try:
+        return _score(tables, docs, train, key, text, len(least) if depth is None else depth, list(least), block_tokens, bucket_tokens)
+    finally:
+        tables.forget()
+
+
+def _score(tables: _Tables, docs: DataFrame, train: Column, key: str, text: str, depth: int, least: list, block_tokens: int,
+           bucket_tokens: int) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    blocks = _blocks(docs.withColumn("_learn", F.coalesce(train, F.lit(False))), key, text, block_tokens)
-    buckets = max(1, -(-blocks.count() * block_tokens // bucket_tokens))
-    least = list(least)
+    with common.scratch() as texts:
+        dealt_anyhow = _blocks(docs.withColumn("_learn", F.coalesce(train, F.lit(False))), key, text, block_tokens)
+    if common._SCOPES:
+        common._SCOPES[-1].extend(texts)
+    n_blocks = dealt_anyhow.count()
+    buckets = max(1, -(-n_blocks * block_tokens // bucket_tokens))
     sent_schema = _arrow(SENT)
+    tables.buckets = max(1, -(-n_blocks // BLOCKS_PER_TASK))
+    blocks = tables.write(tables.dealt(dealt_anyhow), "lm-blocks")
+    drop_scratch(spark, texts)
 
-    def passed(back: DataFrame | None, fn, name: str, root, schema: str = SENT, named=(), tested: bool = True) -> DataFrame:
+    def passed(back: list[DataFrame], fn, name: str, root, schema: str = SENT, named=(), tested: bool = True) -> DataFrame:
         """One pass over the blocks with all that came back to them; what they send is summed and returned to them."""
         rows = blocks
-        if back is None:
-            rows = rows.withColumn("back", F.lit(None).cast("array<struct<kind:int,bucket:int,n:int,v0:binary,kept:binary,owned:binary>>"))
-        else:
-            rows = rows.join(back.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "n", "v0", "kept", "owned"))
-                                                       .alias("back")), "block", "left")
+        parts = []
+        for k, df in enumerate(back):
+            wanted = ["counts"] if schema == SENT else ["counts", "sums"]  # contexts' sums are for the scores
+            df = df.select("block", *[F.col(c).alias(f"{c}{k}") for c in wanted])
+            parts += df.columns[1:]
+            rows = rows.join(df.hint("shuffle_hash"), "block", "left")  # large rows are not sorted
 
         def run(batches):
             for b in batches:
                 for row in b.to_pylist():
+                    row["back"] = [r for part in parts for r in row.pop(part) or ()]
                     yield from fn(row, _walk(row, depth, least, root, named, tested))
 
         out = rows.mapInArrow(lean(run), schema)
-        if schema == SENT:
-            out = out.groupBy("kind", "bucket").applyInPandas(lean(_sum), BACK)
         with _few_rows(spark, 1):
-            return materialize(out, name, release=True)
+            if schema != SENT:
+                return materialize(out, name, release=True)
+            out = tables.dealt(out.groupBy("kind", "bucket").applyInPandas(lean(_sum), BACK))
+            returned, of_contexts = F.struct("kind", "bucket", "n", "v0", "kept", "owned"), (F.col("kind") > 0) & (F.col("kind") % 2 == 0)
+            return tables.write(out.groupBy("block").agg(F.collect_list(F.when(~of_contexts, returned)).alias("counts"),
+                                                         F.collect_list(F.when(of_contexts, returned)).alias("sums")), name)
 
     def send_words(row, s):
         counts = np.bincount(s["tokens"][s["train"]], minlength=len(s["vocabulary"])).astype("<i4")
         o = s["order"]
         return _batches(_send(WORDS, row["block"], buckets, s["vocabulary"][o], counts[o]), sent_schema)
 
-    back = passed(None, send_words, "lm-word-counts", None)
-    root = _root(back)
+    back = [passed([], send_words, "lm-word-counts", None)]
+    root = _root(back[0])
 
     for k in range(depth):
         def send(row, s, k=k):
@@ -478,13 +571,13 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 out += _send(_pairs(k), row["block"], buckets, s["levels"][k].keys, s["levels"][k].train)
             return _batches(out, sent_schema)
 
-        back = back.unionByName(passed(back, send, "lm-pair-counts", root, named=(k - 1,)))
+        back.append(passed(back, send, "lm-pair-counts", root, named=(k - 1,)))
 
     def send_last(row, s):
         names, words_after, gain = _context_sums(s["levels"][depth - 1])
         return _batches(_send(_contexts(depth - 1), row["block"], buckets, names, words_after, gain), sent_schema)
 
-    back = back.unionByName(passed(back, send_last, "lm-context-sums", root, named=(depth - 1,)))
+    back.append(passed(back, send_last, "lm-context-sums", root, named=(depth - 1,)))
 
     def finish(row, s):
         import pyarrow as pa
@@ -516,10 +609,11 @@ def _root(back: DataFrame) -> _Root:
         import pyarrow as pa
         sums = np.zeros(4)
         for b in batches:
-            for n, v, o in zip(*(b.column(c).to_pylist() for c in ("n", "v0", "owned"))):
-                c = _unpack_counts(v, n)[_unpack_flags(o, n)]
-                sums += c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()
+            for rows in b.column("counts").to_pylist():
+                for r in rows:
+                    c = _unpack_counts(r["v0"], r["n"])[_unpack_flags(r["owned"], r["n"])]
+                    sums += c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum()
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names=list("abcd"))
 
-    t = back.filter(F.col("kind") == WORDS).mapInArrow(totals, "a double, b double, c double, d double")
+    t = back.select("counts").mapInArrow(totals, "a double, b double, c double, d double")
     return _Root(*(x or 0.0 for x in t.agg(*[F.sum(c) for c in "abcd"]).first()))

@@ -307,6 +307,33 @@ def test_suffix_lm_does_not_depend_on_blocks(docs):
     assert runs[0] == runs[1]
 
 
+def test_suffix_lm_passes_shuffle_only_what_is_new(docs, spark, monkeypatch):
+    plans = {}
+    write, read_back = suffix_lm._Tables.write, suffix_lm.materialize
+    look = lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(suffix_lm._Tables, "write", lambda self, df, name: (look(df, name), write(self, df, name))[1])
+    monkeypatch.setattr(suffix_lm, "materialize", lambda df, name, **kw: (look(df, name), read_back(df, name, **kw))[1])
+    tables = spark.catalog.listTables()
+    rows = [(i, t) for i, t in ROWS if i is not None][:60]
+    assert score(docs(rows), F.lit(True), block_tokens=500, bucket_tokens=500).count() == 60
+    # before, the blocks and all that came back to them were shuffled in every pass
+    assert [p.count("Exchange hashpartitioning") for p in plans["lm-scores"]] == [0]
+    assert [p.count("Exchange hashpartitioning") for p in plans["lm-pair-counts"]] == [2] * suffix_lm.DEPTH  # sent, returned
+    assert spark.catalog.listTables() == tables
+
+
+def test_suffix_lm_words_of_many_texts():
+    import pyarrow as pa
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(33)] + list("aAzZÄäßİ\u0130\u212a\u00a0\u0085\u2003\u3000\U0001f600\x7f")
+    texts = [None, "", " ", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(3000)), None]
+    for table in (pa.array(texts), pa.array(texts).slice(7, 50), pa.array([], pa.string()), pa.array([None], pa.string())):
+        n, found = suffix_lm._words(table)
+        wanted = [words(t) for t in table.to_pylist()]
+        assert n.tolist() == [len(w) for w in wanted]
+        assert [w.encode() for w in found.to_pylist()] == [x for w in wanted for x in w]
+
+
 def test_suffix_lm_sends_counts_and_gains_in_few_bytes():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 20_000, np.uint64) * np.uint64(2))
