@@ -276,7 +276,7 @@ def _send(kind: int, block: int, buckets: int, keys: np.ndarray, v0: np.ndarray,
         yield (kind, int(k), block, _pack_keys(keys[a:z]), _pack_counts(v0[a:z]), b"" if v1 is None else _pack_gains(v1[a:z]))
 
 
-def _batches(rows, schema: list, limit: int = 1 << 24):
+def _batches(rows, schema: list, limit: int = 1 << 22):
     import pyarrow as pa
     names, types = zip(*schema)
     held, size = [], 0
@@ -563,13 +563,14 @@ def _score(tables: _Tables, docs: DataFrame, train: Column, key: str, text: str,
 
     for k in range(depth):
         def send(row, s, k=k):
-            out = []
-            if k and len(s["levels"]) >= k:
-                names, words_after, gain = _context_sums(s["levels"][k - 1])
-                out += _send(_contexts(k - 1), row["block"], buckets, names, words_after, gain)
-            if len(s["levels"]) > k:
-                out += _send(_pairs(k), row["block"], buckets, s["levels"][k].keys, s["levels"][k].train)
-            return _batches(out, sent_schema)
+            def rows():
+                if k and len(s["levels"]) >= k:
+                    names, words_after, gain = _context_sums(s["levels"][k - 1])
+                    yield from _send(_contexts(k - 1), row["block"], buckets, names, words_after, gain)
+                if len(s["levels"]) > k:
+                    yield from _send(_pairs(k), row["block"], buckets, s["levels"][k].keys, s["levels"][k].train)
+
+            return _batches(rows(), sent_schema)
 
         back.append(passed(back, send, "lm-pair-counts", root, named=(k - 1,)))
 
