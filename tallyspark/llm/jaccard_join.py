@@ -364,8 +364,10 @@ def _links(members: DataFrame, slices: DataFrame, num: int, den: int, forests: i
             import pyarrow as pa
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        found = (tasks.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-                 .mapInArrow(lean(pairs), "a long, b long").distinct())
+        # dealt by a name that no join is dealt by: a shuffle by the join's own columns is left out, and the join's rows need not stay
+        # where they are (a side that is broadcast after all has the other one read by its mappers), which would cut the tasks up
+        found = (tasks.withColumn("task", F.xxhash64("cluster", "lo", "hi")).repartition("task").drop("task")
+                 .sortWithinPartitions("cluster", "lo", "hi").mapInArrow(lean(pairs), "a long, b long").distinct())
         found = materialize(found, "pairs", release=True)
         if found.isEmpty():
             if step or not _large(members):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import decontaminate as D
 from tallyspark.llm.jaccard_join import one_of_each, similar_groups
-from tallyspark.llm import repeats, suffix_lm
+from tallyspark.llm import jaccard_join, repeats, suffix_lm
 from tallyspark.llm.repeats import remove_repeats, repeated_spans
 from tallyspark.llm.run_index import RunIndex
 from tallyspark.llm.suffix_lm import DISCOUNT, GAIN, PRIOR, score
@@ -272,6 +272,37 @@ def test_jaccard_groups_equal_brute_force(docs, n, num, den, block):
     assert collections.Counter((r.doc_id, r.text, r._n_shingles, r.component_id) for r in got) == exp
 
 
+def test_jaccard_blocks_of_a_large_group_stay_whole(spark, docs, monkeypatch):
+    """Also where a join before them is planned as a shuffle: Spark then drops a shuffle by the same columns, and reads the join's rows by
+    where they come from if it broadcasts the other side after all."""
+    rng = random.Random(8)
+    texts = [[f"w{k}" for k in range(90)]]
+    for _ in range(160):  # of one word that is another the similarity is 0.93, of two 0.87
+        w = list(rng.choice(texts))
+        for _ in range(1 if rng.random() < 0.8 else 2):
+            w[rng.randrange(90)] = f"v{rng.randrange(900)}"
+        texts.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    plans, write = [], jaccard_join.materialize
+
+    def look(df, name, **kw):
+        if name == "pairs":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **kw)
+
+    monkeypatch.setattr(jaccard_join, "materialize", look)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = similar_groups(docs(rows), block=20).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    _, comp = brute_components(rows, 3, 90, 100)
+    assert 5 < len(set(comp)) < 100 and max(collections.Counter(comp).values()) > 24
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(comp))
+    assert len(plans) > 1 and all("REPARTITION_BY_COL" in p for p in plans)
+
+
 def test_one_of_each_keeps_one_row_of_a_component(docs):
     base = " ".join(f"w{k}" for k in range(60))
     rows = [(7, base), (3, base + " end"), (3, base + " end"), (None, base), (4, "else"), (5, ""), (6, None), (5, ""), (None, "lone")]
