@@ -10,6 +10,7 @@ group holds a listing and no task more than some blocks or one body.
 
 from __future__ import annotations
 
+import gc
 import re
 
 import numpy as np
@@ -22,6 +23,8 @@ from .listings import ADDRESS_COMMENT, RANGE_ADDRESS, RANGE_MARKER
 
 BLOCK_CHARS = 1 << 16
 BLOCK_TOKENS = 4096
+PACKED_TOKENS = 1 << 16  # a task packs so many tokens at a time,
+PACKED_BYTES = 64 << 20  # or so many bytes
 
 
 def hex_address(c: Column | str) -> Column:
@@ -134,9 +137,85 @@ def block_listing_bodies(blocks: DataFrame, requests: DataFrame, key: str = "lis
     return _joined(bodies, blocks.select(key, "block", "piece"), key, part, ["address"])
 
 
-def _scan_token_block(braces: list, marks: list):
+def _packed(rel: np.ndarray, lengths: np.ndarray, text: bytes, codec) -> bytes:
+    """Tokens of a block: places in it (ascending), bytes of each, all their bytes; compressed."""
+    wide, even = bool(len(lengths) and lengths.max() > 255), int(rel[-1] - rel[0]) + 1 == len(rel)
+    raw = lengths.astype("<u4" if wide else "u1").tobytes() + (b"" if even else rel.astype("<i4").tobytes()) + text
+    head = np.array([len(rel), rel[0], wide, even, len(raw)], "<i8").tobytes()
+    return head + codec.compress(raw, asbytes=True)
+
+
+def _unpacked(chunk: bytes, codec) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(places, ends of the tokens from 0 on, bytes) of :func:`_packed`."""
+    n, first, wide, even, size = (int(x) for x in np.frombuffer(chunk, "<i8", 5))
+    raw = codec.decompress(memoryview(chunk)[40:], size, asbytes=True)
+    lengths = np.frombuffer(raw, "<u4" if wide else "u1", n)
+    rel = np.arange(first, first + n) if even else np.frombuffer(raw, "<i4", n, lengths.nbytes).astype(np.int64)
+    return rel, np.concatenate(([0], np.cumsum(lengths, dtype=np.int64))), raw[lengths.nbytes + (0 if even else 4 * n):]
+
+
+def _chunks(tokens: DataFrame, key: str, block_tokens: int) -> DataFrame:
+    """``key, block, chunk, braces, marks`` of tokens (``key, pos, val, address``): what a task has of a block together, packed. A block
+    has several rows where its tokens are in several tasks or far apart in one."""
+    kind = tokens.schema[key].dataType.simpleString()
+
+    def packed(t):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        codec = pa.Codec("zstd", compression_level=3)
+
+        def of(t):
+            whole = lambda c: pa.concat_arrays(t.column(c).chunks)
+            ids, val = whole(key).dictionary_encode().indices.to_numpy(zero_copy_only=False), whole("val").cast(pa.large_string())
+            return ids, t.column("pos").to_numpy(), val
+        ids, pos, val = of(t)
+        if ((ids[1:] == ids[:-1]) & (pos[1:] <= pos[:-1])).any():
+            t = t.take(pc.sort_indices(pa.table({"id": ids, "pos": pos, "val": val}), [(c, "ascending") for c in ("id", "pos", "val")]))
+            ids, pos, val = of(t)
+        block = pos // block_tokens
+        rel = pos - block * block_tokens
+        starts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (block[1:] != block[:-1]))))
+        edges = np.concatenate((starts, [len(pos)]))
+        delta = np.zeros(len(pos), np.int32)
+        for sign, brace in ((1, "{"), (-1, "}")):
+            delta[pc.fill_null(pc.equal(val, brace), False).to_numpy(zero_copy_only=False)] = sign
+        braces = np.flatnonzero(delta)
+        signed = ((rel[braces] + 1) * delta[braces]).astype("<i4")
+        marked = np.flatnonzero(t.column("address").is_valid().to_numpy())
+        addresses = pa.concat_arrays(t.column("address").take(pa.array(marked)).cast(pa.string()).chunks or [pa.array([], pa.string())])
+        val = pc.fill_null(val, "")
+        at = np.frombuffer(val.buffers()[1], np.int64)[val.offset:val.offset + len(val) + 1]
+        data = memoryview(val.buffers()[2] or b"")
+        lengths = np.diff(at)
+        of_block = np.searchsorted(braces, edges)
+        chunks = [_packed(rel[a:e], lengths[a:e], bytes(data[at[a]:at[e]]), codec) for a, e in zip(edges[:-1], edges[1:])]
+        marks = pa.ListArray.from_arrays(pa.array(np.searchsorted(marked, edges), pa.int32()),
+                                         pa.StructArray.from_arrays([pa.array(pos[marked]), addresses], names=["pos", "address"]))
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays(t.column(key).take(pa.array(starts)).chunks), pa.array(block[starts]), pa.array(chunks, pa.binary()),
+             pa.array([signed[a:e].tobytes() for a, e in zip(of_block[:-1], of_block[1:])], pa.binary()), marks],
+            names=[key, "block", "chunk", "braces", "marks"])
+
+    def pack(batches):
+        import pyarrow as pa
+        held, rows, size = [], 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows, size = rows + b.num_rows, size + b.nbytes
+            if rows >= PACKED_TOKENS or size >= PACKED_BYTES:
+                yield packed(pa.Table.from_batches(held))
+                held, rows, size = [], 0, 0
+        if held:
+            yield packed(pa.Table.from_batches(held))
+
+    return tokens.select(key, "pos", "val", "address").mapInArrow(
+        pack, f"`{key}` {kind}, block long, chunk binary, braces binary, marks array<struct<pos: long, address: string>>")
+
+
+def _scan_token_block(pos: np.ndarray, delta: np.ndarray, marks: list):
     """(change of depth, first '{', first place of each depth, the same from the first '{' on, marks) of a block of tokens."""
-    pos, delta = (np.array([b[c] for b in braces], np.int64) for c in ("pos", "delta"))
     depth, opens = np.cumsum(delta), pos[delta > 0]
 
     def first(since: int):
@@ -157,8 +236,15 @@ def _scan_token_block(braces: list, marks: list):
             first(int(np.searchsorted(pos, opens[0]))) if len(opens) else [], found)
 
 
-def _scanned_tokens(blocks: DataFrame, key: str) -> DataFrame:
-    kind = blocks.schema[key].dataType.simpleString()
+def _scanned_tokens(chunks: DataFrame, key: str, block_tokens: int) -> DataFrame:
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def scanned(block: int, braces: list, marks: list):
+        signed = np.frombuffer(b"".join(braces), "<i4").astype(np.int64)
+        pos, delta = np.abs(signed) - 1 + block * block_tokens, np.sign(signed)
+        order = np.lexsort((delta, pos))
+        marks = sorted((m for of in marks for m in of), key=lambda m: (m["pos"], m["address"]))
+        return _scan_token_block(pos[order], delta[order], marks)
 
     def scan(batches):
         import pyarrow as pa
@@ -166,63 +252,82 @@ def _scanned_tokens(blocks: DataFrame, key: str) -> DataFrame:
         mark = pa.list_(pa.struct([("at", pa.int64()), ("address", pa.string()), ("depth", pa.int64()), ("open", pa.int64()), ("close", pa.int64())]))
         kinds = [pa.int64(), pa.int64(), pair, pair, mark]
         for b in batches:
-            found = [*zip(*map(_scan_token_block, b.column("braces").to_pylist(), b.column("marks").to_pylist()))] or [()] * len(kinds)
+            found = [*zip(*map(scanned, *(b.column(c).to_pylist() for c in ("block", "braces", "marks"))))] or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("block"), *map(pa.array, found, kinds)],
                                              names=[key, "block", "change", "open", "closes", "after", "marks"])
 
     pairs = "array<struct<depth: long, at: long>>"
-    return blocks.select(key, "block", "braces", "marks").mapInArrow(
+    return chunks.groupBy(key, "block").agg(F.collect_list("braces").alias("braces"), F.collect_list("marks").alias("marks")).mapInArrow(
         scan, f"`{key}` {kind}, block long, change long, open long, closes {pairs}, after {pairs}, "
               "marks array<struct<at: long, address: string, depth: long, open: long, close: long>>")
 
 
-def _cut_tokens(wanted: DataFrame, key: str) -> DataFrame:
-    """``key, block, address, part``: of every block's ``tokens`` those that its ``wants`` (address, start, close) name, joined."""
+def _cut_tokens(wanted: DataFrame, key: str, block_tokens: int) -> DataFrame:
+    """``key, block, address, part``: of every block's ``chunks`` the tokens that its ``wants`` (address, start, close) name, joined."""
     kind = wanted.schema[key].dataType.simpleString()
 
     def cut(batches):
         import pyarrow as pa
+        codec = pa.Codec("zstd")
+
+        def pieces(block: int, chunks: list, wants: list):
+            """The parts of a block; chunks that are not one after the other are put in order token by token."""
+            held = [_unpacked(c, codec) for c in chunks]
+            if len(held) == 1:
+                rel, ends, text = held[0]
+            else:
+                tokens = sorted((int(p), text[a:e]) for rel, ends, text in held for p, a, e in zip(rel, ends[:-1], ends[1:]))
+                rel, text = np.array([p for p, _ in tokens], np.int64), b"".join(v for _, v in tokens)
+                ends = np.concatenate(([0], np.cumsum([len(v) for _, v in tokens], dtype=np.int64)))
+            for w in wants:
+                a, e = np.searchsorted(rel + block * block_tokens, (w["start"], w["close"]), "right")
+                yield w["address"], text[ends[a]:ends[e]].decode()
+
         for b in batches:
-            tokens, row, address, part, size = b.column("tokens"), [], [], [], 0
-            for k, wants in enumerate(b.column("wants").to_pylist()):
-                held = tokens[k].values  # one block's
-                pos = np.asarray(held.field("pos"))
-                for w in wants:
-                    a, e = np.searchsorted(pos, (w["start"], w["close"]), "right")
+            chunks, row, address, part, size = b.column("chunks"), [], [], [], 0
+            for k, (block, wants) in enumerate(zip(b.column("block").to_pylist(), b.column("wants").to_pylist())):
+                for name, piece in pieces(block, chunks[k].as_py(), wants):
                     row.append(k)
-                    address.append(w["address"])
-                    part.append("".join(held.field("val").slice(a, e - a).to_pylist()))
-                size += sum(map(len, part[len(part) - len(wants):])) if wants else 0
+                    address.append(name)
+                    part.append(piece)
+                    size += len(piece)
                 if k + 1 == b.num_rows or size > 4 << 20:
                     at = pa.array(row, pa.int64())
                     yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column("block").take(at), pa.array(address, pa.string()),
                                                       pa.array(part, pa.string())], names=[key, "block", "address", "part"])
                     row, address, part, size = [], [], [], 0
 
-    return wanted.select(key, "block", "tokens", "wants").mapInArrow(cut, f"`{key}` {kind}, block long, address string, part string")
+    return wanted.select(key, "block", "chunks", "wants").mapInArrow(cut, f"`{key}` {kind}, block long, address string, part string")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again; the shuffle files it was made from are let go."""
+    spark, schema = df.sparkSession, df.schema
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def block_token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listing_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """P3 over a token stream ``(key, pos, kind, val)`` of any length; same rules as
     :func:`~tallyspark.operators.listings.token_list_bodies`.
 
-    Tokens are shuffled once, into blocks of ``block_tokens`` positions; depths change at braces only, so what follows works on
-    braces and comments, and blocks' summaries are all that is ordered over a listing.
+    Tokens are read once, packed where they are by blocks of ``block_tokens`` positions, and shuffled once as such packets, to what
+    is wanted of them; depths change at braces only, so all else works on braces and comments, and blocks' summaries are all that is
+    ordered over a listing.
     """
-    spark, val = tokens.sparkSession, F.col("val")
+    val = F.col("val")
     address = F.when((F.col("kind") == "cmnt") & val.contains(RANGE_MARKER), F.nullif(F.regexp_extract("val", java_regex(RANGE_ADDRESS), 0), F.lit("")))
-    delta = F.when(val == "{", 1).when(val == "}", -1)
     t = (tokens.filter(F.col(key).isNotNull() & F.col("pos").isNotNull())
-         .select(key, F.floor(F.col("pos") / block_tokens).cast("long").alias("block"), F.col("pos").cast("long").alias("pos"), "val",
-                 delta.cast("long").alias("delta"), address.alias("address")))
-    ordered = lambda c: F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("pos", c))))
-    path = scratch_path(spark, "token-blocks")
-    t.groupBy(key, "block").agg(ordered("val").alias("tokens"), ordered("delta").alias("braces"), ordered("address").alias("marks")).write.parquet(path)
-    blocks = spark.read.parquet(path)
-    base = _scanned_tokens(blocks, key).withColumn("base", _before("change", key))
+         .select(key, F.col("pos").cast("long").alias("pos"), "val", address.alias("address")))
+    chunks = _kept(_chunks(t, key, block_tokens), "token-chunks")
+    base = _scanned_tokens(chunks, key, block_tokens).withColumn("base", _before("change", key))
     after = Window.partitionBy(key).orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     later = F.first(F.when(F.col("open").isNotNull(), F.struct("block", "open", "base", "after")), ignorenulls=True).over(after)
-    base = base.withColumn("later", later).select(key, "block", "base", "closes", "later", "marks").checkpoint()
+    base = _kept(base.withColumn("later", later).select(key, "block", "base", "closes", "later", "marks"), "token-depths")
     wanted = requests.select(key, "address").dropna().distinct()
     depth = F.col("base") + F.col("m.depth")
     there = F.get(F.filter("later.after", lambda x: x["depth"] + F.col("later.base") == depth), 0)["at"]
@@ -243,8 +348,9 @@ def block_token_bodies(tokens: DataFrame, requests: DataFrame, key: str = "listi
     found = (closed.filter(F.col("close").isNotNull() & (F.col("next").isNull() | (F.col("close") < F.col("next"))))
              .groupBy(key, "address").agg(F.max_by(F.struct("start", "start_block", "close"), F.col("start")).alias("m"))
              .select(key, "address", "m.*").withColumn("end_block", F.floor(F.col("close") / block_tokens).cast("long")))
-    wants = (found.withColumn("block", F.explode(F.sequence("start_block", "end_block")))
-             .groupBy(key, "block").agg(F.collect_list(F.struct("address", "start", "close")).alias("wants")))
+    wants = _kept(found.withColumn("block", F.explode(F.sequence("start_block", "end_block")))
+                  .groupBy(key, "block").agg(F.collect_list(F.struct("address", "start", "close")).alias("wants")), "token-wants")
+    held = chunks.groupBy(key, "block").agg(F.collect_list("chunk").alias("chunks"))
     parts = F.sort_array(F.collect_list(F.struct("block", "part")))
-    return (_cut_tokens(blocks.select(key, "block", "tokens").join(wants, [key, "block"]), key).groupBy(key, "address")
+    return (_cut_tokens(held.join(wants, [key, "block"]), key, block_tokens).groupBy(key, "address")
             .agg(py_strip(F.array_join(F.transform(parts, lambda p: p["part"]), "")).alias("body")))

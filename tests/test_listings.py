@@ -256,3 +256,43 @@ def test_token_rows_are_read_once(spark):
     got = sorted(tuple(r) for r in L.token_bodies(tokens, requests, block_tokens=4).select("listing_id", "address", "body").collect())
     assert got == [(1, "0x1", "f(){ab{c}defgh}"), (1, "0x2", "}{"), (2, "0x1", "q{}")]
     assert seen.value == len(rows) + 2
+
+
+def test_tokens_in_any_order(spark):
+    """Tokens of a block in several tasks and out of order, with gaps, long, empty and missing values."""
+    rng = random.Random(17)
+    rows, want = [], {}
+    for k in range(-3, 40):
+        toks = [rng.choice([("t", "{"), ("t", "}"), ("t", "{"), ("t", "}"), ("t", " é\U0001f600"), ("t", None), ("t", "x" * 300), ("t", ""),
+                            ("cmnt", f"// Address range: 0x{rng.randrange(4)} - 0x9")]) for _ in range(rng.randrange(0, 90))]
+        own = [*zip(sorted(rng.sample(range(-20, 120), len(toks))), toks)]
+        rows += [(f"k{k}", p, *t) for p, t in own]
+        for a, body in plain_token_bodies([t for _, t in own], {"0x1", "0x2"}).items():
+            want[f"k{k}", a] = body
+    assert len(want) > 5
+    rng.shuffle(rows)
+    stream = spark.createDataFrame(rows, "name string, pos int, kind string, val string").repartition(5)
+    requests = spark.createDataFrame([(f"k{k}", a) for k in range(-3, 40) for a in ("0x1", "0x2")], "name string, address string")
+    for block_tokens in (1, 16, 4096):
+        got = [((r.name, r.address), r.body) for r in L.token_bodies(stream, requests, key="name", block_tokens=block_tokens).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
+def test_tokens_are_shuffled_in_packets(spark):
+    """Bodies over several blocks are cut from packed tokens; no shuffle has an entry for each token."""
+    rng = random.Random(4)
+    names = ["".join(rng.choice(["ka", "lo", "mi", "ne", "ru"]) for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    text = [" ".join(rng.choice(names) for _ in range(2000)) for _ in range(60)]
+    lists = spark.createDataFrame(list(enumerate(text)), "listing_id long, text string")
+    rows = lists.select("listing_id", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    m = F.col("pos") % 40
+    mark = F.concat(F.lit("// Address range: 0x"), F.lower(F.hex(F.col("pos"))), F.lit(" - 0xff"))
+    stream = rows.select("listing_id", F.col("pos").cast("long").alias("pos"), F.when(m == 0, "cmnt").otherwise("text").alias("kind"),
+                         F.when(m == 0, mark).when(m == 2, "{").when(m == 30, "}").otherwise(F.col("word")).alias("val"))
+    requests = rows.filter(m == 0).select("listing_id", F.concat(F.lit("0x"), F.lower(F.hex(F.col("pos")))).alias("address"))
+
+    got = L.token_bodies(stream, requests, block_tokens=64)
+    want = {(k, f"0x{p:x}"): "".join("{" if q % 40 == 2 else "}" if q % 40 == 30 else w for q, w in enumerate(t.split(" "))
+                                     if p < q <= p + 30) for k, t in enumerate(text) for p in range(0, 2000, 40)}
+    assert {(r.listing_id, r.address): r.body for r in got.collect()} == want
+    assert "tokens" not in got._jdf.queryExecution().executedPlan().toString()  # before, arrays of them were joined
